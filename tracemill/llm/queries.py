@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .base import table
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks, leak_report
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leak_report(find_leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .class_lm import class_scores
+
+    return class_scores(table(spark, sf_dir, "documents"), "doc_id", "text", folds=7, out_fold=2)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
