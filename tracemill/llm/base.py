@@ -57,3 +57,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def frequent(counts: DataFrame, count_col: str, most: int) -> DataFrame:
+    """The rows with the highest counts, ``most`` at most: all rows from a count upwards at which so many
+    still fit. The count is found from a histogram over eighths of powers of two, so no row is sorted."""
+    bucket = F.floor(F.log2(F.col(count_col)) * 8)
+    least, taken = None, 0
+    for b, k in sorted(counts.groupBy(bucket.alias("b")).count().collect(), reverse=True):
+        if taken + k > most:
+            break
+        least, taken = b, taken + k
+    return counts.where(F.lit(False) if least is None else bucket >= least)
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches cut to ``rows`` rows, so that what Python holds at a time stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)

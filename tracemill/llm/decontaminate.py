@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, free_name, with_row_number
+from .base import cut, free_name, slices, with_row_number
 
 #: Windows in one automaton at most; about 60 MB as an automaton.
 PER_AUTOMATON = 100_000
@@ -133,7 +133,7 @@ def _scan(docs: DataFrame, text_col: str, shared) -> DataFrame:
             for window, ids in shared.value:
                 automaton.add_word(window, (len(window), tuple(ids)))
             automaton.make_automaton()
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(text_col)
             counts, spans, items = [], [], []
             olds = zip(b.column("_spans").to_pylist(), b.column("_items").to_pylist(), strict=True) if extra else None

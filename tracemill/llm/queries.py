@@ -22,6 +22,12 @@ def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_scores(table(spark, sf_dir, "documents"), "doc_id", "text", folds=7, out_fold=2)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import page_texts
+
+    return page_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

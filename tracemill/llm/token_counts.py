@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, with_row_number
+from .base import cut, frequent, slices, with_row_number
 
-#: Pre-tokens that are broadcast at most: about 5 MB.
-HEAD = 300_000
+#: Pre-tokens that are broadcast at most: about 4 MB.
+HEAD = 200_000
 #: Distinct pre-tokens that a counting task holds before it hands them on.
-HELD = 400_000
+HELD = 200_000
 #: White space, then a space whose own pre-token would differ from the one the tokenizer makes.
 _RUNS = re.compile(r"\s(?:  | \Z)")
 _SPACES = re.compile(r"\s+\Z|\s{2,}(?=\S)")
@@ -56,6 +56,9 @@ def pre_tokens_plain(text: str) -> list[str]:
 
 
 def _count_pieces(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -89,7 +92,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", head:
 
     def seen(batches):
         special, held = re.compile(pattern) if pattern else None, Counter()
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 held.update(_split_special(t, special)[0])
                 if len(held) > HELD:
@@ -100,20 +103,20 @@ def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", head:
 
     def tokenized(batches):
         count = _count_pieces(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(b.column(0).to_pylist()), pa.int32()), b.column(1)], names=["piece", "pieces", "n"])
 
     vocabulary = cut(
         docs.select(text.alias("t")).mapInArrow(seen, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(tokenized, "piece string, pieces int, n long")
     )
-    top = vocabulary.orderBy(F.desc("n"), "piece").limit(head).select("piece", "pieces").toPandas()
-    known = spark.sparkContext.broadcast(dict(zip(top["piece"], top["pieces"].tolist(), strict=True)))
-    whole = vocabulary.limit(head + 1).count() <= head
+    top = frequent(vocabulary, "n", head).select("piece", "pieces").toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(top["piece"].to_pylist(), top["pieces"].to_pylist(), strict=True)))
+    whole = vocabulary.count() == top.num_rows
     kept = [c for c in docs.columns if c != text_col]
 
     def counted(batches):
         special, pieces = re.compile(pattern) if pattern else None, known.value
-        for b in batches:
+        for b in slices(batches):
             totals, rest, ns = [], [], []
             for t in b.column("_text").to_pylist():
                 found, n = _split_special(t, special)
