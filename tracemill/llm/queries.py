@@ -5,10 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .base import table
 
 
+#: The key of these queries; a deployment passes its own secret.
+KEY = b"surrogate key of the registered queries"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import collisions, with_surrogates
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for r in collisions(docs, KEY).collect():  # a row per kind
+        if r["shared"] or r["split"] or r["unchanged"]:
+            raise ValueError(f"surrogates collide: {r}")
+    out = with_surrogates(docs, KEY)
+    n = F.aggregate(F.map_values("pii"), F.lit(0).cast("long"), lambda a, x: a + x)
+    kinds = F.array_join(F.transform(F.map_entries("pii"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
+    return out.select("doc_id", "text", n.alias("n_entities"), kinds.alias("kinds"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks, leak_report
 
