@@ -34,6 +34,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .class_lm import class_scores
 
