@@ -46,6 +46,12 @@ def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_scores(table(spark, sf_dir, "documents"), "doc_id", "text", folds=7, out_fold=2)
 
 
+def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import page_texts
 
@@ -61,6 +67,23 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: A document with at least this probability is rejected.
+TOXIC = 0.5
+
+
+def label_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label table's two judgements as the chain's categories; it has one category of toxicity."""
+    return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+
+
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity(docs, label_categories(spark, sf_dir), ["low_quality", "toxic"])
+    return out.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= TOXIC).alias("toxic"))
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_dedup import vector_links
 
