@@ -12,11 +12,11 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """Hang each vertex's neighbours (the larger ones, or itself and the smaller ones) on the smallest."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if larger:
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))  # so that Spark can split a hub's rows in the join
         hung = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
         below = both.where("v < u")
-        least = below.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(below.groupBy("u").agg(F.min("v").alias("m")))
         hung = below.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
     return hung.where("a < b").distinct()
 
