@@ -14,14 +14,18 @@ from .base import table
 KEY = b"surrogate key of the registered queries"
 
 
-def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def checked_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
+    """``docs`` with surrogates, after counting over all of them that none is shared, split or unchanged."""
     from .surrogates import collisions, with_surrogates
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    for r in collisions(docs, KEY).collect():  # a row per kind
+    for r in collisions(docs, key).collect():  # a row per kind
         if r["shared"] or r["split"] or r["unchanged"]:
             raise ValueError(f"surrogates collide: {r}")
-    out = with_surrogates(docs, KEY)
+    return with_surrogates(docs, key)
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = checked_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
     n = F.aggregate(F.map_values("pii"), F.lit(0).cast("long"), lambda a, x: a + x)
     kinds = F.array_join(F.transform(F.map_entries("pii"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
     return out.select("doc_id", "text", n.alias("n_entities"), kinds.alias("kinds"))
