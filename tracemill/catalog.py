@@ -1,4 +1,4 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries: each operator over the driver's tables, or over small samples of its own."""
 
 from __future__ import annotations
 
@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import corpus_queries, event_queries, game_queries, table_queries
+
+_MODULES = (corpus_queries, event_queries, table_queries, game_queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """A sample of distinct documents, its runs counted, encoded with what they save, and packed."""
+    return corpus_queries.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {n: f for m in _MODULES for n, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: q for m in _MODULES for n, q in m.ORACLES.items()}
