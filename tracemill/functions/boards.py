@@ -43,6 +43,11 @@ def _within(token: Column, name: str, size: int) -> Column:
     return token.between(START[name], START[name] + size - 1)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, not once for each element that a lambda visits."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def decode_board(tokens: Column) -> Column:
     """Struct (fen, repetition) of a token list in any order; the move number is not stored and reads 1. Null
     where a square or one of the META parts is given twice or is missing."""
@@ -51,25 +56,24 @@ def decode_board(tokens: Column) -> Column:
         return F.filter(tokens, lambda t: _within(t, name, size))
 
     pieces = F.filter(tokens, lambda t: t < START["side"])
-    # ranks from the eighth down; a dot where no token names the square
-    def rank(r: int) -> Column:
-        cells = [F.coalesce(F.try_element_at(F.transform(F.filter(pieces, lambda t, s=r * 8 + f: F.floor(t / 12) == s), lambda t: F.substring(F.lit(PIECES), F.pmod(t, F.lit(12)) + 1, F.lit(1))), F.lit(1)), F.lit(".")) for f in range(8)]
-        text = F.concat(*cells)
-        for k in range(8, 0, -1):
-            text = F.replace(text, F.lit("." * k), F.lit(str(k)))
-        return text
-
-    placement = F.concat_ws("/", *(rank(r) for r in range(7, -1, -1)))
+
+    at, letters = F.transform(pieces, lambda t: F.floor(t / 12)), F.transform(pieces, lambda t: F.substring(F.lit(PIECES), F.pmod(t, F.lit(12)) + 1, F.lit(1)))
+    named = F.struct(at.alias("at"), letters.alias("letters"))
+    by_square = lambda x: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda s: F.coalesce(F.get(x["letters"], F.array_position(x["at"], s).cast("int") - 1), F.lit(".")))
+    cells = _once(named, lambda x: F.array_join(by_square(x), ""))
+    placement = _once(cells, lambda c: F.array_join(F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda r: F.substring(c, r * 8 + 1, F.lit(8))), "/"))
+    for k in range(8, 0, -1):
+        placement = F.replace(placement, F.lit("." * k), F.lit(str(k)))
     side = F.when(F.array_contains(tokens, START["side"] + 1), "b").otherwise("w")
     rights = F.concat(*(F.when(F.array_contains(tokens, START["castling"] + 2 * i + 1), r).otherwise("") for i, r in enumerate("KQkq")))
     ep = F.try_element_at(literal([*_SQUARES, "-"]), one("en_passant", 65)[0] - START["en_passant"] + 1)
     half = one("halfmove", 101)[0] - START["halfmove"]
     repetition = one("repetition", 5)[0] - START["repetition"] + 1
     whole = (F.size(F.array_distinct(F.transform(pieces, lambda t: F.floor(t / 12)))) == F.size(pieces)) & (F.size(tokens) == F.size(pieces) + META)
-    for name, size in (("side", 2), ("en_passant", 65), ("halfmove", 101), ("repetition", 5), *()):
+    for name, size in (("side", 2), ("en_passant", 65), ("halfmove", 101), ("repetition", 5)):
         whole &= F.size(one(name, size)) == 1
     for i in range(4):
-        whole &= F.size(F.filter(tokens, lambda t, i=i: t.between(START["castling"] + 2 * i, START["castling"] + 2 * i + 1))) == 1
+        whole &= F.array_contains(tokens, START["castling"] + 2 * i) != F.array_contains(tokens, START["castling"] + 2 * i + 1)
     fen = F.concat_ws(" ", placement, side, F.when(rights == "", "-").otherwise(rights), ep, half.cast("string"), F.lit("1"))
     return F.when(whole, F.struct(fen.alias("fen"), repetition.alias("repetition")))
 
