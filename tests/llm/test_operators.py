@@ -1,0 +1,345 @@
+"""The ten operators on awkward rows and against plain versions of themselves."""
+
+import re
+import zlib
+from math import log10
+
+import numpy as np
+import pytest
+
+from tracemill.llm import class_lm, decontaminate, html_text, mixing, near_dup, quality, queries, surrogates, token_counts, toxicity, vector_dedup
+
+SF = "/root/testdata/sf0.001"
+WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
+LONG = " ".join(WORDS[(i * 7 + i // 13) % len(WORDS)] + str(i % 97) for i in range(30_000))
+NEAR = " ".join(f"w{i}" for i in range(100))
+ROWS = [
+    (1, None, "a"),
+    (2, "", "b"),
+    (3, " \t\n ", None),
+    (4, NEAR, "a"),
+    (5, NEAR + " tail", "a"),
+    (6, NEAR, "a"),
+    (7, "one", "b"),
+    (8, "one", "b"),
+    (9, LONG, "c"),
+    (None, NEAR.replace("w50", "other"), "c"),
+    (11, "Ünï cödé — text’s end 😀", "b"),
+    (11, "Ünï cödé — text’s end 😀", "b"),
+]
+COLUMNS = "doc_id long, text string, source string, _text string, _row int, pii string, _id long, leak string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, "x", 1, "p", 2, "l") for r in ROWS], COLUMNS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def rows(df):
+    return sorted((r.asDict() for r in df.collect()), key=repr)
+
+
+# 1 --------------------------------------------------------------------------------------------------------------
+
+KEY = b"key"
+
+
+def test_surrogates_keep_kind_and_format(spark):
+    text = (
+        "Mrs Anna Keller wrote to Dr. Miller; Keller uses anna.keller@mail.example.com, +49 170 1234567, 192.168.1.17, 4111 1111 1111 1111, "
+        "DE89 3704 0044 0532 0130 00 and password=Hunter22x. Господин Иван Петров."
+    )
+    new, pairs = surrogates.replaced(KEY, text)
+    kinds = {k for k, *_ in pairs}
+    assert {"given", "family", "email", "phone", "ipv4", "card", "iban", "password"} <= kinds
+    for kind, old, made in pairs:
+        assert made != old
+        if kind not in ("given", "family"):
+            assert re.sub(r"\w", "x", made) == re.sub(r"\w", "x", old)
+        if kind == "card":
+            assert surrogates.luhn(re.sub(r"\D", "", made)) == 0
+        if kind == "iban":
+            assert surrogates._iban_number(made.replace(" ", "")) % 97 == 1
+    given = {old: made for kind, old, made in pairs if kind == "given"}
+    assert given["Anna"] in surrogates.NAMES["latin", "f"]
+    assert given["Иван"] in surrogates.NAMES["cyrillic", "m"]
+    keller = {made for kind, old, made in pairs if old == "Keller"}
+    assert len(keller) == 1 and new.count(keller.pop()) == 2
+
+
+def test_surrogates_are_a_permutation():
+    for n in (2, 3, 10, 257):
+        walk = surrogates.Permutation(KEY, "t", n)
+        out = [walk.next(i) for i in range(n)]
+        assert sorted(out) == list(range(n)) and all(i != o for i, o in enumerate(out))
+    made = {surrogates.surrogate(KEY, "phone", f"555-123-{i:04d}") for i in range(3000)}
+    assert len(made) == 3000
+
+
+def test_surrogates_of_awkward_rows(docs, none):
+    got = {(r["doc_id"], r["source"]): r for r in rows(surrogates.with_surrogates(docs, KEY))}
+    assert got[1, "a"]["text"] is None and got[2, "b"]["text"] == "" and got[9, "c"]["text"] == LONG
+    assert got[1, "a"]["_pii"] == {} and got[1, "a"]["pii"] == "p"
+    assert surrogates.with_surrogates(none, KEY).count() == 0 and surrogates.collisions(none, KEY).count() == 0
+
+
+def test_no_collisions_in_the_corpus(spark):
+    found = surrogates.collisions(spark.read.parquet(f"{SF}/documents.parquet"), KEY).collect()
+    assert found and all(r["shared"] == r["split"] == r["unchanged"] == 0 for r in found)
+
+
+# 2 --------------------------------------------------------------------------------------------------------------
+
+
+def shingles(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def brute_components(texts, size, percent=80):
+    sets = [shingles(t, size) for _, t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]) and root[i] != root[j]:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    groups = {}
+    for (d, _), r in zip(texts, root, strict=True):
+        groups.setdefault(r, []).append(d)
+    return [(d, len(s), min((x for x in groups[r] if x is not None), default=None)) for (d, _), s, r in zip(texts, sets, root, strict=True)]
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates_match_brute_force(spark, docs, none, size):
+    got = near_dup.near_duplicates(docs, size=size)
+    want = brute_components([r[:2] for r in ROWS], size)
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=key) == sorted(want, key=key)
+    assert near_dup.near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_of_a_corpus_and_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SHORT", 3)
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts += [(10_000 + i, " ".join(f"g{j}" for j in range(60)) + f" end{i}") for i in range(60)]
+    texts += [(20_000 + i, " ".join(f"g{j}" for j in range(i % 9, 60)) + f" other{i} " * (i % 7)) for i in range(60)]
+    got = near_dup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), size=2)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == sorted(brute_components(texts, 2))
+
+
+# 3 --------------------------------------------------------------------------------------------------------------
+
+
+def brute_leaks(text, items, width=10):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words, hit, found = split(text), set(), set()
+    for i, t in items:
+        w = split(t)
+        n = min(len(w), width)
+        for k in range(len(w) - n + 1 if n else 0):
+            for p in range(len(words) - n + 1):
+                if words[p : p + n] == w[k : k + n]:
+                    hit.update(range(p, p + n))
+                    found.add(str(i))
+    return len(words), len(hit), len(found)
+
+
+@pytest.mark.parametrize("per_automaton", [100_000, 3])
+def test_leaks_match_brute_force(spark, docs, none, per_automaton):
+    items = [(1, "w3 w4, W5 w6 w7 w8 w9 w10 w11 w12 w13"), (2, "One"), (3, None), (4, "..."), (5, "cödé text"), (1, "w90 w91 w92 w93 w94 w95 w96 w97 w98 w99")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(docs.select("doc_id", "text", "_row"), table, per_automaton=per_automaton)
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.leak_report(found).collect()]
+    want = [(d, *brute_leaks(t, items)) for d, t, _ in ROWS if t != LONG]
+    key = lambda r: (r[0] or 0, r)
+    assert sorted((g for g in got if g[0] != 9), key=key) == sorted(want, key=key)
+    assert decontaminate.find_leaks(none.select("doc_id", "text"), table).count() == 0
+    clean = decontaminate.find_leaks(docs.select("doc_id", "text"), table.limit(0))
+    assert all(not r["contaminated"] for r in decontaminate.leak_report(clean).collect())
+
+
+def test_leaks_are_located_in_the_original(spark):
+    text = "  Énd: Alpha--BETA, gamma! "
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = decontaminate.find_leaks(one, spark.createDataFrame([(7, "alpha beta Gamma")], "item_id long, text string")).first()
+    s = r["leak"]["spans"][0]
+    assert text[s["start"] : s["end"]] == "Alpha--BETA, gamma"
+
+
+# 4 --------------------------------------------------------------------------------------------------------------
+
+
+def test_mix_stays_within_a_block_of_the_weights(spark):
+    table = spark.createDataFrame([(i, "abc"[min(2, i % 7)]) for i in range(7000)], "doc_id long, source string")
+    weights = {"a": 0.5, "b": 0.2, "c": 0.3}
+    got = [r for r in mixing.mixed(table, weights, block=8, period=100).collect() if r["in_mix"]]
+    slots = sorted({(r["slot"], r["source"]) for r in got})
+    assert [s for s, _ in slots] == list(range(len(slots)))
+    seen = dict.fromkeys(weights, 0)
+    for t, (_, source) in enumerate(slots, 1):
+        seen[source] += 1
+        assert all(abs(seen[k] - w * t) < 1 for k, w in weights.items())
+
+
+def test_mix_of_awkward_rows(docs, none):
+    got = mixing.mixed(docs, block=2)
+    assert got.count() == len(ROWS) and got.select("position").distinct().count() == len(ROWS)
+    assert mixing.mixed(none).count() == 0
+    with pytest.raises(ValueError, match="without a weight"):
+        mixing.mixed(docs, {"a": 1.0})
+
+
+# 5 --------------------------------------------------------------------------------------------------------------
+
+
+def test_class_model(spark, docs, none):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+    texts = {r["doc_id"]: split(r["text"]) + [b" end"] for r in table.collect()}
+    train = [w for d, ws in texts.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in ws]
+    counts: dict = {}
+    for w in train:
+        counts[w] = counts.get(w, 0) + 1
+    n, v = len(train), len(counts)
+    total = base = 0.0
+    for r in class_lm.class_scores(table, "doc_id", "text", 7, 2, head=500, words=100).collect():
+        ws = texts[r["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(w in counts for w in ws), n)
+        want = sum(log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in ws)
+        assert abs(r["base_score"] - want) < 1e-6 * max(1, -want)
+        if r["held_out"]:
+            total, base = total + r["score"], base + want
+    assert total > base
+    assert class_lm.class_scores(docs, "doc_id", "text", 7, 2).count() == len(ROWS)
+    assert class_lm.class_scores(none, "doc_id", "text", 7, 2).count() == 0
+
+
+def test_exchange_finds_classes():
+    rng = np.random.default_rng(1)
+    kinds = np.arange(20) % 2
+    grid = np.array([[rng.poisson(60 if kinds[a] != kinds[b] else 1) for b in range(20)] for a in range(20)], float)
+    grid[0] = grid[:, 0] = 1
+    of = class_lm.exchange(grid, 3, fixed=0)
+    assert len(set(of[1::2])) == 1 and len(set(of[2::2])) == 1 and of[1] != of[2]
+
+
+# 6, 9 -------------------------------------------------------------------------------------------------------------
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = SF.replace("0.001", "0.01")
+    got = queries.op6_quality_votes(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    assert len(got) > 50 and sum(r["predicted"] == r["quality"] for r in got) > 0.9 * len(got)
+
+
+def test_quality_of_awkward_rows(spark, docs, none):
+    labels = spark.createDataFrame([(4, 1), (7, 0), (9, None), (None, 1)], "doc_id long, quality int")
+    got = quality.quality_scores(docs, labels).collect()
+    assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["score"] == 0.5 for r in quality.quality_scores(docs, labels.limit(0)).collect())
+    assert quality.quality_scores(none, labels).count() == 0
+
+
+def test_toxicity_on_held_out_rows(spark):
+    from pyspark.sql import functions as F
+
+    sf = SF.replace("0.001", "0.1")
+    labels = queries.label_categories(spark, sf)
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = toxicity.toxicity(table, labels.where(~apart), ["low_quality", "toxic"]).join(labels.where(apart), "doc_id").collect()
+    hit = [r["p_toxic"] >= queries.TOXIC for r in got if r["toxic"] == 1]
+    false = [r["p_toxic"] >= queries.TOXIC for r in got if r["toxic"] == 0]
+    assert sum(hit) > 0.8 * len(hit) and sum(false) < 0.01 * len(false)
+
+
+def test_toxicity_chain_passes_earlier_predictions_on():
+    rng = np.random.default_rng(2)
+    first = rng.integers(0, 2, 400)
+    starts, ids = np.arange(401), first.astype(np.int64)
+    models = toxicity.fit_chain(starts, ids, np.column_stack([first, first]), 2)
+    assert len(models[1].v) == 1 and models[1].v[0] > 0
+
+
+def test_toxicity_of_awkward_rows(spark, docs, none):
+    labels = spark.createDataFrame([(4, 1), (7, 0), (9, None)], "doc_id long, bad int")
+    got = toxicity.toxicity(docs, labels, ["bad"]).collect()
+    assert len(got) == len(ROWS) and all(0 <= r["p_bad"] <= 1 for r in got)
+    assert toxicity.toxicity(none, labels, ["bad"]).count() == 0
+    assert all(r["p_bad"] == 0.5 for r in toxicity.toxicity(docs, labels.limit(0), ["bad"]).collect())
+
+
+# 7 --------------------------------------------------------------------------------------------------------------
+
+
+def test_html_text(spark):
+    page = "<html><head><title>t</title></head><body><div class=top>Site &amp; menu</div><article><h1>Head {0}</h1><p>Body  {0}\n text &lt;b&gt; <b>bold</b><script>x()</script></p></article><div>Bottom line</div></body></html>"
+    plain = "<html><body><div class=top>Site &amp; menu</div><div><p>Plain {0} text that is longer than its frame</p></div></body></html>"
+    data = [(i, f"http://h.org/{i}", page.format(i)) for i in range(8)] + [(i, f"http://h.org/{i}", plain.format(i)) for i in range(8, 16)]
+    data += [(20, None, None), (21, "odd", ""), (22, "http://x.org", "<p>only"), (22, "http://x.org", "<p>only")]
+    table = spark.createDataFrame(data, "page_id long, url string, html string")
+    for most in (500_000, 0):
+        got = {r["page_id"]: r for r in html_text.page_texts(table, broadcast_most=most).collect()}
+        assert got[3]["text"] == "Head 3\nBody 3 text <b> bold" and got[3]["n_chars"] == len(got[3]["text"])
+        assert got[9]["text"] == "Plain 9 text that is longer than its frame"
+        assert got[20]["text"] == got[21]["text"] == "" and got[22]["text"] == "only"
+    assert html_text.page_texts(table.limit(0)).count() == 0
+
+
+# 8 --------------------------------------------------------------------------------------------------------------
+
+
+def test_token_counts_match_the_library(spark, docs, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    odd = ["a  b", " a", "a ", "  ", "a\n\n b", "tab\t x", "<|endoftext|> a", "x<|endoftext|><|endoftext|>", "a b", "  lead", "1 234  56", "it's  we'll", "\r\n x", "a \n b", "…  …"]
+    odd += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    table = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for head in (200_000, 5):
+        got = {r["doc_id"]: r for r in token_counts.token_counts(table, path, head=head).collect()}
+        for i, t in enumerate(odd):
+            assert got[i]["n_tokens"] == len(library.encode(t or "", add_special_tokens=False)), t
+            assert got[i]["n_bytes"] == len((t or "").encode())
+    assert token_counts.token_counts(docs, path).count() == len(ROWS) and token_counts.token_counts(none, path).count() == 0
+
+
+# 10 -------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("tile", [4_000_000, 2_000])
+def test_vector_links_match_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(vector_dedup, "TILE_BYTES", tile)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((40, 24))
+    vectors = [(i, (base[i % 40] * rng.uniform(0.5, 9) + 0.06 * rng.standard_normal(24)).tolist()) for i in range(300)]
+    vectors += [(300 + i, base[0].tolist()) for i in range(20)]
+    vectors += [(400, None), (401, []), (402, [0.0] * 24), (403, [float("nan")] * 24), (404, [1.0, None]), (405, [1.0, 2.0]), (406, [2.0, 4.0]), (None, base[1].tolist())]
+    table = spark.createDataFrame([(*v, 0) for v in vectors], "vec_id long, embedding array<double>, node int")
+    ok = lambda x: bool(x) and all(c is not None and np.isfinite(c) for c in x) and any(x)
+    unit = [np.array(x) / np.linalg.norm(x) if ok(x) else None for _, x in vectors]
+    link = [[j for j in range(len(vectors)) if j != i and unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95] for i in range(len(vectors))]
+    want = []
+    for i in range(len(vectors)):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in link[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        want.append((vectors[i][0], len(link[i]), min((vectors[j][0] for j in seen if vectors[j][0] is not None), default=None)))
+    key = lambda r: (r[0] is None, r[0] or 0)
+    got = [(r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dedup.vector_links(table).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert vector_dedup.vector_links(table.limit(0)).count() == 0

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def packed(df: DataFrame, columns: list[str], **others) -> DataFrame:
+    """The given columns as one struct ``_doc`` beside ``others``, so that no name of theirs can clash."""
+    doc = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(None).alias("_none"))
+    return df.select(doc.alias("_doc"), *(c.alias(n) for n, c in others.items()))
+
+
+def unpacked(columns: list[str]) -> list:
+    return [F.col(f"_doc.`{c}`") for c in columns]
+
+
+def schema_of(df: DataFrame, columns: list[str], added: str) -> T.StructType:
+    """Fields of ``df`` and then those that the string ``added`` names."""
+    extra = T.StructType.fromDDL(added) if added else T.StructType()
+    return T.StructType([df.schema[c] for c in columns] + list(extra))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

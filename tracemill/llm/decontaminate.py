@@ -10,7 +10,8 @@ broadcast has a fixed bound; a larger benchmark is scanned for in several automa
 
 Cases: a null or empty text, or one of separators only, has no words and no hits; items without words have
 no windows; repeated items and windows that several items share list every item; repeated rows give a row
-each; an empty table on either side gives no hits or an empty result; clashing extra columns stay as they are.
+each; an empty table on either side gives no hits or an empty result; a column named leak is replaced, others
+stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, free_name, slices, with_row_number
+from .base import cut, free_name, schema_of, slices, with_row_number
 
 #: Windows in one automaton at most; about 60 MB as an automaton.
 PER_AUTOMATON = 100_000
@@ -33,7 +34,7 @@ _KEPT = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x8
 _TABLE = bytes(c if c in _KEPT else 32 for c in bytes(range(256)).lower())
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 
-FOUND = "n_words long, spans array<struct<first:int,last:int,start:int,end:int>>, items array<string>"
+FOUND = "n_words: long, spans: array<struct<first: int, last: int, start: int, end: int>>, items: array<string>"
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -98,6 +99,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_
     """``docs`` with a struct column ``leak``: n_words, the runs of hit words (word numbers and original
     character offsets) and the items whose windows occur."""
     spark = docs.sparkSession
+    docs = docs.drop("leak")
     wins = cut(windows(items, id_col, item_text, width))
     n = wins.count()
     if n <= per_automaton:
@@ -158,8 +160,7 @@ def _scan(docs: DataFrame, text_col: str, shared) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), leak], names=[*(f.name for f in kept), "leak"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(scan, f"{schema}, leak struct<{FOUND.replace('n_words long', 'n_words:bigint').replace('spans array', 'spans:array').replace('items array', 'items:array')}>")
+    return docs.mapInArrow(scan, schema_of(docs, [f.name for f in kept], f"leak struct<{FOUND}>"))
 
 
 def leak_report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

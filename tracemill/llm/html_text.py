@@ -9,7 +9,8 @@ that many articles quote belongs to each of them. Nor is an element that holds a
 page's text, so a site of many copies of one page keeps its text.
 
 Cases: null or empty html gives an empty text; a null or odd url is the host ""; unclosed tags, comments and
-scripts run to the end; repeated rows give a row each; an empty table gives an empty result.
+scripts run to the end; repeated rows give a row each; an empty table gives an empty result; columns named text
+or n_chars are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, slices
+from .base import cut, packed, schema_of, slices, unpacked
 
 #: A template is on so many pages of its host at least, and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.05
@@ -213,9 +214,8 @@ def page_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html", b
     """``pages`` with text and n_chars instead of its html."""
     spark = pages.sparkSession
     found = cut(site_templates(pages, url_col, html_col, **options))
-    kept = [f for f in pages.schema if f.name != html_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string"
-    rows = pages.withColumns({"_host": host(url_col), "_html": F.col(html_col)})
+    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    rows = packed(pages, kept, _host=host(url_col), _html=F.col(html_col))
     if found.count() <= broadcast_most:
         by_host: dict[str, set[int]] = {}
         for r in found.toArrow().to_pylist():
@@ -234,6 +234,7 @@ def page_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html", b
             if shared is not None:
                 known = [shared.value.get(h) for h in b.column("_host").to_pylist()]
             out = [extract(t, set(k or ())) for t, k in zip(b.column("_html").to_pylist(), known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(out, pa.string())], names=[*(f.name for f in kept), "text"])
+            yield pa.RecordBatch.from_arrays([b.column("_doc"), pa.array(out, pa.string())], names=["_doc", "text"])
 
-    return rows.select(*(F.col(f.name) for f in kept if f.name != "_host"), "_host", "_html", "_known").mapInArrow(texts, schema).withColumn("n_chars", F.char_length("text").cast("long"))
+    found = rows.select("_doc", "_host", "_html", "_known").mapInArrow(texts, schema_of(rows, ["_doc"], "text string"))
+    return found.select(*unpacked(kept), "text", F.char_length("text").cast("long").alias("n_chars"))

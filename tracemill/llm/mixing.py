@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .base import packed, unpacked
+
 #: Documents of a block; slots of a period; documents of a range of md5s; ranges and sources at most.
 BLOCK, PERIOD, RANGE, RANGES, MOST_SOURCES = 32, 1000, 500, 100_000, 20_000
 
@@ -93,12 +95,12 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
 
     names = [c for c in docs.columns if c not in ("block", "slot", "position", "in_mix")]
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(*names, key.alias("_key"), digest.alias("_md5"))
+    rows = packed(docs, names, _key=key, _md5=digest, _id=F.col(id_col))
     rows = rows.withColumn("_range", F.floor(F.conv(F.substring("_md5", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)).cast("int"))
     per_range = rows.groupBy("_key", "_range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_range.select("_key", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_key", "_range").orderBy("_md5", id_col)
+    inside = Window.partitionBy("_key", "_range").orderBy("_md5", "_id")
     rows = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(starts, ["_key", "_range"])
 
     plan = spark.createDataFrame([(k, parts[k], slots[k]) for k in sorted(parts)] or [("", 1, [0])], "_key string, _parts int, _slots array<int>")
@@ -106,5 +108,5 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
     index = F.col("_start") + F.col("_rank")
     number = F.floor(index / block)
     slot = F.floor(number / F.col("_parts")) * length + F.element_at("_slots", (F.pmod(number, F.col("_parts")) + 1).cast("int"))
-    out = rows.select(*names, number.cast("long").alias("block"), slot.cast("long").alias("slot"), F.pmod(index, F.lit(block)).alias("_place"))
-    return out.select(*names, "block", "slot", (F.col("slot") * block + F.col("_place")).cast("long").alias("position"), (F.col("slot") < horizon).alias("in_mix"))
+    out = rows.select("_doc", number.cast("long").alias("block"), slot.cast("long").alias("slot"), F.pmod(index, F.lit(block)).alias("_place"))
+    return out.select(*unpacked(names), "block", "slot", (F.col("slot") * block + F.col("_place")).cast("long").alias("position"), (F.col("slot") < horizon).alias("in_mix"))

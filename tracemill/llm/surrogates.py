@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import free_name, slices
+from .base import free_name, schema_of, slices
 
 # Common given names by script and gender; titles by gender; letters by script.
 NAMES = {
@@ -275,7 +275,6 @@ def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text") -> Data
     """``docs`` with its text replaced, and pii: how many entities of which kind were replaced."""
     names = docs.columns
     added = free_name(docs, "pii")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def replace(batches):
         for b in slices(batches):
@@ -290,7 +289,7 @@ def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text") -> Data
             cols = [pa.array(texts, pa.string()) if n == text_col else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(kinds, pa.map_(pa.string(), pa.int64()))], names=[*names, added])
 
-    return docs.mapInArrow(replace, f"{schema}, `{added}` map<string,bigint>")
+    return docs.mapInArrow(replace, schema_of(docs, names, f"`{added}` map<string,bigint>"))
 
 
 def mentions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:

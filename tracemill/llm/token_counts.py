@@ -6,7 +6,7 @@ ones (a fixed number, so their table is safe to broadcast) are joined to each do
 frequencies inside the scan; only the rest goes through a shuffle join. No list of ids is ever built.
 
 Cases: a null or empty text has 0 bytes and 0 tokens; repeated rows and repeated or null ids give a row
-each; an empty table gives an empty result; other columns are ignored.
+each; an empty table gives an empty result; other columns stay, those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, frequent, slices, with_row_number
+from .base import cut, frequent, packed, schema_of, slices, unpacked, with_row_number
 
 #: Pre-tokens that are broadcast at most: about 4 MB.
 HEAD = 200_000
@@ -112,7 +112,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", head:
     top = frequent(vocabulary, "n", head).select("piece", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top["piece"].to_pylist(), top["pieces"].to_pylist(), strict=True)))
     whole = vocabulary.count() == top.num_rows
-    kept = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_tokens", "over_limit")]
 
     def counted(batches):
         special, pieces = re.compile(pattern) if pattern else None, known.value
@@ -137,9 +137,8 @@ def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", head:
                 names=[n for n in b.schema.names if n != "_text"] + ["n_tokens", "_rest", "_ns"],
             )
 
-    rows = docs.select(*kept, F.octet_length(text).cast("long").alias("n_bytes"), text.alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    rows = rows.mapInArrow(counted, f"{schema}, n_tokens long, _rest array<string>, _ns array<long>")
+    rows = packed(docs, kept, n_bytes=F.octet_length(text).cast("long"), _text=text)
+    rows = rows.mapInArrow(counted, schema_of(rows, ["_doc", "n_bytes"], "n_tokens long, _rest array<string>, _ns array<long>"))
     if whole:  # the head holds every pre-token, so nothing is left to join
         out = rows.drop("_rest", "_ns")
     else:
@@ -147,6 +146,4 @@ def token_counts(docs: DataFrame, tokenizer: str, text_col: str = "text", head:
         rest = rows.select("_row", F.explode(F.arrays_zip("_rest", "_ns")).alias("x")).select("_row", F.col("x._rest").alias("piece"), F.col("x._ns").alias("k"))
         more = rest.join(vocabulary.select("piece", "pieces"), "piece").groupBy("_row").agg(F.sum(F.col("pieces") * F.col("k")).alias("_more"))
         out = rows.drop("_rest", "_ns").join(more, "_row", "left").withColumn("n_tokens", F.col("n_tokens") + F.coalesce("_more", F.lit(0))).drop("_row", "_more")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
-
-
+    return out.select(*unpacked(kept), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

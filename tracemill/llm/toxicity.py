@@ -10,7 +10,8 @@ are bounds of the training job only. Scoring reads every text whole and needs no
 
 Cases: null and empty texts have no features and get the score of the intercepts; labels that are null do not
 count; labelled ids without a text or repeated in either table are used as often as they join; without usable
-labels, or with one class only, a category's model is its smoothed share; an empty table gives an empty result.
+labels, or with one class only, a category's model is its smoothed share; an empty table gives an empty result;
+columns named like an added one are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import slices
+from .base import schema_of, slices
 
 SAMPLE, MOST, LEAST_RATIO, LEAST_DOCS, FOLDS = 20_000, 4096, 15.0, 3, 5
 PENALTY, STEPS = 1.0, 150
@@ -187,7 +188,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     y = np.column_stack([np.array([-1 if v is None else v for v in got[c].to_pylist()], np.int64) for c in ys]) if lists else np.zeros((0, len(ys)), np.int64)
     models = fit_chain(starts, np.array([i for x in lists for i in x], np.int64), y, len(picked))
     shared = spark.sparkContext.broadcast(models)
-    names, added = docs.columns, [f"p_{c}" for c in categories]
+    added = [f"p_{c}" for c in categories]
+    names = [c for c in docs.columns if c not in added]
 
     def scored(batches):
         ids = _Ids(of.value)
@@ -196,7 +198,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
             p = np.zeros((b.num_rows, 0))
             for model in shared.value:
                 p = np.column_stack([p, model.predict(starts, found, p)])
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=[*names, *added])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=[*names, *added])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scored, f"{kept}, {', '.join(f'`{a}` double' for a in added)}")
+    return docs.mapInArrow(scored, schema_of(docs, names, ", ".join(f"`{a}` double" for a in added)))
