@@ -148,6 +148,8 @@ def test_vocabulary():
     assert vocabulary.COMPOSITE == 3006 == len(vocabulary.names()) and len(vocabulary.moves()) == 1969 and len(vocabulary.mirror_table()) == 3006
     twice = [vocabulary.mirror_table()[vocabulary.mirror_table()[t]] for t in range(3006)]
     assert twice == list(range(3006)) and vocabulary.moves()[0] == vocabulary.CLAIM
+    moves = vocabulary.move_mirror_table()
+    assert [moves[moves[t]] for t in range(3006)] == list(range(3006)) and moves[vocabulary.move_ids()["e2e4"]] == vocabulary.move_ids()["e7e5"]
 
 
 def test_rules():

@@ -79,9 +79,28 @@ def names() -> tuple[str, ...]:
     return (*out, *(f"<{c}>" for c in CONTROLS))
 
 
+def _mirrored_name(name: str) -> str:
+    """What the other side calls a board token: ranks turned, colours and their castling rights swapped."""
+    kind, *parts = name.split(":")
+    if kind == "board":
+        return f"board:{mirrored_move(parts[0])}:{parts[1].swapcase()}"
+    if parts[:1] == ["castling"]:
+        return f"meta:castling:{parts[1].swapcase()}"
+    if parts[:1] == ["ep"] and parts[1] != "-":
+        return f"meta:ep:{mirrored_move(parts[1])}"
+    return name
+
+
 @lru_cache(1)
 def mirror_table() -> tuple[int, ...]:
-    """Each token as the other side sees it: moves rank by rank, everything else unchanged."""
+    """Each token of an observed board as the other side sees it; moves, values and controls stay."""
+    ids = {n: i for i, n in enumerate(names())}
+    return tuple(ids[_mirrored_name(n)] for n in names())
+
+
+@lru_cache(1)
+def move_mirror_table() -> tuple[int, ...]:
+    """Each token, a move's replaced by that of the mirrored move."""
     ids = move_ids()
     return tuple(ids[mirrored_move(moves()[t - START["move"]])] if START["move"] <= t < START["value"] else t for t in range(COMPOSITE))
 
@@ -100,5 +119,10 @@ def mirror_tokens(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.element_at(table, t + 1))
 
 
+def mirror_move_tokens(tokens: Column) -> Column:
+    table = literal(move_mirror_table())
+    return F.transform(tokens, lambda t: F.element_at(table, t + 1))
+
+
 def mirror_uci(uci: Column) -> Column:
     return F.when(uci == CLAIM, uci).otherwise(F.translate(uci, "12345678", "87654321"))

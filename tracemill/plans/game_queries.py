@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import boards, positions
-from ..functions.vocabulary import PIECES, START, mirror_tokens, mirror_uci
+from ..functions.vocabulary import PIECES, START, mirror_move_tokens, mirror_tokens, mirror_uci
 from ..operators import evaluation, games
 from ..sources.archives import parse_games, split_games
 from ..tables import table
@@ -103,12 +103,15 @@ def board_decode(spark, sf_dir):
     return out.select("doc_id", (F.col("b.fen") == want).alias("same"))
 
 
-@query("SELECT id::INT AS id, mirrored FROM (SELECT unnest(range(0, 3006)) AS id), LATERAL (SELECT CASE WHEN id BETWEEN 949 AND 2917 THEN -1 ELSE id END AS mirrored) WHERE mirrored >= 0")
+@query("""
+SELECT id::INT AS id, (CASE WHEN id < 768 THEN xor(id // 12, 56) * 12 + (id % 12 + 6) % 12 WHEN id BETWEEN 770 AND 777 THEN 770 + 2 * xor((id - 770) // 2, 2) + id % 2 WHEN id BETWEEN 778 AND 841 THEN 778 + xor(id - 778, 56) ELSE id END)::INT AS mirrored,
+  id::INT AS twice, CASE WHEN id BETWEEN 949 AND 2917 THEN 'move' ELSE 'other' END AS kind FROM (SELECT unnest(range(0, 3006)) AS id)
+""")
 def token_mirror(spark, sf_dir):
-    """Twice mirrored is unmirrored; tokens that are no moves stay (moves are checked in the tests)."""
+    """Every token as the other side sees it; moves mirrored twice are the same moves."""
     df = spark.range(3006).select(F.col("id").cast("int").alias("id"))
-    twice = df.select("id", mirror_tokens(F.array("id"))[0].alias("m"), mirror_tokens(mirror_tokens(F.array("id")))[0].alias("back"))
-    return twice.where(F.col("back") == F.col("id")).where((F.col("m") == F.col("id")) & ~F.col("id").between(START["move"], START["value"] - 1)).select("id", F.col("m").cast("long").alias("mirrored"))
+    twice = mirror_move_tokens(mirror_move_tokens(F.array("id")))[0]
+    return df.select("id", mirror_tokens(F.array("id"))[0].alias("mirrored"), twice.alias("twice"), F.when(F.col("id").between(START["move"], START["value"] - 1), "move").otherwise("other").alias("kind"))
 
 
 @query("SELECT e, translate(e, '12345678', '87654321') AS mirrored FROM (SELECT chr((97 + event_id % 8)::INT) || (1 + event_id % 7) || chr((97 + event_id % 5)::INT) || (1 + event_id % 8) AS e FROM events)")
@@ -144,3 +147,22 @@ def answer_parsing(spark, sf_dir):
     rows = spark.createDataFrame([(k, a, samples.BOARDS[0][0], 1) for k, a in _ANSWERS], "id string, atoms array<int>, fen string, repetition int")
     parsed = games.checked_answers(evaluation.parse_answers(rows, "atoms", F.lit(False)), "fen", "repetition")
     return parsed.select("id", F.array_join("answer.errors", ",").alias("errors"), F.col("valid").cast("string").alias("valid"))
+
+
+_D, _V, _BACK, _R = START["control"] + 6, START["value"] + 10, START["control"] + 1, START["control"] + 5
+_TRACES = [
+    ("whole", [_D, _M["e2e4"], _V, _BACK, _M["d2d4"], _R, _BACK, _V, _F, _M["e2e4"], _V, _M["e7e5"], _END]),
+    ("no reference", [_D, _M["e2e4"], _R, _F, _M["e2e4"], _V, _END]),
+    ("illegal", [_D, _M["e2e5"], _F, _M["e2e4"], _V, _END]),
+    ("open", [_D, _M["e2e4"]]),
+    ("trailing", [_F, _M["e2e4"], _V, _END, _V]),
+]
+
+
+@query(_values([("whole", "ok", 12), ("no reference", "refuted_without_reference", 2), ("illegal", "illegal_move", 1), ("open", "missing_final", 0), ("trailing", "trailing_tokens", 3)], "id, error, steps"))
+def trace_replay(spark, sf_dir):
+    from ..operators import traces
+
+    rows = spark.createDataFrame([(k, t, samples.BOARDS[0][0], 1, 1) for k, t in _TRACES], "id string, tokens array<int>, fen string, repetition int, width int")
+    out = traces.replay(rows, "tokens", "fen", "repetition", "width")
+    return out.select("id", F.coalesce("replay.error", F.lit("ok")).alias("error"), F.size("replay.steps").alias("steps"))
