@@ -23,9 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame, partitions_by: str | None = None) -> DataFrame:
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there, and a lost
-    executor costs a re-read instead of a re-computation. ``release`` removes what was written."""
+    executor costs a re-read instead of a re-computation. ``release`` removes what was written.
+
+    files: at most so many, for tables whose rows are few for the shuffle partitions that they come from.
+    """
+    df = df if files is None else df.coalesce(files)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -49,6 +53,11 @@ def with_row_number(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def files_for(rows: int) -> int:
+    """Files of a narrow table of up to ``rows`` rows."""
+    return max(8, rows // 25_000)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores in front until no column of ``df`` has the name."""
     while wanted.lower() in {c.lower() for c in df.columns}:
