@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ class Linear:
         self.bias = float(np.log(share / (1 - share)))
         if not 0 < y.sum() < n:
             return self
-        row = np.repeat(np.arange(n), np.diff(starts))
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
         # Adam over the whole sample: features are few and steps cheap
         theta = np.concatenate([self.w, self.v, [self.bias]])
         m, s = np.zeros_like(theta), np.zeros_like(theta)
@@ -183,10 +184,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
             yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.string()), lists, *(b.column(y) for y in ys)], names=["_id", "ids", *ys])
 
     got = rows.mapInArrow(rows_of, f"_id string, ids array<int>, {', '.join(f'{y} int' for y in ys)}").toArrow().sort_by("_id").combine_chunks()
-    lists = got["ids"].to_pylist()
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    y = np.column_stack([np.array([-1 if v is None else v for v in got[c].to_pylist()], np.int64) for c in ys]) if lists else np.zeros((0, len(ys)), np.int64)
-    models = fit_chain(starts, np.array([i for x in lists for i in x], np.int64), y, len(picked))
+    # all of it stays in Arrow's and numpy's arrays: Python lists of the sample would take ten times the memory
+    found = got["ids"].combine_chunks()
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    y = np.column_stack([pc.fill_null(got[c].combine_chunks(), -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ys])
+    ids = found.flatten().to_numpy(zero_copy_only=False)
+    del got, found
+    models = fit_chain(starts, ids, y, len(picked))
     shared = spark.sparkContext.broadcast(models)
     added = [f"p_{c}" for c in categories]
     names = [c for c in docs.columns if c not in added]
