@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from itertools import permutations
 from math import log10
 
 import numpy as np
@@ -135,6 +136,21 @@ def test_near_duplicates_of_a_corpus_and_a_large_group(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == sorted(brute_components(texts, 2))
 
 
+@pytest.mark.parametrize("block", [2, 512])
+def test_chains_under_a_shared_value_stay_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "SHORT", 3)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    data = []
+    for c, order in enumerate(permutations(range(4))):  # however rows are met: p, a, c, q, each linked to the next only
+        data += [(4 * c + k, 4 * c, " ".join(f"c{c}w{j}" for j in range(10 * x, 10 * x + 100))) for k, x in enumerate(order)]
+    docs = spark.createDataFrame(data, "id long, chain long, text string").coalesce(1)
+    nodes = near_dup.cut(near_dup.sketches(docs.withColumn("_row", docs.id), "text", 1).withColumnRenamed("_row", "node"))
+    search = near_dup._Search(docs, "text", 1, 80, nodes)
+    search.lists(nodes.selectExpr("7L AS value", "node", "n"), rounds=0)
+    search.refresh()
+    assert {r["node"]: r["root"] for r in search.roots.collect()} == {i: chain for i, chain, _ in data}
+
+
 # 3 --------------------------------------------------------------------------------------------------------------
 
 
