@@ -205,6 +205,17 @@ def test_mix_stays_within_a_block_of_the_weights(spark):
         assert all(abs(seen[k] - w * t) < 1 for k, w in weights.items())
 
 
+def test_mix_follows_the_unrounded_weights_to_its_end(spark):
+    sizes = {"big": 7000, **{f"s{i:02}": 700 + 37 * i for i in range(19)}}
+    table = spark.createDataFrame([(i, k) for k, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    total = sum(n**0.5 for n in sizes.values())
+    got = mixing.mixed(table, block=1).where("in_mix").select("slot", "source").collect()
+    seen = dict.fromkeys(sizes, 0)
+    for t, (slot, source) in enumerate(sorted(got)):
+        seen[source] += 1
+        assert slot == t and all(abs(seen[k] - n**0.5 / total * (t + 1)) < 2 for k, n in sizes.items())
+
+
 def test_mix_of_awkward_rows(docs, none):
     got = mixing.mixed(docs, block=2)
     assert got.count() == len(ROWS) and got.select("position").distinct().count() == len(ROWS)

@@ -3,8 +3,10 @@
 Each source is cut into blocks of ``block`` documents. With target weight w, its block j (from 0) is released
 at slot floor(j/w) and due by slot ceil((j+1)/w). Weights are fractions a/Q with the a adding up to Q, so the
 schedule repeats every Q slots: one period is laid out on the driver, at each slot the released block with the
-earliest deadline, and the slot of any block follows by arithmetic. Up to any slot a source's share differs by
-less than one block from its weight, as long as every source still has blocks (``in_mix``).
+earliest deadline, and the slot of any block follows by arithmetic. Q is the number of all blocks at least, so the
+mix ends inside one period and the rounding of the weights adds up to less than one block. Up to any slot a
+source's share differs by less than one block from its rounded weight and less than two from the given one, as
+long as every source still has blocks (``in_mix``). A given weight under 1/Q still gets one slot of Q.
 
 The order within a source is that of the md5 of the id. Ranks come from a sort inside ranges of that md5, which
 are as many as the table needs, plus the running sum of the ranges' counts: no task holds a whole source.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .base import packed, unpacked
 
-#: Documents of a block; slots of a period; documents of a range of md5s; ranges and sources at most.
+#: Documents of a block; slots of a period at least; documents of a range of md5s; ranges and sources at most.
 BLOCK, PERIOD, RANGE, RANGES, MOST_SOURCES = 32, 1000, 500, 100_000, 20_000
 
 
@@ -82,7 +84,9 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
         target = {"" if k is None else f"s{k}": w for k, w in weights.items() if w > 0}
         if missing := sorted(set(counts) - set(target)):
             raise ValueError(f"sources without a weight: {missing[:5]}")
-    parts = quantized(target, max(period, 50 * len(target)))
+    blocks = sum(-(-n // block) for n in counts.values())
+    least = max(period, 50 * len(target))
+    parts = quantized(target, least * max(1, -(-blocks // least)))  # a multiple, so that weights exact in the least period stay so
     length = sum(parts.values())
     slots = period_slots(parts)
 
