@@ -322,6 +322,19 @@ def test_html_text(spark):
     assert html_text.page_texts(table.limit(0)).count() == 0
 
 
+def test_html_templates_of_a_section_of_a_large_host(spark):
+    side = "<div>Section links: one, two, three</div>"
+    menu = "<ul><li>First of the menu</li><li>Second of it</li></ul>"
+    quote = "<p>A line that some pages quote</p>"
+    own = "<p>Page {0} has a text of its own that is longer than all that stands around it, and goes on for a while in {0} ways</p>"
+    data = [(i, "http://h.org/a", f"<body>{side if i < 12 else ''}<div>{quote if i < 6 else ''}{own.format(i)}</div></body>") for i in range(300)]
+    data += [(i, "http://h.org/b", f"<body><main>{menu if i < 312 else ''}{own.format(i)}{quote if i < 306 else ''}</main></body>") for i in range(300, 600)]
+    got = {r["page_id"]: r["text"] for r in html_text.page_texts(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    line, quoted = own[3:-4].format, quote[3:-4]
+    assert got[9] == line(9) and got[3] == f"{quoted}\n{line(3)}" and got[20] == line(20)
+    assert got[309] == line(309) and got[303] == f"{line(303)}\n{quoted}"
+
+
 # 8 --------------------------------------------------------------------------------------------------------------
 
 

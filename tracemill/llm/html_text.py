@@ -4,9 +4,11 @@ A page is parsed to elements; each element outside the running text gets a hash
 text). Spark counts on how many pages of a host each hash occurs. A subtree that recurs on many pages of its
 host is template and is deleted, and with it what its tag or class already names as menu, notice, form,
 comments and the like. What is left is the article: the text of the article or main elements, or of the body
-where a page has none. Paragraphs and headings inside an article are never deleted for recurring: a passage
-that many articles quote belongs to each of them. Nor is an element that holds an article or over half of a
-page's text, so a site of many copies of one page keeps its text.
+where a page has none. Running text (paragraphs, headings, quotations, single items and cells, words marked in
+them) inside an article is never deleted for recurring: a passage that many articles quote belongs to each of
+them; a whole list or table may be. Outside an article running text goes if it is also on a share of the host's
+pages; all else goes by the count of pages alone, however large the host. Never deleted is an element that holds
+an article or over half of a page's text, so a site of many copies of one page keeps its text.
 
 Cases: null or empty html gives an empty text; a null or odd url is the host ""; unclosed tags, comments and
 scripts run to the end; repeated rows give a row each; an empty table gives an empty result; columns named text
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .base import cut, packed, schema_of, slices, unpacked
 
-#: A template is on so many pages of its host at least, and on this share of them.
+#: A template is on so many pages of its host at least; running text outside an article also on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.05
 #: Templates that are broadcast at most (16 bytes each, about 100 MB as Python sets); beyond, they are joined.
 BROADCAST_TEMPLATES = 500_000
@@ -50,7 +52,7 @@ BESIDE = frozenset(
     "disclaimer footer gdpr menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related "
     "reply replies respond responses share sharing sidebar sidebars social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt b i em strong span a u code figcaption ul ol dl table tbody tr".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt b i em strong span a u code figcaption tbody tr".split())
 MAIN = frozenset(("article", "main"))
 #: An open element of the second group ends when one of the first starts.
 _ENDS = [(BLOCKS - {"br"} - frozenset("body html td th tr li dd dt tbody thead tfoot".split()), frozenset("p")), (frozenset(["li"]), frozenset(["li"])), (frozenset(("dd", "dt")), frozenset(("dd", "dt"))), (frozenset(("td", "th", "tr", "tbody")), frozenset(("td", "th"))), (frozenset(("tr", "tbody")), frozenset(["tr"])), (frozenset(["option"]), frozenset(["option"]))]
@@ -147,10 +149,10 @@ def parse(html: str) -> tuple[list[Element], list[str | None]]:
     return [*done, root], pieces
 
 
-def templates_of(elements: list[Element]) -> set[int]:
-    """Hashes of the elements that may be template."""
+def templates_of(elements: list[Element]) -> dict[int, bool]:
+    """Hashes of the elements that may be template, and whether each is running text."""
     half = elements[-1].size / 2
-    return {e.hash for e in elements[:-1] if e.size and not e.holds_main and not (e.inside and e.tag in TEXT) and e.size <= half}
+    return {e.hash: e.tag in TEXT for e in elements[:-1] if e.size and not e.holds_main and not (e.inside and e.tag in TEXT) and e.size <= half}
 
 
 def extract(html: str | None, known: frozenset[int] | set[int] = frozenset()) -> str:
@@ -159,7 +161,7 @@ def extract(html: str | None, known: frozenset[int] | set[int] = frozenset()) ->
         return ""
     elements, pieces = parse(html)
     gone = bytearray(len(pieces))
-    found = templates_of(elements) & known if known else ()
+    found = templates_of(elements).keys() & known if known else ()
     half = elements[-1].size / 2
     for e in elements:
         if e.beside or (found and e.hash in found and not e.holds_main and not (e.inside and e.tag in TEXT) and e.size <= half):
@@ -187,27 +189,28 @@ def host(url_col: str):
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees on at least ``min_pages`` pages and ``min_share`` of the pages of their host."""
+    """(host, hash) of the subtrees on at least ``min_pages`` pages of their host; those of running text are also
+    on ``min_share`` of its pages."""
 
     def tally(batches):
         held: Counter = Counter()
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int64()), pa.array(list(held.values()), pa.int64())], names=["host", "hash", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int64()), pa.array([k[2] for k in held], pa.bool_()), pa.array(list(held.values()), pa.int64())], names=["host", "hash", "running", "n"])
 
         for b in slices(batches):
             for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[h, None] += 1
-                held.update((h, x) for x in templates_of(parse(t)[0]))
+                held[h, None, False] += 1
+                held.update((h, *x) for x in templates_of(parse(t)[0]).items())
             if len(held) > HELD:
                 yield batch()
                 held.clear()
         yield batch()
 
     rows = pages.select(host(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("t"))
-    counts = cut(rows.mapInArrow(tally, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages)))
+    counts = cut(rows.mapInArrow(tally, "host string, hash long, running boolean, n long").groupBy("host", "hash", "running").agg(F.sum("n").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages)))
     totals = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
-    return counts.where("hash IS NOT NULL").join(totals, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+    return counts.where("hash IS NOT NULL").join(totals, "host").where(~F.col("running") | (F.col("n") >= min_share * F.col("pages"))).select("host", "hash")
 
 
 def page_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_most: int = BROADCAST_TEMPLATES, **options) -> DataFrame:
