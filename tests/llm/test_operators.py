@@ -355,6 +355,18 @@ def test_token_counts_match_the_library(spark, docs, none):
     assert token_counts.token_counts(docs, path).count() == len(ROWS) and token_counts.token_counts(none, path).count() == 0
 
 
+def test_pre_tokens_of_any_white_space_add_up():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = lambda t: len(library.encode(t, add_special_tokens=False))
+    rng = np.random.default_rng(5)
+    signs = list("  \u00a0\t\n\r\x1c\x1f\x85\u2003\u3000a,")
+    texts = [" \u00a0 \u00a0", " \u00a0 \u00a0a", "a  \x1c", "\x1c  a"] + ["".join(rng.choice(signs, rng.integers(1, 9))) for _ in range(20_000)]
+    assert [t for t in texts if sum(map(size, token_counts.pre_tokens(t))) != size(t)] == []
+
+
 # 10 -------------------------------------------------------------------------------------------------------------
 
 

@@ -24,9 +24,11 @@ from .base import cut, frequent, packed, schema_of, slices, unpacked, with_row_n
 HEAD = 200_000
 #: Distinct pre-tokens that a counting task holds before it hands them on.
 HELD = 200_000
+#: The tokenizer's white space; Python's also has four separators.
+_WHITE = r"[^\S\x1c-\x1f]"
 #: White space, then a space whose own pre-token would differ from the one the tokenizer makes.
-_RUNS = re.compile(r"\s(?:  | \Z)")
-_SPACES = re.compile(r"\s+\Z|\s{2,}(?=\S)")
+_RUNS = re.compile(rf"{_WHITE} (?:{_WHITE}|\Z)")
+_SPACES = re.compile(rf"{_WHITE}+\Z|{_WHITE}{{2,}}(?!{_WHITE})")
 
 
 def pre_tokens(text: str) -> list[str]:
