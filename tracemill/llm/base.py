@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a folder of this machine."""
+    """The folder named by spark.checkpoint.dir; where it is unset and Spark is local (tests), one of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -25,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there, and a lost
-    executor costs a re-read instead of a re-computation. ``release`` removes what was written.
+    executor costs a re-read instead of a re-computation. ``release`` removes what was written, and so does the
+    end of a function that is ``tidy``.
 
     files: at most so many, for tables whose rows are few for the shuffle partitions that they come from.
     """
@@ -35,9 +40,41 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tracemill_path = path
+    if _scopes():
+        _scopes()[-1].append(back)
     return back
 
 
+_local = threading.local()
+
+
+def _scopes() -> list[list[DataFrame]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+def tidy(f):
+    """A function of small results: its result is written, and every table that it cut on the way is deleted."""
+
+    @wraps(f)
+    def run(*args, **kwargs):
+        _scopes().append([])
+        try:
+            out = f(*args, **kwargs)
+            made = _scopes()[-1]
+            _scopes()[-1] = []
+            out = cut(out)
+            _scopes()[-1] = made
+        finally:
+            release(*_scopes().pop())
+        if _scopes():
+            _scopes()[-1].append(out)
+        return out
+
+    return run
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files behind tables made by ``cut`` that no later plan reads."""
     for df in frames:
@@ -46,6 +83,7 @@ def release(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            df._tracemill_path = None
 
 
 def with_row_number(df: DataFrame, name: str = "_row") -> DataFrame:

@@ -2,6 +2,24 @@
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: An exact self-join of the two-word shingles, and what each document reaches by its links.
+OP2 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, r, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d),
+e AS (SELECT r, len(s) AS n, unnest(s) AS s FROM sets),
+links AS (
+  SELECT a.r AS x, b.r AS y FROM e a JOIN e b ON a.s = b.s AND a.r < b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM ends UNION SELECT reach.x, ends.y FROM reach JOIN ends ON reach.y = ends.x),
+least_of AS (SELECT reach.x AS r, min(sets.doc_id) AS least FROM reach JOIN sets ON reach.y = sets.r GROUP BY reach.x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, least) AS component_id, coalesce(doc_id <= least, true) AS kept
+FROM sets LEFT JOIN least_of USING (r)
+"""
+
 OP3 = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -48,4 +66,4 @@ SELECT doc_id, source, (r // 32)::BIGINT AS block, ((r // 32) // a * q + s)::BIG
 FROM d JOIN slots ON d.k = slots.k AND slots.j = (r // 32) % a, horizon
 """
 
-ORACLES: dict[str, str] = {"op3_decontamination": OP3, "op4_source_mix": OP4}
+ORACLES: dict[str, str] = {"op2_near_duplicates": OP2, "op3_decontamination": OP3, "op4_source_mix": OP4}
