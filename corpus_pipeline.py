@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import cut, table, with_row_number
+from tracemill.llm.base import cut, free_name, release, table, with_row_number
 from tracemill.llm.decontaminate import find_leaks
 from tracemill.llm.mixing import mixed
 from tracemill.llm.near_dup import near_duplicates
@@ -27,10 +27,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8) the document of the smallest id stays; null
     ids come last, and rows of one id in the order of the files."""
-    rows = cut(with_row_number(docs))
-    name = F.struct(F.col("doc_id").isNull().cast("int").alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("_row").alias("row"))
+    at = free_name(docs, "_row")
+    rows = cut(with_row_number(docs, at))
+    name = F.struct(F.col("doc_id").isNull().cast("int").alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col(at).alias("row"))
     kept = near_duplicates(rows.select(name.alias("name"), "text"), id_col="name").where("kept")
-    return rows.join(kept.select(F.col("name.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept.select(F.col("name.row").alias(at)), at, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each one's result written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
