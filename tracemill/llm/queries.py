@@ -8,22 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import table
-
+from .surrogates import checked_surrogates
 
 #: The key of these queries; a deployment passes its own secret.
 KEY = b"surrogate key of the registered queries"
 
 
-def checked_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
-    """``docs`` with surrogates, after counting over all of them that none is shared, split or unchanged."""
-    from .surrogates import collisions, with_surrogates
-
-    for r in collisions(docs, key).collect():  # a row per kind
-        if r["shared"] or r["split"] or r["unchanged"]:
-            raise ValueError(f"surrogates collide: {r}")
-    return with_surrogates(docs, key)
-
-
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = checked_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
     n = F.aggregate(F.map_values("pii"), F.lit(0).cast("long"), lambda a, x: a + x)

@@ -3,28 +3,37 @@
 Every surrogate comes from a keyed permutation without fixed points of all strings that look alike: the same
 kind, the same class at each place (digit, vowel, consonant, upper or lower case, script), the same fixed
 parts. So one original has one surrogate in every document (coreference), two originals never share one, and
-none keeps its own; ``collisions`` counts what would contradict that over a whole corpus. Given names are
-permuted within the list of their gender and script; a family name that a title introduces is replaced at
-its later mentions in the document too. Check digits are kept valid (a number
-whose check digit is wrong is no card; an IBAN's may be).
+none keeps its own. ``checked_surrogates`` counts over the whole corpus what would contradict that, and a
+document that holds such an entity gets it masked by its kind instead.
+
+Names: common given names are permuted within the list of their gender and script. Any other name word, given or
+family, keeps the ending that shows gender and origin (Schmidt-ova, -ski and -ska, -ina, -son) and gets another
+stem of the same vowels and consonants that can be spoken where the original can. Persons are found after a title
+and where a common given name stands before another name; their later mentions in the document are replaced too.
+Names outside the list without a title, and names in scripts without upper case, are not found. Check digits are
+kept valid (a number whose check digit is wrong is no card; an IBAN's may be).
 
 Cases: a null text stays null and an empty one empty, with 0 entities; a text without entities is returned
-unchanged; longer entities win over shorter ones inside them; repeated rows give equal rows; other columns,
-whatever their names, are kept.
+unchanged; a secret without letters or digits is a mask (``****``) and stays; longer entities win over shorter
+ones inside them; long secrets are permuted piece by piece; repeated rows give equal rows; other columns, whatever
+their names, are kept.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import free_name, schema_of, slices
+from .base import cut, free_name, release, schema_of, slices, with_row_number
 
 # Common given names by script and gender; titles by gender; letters by script.
 NAMES = {
@@ -40,12 +49,43 @@ TITLES = {
 }
 ALPHABETS = ["0123456789"] + [x for low in ("aeiou", "bcdfghjklmnpqrstvwxyz", "äöüáàâéèêíìîóòôúùûëïæøå", "çñßþð", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ") for x in (low, "".join(c.upper() for c in low if len(c.upper()) == 1 and c.upper() != c))]
 HEX = {"0-9a-f": ["0123456789abcdef"], "0-9A-F": ["0123456789ABCDEF"]}
+#: Endings of names that show gender or origin; consonants that are spoken together.
+ENDINGS = (
+    "a ia ina ine ette elle e o us ian an er ik son sen sson dottir mann berg stein ez es ov ova ev eva in ski ska sky skaya wicz ini elli ard ier "
+    "а я ия ина ов ова ев ева ёв ёва ин ский ская цкий цкая енко ко ич ук юк ий ей"
+).split()
+CLUSTERS = frozenset(
+    "bb bl br ch ck cl cr ct dd dr dt ff fl fr ft gg gl gn gr gs ht hl hm hn hr kh kl kn kr ks lb ld lf lg lk ll lm ln lp ls lt lz mb mm mp mt nd nf ng nk nn ns nt nz pf ph pl pp pr ps pt "
+    "rb rc rd rf rg rh rk rl rm rn rp rr rs rt rv rw rz sc sh sk sl sm sn sp ss st sw th tn tr ts tt tw tz wh zh zz chl chm chr cht ndr nch ngl nst ntr rch rst rth rtz sch scr spr str tch".split()
+)
+VOWELS = frozenset("ae ai au ea ee ei eu ia ie io oa oe oi oo ou ua ue ui".split())
+#: Letters of names: those that most names have, and the rare ones.
+NAME_LETTERS = [x for low in ("aeiou", "bdfghklmnprstvwz", "cjqxy") for x in (low, low.upper())]
 
 _OF = {c: a for a in ALPHABETS for c in a}
+_IN_NAMES = {c: a for a in NAME_LETTERS for c in a}
+_STAY = frozenset("ъьЪЬ")
+PIECE = 256
+
+
+@lru_cache(10_000)
+def alphabet(c: str) -> str | None:
+    """What may stand for a character: its class above, else the ten digits of its script or the letters of its
+    case in its block of 128 code points; None for all other signs."""
+    if c in _OF:
+        return _OF[c]
+    kind = unicodedata.category(c)
+    if kind == "Nd":
+        return "".join(chr(ord(c) - unicodedata.decimal(c) + k) for k in range(10))
+    if kind not in ("Lu", "Ll", "Lo") or c in _STAY:
+        return None
+    block = ord(c) // 128 * 128
+    found = "".join(x for x in map(chr, range(block, block + 128)) if unicodedata.category(x) == kind and x not in _OF and x not in _STAY)
+    return found if len(found) > 1 else None
 _UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
 _LOWER = "a-zà-öø-ÿа-яё"
 _NAME = rf"[{_UPPER}][{_LOWER}]+(?:-[{_UPPER}][{_LOWER}]+)?"
-_TITLE_OF = {t: g for g, ts in TITLES.items() for t in ts}
+_TITLES = [t for ts in TITLES.values() for t in ts]
 _GIVEN = {n: (k, i) for k, names in NAMES.items() for i, n in enumerate(names)}
 
 _PATTERNS = {
@@ -58,10 +98,11 @@ _PATTERNS = {
     "card": r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{4}(?![\w-])|(?<![\w-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w.-])",
-    "person": rf"\b(?:{'|'.join(sorted(_TITLE_OF, key=len, reverse=True))})\b\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "titled": rf"\b(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\b\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "named": rf"\b(?:{'|'.join(sorted(_GIVEN, key=len, reverse=True))})(?: [{_UPPER}]\.)?(?: {_NAME}){{1,2}}",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _PATTERNS.items()))
-_LIKELY = re.compile("[0-9@]|(?i:password|passwd|pwd=)|token|secret|api_key|" + "|".join(sorted(_TITLE_OF)))
+_LIKELY = re.compile("[0-9@]|(?i:password|passwd|pwd=)|token|secret|api_key|" + "|".join(sorted([*_TITLES, *_GIVEN])))
 
 
 class Permutation:
@@ -97,11 +138,13 @@ class Permutation:
         return self._mix((self._mix(x, range(8)) + 1) % self.n, range(7, -1, -1)) if self.n > 1 else x
 
 
-def permuted(key: bytes, kind: str, text: str, alphabets: list[str] | None = None, valid: Callable[[str], bool] | None = None, fixed: int = 0) -> str:
-    """Another text with a character of the same alphabet at each place after the first ``fixed``; characters
-    of no alphabet stay. Where ``valid`` holds for ``text``, it holds for the result."""
-    of = {c: a for a in alphabets for c in a} if alphabets else _OF
-    mask = [of.get(c) if i >= fixed else None for i, c in enumerate(text)]
+def permuted(key: bytes, kind: str, text: str, alphabets: list[str] | Callable[[str], str | None] | None = None, fixed: int = 0, tail: int = 0, same: Callable[[str], object] | None = None) -> str:
+    """Another text with a character of the same alphabet at each place but the first ``fixed`` and last ``tail``
+    ones; characters of no alphabet stay. ``same`` has one value for the text and for the result."""
+    if len(text) > PIECE:
+        return "".join(permuted(key, f"{kind}|{k}", text[k : k + PIECE], alphabets, max(0, fixed - k), 0, same) for k in range(0, len(text), PIECE))
+    of = {c: a for a in alphabets for c in a}.get if isinstance(alphabets, list) else alphabets or alphabet
+    mask = [of(c) if fixed <= i < len(text) - tail else None for i, c in enumerate(text)]
     n, x = 1, 0
     for c, a in zip(text, mask, strict=True):
         if a:
@@ -110,7 +153,8 @@ def permuted(key: bytes, kind: str, text: str, alphabets: list[str] | None = Non
         return text
     shape = "".join("?" if a is None else a[0] for a in mask) + "|" + "".join(c for c, a in zip(text, mask, strict=True) if a is None)
     walk = Permutation(key, f"{kind}|{shape}", n)
-    while True:
+    wanted = same(text) if same else None
+    while True:  # on along the cycle, so that what is alike is permuted among itself
         x = y = walk.next(x)
         out = []
         for c, a in zip(reversed(text), reversed(mask), strict=True):
@@ -119,7 +163,7 @@ def permuted(key: bytes, kind: str, text: str, alphabets: list[str] | None = Non
                 c = a[i]
             out.append(c)
         new = "".join(reversed(out))
-        if valid is None or valid(new):
+        if same is None or same(new) == wanted:
             return new
 
 
@@ -145,9 +189,9 @@ def _iban_number(s: str) -> int:
 def _iban(key: bytes, text: str) -> str:
     s = text.replace(" ", "")
     body = permuted(key, "iban", s[4:], ["0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
-    if _iban_number(s) % 97 == 1:
-        return _refill(text, s[:2] + f"{98 - _iban_number(s[:2] + '00' + body) % 97:02d}" + body)
-    return _refill(text, s[:4] + body)
+    right = lambda x: 98 - _iban_number(f"{s[:2]}00{x}") % 97
+    # as far from the right check digits as the original is
+    return _refill(text, f"{s[:2]}{(int(s[2:4]) + right(body) - right(s[4:])) % 100:02d}{body}")
 
 
 def _ip(key: bytes, text: str) -> str:
@@ -168,7 +212,7 @@ def _ip(key: bytes, text: str) -> str:
             y, r = divmod(y, size[k])
             new.append(r + low[k])
         new = parts[:kept] + new[::-1]
-        if kept or not public(parts) or public(new):
+        if kept or public(parts) == public(new):
             return ".".join(map(str, new))
 
 
@@ -182,25 +226,49 @@ def _email(key: bytes, text: str) -> str:
     return permuted(key, "local", local, letters) + "@" + ".".join([*([permuted(key, "domain", own, letters)] if own else []), *labels[-reserved:]])
 
 
-def _script(word: str) -> str:
-    return "cyrillic" if re.match("[А-Яа-яЁё]", word) else "latin"
+def name_ending(word: str) -> str:
+    """The longest listed ending that leaves two letters before it."""
+    return max((e for e in ENDINGS if word.endswith(e) and len(word) >= len(e) + 2), key=len, default="")
+
+
+def _spoken(word: str) -> bool | None:
+    """Whether all letters that meet are spoken together; None where too few such words have this shape."""
+    runs, pairs = re.findall("[bcdfghjklmnpqrstvwxyz]{2,}", word.lower()), re.findall("[aeiou]{2,}", word.lower())
+    cost = 1
+    for r in runs:
+        cost *= 5 if len(r) == 2 else 200
+    return None if cost > 5000 else all(r in CLUSTERS for r in runs) and all(v in VOWELS for v in pairs)
+
 
+def _letters(c: str) -> str | None:
+    return _IN_NAMES.get(c) or alphabet(c)
 
-def name_surrogate(key: bytes, word: str, gender: str, given: bool) -> str:
-    if given and word in _GIVEN:
+
+def name_surrogate(key: bytes, word: str) -> str:
+    """One surrogate for a name word in any role: a listed given name's from its list, else a new stem."""
+    if word in _GIVEN:
         k, i = _GIVEN[word]
         names = NAMES[k]
         return names[Permutation(key, f"given|{k}", len(names)).next(i)]
-    return permuted(key, "family", word)
+    if "-" in word:
+        return "-".join(name_surrogate(key, w) for w in word.split("-"))
+    if len(word) > PIECE:
+        return permuted(key, "name", word)
+    return permuted(key, "name", word, _letters, tail=len(name_ending(word)), same=lambda w: (name_ending(w), w in _GIVEN, _spoken(w)))
 
 
 def _phone(key: bytes, text: str) -> str:
     kept = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text)
-    return permuted(key, "phone", text, ["0123456789"], fixed=kept.end() if kept else 0)
+    # its digits alone, so a number has one surrogate however it is written
+    return _refill(text, permuted(key, "phone", "".join(filter(str.isdigit, text)), ["0123456789"], fixed=kept.end() - 1 if kept else 0), str.isdigit)
+
+
+def _hex(text: str) -> str | None:
+    return next((chars for chars in HEX if re.fullmatch(f"[{chars}]+", text)), None)
 
 
 def _secret(key: bytes, kind: str, text: str) -> str:
-    return permuted(key, kind, text, next((a for chars, a in HEX.items() if re.fullmatch(f"[{chars}]+", text)), None))
+    return permuted(key, kind, text, HEX.get(_hex(text)), same=lambda x: _hex(x) is None)
 
 
 def surrogate(key: bytes, kind: str, text: str) -> str:
@@ -222,40 +290,43 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
     return permuted(key, kind, text, ["0123456789"])
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) in order; persons word by word as given or family."""
+def entities(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in order; persons word by word as given or family."""
     if not text or not _LIKELY.search(text):
         return []
-    found, families = [], {}
+    found, known = [], {}
     for m in _ANY.finditer(text):
-        if m.lastgroup == "card" and luhn("".join(filter(str.isdigit, m.group()))):
+        kind = m.lastgroup
+        if kind == "card" and luhn("".join(filter(str.isdigit, m.group()))):
             continue  # an order number or the like
-        if m.lastgroup != "person":
-            found.append((m.start(), m.end(), m.lastgroup, ""))
+        if kind in ("password", "token") and not any(map(alphabet, m.group())):
+            continue  # masked already
+        if kind not in ("titled", "named"):
+            found.append((m.start(), m.end(), kind))
             continue
-        title, *_ = re.split(r"\.? ", m.group(), maxsplit=1)
-        gender, start = _TITLE_OF[title], m.start() + len(m.group()) - len(re.split(r"\.? ", m.group(), maxsplit=1)[1])
-        parts = [(start + x.start(), start + x.end()) for x in re.finditer(_NAME, text[start : m.end()])]
+        start = m.start() + (re.match(r"\w+\.? ", m.group()).end() if kind == "titled" else 0)
+        words = takewhile(lambda x: x.group() not in _TITLES, re.finditer(_NAME, text[start : m.end()]))
+        parts = [(start + x.start(), start + x.end()) for x in words]
         for k, (a, b) in enumerate(parts):
-            given = len(parts) > 1 and k < len(parts) - 1 or text[a:b] in _GIVEN
-            found.append((a, b, "given" if given else "family", gender))
-            if not given:
-                families[text[a:b]] = gender
-    if families:  # later mentions without the title
-        taken = [(a, b) for a, b, *_ in found]
-        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, families))})(?!\w)", text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                found.append((m.start(), m.end(), "family", families[m.group()]))
+            role = "given" if k < len(parts) - 1 or text[a:b] in _GIVEN else "family"
+            found.append((a, b, role))
+            known.setdefault(text[a:b], role)
+    if known:  # mentions elsewhere
+        starts, ends = [x[0] for x in found], [x[1] for x in found]
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?!\w)", text):
+            k = bisect_right(starts, m.start())
+            if (not k or ends[k - 1] <= m.start()) and (k == len(starts) or starts[k] >= m.end()):
+                found.append((m.start(), m.end(), known[m.group()]))
     return sorted(found)
 
 
-def replaced(key: bytes, text: str) -> tuple[str, list[tuple[str, str, str]]]:
-    """The text with surrogates, and (kind, original, surrogate) of each entity."""
+def replaced(key: bytes, text: str, masked: bool = False) -> tuple[str, list[tuple[str, str, str]]]:
+    """The text with surrogates (or its entities masked), and (kind, original, surrogate) of each entity."""
     out, pairs, at = [], [], 0
     cached = _cached(key)
-    for a, b, kind, gender in entities(text):
+    for a, b, kind in entities(text):
         old = text[a:b]
-        new = cached(kind, old, gender)
+        new = f"[{kind}]" if masked else cached(kind, old)
         out += [text[at:a], new]
         pairs.append((kind, old, new))
         at = b
@@ -265,22 +336,29 @@ def replaced(key: bytes, text: str) -> tuple[str, list[tuple[str, str, str]]]:
 @lru_cache(4)
 def _cached(key: bytes):
     @lru_cache(20_000)
-    def one(kind: str, old: str, gender: str) -> str:
-        return name_surrogate(key, old, gender, kind == "given") if kind in ("given", "family") else surrogate(key, kind, old)
+    def one(kind: str, old: str) -> str:
+        return name_surrogate(key, old) if kind in ("given", "family") else surrogate(key, kind, old)
 
     return one
 
 
-def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """``docs`` with its text replaced, and pii: how many entities of which kind were replaced."""
-    names = docs.columns
+def _digest(kind: str, text: str) -> bytes:
+    """Names are one kind, whatever their role."""
+    return blake2b(f"{'name' if kind in ('given', 'family') else kind}|{text}".encode(), digest_size=16).digest()
+
+
+def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", mask_col: str | None = None) -> DataFrame:
+    """``docs`` with its text replaced, and pii: how many entities of which kind were replaced. Rows in which the
+    boolean ``mask_col`` holds have their entities masked; that column goes."""
+    names = [c for c in docs.columns if c != mask_col]
     added = free_name(docs, "pii")
 
     def replace(batches):
         for b in slices(batches):
             texts, kinds = [], []
-            for t in b.column(text_col).to_pylist():
-                new, pairs = replaced(key, t) if t else (t, [])
+            masks = b.column(mask_col).to_pylist() if mask_col else [False] * b.num_rows
+            for t, m in zip(b.column(text_col).to_pylist(), masks, strict=True):
+                new, pairs = replaced(key, t, bool(m)) if t else (t, [])
                 texts.append(new)
                 many: dict[str, int] = {}
                 for kind, *_ in pairs:
@@ -293,13 +371,13 @@ def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text") -> Data
 
 
 def mentions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """(kind, original, surrogate, n): digests of what is replaced by what, counted per task."""
+    """(kind, original, surrogate, n): digests of what is replaced by what, counted."""
 
     def found(batches):
         seen: dict[tuple, int] = {}
 
         def batch():
-            side = lambda k: pa.array([blake2b(x[k].encode(), digest_size=16).digest() for x in seen], pa.binary())
+            side = lambda k: pa.array([_digest(x[0], x[k]) for x in seen], pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.string()), side(1), side(2), pa.array(list(seen.values()), pa.int64())], names=["kind", "original", "surrogate", "n"])
 
         for b in slices(batches):
@@ -311,13 +389,42 @@ def mentions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
                 seen.clear()
         yield batch()
 
-    return docs.select(F.col(text_col).alias("t")).mapInArrow(found, "kind string, original binary, surrogate binary, n long")
+    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(found, "kind string, original binary, surrogate binary, n long")
+    kind = F.when(F.col("kind").isin("given", "family"), "name").otherwise(F.col("kind"))
+    return rows.groupBy(kind.alias("kind"), "original", "surrogate").agg(F.sum("n").alias("n"))
+
+
+def contradictions(pairs: DataFrame) -> DataFrame:
+    """Originals that keep themselves, have several surrogates, or share one."""
+    shared = pairs.groupBy("surrogate").agg(F.count("*").alias("k")).where("k > 1").select("surrogate")
+    split = pairs.groupBy("original").agg(F.count("*").alias("k")).where("k > 1").select("original")
+    kept = pairs.where(F.col("original") == F.col("surrogate")).select("original")
+    return kept.unionByName(split).unionByName(pairs.join(shared, "surrogate", "left_semi").select("original")).distinct()
+
+
+def checked_surrogates(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """``with_surrogates`` after a count over all documents: those that hold a contradicting entity are masked."""
+    pairs = cut(mentions(docs, key, text_col))
+    bad = cut(contradictions(pairs))
+    release(pairs)
+    if bad.isEmpty():
+        release(bad)
+        return with_surrogates(docs, key, text_col)
+    row, mark = free_name(docs, "_row"), free_name(docs, "_masked")
+    rows = cut(with_row_number(docs, row))
+
+    def held(batches):
+        for b in slices(batches):
+            found = [(r, d) for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for d in {_digest(k, old) for k, old, _ in replaced(key, t)[1]}]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=[row, "original"])
+
+    marked = rows.select(row, text_col).mapInArrow(held, f"`{row}` long, original binary").join(bad, "original", "left_semi").select(row).distinct().withColumn(mark, F.lit(True))
+    return with_surrogates(rows.join(marked, row, "left").drop(row), key, text_col, mark)
 
 
-def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """Per kind: distinct originals and surrogates, surrogates of several originals (distinctness lost),
-    originals of several surrogates (coreference lost), originals that keep themselves; the last three are 0."""
-    pairs = mentions(docs, key, text_col).groupBy("kind", "original", "surrogate").agg(F.sum("n").alias("n"))
+def collisions(pairs: DataFrame) -> DataFrame:
+    """Per kind of stored ``mentions``: distinct originals and surrogates, surrogates of several originals
+    (distinctness lost), originals of several surrogates (coreference lost), originals that keep themselves."""
     by_new = pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("k"), F.sum(F.when(F.col("original") == F.col("surrogate"), 1).otherwise(0)).alias("same"), F.sum("n").alias("n"))
     by_old = pairs.groupBy("kind", "original").agg(F.count("*").alias("k"))
     left = by_new.groupBy("kind").agg(F.sum("n").alias("mentions"), F.count("*").alias("surrogates"), F.sum(F.when(F.col("k") > 1, 1).otherwise(0)).alias("shared"), F.sum("same").alias("unchanged"))
