@@ -14,7 +14,8 @@ from tracemill.llm.base import cut, free_name, release, table, with_row_number
 from tracemill.llm.decontaminate import find_leaks
 from tracemill.llm.mixing import mixed
 from tracemill.llm.near_dup import near_duplicates
-from tracemill.llm.queries import KEY, TOXIC, checked_surrogates, label_categories
+from tracemill.llm.queries import KEY, TOXIC, label_categories
+from tracemill.llm.surrogates import checked_surrogates
 from tracemill.llm.toxicity import toxicity
 
 
