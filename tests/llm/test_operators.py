@@ -1,7 +1,9 @@
 """The ten operators on awkward rows and against plain versions of themselves."""
 
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 from itertools import permutations
 from math import log10
 
@@ -403,6 +405,96 @@ def test_html_templates_of_a_section_of_a_large_host(spark):
     assert got[309] == line(309) and got[303] == f"{line(303)}\n{quoted}"
 
 
+PROBES = {
+    '<body class="home right-sidebar comments-open"><p>A b</p></body>': "A b",
+    '<article class="post related-topic"><p>x</p></article>': "x",
+    '<main><div class="notice-period">np</div><p title="the hidden cave">cave</p><p hidden>no</p><div class="site-footer">f</div></main>': "np\ncave",
+    '<div class="has-sidebar"><p>k</p><div class="right-sidebar">s</div><p style="color:red; display: none">n</p></div>': "k",
+    '<p>a < b & c &amp; d</p><script><!-- if (a<b) "</p>"</script><p>z': "a < b & c & d\nz",
+    "<p title=it's>ok</p><a href='x>y'>l</a>": "ok\nl",
+    '<section class="comments"><article class="comment">c</article></section><p>t</p>': "t",
+    "<div class=sidebar><main><p>m</p></main></div>": "m",
+    "<p>cut <b": "cut",
+    "<!-- never closed <p>x</p>": "",
+}
+
+
+def test_html_of_odd_pages():
+    assert {t: html_text.extract(t) for t in PROBES} == PROBES
+    for part in ("<a ", '<a "', "<a x='\"", "</script ", "<script ", "<div>", "<b><ul>", "<i><ul>" + "<b>" * 500 + "</i>" * 500, "<!-", "&amp", "x<p>"):
+        began = time.time()
+        html_text.extract(part * (1_000_000 // len(part)))
+        assert time.time() - began < 20, part
+
+
+class _Plain(HTMLParser):
+    """A page as (tag, attributes, children), children being texts and elements."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.root = ("#", {}, [])
+        self.open = [self.root]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "p" and any(e[0] == "p" for e in self.open):
+            self.handle_endtag("p")
+        e = (tag, dict(attrs), [])
+        self.open[-1][2].append(e)
+        if tag not in html_text.VOID:
+            self.open.append(e)
+
+    def handle_endtag(self, tag):
+        if any(e[0] == tag for e in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def plain_text(e, inside=False):
+    """Blocks of an element's text, \0 standing between them."""
+    if isinstance(e, str):
+        return e
+    tag, attrs, children = e
+    if tag in html_text.DROPPED or (tag == "header" and not inside) or set((attrs.get("class") or "").split()) & html_text.BESIDE:
+        return "\0"
+    edge = "\0" if tag in html_text.BLOCKS else ""
+    return edge + "".join(plain_text(c, inside or tag == "article") for c in children) + edge
+
+
+def plain_page(html):
+    def articles(e):
+        if not isinstance(e, str):
+            yield from [e] if e[0] == "article" else (x for c in e[2] for x in articles(c))
+
+    root = _Plain(html).root
+    blocks = "\0".join(map(plain_text, list(articles(root)) or [root])).split("\0")
+    return "\n".join(" ".join(b.split()) for b in blocks if b.split())
+
+
+def test_html_texts_match_a_plain_parser(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_text.page_texts(pages).collect()}
+    assert len(got) > 20 and got == {r["page_id"]: plain_page(r["html"]) for r in pages.collect()}
+
+
+def test_html_templates_match_a_count_by_hand(spark):
+    box, menu = "<div>Follow us: here, there and everywhere, for ever and ever and ever</div>", "<ul><li>one</li></ul>"
+    data = [(i, "http://h.org/x", f"<title>{i}</title>{box}{menu}<div><p>own {i}</p></div>") for i in range(4)]
+    data += [(i, "http://h.org/x", f"<title>{i}</title>{box}{menu}<div><p>own copy</p></div>") for i in range(4, 14)]  # ten copies: one page
+    data += [(i, "http://few.org/", f"{box}<p>own {i}</p>") for i in range(20, 24)] + [(i, "nowhere", f"{box}<p>own {i}</p>") for i in range(30, 40)]
+    table = spark.createDataFrame(data, "page_id long, url string, html string")
+    kept = " ".join(re.sub("<[^>]*>", "", box).split())
+    for most in (500_000, 0):
+        got = {r["page_id"]: r["text"] for r in html_text.page_texts(table, broadcast_most=most).collect()}
+        for i, url, _ in data:
+            own = "own copy" if 4 <= i < 14 else f"own {i}"
+            assert got[i] == (own if "h.org" in url else f"{kept}\n{own}")
+
+
 # 8 --------------------------------------------------------------------------------------------------------------
 
 

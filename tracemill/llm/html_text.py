@@ -1,24 +1,25 @@
 """Main text of web pages, with the templates of each site removed.
 
-A page is parsed to elements; each element outside the running text gets a hash of its subtree (tag, class and
-text). Spark counts on how many pages of a host each hash occurs. A subtree that recurs on many pages of its
-host is template and is deleted, and with it what its tag or class already names as menu, notice, form,
-comments and the like. What is left is the article: the text of the article or main elements, or of the body
-where a page has none. Running text (paragraphs, headings, quotations, single items and cells, words marked in
-them) inside an article is never deleted for recurring: a passage that many articles quote belongs to each of
-them; a whole list or table may be. Outside an article running text goes if it is also on a share of the host's
-pages; all else goes by the count of pages alone, however large the host. Never deleted is an element that holds
-an article or over half of a page's text, so a site of many copies of one page keeps its text.
-
-Cases: null or empty html gives an empty text; a null or odd url is the host ""; unclosed tags, comments and
-scripts run to the end; repeated rows give a row each; an empty table gives an empty result; columns named text
-or n_chars are replaced, others stay.
+A page is parsed to elements; each element gets a hash of its subtree (tag, class and text). Spark counts on how
+many different pages of a host each hash occurs, copies of a page (same text) being one page. A subtree that
+recurs on many pages of its host is template and is deleted, whatever its size, and with it what its tag or class
+already names as menu, notice, form, comments and the like. What is left is the article: the text of the article
+or main elements, or of the body where a page has none. Running text (paragraphs, headings, quotations, single
+items and cells, words marked in them) inside an article is never deleted for recurring: a passage that many
+articles quote belongs to each of them; a whole list or table may be. Outside an article running text goes if it
+is also on a share of the host's pages; all else goes by the count of pages alone, however large the host. An
+element that holds an article is never a template.
+
+Cases: null or empty html gives an empty text; pages without a host in their url have no templates; unclosed tags,
+comments and scripts run to the end; what is nested deeper than DEPTH counts as part of the element at that depth;
+repeated rows give a row each; an empty table gives an empty result; columns named text or n_chars are replaced,
+others stay.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
@@ -33,10 +34,13 @@ MIN_PAGES, MIN_SHARE = 5, 0.05
 #: Templates that are broadcast at most (16 bytes each, about 100 MB as Python sets); beyond, they are joined.
 BROADCAST_TEMPLATES = 500_000
 HELD, SALTS = 200_000, 64
+#: Elements open at a time at most.
+DEPTH = 512
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+#: A whole tag without oddities; possessive throughout, so a failure costs no more than the tag's length.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s\"'<>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>=`]++))?+)*+)\s*+/?>")
+_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+|[\s/]++")
 
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,12 +50,20 @@ BLOCKS = frozenset(
 )
 #: Never part of an article.
 DROPPED = frozenset("script style noscript template iframe head nav footer aside form button select option textarea input dialog svg canvas object embed audio video menu noembed noframes title".split())
-#: Words of a class, id or role that name a part beside the article.
+#: Words of a class, id or role that name a part beside the article: alone, as the last of a compound
+#: (site-footer) or, but for those that other things begin with too, as its first (comment-list).
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
     "disclaimer footer gdpr menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related "
     "reply replies respond responses share sharing sidebar sidebars social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+NOT_FIRST = frozenset("banner consent disclaimer modal notice notices promotion related reply respond responses share sharing social subscription".split())
+WITH_RELATED = frozenset("articles bar buttons content icons items links list news posts stories".split())
+#: First words of classes that tell how a page is laid out.
+LAYOUT = frozenset("has hide is js no not on show toggle with without".split())
+#: Never named away; an article only by one of the second.
+WHOLE = frozenset("html body main".split())
+NO_ARTICLE = frozenset("ad ads advert advertisement comment comments promo promoted reply sponsored".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt b i em strong span a u code figcaption tbody tr".split())
 MAIN = frozenset(("article", "main"))
 #: An open element of the second group ends when one of the first starts.
@@ -60,35 +72,98 @@ _CLOSES = {t: frozenset().union(*(b for a, b in _ENDS if t in a)) for t in froze
 _HOLDS = frozenset("table ul ol dl button td th article main section div body html select".split())
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Names in lower case and values; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        if m[1]:
+            v = m[2] or ""
+            out.setdefault(m[1].lower(), unescape(v[1:-1] if v[:1] in ("'", '"') and v[-1:] == v[:1] and len(v) > 1 else v))
+    return out
+
+
+def _names_beside(token: str) -> bool:
+    words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if w]
+    if not words or (len(words) > 1 and words[0] in LAYOUT):
+        return False
+    if words[-1] in BESIDE or (words[0] in BESIDE and words[0] not in NOT_FIRST):
+        return True
+    return len(words) > 1 and words[0] in ("related", "share", "social") and words[1] in WITH_RELATED
+
+
+@lru_cache(20_000)
+def nature(tag: str, raw: str) -> tuple[str, bool, bool]:
+    """(names, beside, main) of a start tag: its class, id and role; whether it stands beside the article by what
+    it is called; whether it says that it is the main part."""
+    found = attributes(raw) if raw else {}
+    tokens = [t for k in ("class", "id", "role") for t in found.get(k, "").split()]
+    beside = tag in DROPPED
+    if tag == "article":
+        beside = any(t.lower() in NO_ARTICLE for t in tokens)
+    elif tag not in WHOLE:
+        beside = beside or any(map(_names_beside, tokens))
+    if tag not in ("html", "body") and (found.get("hidden", "false").lower() != "false" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)):
+        beside = True
+    names = " ".join(tokens).lower()
+    return names, beside, not beside and (tag in MAIN or "main" in names.split())
+
+
 class Element:
-    __slots__ = ("tag", "beside", "main", "holds_main", "parts", "hash", "size", "first", "last", "inside")
+    __slots__ = ("tag", "beside", "main", "holds_main", "holds_whole", "parts", "hash", "size", "first", "last", "inside")
 
-    def __init__(self, tag: str, attributes: str, inside: bool):
-        names = " ".join(x for m in _NAMED.findall(attributes) for x in m if x).lower() if attributes else ""
+    def __init__(self, tag: str, raw: str, inside: bool):
+        names, beside, self.main = nature(tag, raw)
         self.tag = tag
         self.inside = inside  # in an article already
-        self.beside = tag in DROPPED or (tag == "header" and not inside) or bool(names and BESIDE.intersection(re.split(r"[^a-z]+", names))) or bool(attributes and tag not in ("html", "body") and _HIDDEN.search(attributes))
-        self.main = not self.beside and (tag in MAIN or "main" in names.split())
+        self.beside = beside or (tag == "header" and not inside)
+        self.main &= not self.beside
         self.holds_main = self.main
+        self.holds_whole = tag == "main"
         self.parts = [tag, names]
         self.hash = None
         self.size = 0
 
 
+def markup(html: str, skip: list[int]):
+    """(start, end, closing, tag, attributes) of each tag in order, tag being "" for comments and declarations.
+    Each character is looked at a fixed number of times: what does not end runs to the end of the page. The caller
+    may have it go on from ``skip[0]``."""
+    at = 0
+    while (k := html.find("<", max(at, skip[0]))) >= 0:
+        if m := _PLAIN.match(html, k):
+            at = m.end()
+            yield k, at, m[1] == "/", m[2].lower(), m[3]
+        elif m := _START.match(html, k):
+            at = m.end()
+            while (a := _ATTRIBUTE.match(html, at)) and a.end() > at:
+                at = a.end()
+            raw, at = html[m.end() : at], html.find(">", at) + 1 or len(html)
+            yield k, at, m[1] == "/", m[2].lower(), raw
+        elif html.startswith("<!--", k):
+            at = html.find("-->", k + 4) + 3
+            at = at if at > 2 else len(html)
+            yield k, at, False, "", ""
+        elif html[k + 1 : k + 2] in ("!", "?", "/") and html[k + 1 : k + 2]:
+            at = html.find(">", k) + 1 or len(html)
+            yield k, at, False, "", ""
+        else:
+            at = k + 1  # a mere sign
+
+
 def parse(html: str) -> tuple[list[Element], list[str | None]]:
     """Closed elements, and the page's text pieces in order; None where a block begins or ends. An element's
     pieces are first to last (exclusive)."""
     root = Element("#page", "", False)
     root.first = 0
-    stack, done, pieces, at = [root], [], [], 0
+    stack, done, pieces, at, skip = [root], [], [], 0, [0]
 
     def text(raw: str) -> None:
         if raw:
             pieces.append(unescape(raw))
-            size = len("".join(raw.split()))
-            if size:
-                stack[-1].parts.append(" ".join(raw.split()))
-                stack[-1].size += size
+            line = " ".join(raw.split())
+            if line:
+                stack[-1].parts.append(line)
+                stack[-1].size += 1
 
     def close() -> None:
         e = stack.pop()
@@ -100,15 +175,15 @@ def parse(html: str) -> tuple[list[Element], list[str | None]]:
         up.parts.append(str(e.hash))
         up.size += e.size
         up.holds_main |= e.holds_main
+        up.holds_whole |= e.holds_whole
         done.append(e)
 
-    while m := _TOKEN.search(html, at):
-        text(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    for start, end, closing, tag, raw in markup(html, skip):
+        text(html[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     while len(stack) > k:
@@ -124,23 +199,22 @@ def parse(html: str) -> tuple[list[Element], list[str | None]]:
                         close()
                 elif stack[k].tag in _HOLDS:
                     break
+        if tag in BLOCKS:
+            pieces.append(None)
         if tag in VOID:
             stack[-1].parts.append(tag)
-            if tag in BLOCKS:
-                pieces.append(None)
             continue
-        if tag in BLOCKS:
-            pieces.append(None)
-        e = Element(tag, m[3], stack[-1].inside or stack[-1].main)
+        if tag in RAW:
+            found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+            at = skip[0] = (html.find(">", found.start()) + 1 or len(html)) if found else len(html)
+            stack[-1].parts.append(f"{tag} {nature(tag, raw)[0]}")
+            continue
+        if len(stack) >= DEPTH:
+            continue
+        e = Element(tag, raw, stack[-1].inside or stack[-1].main)
         e.first = len(pieces)
         stack.append(e)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
-            stop = end.start() if end else len(html)
-            e.parts.append(html[at:stop])
-            at = end.end() if end else len(html)
-            close()
-        elif m[3].endswith("/") and tag in ("svg", "path", "use"):
+        if html[end - 2 : end - 1] == "/" and tag in ("svg", "path", "use"):
             close()
     text(html[at:])
     while len(stack) > 1:
@@ -151,20 +225,15 @@ def parse(html: str) -> tuple[list[Element], list[str | None]]:
 
 def templates_of(elements: list[Element]) -> dict[int, bool]:
     """Hashes of the elements that may be template, and whether each is running text."""
-    half = elements[-1].size / 2
-    return {e.hash: e.tag in TEXT for e in elements[:-1] if e.size and not e.holds_main and not (e.inside and e.tag in TEXT) and e.size <= half}
+    return {e.hash: e.tag in TEXT for e in elements[:-1] if e.size and e.tag not in WHOLE and not e.holds_main and not (e.inside and e.tag in TEXT)}
 
 
-def extract(html: str | None, known: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text: blocks joined by one line feed, ``known`` being the template hashes of the page's host."""
-    if not html:
-        return ""
-    elements, pieces = parse(html)
+def article(elements: list[Element], pieces: list[str | None], known: frozenset[int] | set[int] = frozenset()) -> str:
+    """The main text of a parsed page: blocks joined by one line feed."""
     gone = bytearray(len(pieces))
     found = templates_of(elements).keys() & known if known else ()
-    half = elements[-1].size / 2
     for e in elements:
-        if e.beside or (found and e.hash in found and not e.holds_main and not (e.inside and e.tag in TEXT) and e.size <= half):
+        if (e.beside and not e.holds_whole) or (found and e.hash in found and e.tag not in WHOLE and not e.holds_main and not (e.inside and e.tag in TEXT)):
             gone[e.first : e.last] = b"\1" * (e.last - e.first)
     mains = [e for e in elements if e.main and not e.inside and any(not gone[k] and pieces[k] and not pieces[k].isspace() for k in range(e.first, e.last))]
     if mains:
@@ -184,31 +253,39 @@ def extract(html: str | None, known: frozenset[int] | set[int] = frozenset()) ->
     return "\n".join(blocks)
 
 
+def extract(html: str | None, known: frozenset[int] | set[int] = frozenset()) -> str:
+    """The main text, ``known`` being the template hashes of the page's host."""
+    return article(*parse(html), known) if html else ""
+
+
 def host(url_col: str):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees on at least ``min_pages`` pages of their host; those of running text are also
-    on ``min_share`` of its pages."""
-
-    def tally(batches):
-        held: Counter = Counter()
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int64()), pa.array([k[2] for k in held], pa.bool_()), pa.array(list(held.values()), pa.int64())], names=["host", "hash", "running", "n"])
+    """(host, hash) of the subtrees on at least ``min_pages`` different pages of their host; those of running text
+    are also on ``min_share`` of its pages."""
 
+    def subtrees(batches):
+        seen: set = set()
         for b in slices(batches):
+            hosts, hashes, running, ids = [], [], [], []
             for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[h, None, False] += 1
-                held.update((h, *x) for x in templates_of(parse(t)[0]).items())
-            if len(held) > HELD:
-                yield batch()
-                held.clear()
-        yield batch()
-
-    rows = pages.select(host(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("t"))
-    counts = cut(rows.mapInArrow(tally, "host string, hash long, running boolean, n long").groupBy("host", "hash", "running").agg(F.sum("n").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages)))
+                elements, pieces = parse(t)
+                page = int.from_bytes(blake2b(article(elements, pieces).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                found = {None: False} if (h, page) not in seen else {}
+                if len(seen) < HELD:
+                    seen.add((h, page))
+                found |= templates_of(elements)
+                hosts += [h] * len(found)
+                hashes += found
+                running += found.values()
+                ids += [page] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(running, pa.bool_()), pa.array(ids, pa.int64())], names=["host", "hash", "running", "page"])
+
+    rows = pages.select(host(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("t")).where("host != ''")
+    once = rows.mapInArrow(subtrees, "host string, hash long, running boolean, page long").distinct()
+    counts = cut(once.groupBy("host", "hash", "running").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages)))
     totals = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
     return counts.where("hash IS NOT NULL").join(totals, "host").where(~F.col("running") | (F.col("n") >= min_share * F.col("pages"))).select("host", "hash")
 
