@@ -263,27 +263,42 @@ def test_leaks_are_located_in_the_original(spark):
 # 4 --------------------------------------------------------------------------------------------------------------
 
 
-def test_mix_stays_within_a_block_of_the_weights(spark):
+@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.2, "c": 0.3}, {"a": 2**0.5, "b": 3.14159265 / 9, "c": 1e-3}, None])
+def test_mix_stays_within_a_block_of_the_weights(spark, weights):
     table = spark.createDataFrame([(i, "abc"[min(2, i % 7)]) for i in range(7000)], "doc_id long, source string")
-    weights = {"a": 0.5, "b": 0.2, "c": 0.3}
-    got = [r for r in mixing.mixed(table, weights, block=8, period=100).collect() if r["in_mix"]]
-    slots = sorted({(r["slot"], r["source"]) for r in got})
-    assert [s for s, _ in slots] == list(range(len(slots)))
-    seen = dict.fromkeys(weights, 0)
-    for t, (_, source) in enumerate(slots, 1):
+    got = mixing.mixed(table, weights, block=2).collect()
+    slots = sorted({(r["slot"], r["source"], r["in_mix"]) for r in got})
+    assert [s for s, *_ in slots] == list(range(3500)) and len({r["position"] for r in got}) == 7000
+    weights = weights or {"a": 1000**0.5, "b": 1000**0.5, "c": 5000**0.5}
+    total, seen = sum(weights.values()), dict.fromkeys(weights, 0)
+    mix = [source for _, source, inside in slots if inside]
+    for t, source in enumerate(mix, 1):
         seen[source] += 1
-        assert all(abs(seen[k] - w * t) < 1 for k, w in weights.items())
-
-
-def test_mix_follows_the_unrounded_weights_to_its_end(spark):
-    sizes = {"big": 7000, **{f"s{i:02}": 700 + 37 * i for i in range(19)}}
-    table = spark.createDataFrame([(i, k) for k, n in sizes.items() for i in range(n)], "doc_id long, source string")
-    total = sum(n**0.5 for n in sizes.values())
-    got = mixing.mixed(table, block=1).where("in_mix").select("slot", "source").collect()
-    seen = dict.fromkeys(sizes, 0)
-    for t, (slot, source) in enumerate(sorted(got)):
-        seen[source] += 1
-        assert slot == t and all(abs(seen[k] - n**0.5 / total * (t + 1)) < 2 for k, n in sizes.items())
+        assert all(abs(seen[k] - w / total * t) < 1 + 1e-6 for k, w in weights.items())
+    sizes = {k: len({r["block"] for r in got if r["source"] == k}) for k in "abc"}
+    assert any(seen[k] == sizes[k] for k in "abc") and all(seen[k] <= sizes[k] for k in "abc")
+
+
+def test_mix_over_a_long_horizon():
+    rng = np.random.default_rng(11)
+    weights = {f"s{i:03}": float(rng.pareto(1) + 0.01) for i in range(60)}
+    total = sum(weights.values())
+    blocks = {k: int(20_000 * w / total) + 20 for k, w in weights.items()}
+    slots, horizon = mixing.schedule(mixing.whole(weights), blocks)
+    assert horizon > 5_000 and sorted(t for x in slots.values() for t in x) == list(range(sum(blocks.values())))
+    for k, w in weights.items():
+        for j, t in enumerate(slots[k]):
+            assert t >= horizon or j * total / w - 1 - 1e-6 <= t < (j + 1) * total / w + 1 + 1e-6
+
+
+def test_mix_of_crowded_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 5)
+    rows = [(None if i % 2 else i, "a", f"t{i}") for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    got = mixing.mixed(table, block=7).collect()
+    assert sorted(r["position"] for r in got) == list(range(900))
+    again = mixing.mixed(table.repartition(5), block=7).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
 
 
 def test_mix_of_awkward_rows(docs, none):

@@ -40,30 +40,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN per_word USING (doc_id) LEFT JOIN per_item USING (doc_id)
 """
 
-#: One period is laid out slot by slot: the released block with the earliest deadline, ties by name.
+#: Slot by slot the released block with the earliest deadline, ties by name; releases hold until a source ends.
 OP4 = """
 WITH RECURSIVE n AS (SELECT coalesce('s' || source, '') AS k, count(*) AS n FROM documents GROUP BY 1),
-q AS (SELECT greatest(1000, 50 * count(*)) AS q FROM n),
-x AS (SELECT k, n, sqrt(n) / (SELECT sum(sqrt(n) ORDER BY k) FROM n) * q AS x, q FROM n, q),
-f AS (SELECT k, n, x, q, greatest(1, floor(x)::BIGINT) AS a, row_number() OVER (ORDER BY x - floor(x) DESC, k) AS r FROM x),
-parts AS (SELECT k, n, q, a + CASE WHEN r <= q - (SELECT sum(a) FROM f) THEN 1 ELSE 0 END AS a, row_number() OVER (ORDER BY k) AS i FROM f),
-l AS (SELECT list(a ORDER BY i) AS a, any_value(q) AS q FROM parts),
+parts AS (SELECT k, (n + 31) // 32 AS b, greatest(1, round_even(sqrt(n) / (SELECT max(sqrt(n)) FROM n) * 68719476736, 0)::HUGEINT) AS a, row_number() OVER (ORDER BY k) AS i FROM n),
+l AS (SELECT list(a ORDER BY i) AS a, list(b ORDER BY i) AS b, sum(a)::HUGEINT AS q, sum(b) AS total FROM parts),
 edf AS (
-  SELECT 0::BIGINT AS t, list_transform(a, lambda y: 0::BIGINT) AS done, 0::BIGINT AS pick FROM l
+  SELECT 0::BIGINT AS t, list_transform(b, lambda y: 0::BIGINT) AS done, false AS ended, 0::BIGINT AS pick FROM l
   UNION ALL
-  SELECT t + 1, list_transform(done, lambda y, j: y + (j = p)::BIGINT), p
+  SELECT t + 1, list_transform(done, lambda y, j: y + (j = p)::BIGINT), ended OR done[p] + 1 = b[p], p
   FROM (
-    SELECT t, done, list_sort(list_filter(list_transform(range(1, len(a) + 1), lambda j: CASE WHEN done[j] < a[j] AND done[j] * q // a[j] <= t
-      THEN {'d': ((done[j] + 1) * q + a[j] - 1) // a[j], 'j': j} END), lambda y: y IS NOT NULL))[1].j AS p, q
-    FROM edf, l WHERE t < q
+    SELECT t, done, ended, b, list_sort(list_filter(list_transform(range(1, len(a) + 1), lambda j: CASE WHEN done[j] < b[j] AND (ended OR done[j] * q // a[j] <= t)
+      THEN {'d': ((done[j] + 1) * q + a[j] - 1) // a[j], 'j': j} END), lambda y: y IS NOT NULL))[1].j AS p
+    FROM edf, l WHERE t < total
   )
 ),
-slots AS (SELECT k, a, q, n, done[i] - 1 AS j, t - 1 AS s FROM edf JOIN parts ON i = pick),
-horizon AS (SELECT min(((n + 31) // 32) // a * q + s) AS h FROM slots WHERE j = ((n + 31) // 32) % a),
+slots AS (SELECT k, done[i] - 1 AS j, t - 1 AS s FROM edf JOIN parts ON i = pick),
+horizon AS (SELECT min(t) AS h FROM edf WHERE ended),
 d AS (SELECT doc_id, source, coalesce('s' || source, '') AS k, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS r FROM documents)
-SELECT doc_id, source, (r // 32)::BIGINT AS block, ((r // 32) // a * q + s)::BIGINT AS slot, (((r // 32) // a * q + s) * 32 + r % 32)::BIGINT AS position,
-       ((r // 32) // a * q + s) < h AS in_mix
-FROM d JOIN slots ON d.k = slots.k AND slots.j = (r // 32) % a, horizon
+SELECT doc_id, source, (r // 32)::BIGINT AS block, s::BIGINT AS slot, (s * 32 + r % 32)::BIGINT AS position, s < h AS in_mix
+FROM d JOIN slots ON d.k = slots.k AND slots.j = r // 32, horizon
 """
 
 ORACLES: dict[str, str] = {"op2_near_duplicates": OP2, "op3_decontamination": OP3, "op4_source_mix": OP4}
