@@ -374,12 +374,66 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(hit) > 0.8 * len(hit) and sum(false) < 0.01 * len(false)
 
 
-def test_toxicity_chain_passes_earlier_predictions_on():
+def plain_logistic(x, y, penalty=1.0):
+    """Weights of the columns of x and an intercept without penalty, by dense Newton steps."""
+    x = np.column_stack([x, np.ones(len(x))])
+    ridge, t = np.diag([penalty] * (x.shape[1] - 1) + [0.0]), np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ t))
+        t -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - y) + ridge @ t)
+    return t
+
+
+def test_toxicity_matches_a_plain_chain(spark):
     rng = np.random.default_rng(2)
-    first = rng.integers(0, 2, 400)
-    starts, ids = np.arange(401), first.astype(np.int64)
-    models = toxicity.fit_chain(starts, ids, np.column_stack([first, first]), 2)
-    assert len(models[1].v) == 1 and models[1].v[0] > 0
+    vocabulary = [f"{a}{b}" for a in ("vile", "kind", "stone", "tree", "hate") for b in ("", "ly", "ness", "word")]
+    data, marks = [], []
+    for i in range(400):
+        words = rng.choice(vocabulary, 6).tolist()
+        bad = sum(w.startswith(("vile", "hate")) for w in words)
+        data.append((i, " ".join(words)))
+        marks.append((i, None if i % 10 == 3 else int(bad + rng.normal() > 2.5), int(bad + rng.normal() > 3)))
+    data += [(0, None), (1000, "vile hateword"), (1001, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([*marks, (0, 0, 0)], "doc_id long, rude int, toxic int")
+    got = {(r["doc_id"], r["text"]): (r["p_rude"], r["p_toxic"]) for r in toxicity.toxicity(docs, labels, ["rude", "toxic"]).collect()}
+
+    folds = {r["_id"]: r["fold"] for r in toxicity._sampled(docs, labels, "doc_id", "text", ["rude", "toxic"], 1000).collect()}
+    has = {i: toxicity.text_terms(t) for i, t in data[:400]}
+    of = {i: [a, max(b, 0) if i == 0 else b] for i, a, b in marks}
+    of[0][0] = max(of[0][0], 0)
+
+    def ratio(term, c):
+        rows = [(term in has[i], of[i][c]) for i in has if of[i][c] is not None]
+        t, g = len(rows), 0.0
+        for a in (True, False):
+            for y in (0, 1):
+                x, r, k = sum(p == (a, y) for p in rows), sum(p[0] == a for p in rows), sum(p[1] == y for p in rows)
+                g += 2 * x * np.log(x * t / (r * k)) if x else 0
+        return g
+
+    picked = sorted(t for t in {t for h in has.values() for t in h} if sum(t in h for h in has.values()) >= 3 and max(ratio(t, 0), ratio(t, 1)) >= toxicity.LEAST_RATIO)
+    assert 2 < len(picked) < 40
+    row = lambda terms: [float(t in terms) for t in picked]
+    ids = sorted(has)
+    x, fold = np.array([row(has[i]) for i in ids]), np.array([folds[i] for i in ids])
+    logit = lambda x, t: 1 / (1 + np.exp(-(np.column_stack([x, np.ones(len(x))]) @ t)))
+    models, dense = [], x
+    for c in range(2):
+        y = np.array([-1 if of[i][c] is None else of[i][c] for i in ids])
+        apart = np.zeros(len(ids))
+        for f in range(toxicity.FOLDS):
+            keep = (fold != f) & (y >= 0)
+            apart[fold == f] = logit(dense[fold == f], plain_logistic(dense[keep], y[keep]))
+        models.append(plain_logistic(dense[y >= 0], y[y >= 0]))
+        dense = np.column_stack([dense, apart])
+    for i, t in data:
+        z = np.array([row(toxicity.text_terms(t))])
+        want = []
+        for m in models:
+            want.append(float(logit(z, m)[0]))
+            z = np.column_stack([z, want[-1:]])
+        assert np.allclose(got[i, t], want, atol=2e-3), (t, got[i, t], want)
 
 
 def test_toxicity_of_awkward_rows(spark, docs, none):

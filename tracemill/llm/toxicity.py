@@ -2,31 +2,31 @@
 
 Categories are predicted in a given order. The linear model of each category sees the words of a text and the
 probabilities of the categories before it; in training these come from models that did not see the row (out of
-fold), so a later model meets the same kind of input as when scoring. Features are picked by the likelihood
-ratio of their counts with the categories, gathered by a Spark aggregation.
+fold), so a later model meets the same kind of input as when scoring. Equal texts share a fold. Features are all
+words and beginnings whose counts with a category have a likelihood ratio of LEAST_RATIO, gathered by a Spark
+aggregation. The models of a category's folds are fitted by tasks of their own, each to the optimum.
 
-Fitting uses at most ``sample`` labelled rows, chosen by a hash of the id, and at most ``most`` features; both
-are bounds of the training job only. Scoring reads every text whole and needs no shuffle.
+Fitting uses at most ``sample`` labelled rows, chosen by a hash of the id: a bound of the training job only, which
+bounds the features too. Scoring reads every text whole and needs no shuffle.
 
 Cases: null and empty texts have no features and get the score of the intercepts; labels that are null do not
-count; labelled ids without a text or repeated in either table are used as often as they join; without usable
-labels, or with one class only, a category's model is its smoothed share; an empty table gives an empty result;
-columns named like an added one are replaced, others stay.
+count; a labelled id is one row, with its largest label and its first text in order, however often either table
+has it; without usable labels, or with one class only, a category's model is its smoothed share; an empty table
+gives an empty result; columns named like an added one are replaced, others stay.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import schema_of, slices
+from .base import cut, release, schema_of, slices
 
-SAMPLE, MOST, LEAST_RATIO, LEAST_DOCS, FOLDS = 20_000, 4096, 15.0, 3, 5
-PENALTY, STEPS = 1.0, 150
+SAMPLE, LEAST_RATIO, LEAST_DOCS, FOLDS = 20_000, 15.0, 3, 5
+PENALTY, STEPS, INNER = 1.0, 40, 60
 HELD = 200_000
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\«»“”„…"
 
@@ -42,13 +42,16 @@ def text_terms(text: str | None) -> set[str]:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, categories: list[str], sample: int) -> DataFrame:
-    some = labels.where(" OR ".join(f"`{c}` IS NOT NULL" for c in categories)).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    some = F.broadcast(some.select(F.col(id_col).alias("_id"), *(F.col(c).cast("int").alias(f"y{k}") for k, c in enumerate(categories))))
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(some, "_id")
+    """(_id, _text, fold, y0, y1, ...) of at most ``sample`` labelled ids that have a document."""
+    ys = [f"y{k}" for k in range(len(categories))]
+    some = labels.where(" OR ".join(f"`{c}` IS NOT NULL" for c in categories)).groupBy(F.col(id_col).alias("_id")).agg(*(F.max(F.col(c).cast("int")).alias(y) for c, y in zip(categories, ys, strict=True)))
+    some = F.broadcast(some.orderBy(F.xxhash64("_id"), "_id").limit(sample))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(some, "_id").groupBy("_id", *ys).agg(F.min("_text").alias("_text"))
+    return rows.select("_id", "_text", F.pmod(F.xxhash64(F.lower("_text")), F.lit(FOLDS)).cast("int").alias("fold"), *ys)
 
 
-def pick_terms(rows: DataFrame, k: int, most: int) -> list[str]:
-    """The terms whose presence tells most about one of the k categories: likelihood ratio over LEAST_RATIO."""
+def pick_terms(rows: DataFrame, k: int) -> list[str]:
+    """The terms whose presence tells about one of the k categories: likelihood ratio of LEAST_RATIO or more."""
     ys = [f"y{i}" for i in range(k)]
 
     def counted(batches):
@@ -86,8 +89,8 @@ def pick_terms(rows: DataFrame, k: int, most: int) -> list[str]:
         return 2 * sum((F.when(x > 0, x * F.log(x * t / (row * col))).otherwise(0.0) for x, row, col in cells), F.lit(0.0)) if 0 < p < t else F.lit(0.0)
 
     best = F.greatest(*(ratio(i) for i in range(k)), F.lit(0.0))
-    picked = table.select("term", best.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(most).collect()
-    return [r["term"] for r in picked]
+    picked = table.select("term", best.alias("ratio")).where(F.col("ratio") >= LEAST_RATIO).collect()
+    return sorted(r["term"] for r in picked)
 
 
 class Linear:
@@ -97,23 +100,46 @@ class Linear:
         self.w, self.v, self.bias = np.zeros(features), np.zeros(dense), 0.0
 
     def fit(self, starts: np.ndarray, ids: np.ndarray, dense: np.ndarray, y: np.ndarray) -> Linear:
-        n = len(y)
+        """Newton steps, each solved by conjugate gradients; the optimum is unique."""
+        n, k = len(y), len(self.w)
         share = (y.sum() + 0.5) / (n + 1)
         self.bias = float(np.log(share / (1 - share)))
         if not 0 < y.sum() < n:
             return self
         row = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
-        # Adam over the whole sample: features are few and steps cheap
-        theta = np.concatenate([self.w, self.v, [self.bias]])
-        m, s = np.zeros_like(theta), np.zeros_like(theta)
-        k, d = len(self.w), len(self.v)
-        for step in range(1, STEPS + 1):
-            z = np.bincount(row, theta[:k][ids], n) + dense @ theta[k : k + d] + theta[-1]
-            g = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
-            grad = np.concatenate([np.bincount(ids, g[row], k) + PENALTY * theta[:k], dense.T @ g + PENALTY * theta[k : k + d], [g.sum()]])
-            m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
-            theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-9)
-        self.w, self.v, self.bias = theta[:k], theta[k : k + d], float(theta[-1])
+        times = lambda t: np.bincount(row, t[:k][ids], n) + dense @ t[k:-1] + t[-1]
+        back = lambda g: np.concatenate([np.bincount(ids, g[row], k), dense.T @ g, [g.sum()]])
+        penalty = np.append(np.full(k + dense.shape[1], PENALTY), 0.0)
+        theta = np.append(np.zeros(k + dense.shape[1]), self.bias)
+
+        def loss(z, t):
+            return np.logaddexp(0, z).sum() - z @ y + 0.5 * (penalty * t) @ t
+
+        z = times(theta)
+        now = loss(z, theta)
+        for _ in range(STEPS):
+            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            grad = back(p - y) + penalty * theta
+            size = np.sqrt(grad @ grad)
+            if size < 1e-6 * n:
+                break
+            curve, step, r = p * (1 - p) + 1e-12, np.zeros_like(theta), -grad
+            d, rr = r.copy(), r @ r
+            for _ in range(INNER):
+                hd = back(curve * times(d)) + penalty * d
+                a = rr / (d @ hd)
+                step += a * d
+                r -= a * hd
+                new = r @ r
+                if new < (min(0.1, size / n) * size) ** 2:
+                    break
+                d, rr = r + new / rr * d, new
+            along, pace = times(step), 1.0
+            while pace > 1e-8 and loss(z + pace * along, theta + pace * step) > now + 1e-4 * pace * (grad @ step):
+                pace /= 2
+            theta, z = theta + pace * step, z + pace * along
+            now = loss(z, theta)
+        self.w, self.v, self.bias = theta[:k], theta[k:-1], float(theta[-1])
         return self
 
     def predict(self, starts: np.ndarray, ids: np.ndarray, dense: np.ndarray) -> np.ndarray:
@@ -122,27 +148,38 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_chain(starts: np.ndarray, ids: np.ndarray, labels: np.ndarray, features: int, folds: int = FOLDS) -> list[Linear]:
-    """A model for each column of ``labels`` (-1: unknown), in order."""
-    n = len(labels)
-    fold = np.arange(n) % folds
-    earlier, models = np.zeros((n, 0)), []
-
-    def part(keep):
-        sizes = np.diff(starts)
-        return np.concatenate([[0], np.cumsum(sizes[keep])]), ids[np.repeat(keep, sizes)]
+def fit_chain(spark: SparkSession, starts: np.ndarray, ids: np.ndarray, labels: np.ndarray, fold: np.ndarray, features: int) -> list[Linear]:
+    """A model for each column of ``labels`` (-1: unknown), in order. A task fits the rows outside one fold, one
+    more all rows; the rows are bounded by the sample and broadcast."""
+    rows = spark.sparkContext.broadcast((starts, ids, labels, fold))
+    earlier, models = np.zeros((len(labels), 0)), []
 
     for c in range(labels.shape[1]):
-        y = labels[:, c]
-        known = y >= 0
-        apart = np.zeros(n)
-        for f in range(folds):
-            model = Linear(features, c)
-            train, out = known & (fold != f), fold == f
-            model.fit(*part(train), earlier[train], y[train].astype(float))
-            apart[out] = model.predict(*part(out), earlier[out])
-        models.append(Linear(features, c).fit(*part(known), earlier[known], y[known].astype(float)))
+        before = spark.sparkContext.broadcast(earlier)
+
+        def fits(batches, c=c, before=before):
+            starts, ids, labels, fold = rows.value
+            y, sizes = labels[:, c], np.diff(starts)
+            for b in batches:
+                for f in b.column(0).to_pylist():
+                    keep = (y >= 0) & (fold != f)
+                    at = np.concatenate([[0], np.cumsum(sizes[keep])])
+                    m = Linear(features, c).fit(at, ids[np.repeat(keep, sizes)], before.value[keep], y[keep].astype(float))
+                    theta = np.concatenate([m.w, m.v, [m.bias]])
+                    yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([theta.tobytes()], pa.binary())], names=["fold", "theta"])
+
+        apart = np.zeros(len(labels))
+        for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(fits, "fold long, theta binary").collect():
+            theta, model = np.frombuffer(r["theta"]), Linear(features, c)
+            model.w, model.v, model.bias = theta[:features], theta[features:-1], float(theta[-1])
+            if r["fold"] == FOLDS:
+                models.append(model)
+            else:
+                p = model.predict(starts, ids, earlier)
+                apart[fold == r["fold"]] = p[fold == r["fold"]]
         earlier = np.column_stack([earlier, apart])
+        before.unpersist()
+    rows.unpersist()
     return models
 
 
@@ -165,14 +202,14 @@ def _matrix(texts: list[str | None], ids: _Ids) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64), np.array([i for r in rows for i in r], np.int64)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most: int = MOST) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``docs`` with p_<category> for each category, predicted in the order given.
 
     categories: 0/1 columns of ``labels``.
     """
     spark = docs.sparkSession
-    rows = _sampled(docs, labels, id_col, text_col, categories, sample)
-    picked = pick_terms(rows, len(categories), most)
+    rows = cut(_sampled(docs, labels, id_col, text_col, categories, sample))
+    picked = pick_terms(rows, len(categories))
     of = spark.sparkContext.broadcast({t: i for i, t in enumerate(picked)})
     ys = [f"y{k}" for k in range(len(categories))]
 
@@ -181,16 +218,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
         for b in slices(batches):
             starts, found = _matrix(b.column("_text").to_pylist(), ids)
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.string()), lists, *(b.column(y) for y in ys)], names=["_id", "ids", *ys])
+            yield pa.RecordBatch.from_arrays([b.column("_id").cast(pa.string()), lists, b.column("fold"), *(b.column(y) for y in ys)], names=["_id", "ids", "fold", *ys])
 
-    got = rows.mapInArrow(rows_of, f"_id string, ids array<int>, {', '.join(f'{y} int' for y in ys)}").toArrow().sort_by("_id").combine_chunks()
+    got = rows.mapInArrow(rows_of, f"_id string, ids array<int>, fold int, {', '.join(f'{y} int' for y in ys)}").toArrow().sort_by("_id").combine_chunks()
+    release(rows)
     # all of it stays in Arrow's and numpy's arrays: Python lists of the sample would take ten times the memory
     found = got["ids"].combine_chunks()
     starts = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))]).astype(np.int64)
     y = np.column_stack([pc.fill_null(got[c].combine_chunks(), -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ys])
     ids = found.flatten().to_numpy(zero_copy_only=False)
+    fold = pc.fill_null(got["fold"].combine_chunks(), 0).to_numpy(zero_copy_only=False)
     del got, found
-    models = fit_chain(starts, ids, y, len(picked))
+    models = fit_chain(spark, starts, ids, y, fold, len(picked))
     shared = spark.sparkContext.broadcast(models)
     added = [f"p_{c}" for c in categories]
     names = [c for c in docs.columns if c not in added]
