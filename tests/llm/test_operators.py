@@ -353,6 +353,43 @@ def test_quality_on_held_out_rows(spark):
     assert len(got) > 50 and sum(r["predicted"] == r["quality"] for r in got) > 0.9 * len(got)
 
 
+def test_votes_match_brute_force():
+    rng = np.random.default_rng(4)
+    known = quality._normed(rng.integers(-2, 3, (60, 4)).astype(float))  # many ties
+    y = rng.integers(0, 2, 60).astype(float)
+    z = quality._normed(rng.integers(-2, 3, (40, 4)).astype(float))
+    for k in (1, 7, 60, 100):
+        got = quality.vote(z, known, y, k)
+        for r in range(len(z)):
+            s = z @ known.T
+            near = sorted(range(60), key=lambda j: (-s[r, j], j))[:k]
+            w = [max(s[r, j], 0) ** 4 for j in near]
+            want = (sum(a * y[j] for a, j in zip(w, near, strict=True)) + quality.PRIOR * y.mean()) / (sum(w) + quality.PRIOR)
+            assert abs(got[r] - want) < 1e-9
+
+
+def test_terms_match_a_count_by_hand():
+    text = b"Ab ab\nAb ab\nx9"
+    at, x = quality.terms(text, quality._Terms())
+    got = dict(zip(at.tolist(), (x * x).tolist(), strict=True))
+    of = lambda w: quality._WORD + zlib.crc32(w) % quality.WORDS
+    assert got[of(b"ab")] == pytest.approx(4 / 5) and got[of(b"x9")] == pytest.approx(1 / 5)
+    assert sum(v for k, v in got.items() if k < quality._TRIPLE) == pytest.approx(1) and sum(v for k, v in got.items() if quality._TRIPLE <= k < quality._WORD) == pytest.approx(1)
+    assert got[quality._REPEAT] == pytest.approx(3 / 5) and got[quality._REPEAT + 2] == pytest.approx(1 / 3)
+    assert len(quality.terms(None, {})[0]) == 0
+
+
+def test_quality_tells_wording_apart(spark):
+    rng = np.random.default_rng(6)
+    good = ["".join(rng.choice(list("bdmnst"), 1)[0] + rng.choice(list("aeo"), 1)[0] for _ in range(2)) for _ in range(40)]
+    text = lambda y: " ".join(rng.choice(good) if y else "".join(rng.choice(list("qxzkjv"), 4)) for _ in range(60))
+    data = [(i, text(i % 2), i % 2) for i in range(300)]  # alike in case, length and signs
+    docs = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string")
+    labels = spark.createDataFrame([r[::2] for r in data], "doc_id long, quality int")
+    got = [r for r in quality.quality_scores(docs, labels).collect() if r["held_out"]]
+    assert len(got) > 30 and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
 def test_quality_of_awkward_rows(spark, docs, none):
     labels = spark.createDataFrame([(4, 1), (7, 0), (9, None), (None, 1)], "doc_id long, quality int")
     got = quality.quality_scores(docs, labels).collect()
