@@ -5,7 +5,7 @@ import time
 import zlib
 from html.parser import HTMLParser
 from itertools import permutations
-from math import log10
+from math import log, log10
 
 import numpy as np
 import pytest
@@ -335,6 +335,64 @@ def test_class_model(spark, docs, none):
     assert class_lm.class_scores(none, "doc_id", "text", 7, 2).count() == 0
 
 
+def test_class_scores_match_a_plain_model(spark):
+    """Given the classes of the units, all the rest by hand: the class of every other word, tables and scores."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    classes, mix = 8, 0.9
+    rows_ = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in table.collect()]
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows_}
+    model = class_lm.Model(table.where("crc32(cast(cast(doc_id as string) as binary)) % 7 != 2"), "text", 50, classes, mix)
+    end, of = model.end, model.of
+    top = {w: i for i, w in enumerate(model.top)}
+    g = lambda w: 0 if w is None else int(of[top[w]] if w in top else of[end + 1 + class_lm.form(w)])
+    counts, units, around = {}, np.zeros((classes, classes)), {}
+    for d, ws in rows_:
+        if not held[d]:
+            line = [None, *ws, None]
+            for a, b in zip(line, line[1:]):
+                units[g(a), g(b)] += 1
+                counts[b] = counts.get(b, 0) + 1
+            for a, w, b in zip(line, line[1:], line[2:]):
+                around.setdefault(w, []).append((g(a), g(b)))
+    assert sorted(counts[w] for w in top) == sorted(sorted((c for w, c in counts.items() if w), reverse=True)[:50])
+    share = (units.sum(0) + 1) / (units.sum() + classes)
+    p = np.log((units + class_lm.PRIOR * share) / (units.sum(1, keepdims=True) + class_lm.PRIOR))
+    h = {None: 0} | {w: int(of[i]) for w, i in top.items()}
+    for w, met in around.items():
+        if w not in top:
+            gain = [sum(p[a, k] + p[k, b] for a, b in met) - len(met) * log(units[:, k].sum() + len(met)) for k in range(1, classes)]
+            h[w] = 1 + int(np.argmax(gain))
+    got = {bytes(r["word"]): r["h"] for r in model.others.collect()}
+    differ = [w for w in got if got[w] != h[w]]  # near ties, by rounding
+    assert len(got) == len(counts) - 1 - len(top) and len(differ) < 0.01 * len(got)
+    h |= got
+    grid, mass, single = np.zeros((classes, classes)), np.zeros(classes), np.zeros(classes)
+    for w, c in counts.items():
+        mass[h[w]] += c + 1
+        single[h[w]] += c == 1 and w is not None
+    for d, ws in rows_:
+        if not held[d]:
+            for a, b in zip([None, *ws], [*ws, None]):
+                grid[g(a), h[b]] += 1
+    unseen = 1 + int(np.argmax(single[1:]))
+    mass[unseen] += 1
+    share = np.where(mass > 0, grid.sum(0) + 1, 0)
+    t = (grid + class_lm.PRIOR * share / share.sum()) / (grid.sum(1, keepdims=True) + class_lm.PRIOR)
+    n, v = sum(counts.values()), len(counts)
+
+    def prob(a, b):
+        k = h.get(b, unseen)
+        return (counts.get(b, 0) + 1) * (mix * t[g(a), k] / mass[k] + (1 - mix) / (n + v + 1))
+
+    for a in (None, *list(counts)[1:4], b"never seen"):
+        assert abs(sum(prob(a, b) for b in [*counts, b"not seen"]) - 1) < 1e-9
+    for head in (100_000, 20):
+        for r in class_lm.class_scores(table, "doc_id", "text", 7, 2, head=head, words=50, classes=classes, mix=mix).collect():
+            ws = dict(rows_)[r["doc_id"]]
+            want = sum(log10(prob(a, b)) for a, b in zip([None, *ws], [*ws, None]))
+            assert abs(r["score"] - want) < 1e-6 * max(1, -want)
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(1)
     kinds = np.arange(20) % 2

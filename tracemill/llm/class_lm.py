@@ -1,15 +1,18 @@
 """A class-based n-gram model (Brown et al.): exchange clustering and smoothed perplexity.
 
 1. Words of the training rows are counted over the whole corpus (one shuffle of per-task counts).
-2. Units are clustered: the ``words`` most frequent words are a unit each, the end of a text is one, and every
-   other word belongs to the unit of its form (letters, ending, length). Counts of neighbouring units are summed
-   over the corpus; as units are fixed in number, that table has a fixed bound, and exchange clustering moves
-   units between classes as long as the likelihood of the class bigrams grows.
-3. P(w | v) = (c(w)+1) * (mix * P(class w | class v) * P(unit w | class w) / mass(unit w) + (1-mix) / (N+V+1)),
-   where mass is what (c+1) sums to in the unit, one unseen word included.
-
-The counts of the ``head`` most frequent words are broadcast (a fixed number); the counts of all others reach
-the documents by a shuffle join, so that what is gathered grows with the corpus and nothing is capped.
+2. The ``words`` most frequent words are a unit each, the end of a text is one, and every other word stands, as a
+   neighbour, for the unit of its form (letters, ending, length). Counts of neighbouring units are summed over the
+   corpus; as units are fixed in number, that table has a fixed bound, and exchange clustering moves units between
+   classes as long as the likelihood of the class bigrams grows.
+3. Every other word of the corpus, however many there are, goes to the class that makes its own neighbours likeliest:
+   its counts of (class before, class after) are gathered by a Spark aggregation over all texts.
+4. With g the class of the unit before and h the class of the word,
+   P(w | v) = (c(w)+1) * (mix * P(h | g) / mass(h) + (1-mix) / (N+V+1)), mass(h) being what (c+1) sums to in h. All
+   unseen words are one word of count 0, in the class with the most words of count 1; the probabilities add up to 1.
+
+The ``head`` most frequent words are broadcast (a fixed number); all others reach the documents by a shuffle join,
+so that what is gathered grows with the corpus and nothing is capped.
 
 Cases: null and empty texts are one end token; a null id is the empty string for the fold; without training
 rows N and V are 0 and every token has probability 1/1 of the base; repeated rows give a row each; an empty
@@ -25,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, frequent, slices, with_row_number
+from .base import cut, frequent, release, slices, tidy, with_row_number
 
-HEAD, WORDS, CLASSES, MIX = 200_000, 1024, 64, 0.95
+HEAD, WORDS, CLASSES, MIX = 200_000, 2048, 64, 0.95
 SWEEPS, PRIOR = 8, 100.0
 HELD = 200_000
 
@@ -85,29 +88,29 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 def unit_bigrams(docs: DataFrame, text_col: str, top: list[bytes]) -> np.ndarray:
     """Counts of neighbouring units over all texts, each with an end before and after it."""
-    spark = docs.sparkSession
     end = len(top)
     n = end + 1 + FORMS
-    shared = spark.sparkContext.broadcast({w: i for i, w in enumerate(top)})
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(top)})
 
     def counted(batches):
-        units, cells = _Units(shared.value, end + 1), np.zeros(n * n, np.int64)
+        units = _Units(shared.value, end + 1)
+
+        def cells(ids):
+            # a text's end is the next text's start, so one list holds many texts
+            a = np.array([*ids, end], np.int64)
+            at, k = np.unique(a[:-1] * n + a[1:], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(k)], names=["cell", "k"])
+
+        ids: list[int] = []
         for b in slices(batches):
-            ids: list[int] = []
             for t in b.column(0).to_pylist():
                 ids.append(end)
                 ids += map(units.__getitem__, tokens(t))
-                if len(ids) > 2_000_000:
-                    # a text's end is the next text's start, so one list holds many texts
-                    a = np.array([*ids, end])
-                    cells += np.bincount(a[:-1] * n + a[1:], minlength=n * n)
-                    ids = []
-            if ids:
-                a = np.array([*ids, end])
-                cells += np.bincount(a[:-1] * n + a[1:], minlength=n * n)
-        at = np.flatnonzero(cells)
-        for k in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000]), pa.array(cells[at[k : k + 100_000]])], names=["cell", "k"])
+            if len(ids) > 1_000_000:
+                yield cells(ids)
+                ids = []
+        if ids:
+            yield cells(ids)
 
     got = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(counted, "cell long, k long").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
     out = np.zeros(n * n)
@@ -115,6 +118,64 @@ def unit_bigrams(docs: DataFrame, text_col: str, top: list[bytes]) -> np.ndarray
     return out.reshape(n, n)
 
 
+def assigned(docs: DataFrame, text_col: str, top: list[bytes], of: np.ndarray, log_p: np.ndarray, mass: np.ndarray) -> DataFrame:
+    """(word, c, h) for every word but the units: its class h is the one that makes its own occurrences likeliest.
+    Rows without a word are the sums, k in all, over those words by (class before, h) as cell.
+
+    of: class of each unit; log_p: log probability of a class after a class; mass: tokens of a class.
+    """
+    end, classes = len(top), len(log_p)
+    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(top)}, of))
+
+    def around(batches):
+        held: Counter = Counter()
+        codes = [k.to_bytes(3, "big") for k in range(classes * classes)]
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["key", "n"])
+
+        units = _Units(shared.value[0], end + 1)
+        for b in slices(batches):
+            for t in b.column(0).to_pylist():
+                w = tokens(t)
+                u = np.fromiter(map(units.__getitem__, w), np.int64, len(w))
+                g = shared.value[1][np.concatenate([[end], u, [end]])]
+                at = np.flatnonzero(u > end)
+                held.update(w[i] + codes[k] for i, k in zip(at.tolist(), (g[at] * classes + g[at + 2]).tolist(), strict=True))
+                if len(held) > HELD:
+                    yield batch()
+                    held.clear()
+        yield batch()
+
+    found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(around, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    last = lambda k: F.expr(f"substring(key, length(key) - {k - 1}, {k})")
+    split = found.select(F.expr("substring(key, 1, length(key) - 3)").alias("word"), F.conv(F.hex(last(3)), 16, 10).cast("int").alias("code"), "n")
+    words = split.groupBy("word").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"))  # at most classes^2 codes a word
+    gain = (log_p[:, None, :] + log_p.T[None, :, :]).reshape(-1, classes).astype(np.float32)  # of a class between two others
+
+    def best(batches):
+        cells = np.zeros(classes * classes, np.int64)
+        for b in slices(batches, 64):
+            lists = b.column("codes")
+            if not b.num_rows:
+                continue
+            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            codes, ns = lists.flatten().to_numpy(), b.column("ns").flatten().to_numpy()
+            score = np.add.reduceat(gain[codes] * ns[:, None].astype(np.float32), starts[:-1])
+            c = np.add.reduceat(ns, starts[:-1])
+            score = score - c[:, None] * np.log(mass + c[:, None])
+            score[:, 0] = -np.inf  # the end's own class
+            h = np.argmax(score, axis=1)
+            np.add.at(cells, codes // classes * classes + np.repeat(h, np.diff(starts)), ns)
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(c, pa.int64()), pa.array(h, pa.int32()), none, none], names=["word", "c", "h", "cell", "k"])
+        at = np.flatnonzero(cells)
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), none, none.cast(pa.int32()), pa.array(at), pa.array(cells[at])], names=["word", "c", "h", "cell", "k"])
+
+    return cut(words.mapInArrow(best, "word binary, c long, h int, cell long, k long"))
+
+
 def exchange(bigrams: np.ndarray, classes: int, fixed: int, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each unit. Unit ``fixed`` keeps class 0 for itself; every other one moves, most frequent first,
     to the class in which the class bigrams' likelihood is highest, until a sweep moves none."""
@@ -167,96 +228,111 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, sweeps: int = SWEEPS
     return of
 
 
+class Model:
+    """What is fitted: counts, classes and the tables, and ``others``, the words that are no units as (word, c, h)."""
+
+    def __init__(self, train: DataFrame, text_col: str, words: int, classes: int, mix: float):
+        counts = cut(word_counts(train, text_col))
+        n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        self.ends = train.count()
+        self.n, self.v = n_words + self.ends, distinct + (self.ends > 0)
+        top = counts.orderBy(F.desc("c"), "word").limit(words).toArrow()
+        self.top = [bytes(w) for w in top["word"].to_pylist()]
+        self.top_c = top["c"].to_numpy().astype(np.int64)
+        self.end = end = len(self.top)
+
+        bigrams = unit_bigrams(train, text_col, self.top)
+        self.of = of = exchange(bigrams, classes, end)
+        member = np.zeros((len(of), classes))
+        member[np.arange(len(of)), of] = 1
+        before = member.T @ bigrams  # by class before and unit
+        grid = before @ member
+        share = (grid.sum(0) + 1) / (grid.sum() + classes)
+        log_p = np.log((grid + PRIOR * share) / (grid.sum(1, keepdims=True) + PRIOR))
+        words_of = assigned(train, text_col, self.top, of, log_p, grid.sum(0))
+        self.others = words_of.where("word IS NOT NULL").select("word", "c", "h")
+
+        self.grid = before[:, : end + 1] @ member[: end + 1]
+        for r in words_of.where("word IS NULL").groupBy("cell").agg(F.sum("k").alias("k")).collect():  # one row per pair of classes
+            self.grid[r["cell"] // classes, r["cell"] % classes] += r["k"]
+        mass, single = np.zeros(classes), np.zeros(classes)
+        np.add.at(mass, of[:end], self.top_c + 1)
+        np.add.at(single, of[:end], self.top_c == 1)
+        if self.ends:
+            mass[0] += self.ends + 1
+        for r in self.others.groupBy("h").agg(F.sum(F.col("c") + 1).alias("m"), F.count_if(F.col("c") == 1).alias("s")).collect():  # a row per class
+            mass[r["h"]] += r["m"]
+            single[r["h"]] += r["s"]
+        self.unseen = 1 + int(np.argmax(single[1:]))
+        mass[self.unseen] += 1
+        self.mass = mass
+        share = np.where(mass > 0, self.grid.sum(0) + 1, 0)
+        self.transition = (self.grid + PRIOR * share / share.sum()) / (self.grid.sum(1, keepdims=True) + PRIOR)
+        #: log10 of what stands after (c+1), by the class before and the word's class
+        self.table = np.log10(mix * self.transition / np.maximum(mass, 1) + (1 - mix) / (self.n + self.v + 1))
+        release(counts)
+
+
+@tidy
 def class_scores(docs: DataFrame, id_col: str, text_col: str, folds: int, out_fold: int, head: int = HEAD, words: int = WORDS, classes: int = CLASSES, mix: float = MIX) -> DataFrame:
     """Per row: the model's and the unigram base's log10 probability of the whole text, learned from the rows
     whose fold is not ``out_fold``."""
     spark = docs.sparkSession
     docs = docs.select(id_col, F.col(text_col).alias("_text"), (fold(id_col, folds) == out_fold).alias("held_out"))
-    train = docs.where(~F.col("held_out"))
-    counts = cut(word_counts(train, "_text"))
-    n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = train.count()
-    n, v = n_words + ends, distinct + (ends > 0)
-    top = frequent(counts, "c", head).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
-    known = [bytes(w) for w in top["word"].to_pylist()]
-    own = known[:words]
-    end = len(own)
-
-    bigrams = unit_bigrams(train, "_text", own)
-    of = exchange(bigrams, classes, end)
-    follow = bigrams.sum(0)
-    member = np.zeros((len(of), classes))
-    member[np.arange(len(of)), of] = 1
-    grid = member.T @ bigrams @ member
-    share = (grid.sum(0) + 1) / (grid.sum() + classes)
-    transition = (grid + PRIOR * share) / (grid.sum(1, keepdims=True) + PRIOR)
-    emission = (follow + 0.5) / (member @ (member.T @ (follow + 0.5)))
-    taken = spark.sparkContext.broadcast(set(own))
-
-    def of_forms(batches):
-        kinds = np.zeros(FORMS, np.int64)
-        for b in slices(batches):
-            for w in b.column(0).to_pylist():
-                if w not in taken.value:
-                    kinds[form(w)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FORMS)), pa.array(kinds)], names=["form", "k"])
-
-    kinds = np.zeros(FORMS)
-    for r in counts.select("word").mapInArrow(of_forms, "form long, k long").groupBy("form").agg(F.sum("k").alias("k")).collect():
-        kinds[r["form"]] = r["k"]
-    mass = np.concatenate([follow[: end + 1] + 1, follow[end + 1 :] + kinds + 1])
-    # log10 of what stands after (c+1), by the class before and the unit
-    table = np.log10(mix * transition[:, of] * (emission / mass) + (1 - mix) / (n + v + 1))
-    c = top["c"].to_numpy().astype(float)
-    model = spark.sparkContext.broadcast(
+    model = Model(docs.where(~F.col("held_out")), "_text", words, classes, mix)
+    end = model.end
+    known = frequent(model.others, "c", head).toArrow()
+    spellings = [*model.top, *map(bytes, known["word"].to_pylist())]
+    unit = np.array([*range(end), *(end + 1 + form(w) for w in spellings[end:])], np.int64)
+    shared = spark.sparkContext.broadcast(
         {
-            "ids": dict(zip(known, range(len(known)), strict=True)),
-            "log_c": np.log10(c + 1),
-            "unit": np.array([i if i < end else end + 1 + form(w) for i, w in enumerate(known)], np.int64),
-            "class": of,
-            "table": table,
-            "end": end,
-            "log_end": float(np.log10(ends + 1)),
+            "ids": dict(zip(spellings, range(len(spellings)), strict=True)),
+            "log_c": np.log10(np.concatenate([model.top_c, known["c"].to_numpy()]) + 1.0),
+            "before": model.of[unit],
+            "class": np.concatenate([model.of[:end], known["h"].to_numpy()]).astype(np.int64),
+            "of": model.of,
+            "table": model.table,
+            "log_end": float(np.log10(model.ends + 1)),
         }
     )
 
     def scored(batches):
-        m = model.value
-        ids, log_c, unit, cls, tab, end = m["ids"], m["log_c"], m["unit"], m["class"], m["table"], m["end"]
+        m = shared.value
+        ids, log_c, before, cls, of, tab = m["ids"], m["log_c"], m["before"], m["class"], m["of"], m["table"]
         for b in slices(batches):
-            n_tok, n_known, logs, ctx, rest, ks = [], [], [], [], [], []
+            n_tok, n_known, logs, ctx, rest, gs, ks = [], [], [], [], [], [], []
             for t in b.column("_text").to_pylist():
                 w = tokens(t)
                 at = np.fromiter((ids.get(x, -1) for x in w), np.int64, len(w))
-                new = np.flatnonzero(at < 0)
-                u = np.empty(len(w) + 1, np.int64)
-                u[-1] = end
-                if len(known):
-                    u[:-1] = unit[at]
-                others = [w[i] for i in new]
-                u[new] = [end + 1 + form(x) for x in others]
-                before = np.concatenate([[end], u[:-1]])
-                ctx.append(float(tab[cls[before], u].sum()))
-                hit = at[at >= 0]
-                logs.append(float(log_c[hit].sum()) + m["log_end"])
-                n_known.append(len(hit) + (m["log_end"] > 0))
+                new, old = np.flatnonzero(at < 0), at >= 0
+                g = np.zeros(len(w) + 1, np.int64)  # class before each token, the end's being 0
+                if len(ids):
+                    g[1:] = before[at]
+                g[1 + new] = [of[end + 1 + form(w[i])] for i in new]
+                ctx.append(float(tab[g[:-1][old], cls[at[old]]].sum() + tab[g[-1], 0]))
+                logs.append(float(log_c[at[old]].sum()) + m["log_end"])
+                n_known.append(int(old.sum()) + (m["log_end"] > 0))
                 n_tok.append(len(w) + 1)
-                many = Counter(others)
-                rest.append(list(many))
+                many = Counter((w[i], k) for i, k in zip(new.tolist(), g[:-1][new].tolist(), strict=True))
+                rest.append([x for x, _ in many])
+                gs.append([k for _, k in many])
                 ks.append(list(many.values()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(id_col), b.column("held_out"), pa.array(n_tok, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(ctx, pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(ks, pa.list_(pa.int64()))],
-                names=[id_col, "held_out", "n_tokens", "n_known", "_logs", "_ctx", "_rest", "_ks"],
+                [b.column(id_col), b.column("held_out"), pa.array(n_tok, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(ctx, pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(gs, pa.list_(pa.int32())), pa.array(ks, pa.list_(pa.int64()))],
+                names=[id_col, "held_out", "n_tokens", "n_known", "_logs", "_ctx", "_rest", "_gs", "_ks"],
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.withColumn("_text", F.col("_text").cast("binary")).mapInArrow(scored, f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, _logs double, _ctx double, _rest array<binary>, _ks array<long>")
-    if distinct > len(known):
-        rows = cut(with_row_number(rows))
-        rest = rows.select("_row", F.explode(F.arrays_zip("_rest", "_ks")).alias("x")).select("_row", F.col("x._rest").alias("word"), F.col("x._ks").alias("k"))
-        more = rest.join(counts, "word").groupBy("_row").agg(F.sum("k").alias("_more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("_more_logs"))
-        rows = rows.drop("_rest", "_ks").join(more, "_row", "left")
-        rows = rows.withColumn("n_known", F.col("n_known") + F.coalesce("_more", F.lit(0))).withColumn("_logs", F.col("_logs") + F.coalesce("_more_logs", F.lit(0.0)))
+    rows = docs.withColumn("_text", F.col("_text").cast("binary")).mapInArrow(scored, f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, _logs double, _ctx double, _rest array<binary>, _gs array<int>, _ks array<long>")
+    rows = cut(with_row_number(rows))
+    table = F.broadcast(spark.createDataFrame([(g, h, float(model.table[g, h])) for g in range(classes) for h in range(classes)], "g int, h int, x double"))
+    rest = rows.select("_row", F.explode(F.arrays_zip("_rest", "_gs", "_ks")).alias("x")).select("_row", F.col("x._rest").alias("word"), F.col("x._gs").alias("g"), F.col("x._ks").alias("k"))
+    met = rest.join(model.others, "word", "left").withColumn("h", F.coalesce("h", F.lit(model.unseen))).join(table, ["g", "h"])
+    more = met.groupBy("_row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("_more"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("_more_logs"), F.sum(F.col("k") * F.col("x")).alias("_more_ctx"))
+    rows = rows.drop("_rest", "_gs", "_ks").join(more, "_row", "left")
+    add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    rows = rows.withColumns({"n_known": add("n_known", "_more"), "_logs": add("_logs", "_more_logs"), "_ctx": add("_ctx", "_more_ctx")})
+    n, v = model.n, model.v
     return rows.select(
         id_col,
         "held_out",
