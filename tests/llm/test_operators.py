@@ -361,6 +361,7 @@ def test_class_scores_match_a_plain_model(spark):
     for w, met in around.items():
         if w not in top:
             gain = [sum(p[a, k] + p[k, b] for a, b in met) - len(met) * log(units[:, k].sum() + len(met)) for k in range(1, classes)]
+            gain[of[end + 1 + class_lm.form(w)] - 1] += class_lm.HINT
             h[w] = 1 + int(np.argmax(gain))
     got = {bytes(r["word"]): r["h"] for r in model.others.collect()}
     differ = [w for w in got if got[w] != h[w]]  # near ties, by rounding

@@ -32,6 +32,8 @@ from .base import cut, frequent, release, slices, tidy, with_row_number
 
 HEAD, WORDS, CLASSES, MIX = 200_000, 2048, 64, 0.95
 SWEEPS, PRIOR = 8, 100.0
+#: What a word's form counts for in favour of that form's class, in log likelihood: it decides for rare words.
+HINT = 4.0
 HELD = 200_000
 
 _LETTER = {c: g for g, cs in enumerate([b"ao", b"e", b"s", b"nr", b"td", b"hg"]) for c in cs}
@@ -164,6 +166,7 @@ def assigned(docs: DataFrame, text_col: str, top: list[bytes], of: np.ndarray, l
             score = np.add.reduceat(gain[codes] * ns[:, None].astype(np.float32), starts[:-1])
             c = np.add.reduceat(ns, starts[:-1])
             score = score - c[:, None] * np.log(mass + c[:, None])
+            score[np.arange(len(c)), [of[end + 1 + form(w)] for w in b.column("word").to_pylist()]] += HINT
             score[:, 0] = -np.inf  # the end's own class
             h = np.argmax(score, axis=1)
             np.add.at(cells, codes // classes * classes + np.repeat(h, np.diff(starts)), ns)
