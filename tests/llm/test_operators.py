@@ -695,15 +695,17 @@ def test_pre_tokens_of_any_white_space_add_up():
 # 10 -------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("tile", [4_000_000, 2_000])
-def test_vector_links_match_brute_force(spark, monkeypatch, tile):
-    monkeypatch.setattr(vector_dedup, "TILE_BYTES", tile)
+@pytest.mark.parametrize(("tile", "kind"), [(16_384, "double"), (20, "double"), (7, "float")])
+def test_vector_links_match_brute_force(spark, monkeypatch, tile, kind):
+    monkeypatch.setattr(vector_dedup, "TILE_ROWS", (tile, tile))
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 24))
     vectors = [(i, (base[i % 40] * rng.uniform(0.5, 9) + 0.06 * rng.standard_normal(24)).tolist()) for i in range(300)]
     vectors += [(300 + i, base[0].tolist()) for i in range(20)]
     vectors += [(400, None), (401, []), (402, [0.0] * 24), (403, [float("nan")] * 24), (404, [1.0, None]), (405, [1.0, 2.0]), (406, [2.0, 4.0]), (None, base[1].tolist())]
-    table = spark.createDataFrame([(*v, 0) for v in vectors], "vec_id long, embedding array<double>, node int")
+    table = spark.createDataFrame([(*v, 0) for v in vectors], f"vec_id long, embedding array<{kind}>, node int")
+    if kind == "float":
+        vectors = [(i, None if x is None else [None if c is None else float(np.float32(c)) for c in x]) for i, x in vectors]
     ok = lambda x: bool(x) and all(c is not None and np.isfinite(c) for c in x) and any(x)
     unit = [np.array(x) / np.linalg.norm(x) if ok(x) else None for _, x in vectors]
     link = [[j for j in range(len(vectors)) if j != i and unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95] for i in range(len(vectors))]
