@@ -60,8 +60,31 @@ def test_selection_grows_and_drops(spark):
     encoded = segmentation.encode(df, "t", table)
     assert all(r["n"] > 0 for r in segmentation.usage(encoded, "encoded", table).collect())
     assert all(r["t"] == r["decoded"] for r in segmentation.decode(encoded, "encoded", table).collect())
-    bad = segmentation._numbered(spark, [[1], [1, 2], [1, 2], [1, 4000]])
-    assert sorted(r["reason"] for r in segmentation.unsound_entries(bad).collect()) == ["atom", "length", "repeated", "repeated"]
+    bad = segmentation._numbered(spark, [[1], [1, 2], [1, 2], [1, 4000], [1, 2998], [1, 3005], [1, 2997]])
+    assert sorted(r["reason"] for r in segmentation.unsound_entries(bad).collect()) == ["atom"] * 3 + ["length", "repeated", "repeated"]
+
+
+def test_encoder_of_many_streams_matches_one_at_a_time():
+    rng = random.Random(3)
+    entries = {}
+    while len(entries) < 30:
+        entries.setdefault(tuple(rng.randrange(4) for _ in range(rng.randrange(2, 9))), 3006 + len(entries))
+    streams = [[rng.randrange(4) if rng.random() < 0.9 else 9 for _ in range(rng.randrange(0, 60))] for _ in range(200)] + [[]]
+    encoder = segmentation.Encoder(entries)
+    want = [segmentation.fewest_tokens(s, entries, 8) for s in streams]
+    assert encoder.encode([np.array(s) for s in streams]) == want == encoder.encode([np.array(s) for s in streams])
+    assert segmentation.Encoder({}).encode([np.array([1, 2])]) == [[1, 2]]
+
+
+def test_runs_of_eight_tokens_are_counted_like_short_ones(spark):
+    rng = random.Random(4)
+    lists = [[rng.choice([0, 1, 65535, 3000]) for _ in range(rng.randrange(0, 30))] for _ in range(20)]
+    want = {}
+    for x in lists:
+        for n in range(1, 9):
+            for i in range(len(x) - n + 1):
+                want[tuple(x[i : i + n])] = want.get(tuple(x[i : i + n]), 0) + 1
+    assert counted(spark, *lists, shortest=1, longest=8) == want
 
 
 @pytest.mark.parametrize("span", [2, 64])

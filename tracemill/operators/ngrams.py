@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import adjacent_pairs, windows
+from ..functions.arrays import adjacent_pairs
+from ..tables import stored
 
 LIMIT, MIN_COUNT = 20_000, 8
+#: Tokens are ids of 16 bits, so four of them fit a long.
+BITS, PER_LONG = 16, 4
+
+
+def packed_windows(df: DataFrame, tokens: str, shortest: int, longest: int) -> DataFrame:
+    """(length, k1, k2) of all runs within the rows' arrays: the first four tokens and the rest, packed. Runs of
+    numbers instead of arrays keep the counting in Tungsten's memory and in generated code."""
+    if not 1 <= shortest <= longest <= 2 * PER_LONG:
+        raise ValueError(f"runs have 1 to {2 * PER_LONG} tokens")
+    at = F.col(tokens)
+    shifted = lambda i, j: F.shiftleft(F.coalesce(F.get(at, i + j), F.lit(0)).cast("long"), BITS * (PER_LONG - 1 - j))
+    fours = F.transform(at, lambda _, i: shifted(i, 0).bitwiseOR(shifted(i, 1)).bitwiseOR(shifted(i, 2)).bitwiseOR(shifted(i, 3)))
+    # the arrays must not pass the generator, which would copy them for every token, nor be what a filter asks
+    # about, as that would be pushed below and work them out again
+    pairs = F.zip_with("_f", F.slice("_f", PER_LONG + 1, F.size("_f")), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit(0)).alias("b")))
+    placed = F.transform(pairs, lambda x, i: F.struct(x["a"].alias("_a"), x["b"].alias("_b"), (F.size("_f") - i).alias("_left")))
+    each = df.select(fours.alias("_f")).select(F.inline(placed))
+    lengths = F.sequence(F.lit(shortest), F.least(F.lit(longest), F.col("_left")))
+    runs = each.where(F.col("_left") >= shortest).select("_a", "_b", F.explode(lengths).alias("length"))
+    k1 = F.expr(f"shiftrightunsigned(_a, {BITS} * greatest({PER_LONG} - length, 0))")
+    k2 = F.expr(f"IF(length > {PER_LONG}, shiftrightunsigned(_b, {BITS} * ({2 * PER_LONG} - length)), 0L)")
+    return runs.select("length", k1.alias("k1"), k2.alias("k2"))
+
+
+def _unpacked() -> Column:
+    """The run's tokens from length, k1 and k2."""
+    return F.expr(
+        f"transform(sequence(0, length - 1), j -> cast(65535 & IF(j < {PER_LONG}, shiftrightunsigned(k1, {BITS} * (least(length, {PER_LONG}) - 1 - least(j, {PER_LONG} - 1))), shiftrightunsigned(k2, {BITS} * (length - 1 - j))) as int))"
+    )
 
 
 def count_windows(df: DataFrame, tokens: str, shortest: int = 2, longest: int = 8, min_count: int = MIN_COUNT, forbidden: Column | None = None) -> DataFrame:
@@ -17,19 +47,39 @@ def count_windows(df: DataFrame, tokens: str, shortest: int = 2, longest: int =
     A run of n tokens can only be that frequent where both of its runs of n - 1 are; with the sums taken on the
     map side the plain count needs one shuffle, which is why no such rounds are made.
     """
-    runs = df.select(F.explode(windows(F.col(tokens), shortest, longest)).alias("atoms"))
-    if forbidden is not None:
-        runs = runs.where(~F.arrays_overlap("atoms", forbidden))
-    return runs.groupBy("atoms").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("atoms", F.size("atoms").alias("length"), "n")
+    counts = packed_windows(df, tokens, shortest, longest).groupBy("length", "k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    out = counts.select(_unpacked().alias("atoms"), "length", "n")
+    return out if forbidden is None else out.where(~F.arrays_overlap("atoms", forbidden))
 
 
 def candidates(counts: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Of each length the ``limit`` most frequent runs (ties by the run), with what each would save."""
-    rank = F.row_number().over(Window.partitionBy("length").orderBy(F.desc("n"), "atoms"))
-    kept = counts.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
-    return kept.withColumn("savings", F.col("n") * (F.col("length") - 1))
+    """Of each length the ``limit`` most frequent runs (ties by the run), with what each would save.
+
+    A histogram of the counts tells from which count on all runs are kept; only the runs of the last count that
+    takes part are ordered, as a top-k per task.
+    """
+    counts = stored(counts)
+    sizes: dict[int, list[tuple[int, int]]] = {}
+    for r in counts.groupBy("length", "n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():  # distinct counts, not runs
+        sizes.setdefault(r["length"], []).append((r["n"], r["k"]))
+    out = None
+    for length, hist in sorted(sizes.items()):
+        taken, least, rest = 0, 0, 0
+        for n, k in hist:
+            if taken + k > limit:
+                least, rest = n, limit - taken
+                break
+            taken += k
+        own = counts.where(F.col("length") == length)
+        kept = own.where(F.col("n") > least)
+        if rest:
+            kept = kept.unionByName(own.where(F.col("n") == least).orderBy("atoms").limit(rest))
+        out = kept if out is None else out.unionByName(kept)
+    out = counts.limit(0) if out is None else out
+    return out.withColumn("savings", F.col("n") * (F.col("length") - 1))
 
 
-def pair_counts(df: DataFrame, tokens: str) -> DataFrame:
-    pairs = df.select(F.explode(adjacent_pairs(F.col(tokens))).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
-    return pairs.select(F.col("p.left").alias("left"), F.col("p.right").alias("right"), "n")
+def pair_counts(df: DataFrame, tokens: str, times: str | None = None) -> DataFrame:
+    """(left, right, n) of neighbouring tokens; a row counts ``times`` times."""
+    pairs = df.select(F.explode(adjacent_pairs(F.col(tokens))).alias("p"), (F.col(times) if times else F.lit(1)).cast("long").alias("k"))
+    return pairs.groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(F.sum("k").alias("n"))

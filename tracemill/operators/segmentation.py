@@ -5,12 +5,15 @@ A dictionary is a table (id, atoms) of at most 62,529 entries (ids are 16-bit),
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vocabulary import COMPOSITE
-from ..tables import stored
+from ..functions.vocabulary import COMPOSITE, CONTROL
+from ..tables import release, stored
 from .ngrams import pair_counts
 
 MOST = 65535 - COMPOSITE
@@ -35,6 +38,60 @@ def fewest_tokens(stream: list[int], entries: dict[tuple[int, ...], int], longes
     return out[::-1]
 
 
+class Encoder:
+    """Encodes many streams at a time. All places where an entry occurs are found by sorted hashes; a place that
+    no entry spans cuts a stream, so what is left to the shortest path are short runs between such cuts, most of
+    which occur again and again and are kept."""
+
+    HELD = 200_000
+
+    def __init__(self, entries: dict[tuple[int, ...], int]):
+        self.entries, self.longest = entries, max(map(len, entries), default=1)
+        self.hashes = {n: np.unique(self._hashed(np.array([a for a in entries if len(a) == n], np.uint64))) for n in sorted({len(a) for a in entries})}
+        self.known: dict[bytes, list[int]] = {}
+
+    @staticmethod
+    def _hashed(windows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(windows), np.uint64)
+        for j in range(windows.shape[1]):
+            out = (out ^ windows[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def encode(self, streams: list[np.ndarray]) -> list[list[int]]:
+        ends = np.cumsum([len(s) for s in streams])
+        flat = np.concatenate([np.zeros(0, np.int64), *streams]).astype(np.int64)
+        spanned = np.zeros(len(flat) + 1, np.int64)  # entries over the place before each token, as differences
+        for n, hashes in self.hashes.items():
+            if len(flat) >= n:
+                h = self._hashed(np.lib.stride_tricks.sliding_window_view(flat.astype(np.uint64), n))
+                at = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h)
+                np.add.at(spanned, at + 1, 1)
+                np.add.at(spanned, at + n, -1)
+        cut = np.cumsum(spanned)[:-1] == 0
+        cut[ends[ends < len(flat)]] = True
+        starts = np.flatnonzero(cut)
+        runs = np.append(starts, len(flat))
+        long = np.flatnonzero(np.diff(runs) > 1)
+        tokens, out, k = flat.tolist(), [], 0
+        begins, stops = runs[long].tolist(), runs[long + 1].tolist()
+        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            made, at = [], lo
+            while k < len(begins) and begins[k] < hi:
+                a, b = begins[k], stops[k]
+                made += tokens[at:a]
+                key = flat[a:b].tobytes()
+                if (found := self.known.get(key)) is None:
+                    found = fewest_tokens(tokens[a:b], self.entries, self.longest)
+                    if len(self.known) < self.HELD:
+                        self.known[key] = found
+                made += found
+                at, k = b, k + 1
+            made += tokens[at:hi]
+            out.append(made)
+        return out
+
+
 def _listed(dictionary: DataFrame) -> list[tuple[int, list[int]]]:
     rows = dictionary.select("id", "atoms").orderBy("id").limit(MOST + 1).collect()
     if len(rows) > MOST:
@@ -47,7 +104,7 @@ def unsound_entries(dictionary: DataFrame) -> DataFrame:
     atoms = F.col("atoms")
     reason = (
         F.when(~F.size(atoms).between(2, LONGEST), "length")
-        .when(F.exists(atoms, lambda a: a.isNull() | (a < 0) | (a >= COMPOSITE)), "atom")
+        .when(F.exists(atoms, lambda a: a.isNull() | (a < 0) | (a >= CONTROL["pad"])), "atom")
         .when(F.count("*").over(Window.partitionBy("atoms")) > 1, "repeated")
     )
     return dictionary.withColumn("reason", reason).where("reason IS NOT NULL")
@@ -57,12 +114,20 @@ def encode(df: DataFrame, tokens: str, dictionary: DataFrame, out: str = "encode
     """``df`` with ``tokens`` encoded. A shortest path per row, for which SQL arrays would copy their state at
     every token, hence a vectorised function; the plan stays free of shuffles."""
     entries = {tuple(a): i for i, a in _listed(dictionary)}
-    longest = max(map(len, entries), default=1)
     shared = df.sparkSession.sparkContext.broadcast(entries)
 
     @F.pandas_udf("array<int>")
-    def shortest(streams: pd.Series) -> pd.Series:
-        return streams.map(lambda s: fewest_tokens(list(s), shared.value, longest) if s is not None else None)
+    def shortest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(shared.value)
+        for streams in batches:
+            there = streams.notna().to_numpy()
+            out = np.empty(len(streams), object)
+            kept = np.flatnonzero(there)
+            for k in range(0, len(kept), 256):
+                some = kept[k : k + 256]
+                for i, made in zip(some, encoder.encode([np.asarray(streams.iat[i], np.int64) for i in some]), strict=True):
+                    out[i] = made
+            yield pd.Series(out)
 
     return df.withColumn(out, shortest(F.col(tokens)))
 
@@ -83,11 +148,11 @@ def usage(df: DataFrame, encoded: str, dictionary: DataFrame) -> DataFrame:
     return dictionary.join(used, "id", "left").select("id", "atoms", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def merges(df: DataFrame, encoded: str, dictionary: DataFrame, pool: DataFrame) -> DataFrame:
+def merges(df: DataFrame, encoded: str, dictionary: DataFrame, pool: DataFrame, times: str | None = None) -> DataFrame:
     """(atoms, n) of neighbouring tokens whose joint expansion is in the pool (atoms), summed over the ways to
-    split it."""
+    split it; a row counts ``times`` times."""
     of = dictionary.select(F.col("id"), F.col("atoms"))
-    pairs = pair_counts(df, encoded)
+    pairs = pair_counts(df, encoded, times)
     for side in ("left", "right"):
         pairs = pairs.join(F.broadcast(of.select(F.col("id").alias(side), F.col("atoms").alias(f"_{side}"))), side, "left")
         pairs = pairs.withColumn(f"_{side}", F.coalesce(f"_{side}", F.array(side)))
@@ -103,28 +168,35 @@ def select_dictionary(df: DataFrame, tokens: str, pool: DataFrame, budget: int,
     """A dictionary of at most ``budget`` entries grown in rounds: encode, drop what was never chosen, admit up
     to ``block`` of the most frequent joint runs. A last round drops what the final encoding leaves unused.
 
-    The driver holds the entries alone (at most MOST); counting and encoding are Spark jobs over all rows, and
-    each round's encoding is written to the shared folder, which keeps the lineage short.
+    The driver holds the entries alone (at most MOST). Equal streams are encoded once, with their number; each
+    round's pairs are counted from there, and the round before is deleted.
     """
     spark = df.sparkSession
     entries: list[list[int]] = []
     budget = min(budget, MOST)
     pool = stored(pool.select("atoms").distinct())
+    streams = stored(df.where(F.size(tokens) > 0).groupBy(F.col(tokens).alias("_stream")).agg(F.count("*").alias("_times")))
+
+    def used(encoded: DataFrame, table: DataFrame) -> list[list[int]]:
+        chosen = encoded.select(F.explode("encoded").alias("id"), "_times").where(F.col("id") >= COMPOSITE).select("id").distinct()
+        return [list(r["atoms"]) for r in table.join(chosen, "id", "left_semi").orderBy("id").collect()]
+
     for _ in range(rounds):
         if len(entries) >= budget:
             break
         table = _numbered(spark, entries)
-        encoded = stored(encode(df.select(tokens), tokens, table).select("encoded"))
-        entries = [list(r["atoms"]) for r in usage(encoded, "encoded", table).where("n > 0").orderBy("id").collect()]
+        encoded = stored(encode(streams, "_stream", table).select("encoded", "_times"))
+        entries = used(encoded, table)
         room = min(block, budget - len(entries))
         kept = _numbered(spark, entries)
-        new = merges(encoded, "encoded", table, pool).join(F.broadcast(kept.select("atoms")), "atoms", "left_anti")
+        new = merges(encoded, "encoded", table, pool, "_times").join(F.broadcast(kept.select("atoms")), "atoms", "left_anti")
         added = [list(r["atoms"]) for r in new.orderBy(F.desc("n"), "atoms").limit(room).collect()]
+        release(encoded)
         entries += added
         if not added:
             break
     if entries:
         table = _numbered(spark, entries)
-        used = usage(encode(df.select(tokens), tokens, table), "encoded", table).where("n > 0").orderBy("id").collect()
-        entries = [list(r["atoms"]) for r in used]
+        entries = used(encode(streams, "_stream", table), table)
+    release(streams, pool)
     return _numbered(spark, entries)

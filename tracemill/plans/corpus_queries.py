@@ -108,24 +108,24 @@ def _stream(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""
-WITH {_DOCS}, l AS (SELECT unnest([2, 3, 4]) AS n),
+WITH {_DOCS}, l AS (SELECT unnest(range(2, 9)) AS n),
 g AS (SELECT unnest(list_transform(range(1, len(atoms) - n + 2), lambda i: array_to_string(atoms[i:i + n - 1], ' '))) AS gram, n FROM a, l WHERE len(atoms) >= n)
 SELECT gram, n::INT AS length, count(*) AS n FROM g GROUP BY gram, length HAVING count(*) >= 8
 """)
 def ngram_counts(spark, sf_dir):
-    out = ngrams.count_windows(_stream(spark, sf_dir), "atoms", 2, 4)
+    out = ngrams.count_windows(_stream(spark, sf_dir), "atoms", 2, 8)
     return out.select(F.array_join("atoms", " ").alias("gram"), "length", "n")
 
 
 @query(f"""
-WITH {_DOCS}, l AS (SELECT unnest([2, 3]) AS n),
+WITH {_DOCS}, l AS (SELECT unnest(range(2, 9)) AS n),
 g AS (SELECT unnest(list_transform(range(1, len(atoms) - n + 2), lambda i: atoms[i:i + n - 1])) AS gram, n FROM a, l WHERE len(atoms) >= n),
 c AS (SELECT gram, n AS length, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 8),
 r AS (SELECT *, row_number() OVER (PARTITION BY length ORDER BY n DESC, gram) AS r FROM c)
 SELECT array_to_string(gram, ' ') AS gram, length::INT AS length, n, n * (length - 1) AS savings FROM r WHERE r <= 100
 """)
 def merge_candidates(spark, sf_dir):
-    out = ngrams.candidates(ngrams.count_windows(_stream(spark, sf_dir), "atoms", 2, 3), limit=100)
+    out = ngrams.candidates(ngrams.count_windows(_stream(spark, sf_dir), "atoms"), limit=100)
     return out.select(F.array_join("atoms", " ").alias("gram"), "length", "n", "savings")
 
 

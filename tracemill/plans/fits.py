@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..functions.arrays import merge_segments
-from ..functions.vocabulary import COMPOSITE
+from ..functions.vocabulary import COMPOSITE, CONTROL
 from ..operators import ngrams, profiles, sampling, segmentation
 from ..tables import stored
 
 
+def controls() -> Column:
+    """The control tokens, which no composite may hold."""
+    return F.array(*(F.lit(c) for c in CONTROL.values()))
+
+
 def held_out(position: Column, fraction: float) -> Column:
     """Whether a position is kept from fitting; all rows of a position go the same way."""
     return draws.uniform("holdout", position) < fraction
@@ -53,7 +58,7 @@ def tiers(rows: DataFrame, sizes: list[int], fraction: float, min_count: int = n
     are counted once; each size selects its own dictionary from them."""
     full, kept, apart = parts(rows, fraction, stride=stride)
     streams = stored(segments(full))
-    pool = stored(ngrams.candidates(ngrams.count_windows(streams, "atoms", min_count=min_count), limit))
+    pool = stored(ngrams.candidates(ngrams.count_windows(streams, "atoms", min_count=min_count, forbidden=controls()), limit))
     out = None
     for size in sizes:
         budget = size - COMPOSITE
@@ -85,7 +90,7 @@ def fitted(rows: DataFrame, settings: dict, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     streams = stored(segments(rows))
-    pool = ngrams.candidates(ngrams.count_windows(streams, "atoms", min_count=settings.get("min_count", ngrams.MIN_COUNT)), settings.get("limit", ngrams.LIMIT))
+    pool = ngrams.candidates(ngrams.count_windows(streams, "atoms", min_count=settings.get("min_count", ngrams.MIN_COUNT), forbidden=controls()), settings.get("limit", ngrams.LIMIT))
     made = segmentation.select_dictionary(streams, "atoms", pool, settings["budget"], settings.get("block", 64))
     made.write.parquet(target)
     return spark.read.schema("id int, atoms array<int>").parquet(target)

@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a folder of this machine only where nothing is set, as in tests."""
+    """What spark.checkpoint.dir names; a folder of this machine only where nothing is set and Spark is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -26,7 +28,18 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that no later plan reads."""
+    for df in frames:
+        if path := getattr(df, "_stored_at", None):
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            df._stored_at = None
 
 
 def in_ranges(df: DataFrame, *order: str | Column) -> DataFrame:
