@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def test_runs_of_eight_tokens_are_counted_like_short_ones(spark):
         for n in range(1, 9):
             for i in range(len(x) - n + 1):
                 want[tuple(x[i : i + n])] = want.get(tuple(x[i : i + n]), 0) + 1
-    assert counted(spark, *lists, shortest=1, longest=8) == want
+    assert counts(spark, lists, shortest=1, longest=8) == want
 
 
 @pytest.mark.parametrize("span", [2, 64])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..tables import stored
 
 
 def violations(df: DataFrame, rules: dict[str, Column], key: str, detail: Column) -> DataFrame:
@@ -67,7 +68,7 @@ def _line_rules(width: int) -> dict[str, Column]:
         "session_options": unless("session", (c("options.threads") == 1) & (c("options.hash_mb") >= 1) & (c("options.multipv") == width) & (c("value_mate") >= 1) & (c("max_ply") >= 1) & (F.length("engine") > 0)),
         "search_depth": unless("search_start", (c("depth") >= 1) & (c("multi_pv").between(1, width))),
         "round_depth": unless("round_start", (c("depth") == c("round")) & (c("window.alpha") < c("window.beta")) & F.forall("root_order", lambda m: F.length(m) > 0)),
-        "attempt_line": unless("attempt", F.lit(width == 1) == c("line").isNull()),
+        "attempt_line": unless("attempt", c("line").isNull() if width == 1 else c("line").between(0, c("_width") - 1)),
         "score_fields": ~scored | F.when(mate, c("cp").isNull() & c("wdl").isNull()).otherwise(c("cp").isNotNull() & F.coalesce(V.wdl_is_sound(c("wdl")), F.lit(False))),
         "attempt_bound": unless("attempt", c("bound") == V.bound(c("raw"), c("window.alpha"), c("window.beta"))),
         "candidate_bound": unless("candidate", c("bound") == V.bound(c("raw"), c("window.alpha"), c("window.beta"))),
@@ -80,25 +81,50 @@ def _line_rules(width: int) -> dict[str, Column]:
         "work": ~c("type").isin("candidate", "frontier") | ((c("nodes_delta") >= 0) & (c("seldepth") >= 0)),
         "rank_width": unless("round_end", F.size("rank") == c("_width")),
         "rank_line": unless("round_end", F.forall("rank", lambda r: r["pv"][0] == r["move"])),
+        "end_work": unless("search_end", (c("nodes") >= 0) & (c("seldepth") >= 0)),
         "not_deeper": unless("round_end", c("depth") <= c("_asked")),
     }
 
 
+def accepted_attempts(attempts: DataFrame, ends: DataFrame, width: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(root_id, round, attempt, raw, cp, wdl) of what a round accepts, and the violations of how it got there. One
+    line: the only exact attempt, which the round's end names. Several: each line's last attempt, its only exact one;
+    lines run from 0 to the effective width, and the round's end names how many attempts there were."""
+    c = F.col
+    if width == 1:
+        exact = attempts.where(c("bound") == "exact")
+        met = exact.groupBy("root_id", "round").agg(F.count("*").alias("n"), F.max("attempt").alias("accepted"))
+        joined = ends.select("root_id", "round", "attempt").join(met, ["root_id", "round"], "left")
+        return exact, [violations(joined, {"one_exact_attempt": (c("n") == 1) & (c("accepted") == c("attempt"))}, "root_id", c("round"))]
+    lines = attempts.groupBy("root_id", "round", "line").agg(
+        F.count_if(c("bound") == "exact").alias("exact"), F.max("attempt").alias("last"), F.max(F.when(c("bound") == "exact", c("attempt"))).alias("accepted")
+    )
+    rounds = lines.groupBy("root_id", "round").agg(F.count("*").alias("lines"), F.max("line").alias("top"))
+    many = attempts.groupBy("root_id", "round").agg(F.count("*").alias("n"))
+    joined = ends.select("root_id", "round", "attempt", "_width").join(rounds, ["root_id", "round"], "left").join(many, ["root_id", "round"], "left")
+    out = [
+        violations(lines, {"line_exact_once": (c("exact") == 1) & (c("accepted") == c("last"))}, "root_id", F.concat_ws("/", "round", "line")),
+        violations(joined, {"lines_complete": (c("lines") == c("_width")) & (c("top") == c("lines") - 1), "attempts_counted": c("attempt") == c("n")}, "root_id", c("round")),
+    ]
+    kept = attempts.join(lines.select("root_id", "round", c("accepted").alias("attempt")), ["root_id", "round", "attempt"], "left_semi")
+    return kept, out
+
+
 def log_violations(events: DataFrame, width: int = 1) -> DataFrame:
-    """(id, rule, detail) of everything that is wrong with the logs of searches of the given width; the rules
-    that need the board are ``operators.games.illegal_lines``."""
+    """(id, rule, detail) of everything that is wrong with the logs of searches of the given width; rules that need
+    the board are not among them. The log is read once and kept by type."""
     c = F.col
-    known = events.join(_session_values(events), "root_id", "left")
-    of = lambda t: events.where(c("type") == t)
-    starts, ends, attempts = of("round_start"), of("round_end"), of("attempt")
-    candidates, frontiers = of("candidate"), of("frontier")
+    known = stored(events.join(_session_values(events), "root_id", "left"))
+    of = lambda t: known.where(c("type") == t)
+    starts, ends, attempts, candidates, frontiers = (stored(of(t)) for t in ("round_start", "round_end", "attempt", "candidate", "frontier"))
     out = [
         violations(known, _line_rules(width), "root_id", c("seq")),
-        contiguous(events, ["root_id"], "seq", "root_id", "seq_is_line"),
+        contiguous(known, ["root_id"], "seq", "root_id", "seq_is_line"),
         contiguous(starts, ["root_id"], "round", "root_id", "rounds_contiguous", 1),
-        contiguous(attempts, ["root_id", "round"] + (["line"] if width > 1 else []), "attempt", "root_id", "attempts_contiguous") if width == 1 else contiguous(attempts, ["root_id", "round"], "attempt", "root_id", "attempts_contiguous"),
-        *(exactly(events, ["root_id"], c("type") == t, 1, "root_id", f"one_{t}") for t in ("session", "position", "search_start", "search_end")),
+        contiguous(attempts, ["root_id", "round"], "attempt", "root_id", "attempts_contiguous"),
+        *(exactly(known, ["root_id"], c("type") == t, 1, "root_id", f"one_{t}") for t in ("session", "position", "search_start", "search_end")),
         dangling(attempts, starts, ["root_id", "round"], "root_id", "attempt_round"),
+        dangling(starts, attempts, ["root_id", "round"], "root_id", "round_attempt"),
         dangling(ends, starts, ["root_id", "round", "depth"], "root_id", "round_end_start"),
         dangling(starts, ends, ["root_id", "round", "depth"], "root_id", "round_start_end"),
         *(dangling(x, attempts, ["root_id", "round", "attempt"], "root_id", f"{n}_attempt") for x, n in ((candidates, "candidate"), (frontiers, "frontier"))),
@@ -110,16 +136,22 @@ def log_violations(events: DataFrame, width: int = 1) -> DataFrame:
     )
     rank = ends.select("root_id", "round", "attempt", F.posexplode("rank").alias("place", "r")).select("root_id", "round", "attempt", "place", c("r.move").alias("move"), c("r.raw").alias("rank_raw"), c("r.pv").alias("rank_pv"))
     out.append(never_rises(rank, ["root_id", "round"], "place", "rank_raw", "root_id", "rank_order"))
-    if width == 1:
-        exact = attempts.where(c("bound") == "exact").groupBy("root_id", "round").agg(F.count("*").alias("n"), F.max("attempt").alias("accepted"))
-        joined = ends.select("root_id", "round", "attempt").join(exact, ["root_id", "round"], "left")
-        out.append(violations(joined, {"one_exact_attempt": (c("n") == 1) & (c("accepted") == c("attempt"))}, "root_id", c("round")))
-    # the last exact opening call of a ranked move has its score, negated, and its line
-    calls = candidates.where((c("ply") == 1) & c("call").isin("first", "promote") & (c("bound") == "exact"))
-    last = calls.groupBy("root_id", "round", "move").agg(F.max_by(F.struct("raw", "pv"), "seq").alias("call"))
+    accepted, broken = accepted_attempts(attempts, ends, width)
+    out += broken
+    # the first of the rank is the best of what the round accepted
+    top = accepted.groupBy("root_id", "round").agg(F.max("raw").alias("_best"))
+    led = rank.where("place = 0").join(top, ["root_id", "round"], "left")
+    out.append(violations(led, {"rank_top": c("rank_raw") == c("_best")}, "root_id", c("round")))
+    # the last exact opening call of a ranked move in what was accepted has its score, negated, and its line
+    inside = candidates.where(c("ply") == 1).join(accepted.select("root_id", "round", "attempt").distinct(), ["root_id", "round", "attempt"], "left_semi")
+    exact = inside.where(c("call").isin("first", "promote") & (c("bound") == "exact"))
+    last = exact.groupBy("root_id", "round", "move").agg(F.max_by(F.struct("raw", "pv"), "seq").alias("call"))
     met = rank.join(last, ["root_id", "round", "move"], "left")
     out.append(violations(met, {"rank_established": (c("call.raw") == -c("rank_raw")) & (c("call.pv") == c("rank_pv"))}, "root_id", F.concat_ws("/", "round", "move")))
-    late = events.where(c("type").isin(*SCORED)).join(ends.select("root_id", "round", c("seq").alias("_end")), ["root_id", "round"]).where(c("seq") > c("_end"))
+    # a scout that fails high for the mover needs an exact call of the move in its attempt
+    scouts = inside.where(c("call").isin("probe", "rescore")).groupBy("root_id", "round", "attempt", "move").agg(F.max_by("bound", "seq").alias("bound")).where(c("bound") == "upper")
+    out.append(dangling(scouts, exact, ["root_id", "round", "attempt", "move"], "root_id", "fail_high"))
+    late = known.where(c("type").isin(*SCORED)).join(ends.select("root_id", "round", c("seq").alias("_end")), ["root_id", "round"]).where(c("seq") > c("_end"))
     out.append(late.select(c("root_id").alias("id"), F.lit("after_round_end").alias("rule"), c("seq").cast("string").alias("detail")))
     best = ends.groupBy("root_id").agg(F.max_by(F.col("rank")[0]["move"], "round").alias("_top"), F.max("depth").alias("_deep"))
     closing = known.where(c("type") == "search_end").join(best, "root_id", "left")

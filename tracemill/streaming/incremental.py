@@ -16,20 +16,15 @@ def read_stream(spark: SparkSession, path: str, schema: str, files: int = 100) -
 
 
 def curate(new: DataFrame, make: Callable[[DataFrame], DataFrame], key: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Make and append what ``out`` lacks of each batch of keys, until the input is used up. A batch that is run
-    again after a failure finds its own keys there, so each key is written once."""
+    """Make each key's rows once, until the input is used up. Which keys came before is the stream's own state, so a
+    batch costs what is new in it; its rows go to a folder of its number, which a batch that is run again after a
+    failure writes anew as a whole."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        fresh = df.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(out).select(key), key, "left_anti")
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        make(fresh).write.mode("append").parquet(out)
-
-    return new.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        make(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    once = new.dropDuplicates([key])
+    return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def first_wins(stream: DataFrame, key: str, order: str, ts: str, delay: str) -> DataFrame:
