@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions.arrays import is_ragged_sound
 from ..functions.vocabulary import COMPOSITE
 from ..operators.profiles import interpolated
@@ -69,6 +70,21 @@ def problems(rows: DataFrame, roots: DataFrame, dropped: DataFrame) -> DataFrame
     return own.unionByName(twice).unionByName(both).unionByName(apart.select(c("root_id").alias("id"), "rule", F.lit(None).cast("string").alias("detail")))
 
 
+def settings_problems(rows: DataFrame, seed: str, mix: list[tuple[str, float]]) -> DataFrame:
+    """(id, rule, detail) where a stored presentation or split is not what the seed and the root's id draw."""
+    c = F.col
+    drawn = rows.select("root_id", "presentation", "split", draws.by_weight(draws.uniform(seed, c("root_id"), "presentation"), mix).alias("_p"), draws.split_of(c("root_id")).alias("_s"))
+    rules = F.array(F.when(c("presentation") != c("_p"), F.struct(F.lit("presentation_drawn").alias("rule"), c("_p").alias("detail"))), F.when(c("split") != c("_s"), F.struct(F.lit("split_drawn").alias("rule"), c("split").alias("detail"))))
+    return drawn.select(c("root_id").alias("id"), F.inline(F.filter(rules, lambda r: r.isNotNull())))
+
+
+def unmatched(rows: DataFrame, champions: DataFrame) -> DataFrame:
+    """(id, rule, detail) of roots that have a row or a champion but not both."""
+    left, right = rows.select("root_id", F.lit(1).alias("_row")).distinct(), champions.select("root_id", F.lit(1).alias("_champion")).distinct()
+    met = left.join(right, "root_id", "full_outer").where("_row IS NULL OR _champion IS NULL")
+    return met.select(F.col("root_id").alias("id"), F.when(F.col("_row").isNull(), "no_row").otherwise("no_champion").alias("rule"), F.lit("").alias("detail"))
+
+
 def statistics(rows: DataFrame) -> DataFrame:
     """Lengths per presentation: count, mean and interpolated percentiles."""
     sizes = rows.select("presentation", "root_id", F.col("trace_atom_count").cast("double").alias("n_atoms"))
