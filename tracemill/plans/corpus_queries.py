@@ -15,7 +15,8 @@ QUERIES, ORACLES, query = registry()
 
 #: Ids that words map to: those of atoms that are no control tokens.
 ATOMS = CONTROL["pad"]
-SEED, BUDGET, CAP = "640", 4096, 2048
+#: No document of the tables is longer than the budget.
+SEED, BUDGET, CAP = "640", 20_480, 2048
 
 _SPLIT = "list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')"
 _DOCS = f"w AS (SELECT *, {_SPLIT} AS words FROM documents), a AS (SELECT *, list_transform(words, lambda x: (('0x' || substr(md5(x), 1, 7))::BIGINT % {ATOMS})::INT) AS atoms FROM w)"
@@ -143,7 +144,36 @@ def _fixed_dictionary(spark, sf_dir) -> DataFrame:
     return segmentation._numbered(spark, [list(r["atoms"]) for r in top])
 
 
-@query()
+#: The dictionary above, and the shortest path by position: a, b, c are the costs one, two and three places back, t the
+#: sizes taken; then the sizes are followed from the end.
+_ENCODED = f"""
+{_DOCS}, l AS (SELECT unnest([2, 3]) AS n),
+g AS (SELECT unnest(list_transform(range(1, len(atoms) - n + 2), lambda i: atoms[i:i + n - 1])) AS gram, n FROM a, l WHERE len(atoms) >= n),
+c AS (SELECT gram, n AS length, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 8),
+r AS (SELECT *, row_number() OVER (PARTITION BY length ORDER BY n DESC, gram) AS r FROM c),
+dict AS (SELECT array_to_string(gram, ' ') AS k, ({COMPOSITE - 1} + row_number() OVER (ORDER BY length, n DESC, gram))::INT AS id FROM r WHERE r <= 32),
+mp AS (SELECT map(list(k), list(id)) AS m FROM dict),
+p AS (
+  SELECT doc_id, atoms, m, list_transform(range(1, len(atoms) + 1), lambda i: {{'a': CASE WHEN i > 1 AND map_contains(m, array_to_string(atoms[i - 1:i], ' ')) THEN 1 ELSE 0 END,
+    'b': CASE WHEN i > 2 AND map_contains(m, array_to_string(atoms[i - 2:i], ' ')) THEN 1 ELSE 0 END, 'c': 0, 't': []::INT[]}}) AS s FROM a, mp
+),
+f AS (
+  SELECT doc_id, atoms, m, list_reduce(s, lambda x, y: {{
+    'a': CASE WHEN y.b = 1 AND x.c < (CASE WHEN y.a = 1 AND x.b < x.a + 1 THEN x.b + 1 ELSE x.a + 1 END) THEN x.c + 1 WHEN y.a = 1 AND x.b < x.a + 1 THEN x.b + 1 ELSE x.a + 1 END,
+    'b': x.a, 'c': x.b,
+    't': list_append(x.t, CASE WHEN y.b = 1 AND x.c < (CASE WHEN y.a = 1 AND x.b < x.a + 1 THEN x.b + 1 ELSE x.a + 1 END) THEN 3 WHEN y.a = 1 AND x.b < x.a + 1 THEN 2 ELSE 1 END)
+  }}, {{'a': 0, 'b': 1000000, 'c': 1000000, 't': []::INT[]}}).t AS t FROM p
+),
+w2 AS (
+  SELECT doc_id, atoms, m, list_reduce(list_transform(range(len(t), 0, -1), lambda i: {{'a': t[i], 'b': i::INT, 't': []::INT[]}}), lambda x, y: {{
+    'a': CASE WHEN x.a > 0 THEN x.a - 1 ELSE y.a - 1 END, 'b': 0, 't': CASE WHEN x.a > 0 THEN x.t ELSE list_append(x.t, y.b * 4 + y.a) END
+  }}, {{'a': 0, 'b': 0, 't': []::INT[]}}).t AS back FROM f
+),
+enc AS (SELECT doc_id, atoms, list_transform(list_reverse(back), lambda z: CASE WHEN z % 4 = 1 THEN atoms[z // 4] ELSE m[array_to_string(atoms[z // 4 - z % 4 + 1:z // 4], ' ')] END) AS encoded FROM w2)
+"""
+
+
+@query(f"WITH {_ENCODED} SELECT doc_id, len(atoms)::INT AS n_atoms, len(encoded)::INT AS n_tokens, md5(array_to_string(encoded, ' ')) AS encoded_md5 FROM enc")
 def min_token_encode(spark, sf_dir):
     df = segmentation.encode(_stream(spark, sf_dir), "atoms", _fixed_dictionary(spark, sf_dir))
     return df.select("doc_id", F.size("atoms").alias("n_atoms"), F.size("encoded").alias("n_tokens"), F.md5(F.array_join("encoded", " ")).alias("encoded_md5"))
@@ -156,7 +186,7 @@ def decode_roundtrip(spark, sf_dir):
     return df.select("doc_id", F.md5(F.array_join("decoded", " ")).alias("decoded_md5"), F.size("decoded").alias("n_atoms"))
 
 
-@query()
+@query(f"WITH {_ENCODED}, u AS (SELECT unnest(encoded) AS id FROM enc) SELECT dict.id, k AS gram, count(u.id) AS n FROM dict LEFT JOIN u USING (id) GROUP BY ALL")
 def merge_usage(spark, sf_dir):
     dictionary = _fixed_dictionary(spark, sf_dir)
     return segmentation.usage(segmentation.encode(_stream(spark, sf_dir), "atoms", dictionary), "encoded", dictionary).select("id", F.array_join("atoms", " ").alias("gram"), "n")
@@ -272,7 +302,15 @@ def segment_cuts(spark, sf_dir):
     return df.select("doc_id", F.size(F.filter(parts, lambda p: F.size(p) > 0)).alias("segments"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + _DOCS
+    + ", "
+    + _PACK.split("WITH RECURSIVE", 1)[1].format(full=f"fill > 0 AND fill + o.length > {BUDGET}").strip()
+    + """, d AS (SELECT batch, doc_id, atoms, list_append(atoms[2:], -100) AS labels, sum(len(atoms)) OVER (PARTITION BY batch ORDER BY doc_id)::BIGINT AS upto FROM p JOIN a USING (doc_id) WHERE len(atoms) > 0)
+SELECT batch, count(*)::INT AS documents, sum(len(atoms))::INT AS tokens, md5(array_to_string(flatten(list(atoms ORDER BY doc_id)), ' ')) AS input_md5, md5(array_to_string(flatten(list(labels ORDER BY doc_id)), ' ')) AS labels_md5,
+  '0 ' || string_agg(upto::VARCHAR, ' ' ORDER BY doc_id) AS ends FROM d GROUP BY batch"""
+)
 def assembled_batches(spark, sf_dir):
     df = _stream(spark, sf_dir).withColumn("length", F.size("atoms")).where(F.col("length").between(1, BUDGET))
     out = packing.assemble(packing.pack(df.select("doc_id", "atoms", "length"), ["doc_id"], "length", BUDGET), "atoms")
