@@ -9,7 +9,7 @@ from tracemill.plans import releases
 def test_champion_at_each_boundary(spark):
     steps = [("begin", 1, None, 0, 0), ("exact", 1, "a", 5, 50), ("exact", 1, "b", 5, 51), ("exact", 1, "b", 7, 52), ("exact", 1, "b", 4, 53), ("end", 1, "b", 5, 60)]
     steps += [("begin", 2, None, 0, 0), ("exact", 2, "c", 1, 70), ("end", 2, "c", 2, 71)]
-    df = spark.createDataFrame([("r", i, *s) for i, s in enumerate(steps)], "root string, seq long, kind string, round long, move string, raw double, value double")
+    df = spark.createDataFrame([("r", i, k, n, m, float(x), float(v)) for i, (k, n, m, x, v) in enumerate(steps)], "root string, seq long, kind string, round long, move string, raw double, value double")
     got = [(r["best"], r["value"]) for r in rounds.boundary_champions(df, "root").orderBy("seq").collect()]
     # equal scores leave the first; a renewed score counts; the end renews the value and takes over on a gain only
     assert got == [(None, None), ("a", 50), ("a", 50), ("b", 52), ("a", 50), ("a", 60), ("a", 60), ("c", 70), ("c", 71)]
