@@ -242,7 +242,8 @@ def brute_leaks(text, items, width=10):
 def test_leaks_match_brute_force(spark, docs, none, per_automaton):
     items = [(1, "w3 w4, W5 w6 w7 w8 w9 w10 w11 w12 w13"), (2, "One"), (3, None), (4, "..."), (5, "cödé text"), (1, "w90 w91 w92 w93 w94 w95 w96 w97 w98 w99")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.find_leaks(docs.select("doc_id", "text", "_row"), table, per_automaton=per_automaton)
+    found = decontaminate.find_leaks(docs.selectExpr("doc_id", "text", "_row", "1 AS _spans", "2 AS _items"), table, per_automaton=per_automaton)
+    assert {"_row", "_spans", "_items", "leak"} <= set(found.columns) and found.where("_spans = 1 AND _items = 2").count() == len(ROWS)
     got = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.leak_report(found).collect()]
     want = [(d, *brute_leaks(t, items)) for d, t, _ in ROWS if t != LONG]
     key = lambda r: (r[0] or 0, r)

@@ -66,3 +66,16 @@ def test_stages_on_awkward_tables(spark):
     for _, stage in P.STAGES:
         assert stage(spark, table.limit(0), SF).count() == 0
     assert P.mix_sources(spark, table, SF).count() == len(rows)
+
+
+def test_stages_keep_clashing_columns_and_long_texts(spark):
+    long = " ".join(f"w{i % 4999}x{i}" for i in range(40_000))
+    rows = [(1, long, "en", "a", 1, 77), (2, long + " tail", "en", "a", 1, 88), (3, "short one", "en", "b", 1, 99)]
+    table = spark.createDataFrame(rows, COLUMNS + ", _row int")
+    clash = table.selectExpr("*", "doc_id AS _id", "1 AS pii", "2 AS leak", "3 AS _masked", "4 AS _text", "5 AS p_toxic0")
+    for _, stage in P.STAGES:
+        got = stage(spark, clash, SF)
+        assert set(clash.columns) <= set(got.columns)
+        kept = {r["doc_id"]: r for r in got.collect()}
+        assert 1 in kept and 3 in kept and kept[1]["_row"] == 77 and kept[3]["_row"] == 99 and kept[1]["_text"] == 4
+        assert len(kept[1]["text"]) == len(long)

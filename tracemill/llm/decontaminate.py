@@ -10,8 +10,9 @@ broadcast has a fixed bound; a larger benchmark is scanned for in several automa
 
 Cases: a null or empty text, or one of separators only, has no words and no hits; items without words have
 no windows; repeated items and windows that several items share list every item; repeated rows give a row
-each; an empty table on either side gives no hits or an empty result; a column named leak is replaced, others
-stay as they are.
+each; an empty table on either side gives no hits or an empty result; a column named leak is replaced, others,
+whatever their names, stay as they are. A window carries the ids of all items that hold it, so an automaton's size
+is bounded by its windows and by the benchmark's items.
 """
 
 from __future__ import annotations
@@ -113,17 +114,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_
         part = _scan(rows.select(row, text_col), text_col, _automaton_of(spark, dealt.where(F.col("_block") == k).drop("_block")))
         part = part.where(F.size("leak.spans") > 0).select(row, F.col("leak.spans").alias("spans"), F.col("leak.items").alias("items"))
         found = part if found is None else found.unionByName(part)
-    found = found.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
-    return _scan(rows.join(found, row, "left"), text_col, None).drop(row)
+    old = free_name(docs, "_spans"), free_name(docs, "_items")
+    found = found.groupBy(row).agg(F.flatten(F.collect_list("spans")).alias(old[0]), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias(old[1]))
+    return _scan(rows.join(found, row, "left"), text_col, None, old).drop(row)
 
 
 def _automaton_of(spark, wins: DataFrame):
     return spark.sparkContext.broadcast([(r["window"], r["items"]) for r in wins.collect()])
 
 
-def _scan(docs: DataFrame, text_col: str, shared) -> DataFrame:
-    """shared: windows of an automaton; None: only merge the spans found before (_spans, _items)."""
-    extra = {"_spans", "_items"} if shared is None else set()
+def _scan(docs: DataFrame, text_col: str, shared, held: tuple[str, ...] = ()) -> DataFrame:
+    """shared: windows of an automaton; None: only merge the spans and items found before, in the columns ``held``."""
+    extra = set(held)
     kept = [f for f in docs.schema if f.name not in extra]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +140,7 @@ def _scan(docs: DataFrame, text_col: str, shared) -> DataFrame:
         for b in slices(batches):
             texts = b.column(text_col)
             counts, spans, items = [], [], []
-            olds = zip(b.column("_spans").to_pylist(), b.column("_items").to_pylist(), strict=True) if extra else None
+            olds = zip(b.column(held[0]).to_pylist(), b.column(held[1]).to_pylist(), strict=True) if extra else None
             for i, raw in enumerate(texts.cast(pa.binary()).to_pylist()):
                 if extra:
                     old, ids = next(olds)
