@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import packed, unpacked
+from .base import cut, packed, release, unpacked
 
 #: Documents of a block at least; blocks of the schedule, about; documents of a range of md5s; ranges at most;
 #: times that number in a range that is cut on.
@@ -94,9 +94,13 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
     rows = packed(docs, names, _key=key, _md5=digest, _id=F.col(id_col), _all=F.xxhash64(*(F.col(f"`{c}`") for c in names)))
     rows = rows.withColumn("_range", F.floor(_bits("_md5", 1, 8) * ranges / F.lit(2**32)).cast("int"))
     # a range that few ids fill is cut on by what follows in the order
-    full = rows.groupBy("_key", "_range").count().where(F.col("count") > CROWDED * RANGE).select("_key", "_range", F.lit(True).alias("_full"))
-    finer = _bits("_md5", 9, 4) * 2**16 + F.shiftrightunsigned(F.col("_all").bitwiseXOR(F.lit(-(2**63))), 48)
-    rows = rows.join(full, ["_key", "_range"], "left").withColumn("_sub", F.when(F.col("_full"), finer).otherwise(0)).drop("_full")
+    full = cut(rows.groupBy("_key", "_range").count().where(F.col("count") > CROWDED * RANGE).select("_key", "_range", F.lit(True).alias("_full")))
+    if full.isEmpty():
+        release(full)
+        rows = rows.withColumn("_sub", F.lit(0).cast("long"))
+    else:  # written before, so that Spark knows its size and does not shuffle the documents for this join too
+        finer = _bits("_md5", 9, 4) * 2**16 + F.shiftrightunsigned(F.col("_all").bitwiseXOR(F.lit(-(2**63))), 48)
+        rows = rows.join(full, ["_key", "_range"], "left").withColumn("_sub", F.when(F.col("_full"), finer).otherwise(0)).drop("_full")
     per_range = rows.groupBy("_key", "_range", "_sub").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_key").orderBy("_range", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_range.select("_key", "_range", "_sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
