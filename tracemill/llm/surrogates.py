@@ -98,11 +98,23 @@ _PATTERNS = {
     "card": r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{4}(?![\w-])|(?<![\w-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w.-])",
+}
+_PERSONS = {
     "titled": rf"\b(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\b\.? {_NAME}(?: {_NAME}){{0,2}}",
     "named": rf"\b(?:{'|'.join(sorted(_GIVEN, key=len, reverse=True))})(?: [{_UPPER}]\.)?(?: {_NAME}){{1,2}}",
 }
-_ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _PATTERNS.items()))
-_LIKELY = re.compile("[0-9@]|(?i:password|passwd|pwd=)|token|secret|api_key|" + "|".join(sorted([*_TITLES, *_GIVEN])))
+_PERSON = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _PERSONS.items()))
+#: Starts with a known letter, so that texts without such a name are passed over fast.
+_KNOWN = re.compile("|".join(sorted([*_TITLES, *_GIVEN])))
+_DIGIT = re.compile("[0-9]")
+_KEYWORDS = ("password", "passwd", "pwd=", "PASSWORD", "token", "secret", "api_key", '"')
+
+
+@lru_cache(8)
+def _finder(mail: bool, keyed: bool, digits: bool) -> re.Pattern | None:
+    """All patterns that a text of these signs can hold, in their order."""
+    some = {k: v for k, v in _PATTERNS.items() if (mail if k == "email" else keyed if k in ("token", "password") else digits)}
+    return re.compile("|".join(f"(?P<{k}>{v})" for k, v in some.items())) if some else None
 
 
 class Permutation:
@@ -292,19 +304,23 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order; persons word by word as given or family."""
-    if not text or not _LIKELY.search(text):
+    if not text:
         return []
+    finder = _finder("@" in text, any(k in text for k in _KEYWORDS), bool(_DIGIT.search(text)) or "AKIA" in text or "ASIA" in text)
     found, known = [], {}
-    for m in _ANY.finditer(text):
+    for m in finder.finditer(text) if finder else ():
         kind = m.lastgroup
         if kind == "card" and luhn("".join(filter(str.isdigit, m.group()))):
             continue  # an order number or the like
         if kind in ("password", "token") and not any(map(alphabet, m.group())):
             continue  # masked already
-        if kind not in ("titled", "named"):
-            found.append((m.start(), m.end(), kind))
-            continue
-        start = m.start() + (re.match(r"\w+\.? ", m.group()).end() if kind == "titled" else 0)
+        found.append((m.start(), m.end(), kind))
+    taken = [x[0] for x in found], [x[1] for x in found]
+    for m in _PERSON.finditer(text) if _KNOWN.search(text) else ():
+        k = bisect_right(taken[0], m.end() - 1)
+        if k and taken[1][k - 1] > m.start():
+            continue  # inside or across another entity
+        start = m.start() + (re.match(r"\w+\.? ", m.group()).end() if m.lastgroup == "titled" else 0)
         words = takewhile(lambda x: x.group() not in _TITLES, re.finditer(_NAME, text[start : m.end()]))
         parts = [(start + x.start(), start + x.end()) for x in words]
         for k, (a, b) in enumerate(parts):
@@ -312,6 +328,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             found.append((a, b, role))
             known.setdefault(text[a:b], role)
     if known:  # mentions elsewhere
+        found.sort()
         starts, ends = [x[0] for x in found], [x[1] for x in found]
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?!\w)", text):
             k = bisect_right(starts, m.start())
