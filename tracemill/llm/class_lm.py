@@ -22,6 +22,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -143,15 +144,14 @@ def assigned(docs: DataFrame, text_col: str, top: list[bytes], of: np.ndarray, l
                 u = np.fromiter(map(units.__getitem__, w), np.int64, len(w))
                 g = shared.value[1][np.concatenate([[end], u, [end]])]
                 at = np.flatnonzero(u > end)
-                held.update(w[i] + codes[k] for i, k in zip(at.tolist(), (g[at] * classes + g[at + 2]).tolist(), strict=True))
+                held.update(map(add, map(w.__getitem__, at.tolist()), map(codes.__getitem__, (g[at] * classes + g[at + 2]).tolist())))
                 if len(held) > HELD:
                     yield batch()
                     held.clear()
         yield batch()
 
     found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(around, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    last = lambda k: F.expr(f"substring(key, length(key) - {k - 1}, {k})")
-    split = found.select(F.expr("substring(key, 1, length(key) - 3)").alias("word"), F.conv(F.hex(last(3)), 16, 10).cast("int").alias("code"), "n")
+    split = found.select(F.expr("substring(key, 1, length(key) - 3)").alias("word"), F.expr("substring(key, length(key) - 2, 3)").alias("code"), "n")
     words = split.groupBy("word").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"))  # at most classes^2 codes a word
     gain = (log_p[:, None, :] + log_p.T[None, :, :]).reshape(-1, classes).astype(np.float32)  # of a class between two others
 
@@ -162,7 +162,9 @@ def assigned(docs: DataFrame, text_col: str, top: list[bytes], of: np.ndarray, l
             if not b.num_rows:
                 continue
             starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            codes, ns = lists.flatten().to_numpy(), b.column("ns").flatten().to_numpy()
+            ns = b.column("ns").flatten().to_numpy()
+            three = np.frombuffer(b"".join(lists.flatten().to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
+            codes = three[:, 0] << 16 | three[:, 1] << 8 | three[:, 2]
             score = np.add.reduceat(gain[codes] * ns[:, None].astype(np.float32), starts[:-1])
             c = np.add.reduceat(ns, starts[:-1])
             score = score - c[:, None] * np.log(mass + c[:, None])
@@ -302,6 +304,7 @@ def class_scores(docs: DataFrame, id_col: str, text_col: str, folds: int, out_fo
     def scored(batches):
         m = shared.value
         ids, log_c, before, cls, of, tab = m["ids"], m["log_c"], m["before"], m["class"], m["of"], m["table"]
+        units = _Units({}, end + 1)
         for b in slices(batches):
             n_tok, n_known, logs, ctx, rest, gs, ks = [], [], [], [], [], [], []
             for t in b.column("_text").to_pylist():
@@ -311,12 +314,13 @@ def class_scores(docs: DataFrame, id_col: str, text_col: str, folds: int, out_fo
                 g = np.zeros(len(w) + 1, np.int64)  # class before each token, the end's being 0
                 if len(ids):
                     g[1:] = before[at]
-                g[1 + new] = [of[end + 1 + form(w[i])] for i in new]
+                others = [w[i] for i in new.tolist()]
+                g[1 + new] = of[np.fromiter(map(units.__getitem__, others), np.int64, len(others))]
                 ctx.append(float(tab[g[:-1][old], cls[at[old]]].sum() + tab[g[-1], 0]))
                 logs.append(float(log_c[at[old]].sum()) + m["log_end"])
                 n_known.append(int(old.sum()) + (m["log_end"] > 0))
                 n_tok.append(len(w) + 1)
-                many = Counter((w[i], k) for i, k in zip(new.tolist(), g[:-1][new].tolist(), strict=True))
+                many = Counter(zip(others, g[:-1][new].tolist(), strict=True))
                 rest.append([x for x, _ in many])
                 gs.append([k for _, k in many])
                 ks.append(list(many.values()))
@@ -333,8 +337,8 @@ def class_scores(docs: DataFrame, id_col: str, text_col: str, folds: int, out_fo
     met = rest.join(model.others, "word", "left").withColumn("h", F.coalesce("h", F.lit(model.unseen))).join(table, ["g", "h"])
     more = met.groupBy("_row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("_more"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("_more_logs"), F.sum(F.col("k") * F.col("x")).alias("_more_ctx"))
     rows = rows.drop("_rest", "_gs", "_ks").join(more, "_row", "left")
-    add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    rows = rows.withColumns({"n_known": add("n_known", "_more"), "_logs": add("_logs", "_more_logs"), "_ctx": add("_ctx", "_more_ctx")})
+    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    rows = rows.withColumns({"n_known": plus("n_known", "_more"), "_logs": plus("_logs", "_more_logs"), "_ctx": plus("_ctx", "_more_ctx")})
     n, v = model.n, model.v
     return rows.select(
         id_col,
