@@ -179,6 +179,19 @@ def min_token_encode(spark, sf_dir):
     return df.select("doc_id", F.size("atoms").alias("n_atoms"), F.size("encoded").alias("n_tokens"), F.md5(F.array_join("encoded", " ")).alias("encoded_md5"))
 
 
+@query(f"""
+WITH {_ENCODED}, t AS (SELECT doc_id, list_concat([(doc_id % 768)::INT, 768], encoded) AS tokens FROM enc)
+SELECT doc_id, len(tokens)::INT AS length, row_number() OVER (ORDER BY doc_id) - 1 AS place, (coalesce(sum(len(tokens)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM t
+""")
+def encoded_documents(spark, sf_dir):
+    """A release as training documents: a prefix, the encoded words, and where each stands in the whole."""
+    from . import releases
+
+    rows = _stream(spark, sf_dir).select("doc_id", F.array((F.col("doc_id") % 768).cast("int"), F.lit(768)).alias("board"), "atoms")
+    out = releases.encode_documents(rows, ["doc_id"], "board", "atoms", _fixed_dictionary(spark, sf_dir), 131_072)
+    return out.select("doc_id", "length", "place", "start", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
 @query(f"WITH {_DOCS} SELECT doc_id, md5(array_to_string(atoms, ' ')) AS decoded_md5, len(atoms)::INT AS n_atoms FROM a")
 def decode_roundtrip(spark, sf_dir):
     dictionary = _fixed_dictionary(spark, sf_dir)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import draws
 from ..functions.arrays import is_ragged_sound
 from ..functions.vocabulary import COMPOSITE
+from ..operators import packing, segmentation
 from ..operators.profiles import interpolated
 from ..operators.references import violations
 
@@ -70,6 +71,15 @@ def problems(rows: DataFrame, roots: DataFrame, dropped: DataFrame) -> DataFrame
     return own.unionByName(twice).unionByName(both).unionByName(apart.select(c("root_id").alias("id"), "rule", F.lit(None).cast("string").alias("detail")))
 
 
+def encode_documents(rows: DataFrame, order: list[str], prefix: str, atoms: str, dictionary: DataFrame, cap: int) -> DataFrame:
+    """``rows`` as documents of a training set: tokens (the board's ``prefix``, then the trace encoded), length, and
+    place and start in the given order. A document over ``cap`` is an error, as none is cut or left out."""
+    encoded = segmentation.encode(rows, atoms, dictionary, "_encoded").withColumn("tokens", F.concat(prefix, "_encoded")).drop("_encoded")
+    length = F.size("tokens")
+    sized = encoded.withColumn("length", F.when(length > cap, F.raise_error(F.concat(F.lit(f"a document has more than {cap} tokens: "), length.cast("string"))).cast("int")).otherwise(length))
+    return packing.offsets(sized, order, "length")
+
+
 def settings_problems(rows: DataFrame, seed: str, mix: list[tuple[str, float]]) -> DataFrame:
     """(id, rule, detail) where a stored presentation or split is not what the seed and the root's id draw."""
     c = F.col

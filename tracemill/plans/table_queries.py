@@ -164,3 +164,30 @@ def checkpoint_retention(spark, sf_dir):
 
     rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey")
     return retained(rows, ["c_mktsegment"], "c_custkey", 1000, 3)
+
+
+_BINNED = f"CASE WHEN root_value BETWEEN -1 AND 1 THEN len(list_filter([{', '.join(map(repr, V.BOUNDS))}], lambda b: b < root_value)) END"
+
+
+@query(f"""
+WITH s AS (SELECT l_orderkey AS position, 'm' || l_linenumber AS move, l_quantity::INT AS cp, CASE WHEN l_linenumber % 5 = 0 THEN l_quantity::INT % 7 - 3 END AS mate, (l_discount * 10 - 0.5)::DOUBLE AS value FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_discount) AS l_discount FROM lineitem GROUP BY ALL)),
+c AS (SELECT * FROM s UNION ALL SELECT o_orderkey, '{evaluation.CLAIM}', 0, NULL, 0.0 FROM orders WHERE o_custkey % 4 = 0),
+k AS (SELECT *, CASE WHEN mate IS NULL THEN 0 WHEN mate > 0 THEN 1 ELSE -1 END AS sign, coalesce(-mate, cp) AS score FROM c),
+r AS (SELECT *, rank() OVER (PARTITION BY position ORDER BY sign DESC, score DESC) AS move_rank, count(*) OVER (PARTITION BY position) AS n, first(value) OVER w AS best_value, first(cp) OVER w AS best_cp FROM k WINDOW w AS (PARTITION BY position ORDER BY sign DESC, score DESC, move = '{evaluation.CLAIM}', move)),
+root AS (SELECT position, value AS root_value, mate AS root_mate FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY sign DESC, score DESC, move) AS place FROM k WHERE move <> '{evaluation.CLAIM}') WHERE place = 1)
+SELECT r.position, move_rank, round((move_rank - 1) / greatest(n - 1, 1), 9) AS fraction, best_cp - cp AS cp_loss, round((best_value - r.value) / 2, 9) AS value_loss, round(abs(0.25 - root_value), 9) AS value_error, 9 = {_BINNED} AS bin_correct,
+  CASE WHEN root_mate IS NOT NULL THEN 2 = greatest(-30, least(28, root_mate)) END AS mate_correct
+FROM r JOIN root USING (position) WHERE move = 'm1'
+""")
+def graded_answers(spark, sf_dir):
+    """One answer per order, the line m1, against the scores of its lines."""
+    c = F.col
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_discount").alias("l_discount"))
+    mate = F.when(c("l_linenumber") % 5 == 0, c("l_quantity").cast("int") % 7 - 3)
+    scores = lines.select(c("l_orderkey").alias("position"), F.concat(F.lit("m"), c("l_linenumber").cast("string")).alias("move"), c("l_quantity").cast("int").alias("cp"), mate.alias("mate"), (c("l_discount") * 10 - 0.5).cast("double").alias("value"))
+    roots = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("position"), (c("o_custkey") % 4 == 0).alias("claimable"))
+    answers = roots.select("position", F.lit("m1").alias("decision"), F.lit(0.25).alias("value"), F.lit(9).alias("value_bin"), F.lit(2).alias("mate_distance"))
+    out = evaluation.graded(answers, scores, roots)
+    return out.select(
+        "position", c("move_rank").cast("long").alias("move_rank"), F.round("move_rank_fraction", 9).alias("fraction"), "cp_loss", F.round("expected_score_loss", 9).alias("value_loss"), F.round("value_absolute_error", 9).alias("value_error"), c("value_bin_correct").alias("bin_correct"), c("mate_distance_correct").alias("mate_correct")
+    )
