@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.base import cut, free_name, release, table, with_row_number
+from tracemill.llm.base import cut, free_name, release, table, tidy, with_row_number
 from tracemill.llm.decontaminate import find_leaks
 from tracemill.llm.mixing import mixed
 from tracemill.llm.near_dup import near_duplicates
@@ -71,9 +71,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's result written to the shared folder and read again."""
+    """The stages over documents, each one's result written to the shared folder and read again; what a stage wrote
+    on its way, and the stage before it, are deleted."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        before, docs = docs, tidy(stage)(spark, docs, sf_dir)
         release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
