@@ -62,4 +62,15 @@ SELECT doc_id, source, (r // 32)::BIGINT AS block, s::BIGINT AS slot, (s * 32 +
 FROM d JOIN slots ON d.k = slots.k AND slots.j = r // 32, horizon
 """
 
-ORACLES: dict[str, str] = {"op2_near_duplicates": OP2, "op3_decontamination": OP3, "op4_source_mix": OP4}
+#: All pairs of vectors, and what each reaches by its links.
+OP10 = """
+WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER () AS r, embedding::DOUBLE[] AS x FROM embeddings),
+sound AS (SELECT r, x, len(x) AS d FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_max(list_transform(x, lambda e: abs(e))) > 0),
+links AS (SELECT a.r AS x, b.r AS y FROM sound a JOIN sound b ON a.d = b.d AND a.r <> b.r WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least_of AS (SELECT reach.x AS r, min(v.vec_id) AS least FROM reach JOIN v ON reach.y = v.r GROUP BY reach.x),
+n AS (SELECT x AS r, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, least) AS component_id, coalesce(vec_id <= least, true) AS kept FROM v LEFT JOIN least_of USING (r) LEFT JOIN n USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op10_vector_dedup": OP10, "op2_near_duplicates": OP2, "op3_decontamination": OP3, "op4_source_mix": OP4}
