@@ -22,7 +22,6 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -76,15 +75,22 @@ class _Units(dict):
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(word, c); the row without a word counts the texts."""
+
     def counted(batches):
-        held: Counter = Counter()
+        held, rows = Counter(), 0
+
+        def batch(words, ns):
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ns, pa.int64())], names=["word", "c"])
+
         for b in slices(batches):
+            rows += b.num_rows
             for t in b.column(0).to_pylist():
                 held.update(tokens(t))
                 if len(held) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+                    yield batch(list(held), list(held.values()))
                     held = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+        yield batch([*held, None], [*held.values(), rows])
 
     return docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -109,7 +115,7 @@ def unit_bigrams(docs: DataFrame, text_col: str, top: list[bytes]) -> np.ndarray
             for t in b.column(0).to_pylist():
                 ids.append(end)
                 ids += map(units.__getitem__, tokens(t))
-            if len(ids) > 1_000_000:
+            if len(ids) > 3_000_000:
                 yield cells(ids)
                 ids = []
         if ids:
@@ -131,28 +137,20 @@ def assigned(docs: DataFrame, text_col: str, top: list[bytes], of: np.ndarray, l
     shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(top)}, of))
 
     def around(batches):
-        held: Counter = Counter()
-        codes = [k.to_bytes(3, "big") for k in range(classes * classes)]
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["key", "n"])
-
         units = _Units(shared.value[0], end + 1)
         for b in slices(batches):
+            words, codes = [], []
             for t in b.column(0).to_pylist():
                 w = tokens(t)
                 u = np.fromiter(map(units.__getitem__, w), np.int64, len(w))
                 g = shared.value[1][np.concatenate([[end], u, [end]])]
                 at = np.flatnonzero(u > end)
-                held.update(map(add, map(w.__getitem__, at.tolist()), map(codes.__getitem__, (g[at] * classes + g[at + 2]).tolist())))
-                if len(held) > HELD:
-                    yield batch()
-                    held.clear()
-        yield batch()
+                words += map(w.__getitem__, at.tolist())
+                codes.append((g[at] * classes + g[at + 2]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate([np.zeros(0, np.int32), *codes]))], names=["word", "code"])
 
-    found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(around, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    split = found.select(F.expr("substring(key, 1, length(key) - 3)").alias("word"), F.expr("substring(key, length(key) - 2, 3)").alias("code"), "n")
-    words = split.groupBy("word").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"))  # at most classes^2 codes a word
+    found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(around, "word binary, code int").groupBy("word", "code").agg(F.count("*").alias("n"))
+    words = found.groupBy("word").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"))  # at most classes^2 codes a word
     gain = (log_p[:, None, :] + log_p.T[None, :, :]).reshape(-1, classes).astype(np.float32)  # of a class between two others
 
     def best(batches):
@@ -162,9 +160,7 @@ def assigned(docs: DataFrame, text_col: str, top: list[bytes], of: np.ndarray, l
             if not b.num_rows:
                 continue
             starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            ns = b.column("ns").flatten().to_numpy()
-            three = np.frombuffer(b"".join(lists.flatten().to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
-            codes = three[:, 0] << 16 | three[:, 1] << 8 | three[:, 2]
+            codes, ns = lists.flatten().to_numpy(), b.column("ns").flatten().to_numpy()
             score = np.add.reduceat(gain[codes] * ns[:, None].astype(np.float32), starts[:-1])
             c = np.add.reduceat(ns, starts[:-1])
             score = score - c[:, None] * np.log(mass + c[:, None])
@@ -238,10 +234,10 @@ class Model:
 
     def __init__(self, train: DataFrame, text_col: str, words: int, classes: int, mix: float):
         counts = cut(word_counts(train, text_col))
-        n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-        self.ends = train.count()
+        there = F.col("word").isNotNull()
+        n_words, distinct, self.ends = counts.agg(F.coalesce(F.sum(F.when(there, F.col("c"))), F.lit(0)), F.count("word"), F.coalesce(F.sum(F.when(~there, F.col("c"))), F.lit(0))).first()
         self.n, self.v = n_words + self.ends, distinct + (self.ends > 0)
-        top = counts.orderBy(F.desc("c"), "word").limit(words).toArrow()
+        top = counts.where(there).orderBy(F.desc("c"), "word").limit(words).toArrow()
         self.top = [bytes(w) for w in top["word"].to_pylist()]
         self.top_c = top["c"].to_numpy().astype(np.int64)
         self.end = end = len(self.top)
