@@ -29,7 +29,7 @@ def move_ranks(scores: DataFrame) -> DataFrame:
     w = Window.partitionBy("position")
     ranked = keyed.withColumns({"move_rank": F.rank().over(w.orderBy(F.desc("_key"))), "_n": F.count("*").over(w)})
     # of equal scores the first move by name is the best one, the claim coming last
-    best = F.first(F.struct("cp", "value", "mate")).over(w.orderBy(F.desc("_key"), F.col("move") == CLAIM, "move"))
+    best = F.first(F.struct("cp", "value", "mate")).over(w.orderBy(F.desc("_key"), F.col("move").cast("string") == CLAIM, "move"))
     ranked = ranked.withColumn("_best", best)
     return ranked.select(
         "position",
@@ -46,7 +46,7 @@ def root_values(scores: DataFrame) -> DataFrame:
     """(position, root_value, root_mate) of the best searched move; the claim is not searched."""
     key = V.score_key(F.col("cp"), F.col("mate"))
     best = F.min_by(F.struct("value", "mate"), F.struct(-key["sign"], -key["score"], F.col("move")))  # ties by name
-    return scores.where(F.col("move") != CLAIM).groupBy("position").agg(best.alias("_b")).select("position", F.col("_b.value").alias("root_value"), F.col("_b.mate").alias("root_mate"))
+    return scores.where(F.col("move").cast("string") != CLAIM).groupBy("position").agg(best.alias("_b")).select("position", F.col("_b.value").alias("root_value"), F.col("_b.mate").alias("root_mate"))
 
 
 def graded(answers: DataFrame, scores: DataFrame, roots: DataFrame) -> DataFrame:
