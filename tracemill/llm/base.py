@@ -38,11 +38,15 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._tracemill_path = path
+    return owned(spark.read.schema(df.schema).parquet(path), path)
+
+
+def owned(df: DataFrame, path: str) -> DataFrame:
+    """``df``, the files at ``path`` being deleted with it."""
+    df._tracemill_path = path
     if _scopes():
-        _scopes()[-1].append(back)
-    return back
+        _scopes()[-1].append(df)
+    return df
 
 
 _local = threading.local()

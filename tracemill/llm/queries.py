@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters over whole tables."""
+"""The registered queries of the operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import table, tidy
 from .surrogates import checked_surrogates
 
 #: The key of these queries; a deployment passes its own secret.
@@ -90,6 +90,19 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+@tidy
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import folded, leaf_hash, manifest, siblings_hash
+
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = {c: F.col(c) for c in fields} | {"n_chars": F.try_add(F.col("n_chars"), F.lit(1))}
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, leaf_hash(*changed.values()))
+    out = manifest(table(spark, sf_dir, "documents"), "lang", "doc_id", fields, carry=tampered)
+    again = folded(F.coalesce("carried", "leaf"), F.col("proof")).alias("folded_root")
+    out = out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", siblings_hash(F.col("proof")).alias("proof_sha256"), again)
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 

@@ -73,4 +73,39 @@ n AS (SELECT x AS r, count(*) AS n FROM links GROUP BY x)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, least) AS component_id, coalesce(vec_id <= least, true) AS kept FROM v LEFT JOIN least_of USING (r) LEFT JOIN n USING (r)
 """
 
-ORACLES: dict[str, str] = {"op10_vector_dedup": OP10, "op2_near_duplicates": OP2, "op3_decontamination": OP3, "op4_source_mix": OP4}
+#: The field of a leaf: its count of bytes in UTF-8, a colon and the value.
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+
+#: Lists of hashes halved level by level, every row's siblings in them, and the hashes folded with these.
+OP12 = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))
+),
+d AS (
+  SELECT doc_id, coalesce('s' || lang, '') AS g, sha256({_LEAF}) AS leaf,
+    CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0
+      THEN sha256({_LEAF.replace("n_chars", "(n_chars + 1)")}) END AS other
+  FROM documents, crc
+),
+p AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+lv AS (
+  SELECT g, 0 AS level, list(leaf ORDER BY pos) AS h FROM p GROUP BY g
+  UNION ALL SELECT g, level + 1, list_transform(range(1, len(h) + 1, 2), lambda i: sha256(h[i] || coalesce(h[i + 1], ''))) FROM lv WHERE len(h) > 1
+),
+tops AS (SELECT g, h[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM lv WHERE len(h) = 1),
+up AS (
+  SELECT 0 AS level, list(subroot ORDER BY pos) AS h FROM tops
+  UNION ALL SELECT level + 1, list_transform(range(1, len(h) + 1, 2), lambda i: sha256(h[i] || coalesce(h[i + 1], ''))) FROM up WHERE len(h) > 1
+),
+beside AS (
+  SELECT r, level, pos >> level AS k, h FROM p JOIN lv USING (g) WHERE len(h) > 1
+  UNION ALL SELECT r, 100 + level, tops.pos >> level, h FROM p JOIN tops USING (g), up WHERE len(h) > 1
+),
+proofs AS (SELECT r, list(CASE WHEN k % 2 = 1 THEN 'L' || h[k] ELSE coalesce('R' || h[k + 2], '') END ORDER BY level) AS e FROM beside GROUP BY r)
+SELECT doc_id, leaf, subroot, up.h[1] AS root, sha256(array_to_string(list_transform(coalesce(e, []), lambda x: x[2:]), '')) AS proof_sha256,
+  list_reduce(list_prepend(coalesce(other, leaf), coalesce(e, [])), lambda h, x: sha256(CASE WHEN x[1] = 'L' THEN x[2:] || h ELSE h || x[2:] END)) AS folded_root, folded_root = root AS verified
+FROM p JOIN tops USING (g) LEFT JOIN proofs USING (r), up WHERE len(up.h) = 1
+"""
+
+ORACLES: dict[str, str] = {"op12_merkle_manifest": OP12, "op10_vector_dedup": OP10, "op2_near_duplicates": OP2, "op3_decontamination": OP3, "op4_source_mix": OP4}
