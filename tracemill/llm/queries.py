@@ -90,6 +90,17 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+@tidy
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import find_secrets
+
+    out = find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda fs: F.array_join(F.transform(fs, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+    base = F.filter("findings", lambda f: f["kind"] != "net")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+
+
 @tidy
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import folded, leaf_hash, manifest, siblings_hash
@@ -103,6 +114,19 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@tidy
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hashlib import sha256
+
+    from .base import cut
+    from .vector_codes import vector_codes, with_group_error
+
+    coded, books = vector_codes(table(spark, sf_dir, "embeddings"), keep=("label",), parts=16, entries=64, rounds=2)
+    out = with_group_error(cut(coded), "label")
+    digest = sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 

@@ -108,4 +108,28 @@ SELECT doc_id, leaf, subroot, up.h[1] AS root, sha256(array_to_string(list_trans
 FROM p JOIN tops USING (g) LEFT JOIN proofs USING (r), up WHERE len(up.h) = 1
 """
 
-ORACLES: dict[str, str] = {"op12_merkle_manifest": OP12, "op10_vector_dedup": OP10, "op2_near_duplicates": OP2, "op3_decontamination": OP3, "op4_source_mix": OP4}
+_NEAREST = """SELECT part, vec_id, any_value(label) AS label, any_value(x) AS x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * 256 + entry) AS best
+  FROM p JOIN {0} USING (part) GROUP BY part, vec_id"""
+_MEANS = """SELECT part, entry, coalesce(m, c) AS c FROM {0} LEFT JOIN (
+    SELECT part, entry, list(s - ((s % n) + n) % n ORDER BY k) AS f, any_value(n) AS n, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS m
+    FROM (SELECT part, best % 256 AS entry, k, sum(x[k])::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM {1}) GROUP BY ALL) GROUP BY part, entry
+  ) USING (part, entry)"""
+
+#: Every part against every entry, three times.
+OP13 = f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda e: floor(e::DOUBLE * 256)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+),
+p AS (SELECT vec_id, label, k AS part, q[k * len(q) // 16 + 1 : (k + 1) * len(q) // 16] AS x FROM v, range(16) r(k)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 64),
+c0 AS (SELECT part, entry, x AS c FROM p JOIN first USING (vec_id)),
+d0 AS ({_NEAREST.format("c0")}), c1 AS ({_MEANS.format("c0", "d0")}),
+d1 AS ({_NEAREST.format("c1")}), c2 AS ({_MEANS.format("c1", "d1")}),
+d2 AS ({_NEAREST.format("c2")}),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2),
+codes AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', (best % 256)::INT), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM d2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM codes, books
+"""
+
+ORACLES: dict[str, str] = {"op13_vector_codes": OP13, "op12_merkle_manifest": OP12, "op10_vector_dedup": OP10, "op2_near_duplicates": OP2, "op3_decontamination": OP3, "op4_source_mix": OP4}
