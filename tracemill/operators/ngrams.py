@@ -2,35 +2,89 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import adjacent_pairs
-from ..tables import stored
+from ..tables import release, stored
 
 LIMIT, MIN_COUNT = 20_000, 8
 #: Tokens are ids of 16 bits, so four of them fit a long.
 BITS, PER_LONG = 16, 4
-
-
-def packed_windows(df: DataFrame, tokens: str, shortest: int, longest: int) -> DataFrame:
-    """(length, k1, k2) of all runs within the rows' arrays: the first four tokens and the rest, packed. Runs of
-    numbers instead of arrays keep the counting in Tungsten's memory and in generated code."""
-    if not 1 <= shortest <= longest <= 2 * PER_LONG:
-        raise ValueError(f"runs have 1 to {2 * PER_LONG} tokens")
-    at = F.col(tokens)
-    shifted = lambda i, j: F.shiftleft(F.coalesce(F.get(at, i + j), F.lit(0)).cast("long"), BITS * (PER_LONG - 1 - j))
-    fours = F.transform(at, lambda _, i: shifted(i, 0).bitwiseOR(shifted(i, 1)).bitwiseOR(shifted(i, 2)).bitwiseOR(shifted(i, 3)))
-    # the arrays must not pass the generator, which would copy them for every token, nor be what a filter asks
-    # about, as that would be pushed below and work them out again
-    pairs = F.zip_with("_f", F.slice("_f", PER_LONG + 1, F.size("_f")), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit(0)).alias("b")))
-    placed = F.transform(pairs, lambda x, i: F.struct(x["a"].alias("_a"), x["b"].alias("_b"), (F.size("_f") - i).alias("_left")))
-    each = df.select(fours.alias("_f")).select(F.inline(placed))
-    lengths = F.sequence(F.lit(shortest), F.least(F.lit(longest), F.col("_left")))
-    runs = each.where(F.col("_left") >= shortest).select("_a", "_b", F.explode(lengths).alias("length"))
-    k1 = F.expr(f"shiftrightunsigned(_a, {BITS} * greatest({PER_LONG} - length, 0))")
-    k2 = F.expr(f"IF(length > {PER_LONG}, shiftrightunsigned(_b, {BITS} * ({2 * PER_LONG} - length)), 0L)")
-    return runs.select("length", k1.alias("k1"), k2.alias("k2"))
+#: Cells of a sieve, a bit each.
+CELLS = 1 << 27
+
+
+def _hashed(k1: np.ndarray, k2: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of each packed run; ``cells`` is a power of two."""
+    h = (k1.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (k2.astype(np.uint64) + np.uint64(0x165667B19E3779F9))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h >> np.uint64(65 - cells.bit_length())
+
+
+def _held(sieve: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    cell = _hashed(k1, k2, 64 * len(sieve))
+    return (sieve[cell >> np.uint64(6)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _runs(shortest: int, longest: int, sieve: np.ndarray | None):
+    """Arrow rows (length, k1, k2) of all runs within the arrays of a batch: the first four tokens and the rest, packed.
+    With a ``sieve`` of the runs one shorter than ``shortest``, only runs all of whose such parts may be in it."""
+
+    def packed(batches):
+        for b in _pieces(batches):
+            tokens, sizes = b.column(0).flatten(), pc.fill_null(b.column(0).value_lengths(), 0).to_numpy()
+            t = np.append(pc.fill_null(tokens, 0).to_numpy().astype(np.int64), np.zeros(longest, np.int64))
+            if len(t) and (t.min() < 0 or t.max() >= 1 << BITS):
+                raise ValueError(f"tokens are ids of {BITS} bits")
+            left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(tokens))  # tokens from here to the array's end
+            keys = [np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)]
+            at = np.arange(len(left))
+            whole = None
+            for n in range(1, longest + 1):
+                k = keys[n > PER_LONG]
+                k[at] = k[at] << BITS | t[at + n - 1]
+                if sieve is not None and n == shortest - 1:  # which places begin a run that the sieve holds
+                    whole = np.zeros(len(t), bool)
+                    ends = at[left[at] >= n]
+                    whole[ends] = _held(sieve, keys[0][ends], keys[1][ends])
+                    at = ends[whole[ends]]
+                    continue
+                at = at[left[at] >= n]
+                if whole is not None and n >= shortest:
+                    at = at[whole[at + n - shortest + 1]]
+                if n >= shortest and len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int8)), pa.array(keys[0][at]), pa.array(keys[1][at])], names=["length", "k1", "k2"])
+
+    return packed
+
+
+def _pieces(batches, most: int = 250_000):
+    """Batches of so many tokens, or of one row."""
+    for b in batches:
+        ends, at = np.cumsum(pc.fill_null(b.column(0).value_lengths(), 0).to_numpy().astype(np.int64)), 0
+        while at < b.num_rows:
+            past = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right")))
+            yield b.slice(at, past - at)
+            at = past
+
+
+def _sieve(counts: DataFrame, cells: int) -> np.ndarray:
+    """A bit for each cell, set where a run of ``counts`` falls; gathered as words, cells / 64 at most."""
+
+    def words(batches):
+        for b in batches:
+            cell = _hashed(b.column(0).to_numpy(), b.column(1).to_numpy(), cells)
+            bit = (np.uint64(1) << (cell & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((cell >> np.uint64(6)).astype(np.int64)), pa.array(bit)], names=["word", "bits"])
+
+    got = counts.select("k1", "k2").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(cells // 64, np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
 
 
 def _unpacked() -> Column:
@@ -44,14 +98,37 @@ def count_windows(df: DataFrame, tokens: str, shortest: int = 2, longest: int =
     """(atoms, length, n) of the runs seen ``min_count`` times or more; runs that touch a ``forbidden`` token
     (an array literal) are left out. Runs do not cross rows.
 
-    A run of n tokens can only be that frequent where both of its runs of n - 1 are; with the sums taken on the
-    map side the plain count needs one shuffle, which is why no such rounds are made.
+    A run is only that frequent where all of its parts are. So the shortest runs are counted first, then those one
+    longer whose two parts are frequent, then all others whose parts of that length are. What is frequent is sent to the
+    tasks as bits by hash, CELLS in number whatever the corpus; that lets some runs through in vain, and as all that
+    comes through is counted, none is lost. So what a corpus has once, its mass, is never shuffled as a long run.
     """
-    counts = packed_windows(df, tokens, shortest, longest).groupBy("length", "k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    out = counts.select(_unpacked().alias("atoms"), "length", "n")
+    if not 1 <= shortest <= longest <= 2 * PER_LONG:
+        raise ValueError(f"runs have 1 to {2 * PER_LONG} tokens")
+    steps = [(n, n) for n in range(shortest, min(shortest + 2, longest + 1))] + ([(shortest + 2, longest)] if longest > shortest + 1 else [])
+    steps = steps if min_count > 1 else [(shortest, longest)]
+    streams = df.select(F.col(tokens).cast("array<int>").alias("tokens"))
+    streams = stored(streams) if len(steps) > 1 else streams
+    parts, sieve = [], None
+    for first, last in steps:
+        held = None if sieve is None else df.sparkSession.sparkContext.broadcast(sieve)
+        runs = streams.mapInArrow(_sent(first, last, held), "length byte, k1 long, k2 long")
+        counts = runs.groupBy("length", "k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+        parts.append(counts if len(steps) == 1 else stored(counts))
+        if last < longest:
+            sieve = _sieve(parts[-1], CELLS)
+    release(streams)
+    counts = parts[0]
+    for p in parts[1:]:
+        counts = counts.unionByName(p)
+    out = counts.select(_unpacked().alias("atoms"), F.col("length").cast("int").alias("length"), "n")
     return out if forbidden is None else out.where(~F.arrays_overlap("atoms", forbidden))
 
 
+def _sent(first: int, last: int, sieve):
+    return lambda batches: _runs(first, last, sieve and sieve.value)(batches)
+
+
 def candidates(counts: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Of each length the ``limit`` most frequent runs (ties by the run), with what each would save.
 

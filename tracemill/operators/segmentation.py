@@ -5,19 +5,23 @@ A dictionary is a table (id, atoms) of at most 62,529 entries (ids are 16-bit),
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import COMPOSITE, CONTROL
 from ..tables import release, stored
-from .ngrams import pair_counts
+from .ngrams import BITS, pair_counts
 
 MOST = 65535 - COMPOSITE
 LONGEST = 8
+#: Runs that a dictionary may be chosen from.
+POOL = 1_000_000
 
 
 def fewest_tokens(stream: list[int], entries: dict[tuple[int, ...], int], longest: int) -> list[int]:
@@ -58,19 +62,23 @@ class Encoder:
             out ^= out >> np.uint64(29)
         return out
 
-    def encode(self, streams: list[np.ndarray]) -> list[list[int]]:
-        ends = np.cumsum([len(s) for s in streams])
-        flat = np.concatenate([np.zeros(0, np.int64), *streams]).astype(np.int64)
+    def cuts(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which tokens of streams laid end to end begin where no entry spans the place."""
         spanned = np.zeros(len(flat) + 1, np.int64)  # entries over the place before each token, as differences
         for n, hashes in self.hashes.items():
             if len(flat) >= n:
                 h = self._hashed(np.lib.stride_tricks.sliding_window_view(flat.astype(np.uint64), n))
                 at = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h)
-                np.add.at(spanned, at + 1, 1)
-                np.add.at(spanned, at + n, -1)
+                spanned[at + 1] += 1
+                spanned[at + n] -= 1
         cut = np.cumsum(spanned)[:-1] == 0
         cut[ends[ends < len(flat)]] = True
-        starts = np.flatnonzero(cut)
+        return cut
+
+    def encode(self, streams: list[np.ndarray]) -> list[list[int]]:
+        ends = np.cumsum([len(s) for s in streams])
+        flat = np.concatenate([np.zeros(0, np.int64), *streams]).astype(np.int64)
+        starts = np.flatnonzero(self.cuts(flat, ends))
         runs = np.append(starts, len(flat))
         long = np.flatnonzero(np.diff(runs) > 1)
         tokens, out, k = flat.tolist(), [], 0
@@ -137,8 +145,10 @@ def decode(df: DataFrame, tokens: str, dictionary: DataFrame, out: str = "decode
     rows = _listed(dictionary)
     if not rows:
         return df.withColumn(out, F.when(F.forall(tokens, lambda t: t < COMPOSITE), F.col(tokens)))
-    table = df.sparkSession.createDataFrame(rows, "id int, atoms array<int>").agg(F.map_from_entries(F.collect_list(F.struct("id", "atoms"))).alias("_of"))
-    expanded = F.flatten(F.transform(tokens, lambda t: F.when(t < COMPOSITE, F.array(t)).otherwise(F.try_element_at("_of", t))))
+    by_id = dict(rows)
+    of = [by_id.get(COMPOSITE + k) for k in range(max(by_id) - COMPOSITE + 1)]
+    table = df.sparkSession.createDataFrame([(of,)], "_of array<array<int>>")  # an id is its place, whatever their number
+    expanded = F.flatten(F.transform(tokens, lambda t: F.when(t < COMPOSITE, F.array(t)).otherwise(F.get("_of", t - COMPOSITE))))
     return df.join(F.broadcast(table)).withColumn(out, expanded).drop("_of")
 
 
@@ -164,39 +174,115 @@ def _numbered(spark, entries: list[list[int]]) -> DataFrame:
     return spark.createDataFrame([(COMPOSITE + i, a) for i, a in enumerate(entries)], "id int, atoms array<int>")
 
 
+class _Pool:
+    """The runs that may become entries, by number in the order of their tokens."""
+
+    def __init__(self, runs: list[tuple[int, ...]]):
+        self.runs = sorted(runs)
+        self.number = {a: k for k, a in enumerate(self.runs)}
+
+    def segments(self, batches) -> Iterator[list[np.ndarray]]:
+        """Each batch's streams cut wherever no run of the pool spans the place; pieces of one token are left out."""
+        places = Encoder(self.number)
+        for b in batches:
+            out = []
+            for s in (np.asarray(x.values, np.int32) for x in b.column(0) if x.is_valid and len(x.values)):
+                cuts = np.flatnonzero(places.cuts(s, np.array([len(s)])))
+                out += [s[i:j] for i, j in zip(cuts, [*cuts[1:], len(s)], strict=True) if j - i > 1]
+            yield out
+
+    def inside(self, segment: list[int]) -> set[int]:
+        """Numbers of the runs that occur."""
+        found = (self.number.get(tuple(segment[i : i + n])) for n in range(2, LONGEST + 1) for i in range(len(segment) - n + 1))
+        return {k for k in found if k is not None}
+
+
+def _changes(pool: _Pool, before: list[int] | None, after: list[int]):
+    """How many more times each run of the pool is chosen, and is the joint expansion of two neighbours, when the
+    entries ``after`` take the place of ``before`` (none: nothing was counted yet)."""
+
+    base = 1 << BITS  # beyond all tokens, whatever they are
+
+    def tally(batches):
+        chosen, joint = Counter(), Counter()
+        encoders = [(sign, Encoder({pool.runs[k]: base + k for k in entries})) for sign, entries in ((-1, before), (1, after)) if entries is not None]
+        for b in batches:
+            times = b.column("times").to_pylist()
+            streams = [np.asarray(x.values, np.int64) for x in b.column("segment")]
+            made = [encoder.encode(streams) for _, encoder in encoders]
+            for row in zip(times, *made, strict=True):
+                if len(row) == 3 and row[1] == row[2]:
+                    continue
+                for (sign, _), tokens in zip(encoders, row[1:], strict=True):
+                    atoms = [pool.runs[t - base] if t >= base else (t,) for t in tokens]
+                    for t in tokens:
+                        if t >= base:
+                            chosen[t - base] += sign * row[0]
+                    for left, right in zip(atoms, atoms[1:], strict=False):
+                        k = pool.number.get(left + right)
+                        if k is not None:
+                            joint[k] += sign * row[0]
+        keys = sorted(chosen.keys() | joint.keys())
+        columns = [pa.array(keys, pa.int64()), pa.array([chosen[k] for k in keys], pa.int64()), pa.array([joint[k] for k in keys], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["run", "chosen", "joint"])
+
+    return tally
+
+
 def select_dictionary(df: DataFrame, tokens: str, pool: DataFrame, budget: int, block: int = 64, rounds: int = 100_000) -> DataFrame:
     """A dictionary of at most ``budget`` entries grown in rounds: encode, drop what was never chosen, admit up
-    to ``block`` of the most frequent joint runs. A last round drops what the final encoding leaves unused.
+    to ``block`` of the most frequent joint runs. At the end what the last encoding leaves unused is dropped.
 
-    The driver holds the entries alone (at most MOST). Equal streams are encoded once, with their number; each
-    round's pairs are counted from there, and the round before is deleted.
+    Streams are cut once where no run of the pool spans the place, as no entry ever will, and equal segments become
+    one with their number. An index tells which segments hold which run of the pool. A round encodes only the segments
+    that hold a run just admitted, before and after, and adds the differences of the counts to what is known; so all
+    rounds together cost a few encodings, however many they are. The driver holds two numbers a run of the pool, of
+    which there are POOL at most.
     """
     spark = df.sparkSession
-    entries: list[list[int]] = []
     budget = min(budget, MOST)
-    pool = stored(pool.select("atoms").distinct())
-    streams = stored(df.where(F.size(tokens) > 0).groupBy(F.col(tokens).alias("_stream")).agg(F.count("*").alias("_times")))
-
-    def used(encoded: DataFrame, table: DataFrame) -> list[list[int]]:
-        chosen = encoded.select(F.explode("encoded").alias("id"), "_times").where(F.col("id") >= COMPOSITE).select("id").distinct()
-        return [list(r["atoms"]) for r in table.join(chosen, "id", "left_semi").orderBy("id").collect()]
-
+    runs = [tuple(r["atoms"]) for r in pool.select("atoms").distinct().limit(POOL + 1).collect()]
+    if len(runs) > POOL:
+        raise ValueError(f"a pool has at most {POOL} runs")
+    runs = _Pool([r for r in runs if 2 <= len(r) <= LONGEST])
+    shared = spark.sparkContext.broadcast(runs)
+
+    def cut(batches):
+        for out in shared.value.segments(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["segment"])
+
+    def postings(batches):
+        for b in batches:
+            found = [(k, i) for i, x in zip(b.column("id").to_pylist(), b.column("segment").to_pylist(), strict=True) for k in shared.value.inside(x)]
+            columns = [pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["run", "id"])
+
+    pieces = df.select(F.col(tokens).cast("array<int>").alias("t")).mapInArrow(cut, "segment array<int>")
+    segments = stored(pieces.groupBy("segment").agg(F.count("*").alias("times")).withColumn("id", F.monotonically_increasing_id()))
+    index = stored(segments.select("id", "segment").mapInArrow(postings, "run long, id long").repartitionByRange("run", "id").sortWithinPartitions("run"))
+
+    def counted(rows: DataFrame, before: list[int] | None, after: list[int]) -> None:
+        found = rows.select("segment", "times").mapInArrow(lambda bs: _changes(shared.value, before, after)(bs), "run long, chosen long, joint long")
+        for r in found.groupBy("run").agg(F.sum("chosen").alias("chosen"), F.sum("joint").alias("joint")).collect():  # POOL rows at most
+            chosen[r["run"]] += r["chosen"]
+            joint[r["run"]] += r["joint"]
+
+    chosen, joint = np.zeros(len(runs.runs), np.int64), np.zeros(len(runs.runs), np.int64)
+    entries: list[int] = []
+    counted(segments, None, entries)
     for _ in range(rounds):
-        if len(entries) >= budget:
-            break
-        table = _numbered(spark, entries)
-        encoded = stored(encode(streams, "_stream", table).select("encoded", "_times"))
-        entries = used(encoded, table)
+        entries = [k for k in entries if chosen[k] > 0]
         room = min(block, budget - len(entries))
-        kept = _numbered(spark, entries)
-        new = merges(encoded, "encoded", table, pool, "_times").join(F.broadcast(kept.select("atoms")), "atoms", "left_anti")
-        added = [list(r["atoms"]) for r in new.orderBy(F.desc("n"), "atoms").limit(room).collect()]
-        release(encoded)
-        entries += added
+        if room <= 0:
+            break
+        free = joint.copy()
+        free[entries] = 0
+        best = np.argsort(-free, kind="stable")[:room]  # of equal numbers the first by its tokens
+        added = best[free[best] > 0].tolist()
         if not added:
             break
-    if entries:
-        table = _numbered(spark, entries)
-        entries = used(encode(streams, "_stream", table), table)
-    release(streams, pool)
-    return _numbered(spark, entries)
+        held = index.where(F.col("run").isin(added)).select("id").distinct()
+        counted(segments.join(held, "id", "left_semi"), entries, entries + added)
+        entries = entries + added
+    release(segments, index)
+    return _numbered(spark, [list(runs.runs[k]) for k in entries if chosen[k] > 0])

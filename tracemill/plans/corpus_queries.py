@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, draws
 from ..functions.vocabulary import COMPOSITE, CONTROL
 from ..operators import dedup, ngrams, packing, profiles, sampling, segmentation
-from ..tables import table
+from ..sources import packed
+from ..tables import shared_folder, table
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -138,10 +141,16 @@ def adjacent_pairs(spark, sf_dir):
     return ngrams.pair_counts(_stream(spark, sf_dir), "atoms")
 
 
+_HELD: dict[tuple[str, str], list[list[int]]] = {}
+
+
 def _fixed_dictionary(spark, sf_dir) -> DataFrame:
-    """The 64 most frequent pairs and triples, a dictionary to encode with."""
-    top = ngrams.candidates(ngrams.count_windows(_stream(spark, sf_dir), "atoms", 2, 3), limit=32).orderBy("length", F.desc("n"), "atoms").limit(64).collect()
-    return segmentation._numbered(spark, [list(r["atoms"]) for r in top])
+    """The 64 most frequent pairs and triples, a dictionary to encode with; worked out once for an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _HELD:
+        top = ngrams.candidates(ngrams.count_windows(_stream(spark, sf_dir), "atoms", 2, 3), limit=32).orderBy("length", F.desc("n"), "atoms").limit(64).collect()
+        _HELD[key] = [list(r["atoms"]) for r in top]
+    return segmentation._numbered(spark, _HELD[key])
 
 
 #: The dictionary above, and the shortest path by position: a, b, c are the costs one, two and three places back, t the
@@ -205,7 +214,55 @@ def merge_usage(spark, sf_dir):
     return segmentation.usage(segmentation.encode(_stream(spark, sf_dir), "atoms", dictionary), "encoded", dictionary).select("id", F.array_join("atoms", " ").alias("gram"), "n")
 
 
-@query()
+_BEST = {
+    2: "CASE WHEN y.b = 1 AND x.b < x.a + 1 THEN x.b + 1 ELSE x.a + 1 END",
+}
+_BEST[3] = f"CASE WHEN y.c = 1 AND x.c < {_BEST[2]} THEN x.c + 1 ELSE {_BEST[2]} END"
+_BEST[4] = f"CASE WHEN y.d = 1 AND x.d < {_BEST[3]} THEN x.d + 1 ELSE {_BEST[3]} END"
+_KEY = {n: "(" + " + ".join(f"(atoms[i - {n - 1 - j}] + 1) * {4096 ** (n - 1 - j)}::BIGINT" for j in range(n)) + ")" for n in (2, 3, 4)}
+_KEYS = ", ".join(f"list_transform(range(1, len(atoms) + 1), lambda i: CASE WHEN i >= {n} THEN {_KEY[n]} END) AS k{n}" for n in (2, 3, 4))
+_HOLDS = "CASE WHEN list_contains(e, k{0}[i]) THEN 1 ELSE 0 END"
+
+
+#: Round by round every document is encoded anew and every pair counted: what the incremental rounds must equal. A run is
+#: a number with 12 bits a token; each part is worked out in its own place.
+@query(f"""
+WITH RECURSIVE {_DOCS}, l AS (SELECT unnest([2, 3, 4]) AS n),
+g AS (SELECT unnest(list_transform(range(1, len(atoms) - n + 2), lambda i: atoms[i:i + n - 1])) AS gram, n FROM a, l WHERE len(atoms) >= n),
+c AS (SELECT gram, n AS length, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 8),
+pool AS MATERIALIZED (SELECT gram, list_reduce(list_prepend(0::HUGEINT, gram), lambda x, y: x * 4096 + y + 1) AS k FROM (SELECT *, row_number() OVER (PARTITION BY length ORDER BY n DESC, gram) AS r FROM c) WHERE r <= 500),
+ak AS MATERIALIZED (SELECT atoms, {_KEYS} FROM a),
+sel AS (
+  SELECT []::BIGINT[] AS e, true AS more
+  UNION ALL
+  SELECT * FROM (
+    WITH p AS (
+      SELECT atoms, k2, k3, k4, e, list_transform(range(1, len(atoms) + 1), lambda i: {{'a': 0, 'b': {_HOLDS.format(2)}, 'c': {_HOLDS.format(3)}, 'd': {_HOLDS.format(4)}, 't': []::INT[]}}) AS s FROM sel, ak WHERE more
+    ),
+    f AS (
+      SELECT atoms, k2, k3, k4, e, list_reduce(s, lambda x, y: {{'a': {_BEST[4]}, 'b': x.a, 'c': x.b, 'd': x.c,
+        't': list_append(x.t, CASE WHEN y.d = 1 AND x.d < {_BEST[3]} THEN 4 WHEN y.c = 1 AND x.c < {_BEST[2]} THEN 3 WHEN y.b = 1 AND x.b < x.a + 1 THEN 2 ELSE 1 END)
+      }}, {{'a': 0, 'b': 1000000, 'c': 1000000, 'd': 1000000, 't': []::INT[]}}).t AS t FROM p
+    ),
+    w2 AS (
+      SELECT atoms, k2, k3, k4, e, list_reduce(list_transform(range(len(t), 0, -1), lambda i: {{'a': t[i], 'b': i::INT, 't': []::INT[]}}), lambda x, y: {{
+        'a': CASE WHEN x.a > 0 THEN x.a - 1 ELSE y.a - 1 END, 'b': 0, 't': CASE WHEN x.a > 0 THEN x.t ELSE list_append(x.t, y.b * 8 + y.a) END
+      }}, {{'a': 0, 'b': 0, 't': []::INT[]}}).t AS back FROM f
+    ),
+    enc AS MATERIALIZED (SELECT e, list_transform(list_reverse(back), lambda z: CASE z % 8 WHEN 1 THEN atoms[z // 8] + 1 WHEN 2 THEN k2[z // 8] WHEN 3 THEN k3[z // 8] ELSE k4[z // 8] END) AS t FROM w2),
+    seen AS (SELECT list(DISTINCT u) AS us FROM (SELECT unnest(t) AS u FROM enc)),
+    used AS (SELECT list_filter(e, lambda k: list_contains(us, k)) AS kept FROM (SELECT any_value(e) AS e FROM enc HAVING count(*) > 0), (SELECT coalesce(us, []) AS us FROM seen)),
+    pairs AS (
+      SELECT x * (CASE WHEN y < 4096 THEN 4096 WHEN y < {4096**2} THEN {4096**2} WHEN y < {4096**3} THEN {4096**3} ELSE {4096**4} END)::HUGEINT + y AS k, sum(m) AS n
+      FROM (SELECT p.x AS x, p.y AS y, count(*) AS m FROM (SELECT unnest(list_transform(range(1, len(t)), lambda i: {{'x': t[i]::HUGEINT, 'y': t[i + 1]::HUGEINT}})) AS p FROM enc) GROUP BY ALL) GROUP BY k
+    ),
+    best AS (SELECT k::BIGINT AS k, row_number() OVER (ORDER BY n DESC, gram) AS r FROM pairs JOIN pool USING (k), used WHERE NOT list_contains(kept, k::BIGINT)),
+    added AS (SELECT coalesce(list(k ORDER BY r), []) AS new FROM best, used WHERE r <= least(16, 48 - len(kept)))
+    SELECT list_concat(kept, new) AS e, len(new) > 0 AS more FROM used, added
+  )
+)
+SELECT ({COMPOSITE} + i - 1)::INT AS id, array_to_string(gram, ' ') AS gram FROM (SELECT i, e[i]::HUGEINT AS k FROM (SELECT e, unnest(range(1, len(e) + 1)) AS i FROM sel WHERE NOT more)) JOIN pool USING (k)
+""")
 def merge_select(spark, sf_dir):
     df = _stream(spark, sf_dir)
     pool = ngrams.candidates(ngrams.count_windows(df, "atoms", 2, 4), limit=500)
@@ -249,6 +306,18 @@ def update_groups(spark, sf_dir):
     return packing.label_totals(packed, "length", "update")
 
 
+@query(f"""
+WITH {_DOCS} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, (coalesce(sum(len(atoms)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, len(atoms)::INT AS length,
+  md5(array_to_string(atoms, ' ')) AS tokens_md5 FROM a
+""")
+def packed_documents(spark, sf_dir):
+    """All documents written through the data source of packed tokens and read back by ranges."""
+    path = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    packed.write_packed(_stream(spark, sf_dir), ["doc_id"], path, "atoms")
+    back = packed.read_packed(spark, path, 1 << 20)
+    return back.select("place", "start", F.size("tokens").alias("length"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
 @query(f"WITH {_LENGTHS} SELECT doc_id, length::INT AS length FROM n WHERE length > 1000")
 def oversized_documents(spark, sf_dir):
     return packing.oversized(_lengths(spark, sf_dir), "length", 1000).select("doc_id", "length")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import draws, positions
@@ -242,3 +244,52 @@ def release_settings(spark, sf_dir):
     rows = _release(spark, sf_dir)
     champions = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("root_id")).agg(F.max("l_linenumber").alias("depth"))
     return releases.settings_problems(rows, "640", [("zero", 0.1), ("full", 0.5), ("random", 0.4)]).unionByName(releases.unmatched(rows, champions))
+
+
+_OWN = f"SELECT doc_id, CASE WHEN {_draw_sql(chr(39) + 'split' + chr(39), 'doc_id')} % 65 = 0 THEN 'val' ELSE 'train' END AS split, ({_draw_sql(chr(39) + 'shard' + chr(39), 'doc_id')} % 8)::INT AS shard, n_chars FROM documents"
+
+
+def _published(spark, sf_dir):
+    """Documents published by three writers: two at their own shards, one that replaces a shard of the first with
+    what is there and is refused another time; a fourth one is killed before its commit and recovered."""
+    from ..tables import shared_folder
+    from . import commits
+
+    path = f"{shared_folder(spark)}/release-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", draws.split_of(F.col("doc_id")).alias("split"), (draws.draw("shard", F.col("doc_id")) % 8).cast("int").alias("shard"))
+    every = [(s, k) for s in ("train", "val") for k in range(8)]
+    totals = {"n_chars": F.sum("n_chars"), "long": F.count_if(F.col("n_chars") >= 1000)}
+
+    def own(covers):
+        return rows.where(F.concat_ws("/", "split", "shard").isin([f"{s}/{k}" for s, k in covers]))
+
+    staged = [commits.stage(own(c), path, c, {"seed": 640}, ["doc_id"], totals) for c in (every[:6], every[6:12], every[:2])]
+    commits.stage(own(every[12:]), path, every[12:], {"seed": 640}, ["doc_id"], totals)  # killed here
+    for writer in staged[:2]:
+        commits.commit(spark, path, writer)
+    try:
+        commits.commit(spark, path, staged[2])
+    except commits.Conflict:  # the shards have an owner
+        pass
+    commits.recover(spark, path)
+    return commits, path
+
+
+@query(_OWN)
+def published_release(spark, sf_dir):
+    """What readers of the newest version see."""
+    commits, path = _published(spark, sf_dir)
+    return commits.read(spark, path).select("doc_id", "split", "shard", "n_chars")
+
+
+@query(f"""
+WITH r AS ({_OWN}), s AS (SELECT split || '/' || shard AS what, count(*) AS n FROM r GROUP BY ALL)
+SELECT 'shard' AS section, w.split || '/' || k AS what, coalesce(n, 0)::BIGINT AS n FROM (VALUES ('train'), ('val')) w(split), range(8) x(k) LEFT JOIN s ON s.what = w.split || '/' || k
+UNION ALL SELECT 'total', 'n_rows', count(*) FROM r UNION ALL SELECT 'total', 'n_chars', sum(n_chars)::BIGINT FROM r UNION ALL SELECT 'total', 'long', count(*) FILTER (WHERE n_chars >= 1000) FROM r
+""")
+def release_validation(spark, sf_dir):
+    """The roll-up that the writers gathered on their way, stored and read back; SQL scans for it."""
+    commits, path = _published(spark, sf_dir)
+    commits.write_validation(spark, path)
+    back = spark.read.json(f"{path}/validation", schema="shards map<string,long>, totals map<string,long>")
+    return back.select(F.lit("shard").alias("section"), F.explode("shards").alias("what", "n")).unionByName(back.select(F.lit("total").alias("section"), F.explode("totals").alias("what", "n")))
