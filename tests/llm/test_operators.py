@@ -571,6 +571,14 @@ def test_html_templates_of_a_section_of_a_large_host(spark):
     assert got[309] == line(309) and got[303] == f"{line(303)}\n{quoted}"
 
 
+def test_html_passages_inside_articles(spark):
+    """One that every article of a host has is template, one that some quote is not, whatever the host's size."""
+    letter, quote = "<p>Get our letter every morning</p>", "<p>A line that some pages quote</p>"
+    data = [(k * 1000 + i, f"http://h{n}.org/{i}", f"<article><p>own {i}</p>{letter}{quote if i % 3 == 0 else ''}</article>") for k, n in enumerate((20, 100)) for i in range(n)]
+    got = html_text.page_texts(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"own {i % 1000}" + ("\nA line that some pages quote" if i % 1000 % 3 == 0 else "") for i, _, _ in data}
+
+
 PROBES = {
     '<body class="home right-sidebar comments-open"><p>A b</p></body>': "A b",
     '<article class="post related-topic"><p>x</p></article>': "x",
@@ -581,13 +589,24 @@ PROBES = {
     '<section class="comments"><article class="comment">c</article></section><p>t</p>': "t",
     "<div class=sidebar><main><p>m</p></main></div>": "m",
     "<p>cut <b": "cut",
+    '<nav>n</nav><form id="aspnetForm"><div class="menu">m</div><article><p>story</p></article></form><footer>f</footer>': "story",
+    '<form><div id="main"><p>story</p><form><label>name</label></form></div></form><p>around</p>': "story",
+    '<div class="elementor-widget"><p>story</p></div>': "story",
+    '<div id="content" class="content-sidebar"><p>story</p><div class="sidebar">s</div></div>': "story",
+    '<div class="widget"><nav>n</nav><div class="widget"><p>story</p></div></div><footer>f</footer>': "story",
+    '<article><h2 id="navigation">Navigation of ships</h2><p class="menu">Soup 5 dollars</p></article>': "Navigation of ships\nSoup 5 dollars",
+    '<article><section id="social"><h2>Social structure</h2><p id="comments-on-war">w</p></section><section id="comments"><p>c</p></section></article>': "Social structure\nw",
+    '<article><div class="hero-banner"><h1>Title</h1></div><div class="banner">b</div><p>t</p></article>': "Title\nt",
+    '<div class="related"><article>teaser</article></div><p>text</p>': "text",
+    "<nav>only a menu</nav>": "",
+    "<div>" * 600 + '<nav>MENU</nav>text<div class="sidebar"><div>SIDE</div></div>end' + "</div>" * 600 + "<p>after": "text\nend\nafter",
     "<!-- never closed <p>x</p>": "",
 }
 
 
 def test_html_of_odd_pages():
     assert {t: html_text.extract(t) for t in PROBES} == PROBES
-    for part in ("<a ", '<a "', "<a x='\"", "</script ", "<script ", "<div>", "<b><ul>", "<i><ul>" + "<b>" * 500 + "</i>" * 500, "<!-", "&amp", "x<p>"):
+    for part in ("<a ", '<a "', "<a x='\"", "</script ", "<script ", "<div>", "<b><ul>", "<i><ul>" + "<b>" * 500 + "</i>" * 500, "<!-", "&amp", "x<p>", "<form>", '<div class="widget">x', "<div><nav>"):
         began = time.time()
         html_text.extract(part * (1_000_000 // len(part)))
         assert time.time() - began < 20, part

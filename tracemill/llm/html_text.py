@@ -5,13 +5,15 @@ many different pages of a host each hash occurs, copies of a page (same text) be
 recurs on many pages of its host is template and is deleted, whatever its size, and with it what its tag or class
 already names as menu, notice, form, comments and the like. What is left is the article: the text of the article
 or main elements, or of the body where a page has none. Running text (paragraphs, headings, quotations, single
-items and cells, words marked in them) inside an article is never deleted for recurring: a passage that many
-articles quote belongs to each of them; a whole list or table may be. Outside an article running text goes if it
-is also on a share of the host's pages; all else goes by the count of pages alone, however large the host. An
-element that holds an article is never a template.
+items and cells, words marked in them) inside an article is deleted for recurring only where most pages of the host
+have it: a passage that many articles quote belongs to each of them; a whole list or table goes by its count. Outside
+an article running text goes if it is also on a share of the host's pages; all else goes by the count of pages alone,
+however large the host. An element that holds an article is never a template. What an element is called never removes
+the only article of a page, nor its only text; inside an article paragraphs and headings have no such names, nor
+have sections by their ids, nor what holds the title.
 
 Cases: null or empty html gives an empty text; pages without a host in their url have no templates; unclosed tags,
-comments and scripts run to the end; what is nested deeper than DEPTH counts as part of the element at that depth;
+comments and scripts run to the end; what is nested deeper than DEPTH is hashed with the element at that depth, menus and the like there still go;
 repeated rows give a row each; an empty table gives an empty result; columns named text or n_chars are replaced,
 others stay.
 """
@@ -19,6 +21,7 @@ others stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
@@ -31,6 +34,8 @@ from .base import cut, packed, schema_of, slices, unpacked
 
 #: A template is on so many pages of its host at least; running text outside an article also on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.05
+#: Running text inside an article is template if it is on more than this share of the host's pages.
+INSIDE_SHARE = 0.5
 #: Templates that are broadcast at most (16 bytes each, about 100 MB as Python sets); beyond, they are joined.
 BROADCAST_TEMPLATES = 500_000
 HELD, SALTS = 200_000, 64
@@ -66,6 +71,10 @@ WHOLE = frozenset("html body main".split())
 NO_ARTICLE = frozenset("ad ads advert advertisement comment comments promo promoted reply sponsored".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt b i em strong span a u code figcaption tbody tr".split())
 MAIN = frozenset(("article", "main"))
+#: Inside an article never named away.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong code figcaption".split())
+#: An id that names the readers' part even of a section inside an article.
+READERS = frozenset("comment comments commentlist disqus respond".split())
 #: An open element of the second group ends when one of the first starts.
 _ENDS = [(BLOCKS - {"br"} - frozenset("body html td th tr li dd dt tbody thead tfoot".split()), frozenset("p")), (frozenset(["li"]), frozenset(["li"])), (frozenset(("dd", "dt")), frozenset(("dd", "dt"))), (frozenset(("td", "th", "tr", "tbody")), frozenset(("td", "th"))), (frozenset(("tr", "tbody")), frozenset(["tr"])), (frozenset(["option"]), frozenset(["option"]))]
 _CLOSES = {t: frozenset().union(*(b for a, b in _ENDS if t in a)) for t in frozenset().union(*(a for a, _ in _ENDS))}
@@ -92,36 +101,53 @@ def _names_beside(token: str) -> bool:
 
 
 @lru_cache(20_000)
-def nature(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """(names, beside, main) of a start tag: its class, id and role; whether it stands beside the article by what
-    it is called; whether it says that it is the main part."""
+def nature(tag: str, raw: str, inside: bool = False) -> tuple[str, bool, bool, bool]:
+    """(names, beside, soft, main) of a start tag: its class, id and role; whether it stands beside the article by what it
+    is called; whether that is only so by a word, or by being a form, which may also go around all of a page; whether
+    it says that it is the main part. Inside an article running text has no such names, and a section's id may be
+    its subject."""
     found = attributes(raw) if raw else {}
     tokens = [t for k in ("class", "id", "role") for t in found.get(k, "").split()]
-    beside = tag in DROPPED
+    hard = tag in DROPPED and tag != "form"
+    soft = tag == "form"
     if tag == "article":
-        beside = any(t.lower() in NO_ARTICLE for t in tokens)
-    elif tag not in WHOLE:
-        beside = beside or any(map(_names_beside, tokens))
+        hard = any(t.lower() in NO_ARTICLE for t in tokens)
+    elif tag not in WHOLE and not (inside and tag in RUNNING):
+        subject = found.get("id", "").split() if inside and tag == "section" else []
+        soft = soft or any(_names_beside(t) and (t not in subject or t.lower() in READERS) for t in tokens)
     if tag not in ("html", "body") and (found.get("hidden", "false").lower() != "false" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)):
-        beside = True
+        hard = True
     names = " ".join(tokens).lower()
-    return names, beside, not beside and (tag in MAIN or "main" in names.split())
+    return names, hard or soft, soft and not hard, not hard and not soft and (tag in MAIN or "main" in names.split())
 
 
 class Element:
-    __slots__ = ("tag", "beside", "main", "holds_main", "holds_whole", "parts", "hash", "size", "first", "last", "inside")
+    __slots__ = ("tag", "beside", "soft", "main", "holds_main", "holds_whole", "holds_title", "parts", "hash", "size", "clear", "level", "under", "first", "last", "inside")
 
-    def __init__(self, tag: str, raw: str, inside: bool):
-        names, beside, self.main = nature(tag, raw)
+    def __init__(self, tag: str, raw: str, up: Element | None):
+        self.inside = up is not None and (up.inside or up.main)  # in an article already
+        names, beside, self.soft, self.main = nature(tag, raw, self.inside)
         self.tag = tag
-        self.inside = inside  # in an article already
-        self.beside = beside or (tag == "header" and not inside)
+        self.beside = beside or (tag == "header" and not self.inside)
         self.main &= not self.beside
         self.holds_main = self.main
         self.holds_whole = tag == "main"
+        self.holds_title = tag == "h1"
+        self.level = 0 if up is None else up.level + up.beside  # elements beside the article around it
+        self.under = up is not None and (up.under or (up.beside and not up.soft))  # one of them is no mere word
         self.parts = [tag, names]
         self.hash = None
-        self.size = 0
+        self.size = self.clear = 0  # lines of text, and those in no element beside the article
+
+    @property
+    def key(self) -> int:
+        """What its copies on other pages have in common; running text of articles is counted apart."""
+        return self.hash ^ 1 if self.kind == 2 else self.hash
+
+    @property
+    def kind(self) -> int:
+        """0, or for running text 1 outside an article and 2 inside."""
+        return 0 if self.tag not in TEXT else 2 if self.inside else 1
 
 
 def markup(html: str, skip: list[int]):
@@ -153,9 +179,11 @@ def markup(html: str, skip: list[int]):
 def parse(html: str) -> tuple[list[Element], list[str | None]]:
     """Closed elements, and the page's text pieces in order; None where a block begins or ends. An element's
     pieces are first to last (exclusive)."""
-    root = Element("#page", "", False)
+    root = Element("#page", "", None)
     root.first = 0
     stack, done, pieces, at, skip = [root], [], [], 0, [0]
+    unopened: dict[str, int] = {}  # tags beyond DEPTH
+    deep: list = []  # of these, what stands beside the article: tag, how often it is open, first piece
 
     def text(raw: str) -> None:
         if raw:
@@ -164,6 +192,7 @@ def parse(html: str) -> tuple[list[Element], list[str | None]]:
             if line:
                 stack[-1].parts.append(line)
                 stack[-1].size += 1
+                stack[-1].clear += not deep
 
     def close() -> None:
         e = stack.pop()
@@ -174,9 +203,19 @@ def parse(html: str) -> tuple[list[Element], list[str | None]]:
         up = stack[-1]
         up.parts.append(str(e.hash))
         up.size += e.size
+        if e.beside and e.soft and e.inside and e.holds_title:
+            e.beside = False  # the article's own title stands in it
+        up.clear += 0 if e.beside else e.clear
         up.holds_main |= e.holds_main
         up.holds_whole |= e.holds_whole
+        up.holds_title |= e.holds_title
+        done.append(e)
+
+    def set_apart() -> None:
+        e = Element("nav", "", stack[-1])
+        e.first, e.last, e.hash = deep[2], len(pieces), 0
         done.append(e)
+        deep.clear()
 
     for start, end, closing, tag, raw in markup(html, skip):
         text(html[at:start])
@@ -184,6 +223,15 @@ def parse(html: str) -> tuple[list[Element], list[str | None]]:
         if not tag:
             continue
         if closing:
+            if unopened.get(tag):
+                unopened[tag] -= 1
+                if tag in BLOCKS:
+                    pieces.append(None)
+                if deep and deep[0] == tag:
+                    deep[1] -= 1
+                    if not deep[1]:
+                        set_apart()
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     while len(stack) > k:
@@ -210,30 +258,64 @@ def parse(html: str) -> tuple[list[Element], list[str | None]]:
             stack[-1].parts.append(f"{tag} {nature(tag, raw)[0]}")
             continue
         if len(stack) >= DEPTH:
+            unopened[tag] = unopened.get(tag, 0) + 1
+            if deep:
+                deep[1] += tag == deep[0]
+            elif nature(tag, raw, stack[-1].inside or stack[-1].main)[1]:
+                deep += [tag, 1, len(pieces)]
             continue
-        e = Element(tag, raw, stack[-1].inside or stack[-1].main)
+        e = Element(tag, raw, stack[-1])
         e.first = len(pieces)
         stack.append(e)
         if html[end - 2 : end - 1] == "/" and tag in ("svg", "path", "use"):
             close()
     text(html[at:])
+    if deep:
+        set_apart()
     while len(stack) > 1:
         close()
     root.last = len(pieces)
     return [*done, root], pieces
 
 
-def templates_of(elements: list[Element]) -> dict[int, bool]:
-    """Hashes of the elements that may be template, and whether each is running text."""
-    return {e.hash: e.tag in TEXT for e in elements[:-1] if e.size and e.tag not in WHOLE and not e.holds_main and not (e.inside and e.tag in TEXT)}
+def templates_of(elements: list[Element]) -> dict[int, int]:
+    """Keys of the elements that may be template, and their kinds."""
+    return {e.key: e.kind for e in elements[:-1] if e.size and e.tag not in WHOLE and not e.holds_main}
+
+
+def named_away(elements: list[Element]) -> list[Element]:
+    """The elements that go by what they are called: all that stand beside the article, but for those around the only
+    article or, where a page has none, around its only text."""
+    beside = [e for e in elements if e.beside and not e.holds_whole]
+    if any(e.main and not e.level and e.size for e in elements):
+        return beside
+    bare = not elements[-1].clear  # no text but in elements beside the article
+    beside = [e for e in beside if not (e.soft and not e.under and e.holds_main and (bare or e.tag == "form"))]
+    if not bare or any(e.main and e.size and not e.under for e in elements):
+        return beside
+    around = [e for e in beside if e.soft and not e.under and e.clear]
+    if not around:
+        return beside
+    level = min(e.level for e in around)
+    spans = [(e.first, e.last) for e in around if e.level == level]
+    spared, k = [], 0
+    spans.sort()
+    firsts = [a for a, _ in spans]
+    for e in beside:  # those just found, and what is around one of them
+        k = bisect_left(firsts, e.first)
+        if e.soft and e.level <= level and k < len(spans) and spans[k][1] <= e.last:
+            spared.append(id(e))
+    spared = frozenset(spared)
+    return [e for e in beside if id(e) not in spared]
 
 
 def article(elements: list[Element], pieces: list[str | None], known: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text of a parsed page: blocks joined by one line feed."""
     gone = bytearray(len(pieces))
-    found = templates_of(elements).keys() & known if known else ()
-    for e in elements:
-        if (e.beside and not e.holds_whole) or (found and e.hash in found and e.tag not in WHOLE and not e.holds_main and not (e.inside and e.tag in TEXT)):
+    for e in named_away(elements):
+        gone[e.first : e.last] = b"\1" * (e.last - e.first)
+    for e in elements[:-1] if known else ():
+        if e.size and e.key in known and e.tag not in WHOLE and not e.holds_main:
             gone[e.first : e.last] = b"\1" * (e.last - e.first)
     mains = [e for e in elements if e.main and not e.inside and any(not gone[k] and pieces[k] and not pieces[k].isspace() for k in range(e.first, e.last))]
     if mains:
@@ -264,7 +346,7 @@ def host(url_col: str):
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, hash) of the subtrees on at least ``min_pages`` different pages of their host; those of running text
-    are also on ``min_share`` of its pages."""
+    are also on ``min_share`` of its pages, in an article on more than INSIDE_SHARE of them."""
 
     def subtrees(batches):
         seen: set = set()
@@ -273,7 +355,7 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
             for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 elements, pieces = parse(t)
                 page = int.from_bytes(blake2b(article(elements, pieces).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                found = {None: False} if (h, page) not in seen else {}
+                found = {None: 0} if (h, page) not in seen else {}
                 if len(seen) < HELD:
                     seen.add((h, page))
                 found |= templates_of(elements)
@@ -281,13 +363,15 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
                 hashes += found
                 running += found.values()
                 ids += [page] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(running, pa.bool_()), pa.array(ids, pa.int64())], names=["host", "hash", "running", "page"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(running, pa.int32()), pa.array(ids, pa.int64())], names=["host", "hash", "running", "page"])
 
     rows = pages.select(host(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("t")).where("host != ''")
-    once = rows.mapInArrow(subtrees, "host string, hash long, running boolean, page long").distinct()
+    once = rows.mapInArrow(subtrees, "host string, hash long, running int, page long").distinct()
     counts = cut(once.groupBy("host", "hash", "running").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages)))
+    share = F.col("n") / F.col("pages")
+    enough = F.when(F.col("running") == 1, share >= min_share).when(F.col("running") == 2, share > INSIDE_SHARE).otherwise(True)
     totals = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
-    return counts.where("hash IS NOT NULL").join(totals, "host").where(~F.col("running") | (F.col("n") >= min_share * F.col("pages"))).select("host", "hash")
+    return counts.where("hash IS NOT NULL").join(totals, "host").where(enough).select("host", "hash")
 
 
 def page_texts(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_most: int = BROADCAST_TEMPLATES, **options) -> DataFrame:
