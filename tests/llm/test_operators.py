@@ -114,6 +114,50 @@ MARKED = [
 ]
 
 
+#: Written forms of one entity, each in a text that names it.
+FORMS = [
+    ["+49 30 1234567", "+493012 34567", "+49 (30) 123-4567", "+49.30.1234567"],
+    ["+1 212 555 0100", "+1-212-555-0100", "+1 (212) 555 0100"],
+    ["anna.keller@mail.example.com", "Anna.Keller@Mail.Example.com", "ANNA.KELLER@MAIL.EXAMPLE.COM"],
+    ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"],
+    ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+]
+
+
+def test_written_forms_of_an_entity_share_a_surrogate(spark):
+    for forms in FORMS:
+        made = [surrogates.replaced(KEY, f"see {f} there") for f in forms]
+        assert [[old for _, old, _ in pairs] for _, pairs in made] == [[f] for f in forms]
+        assert len({surrogates.normal(p[0][0], p[0][2]) for _, p in made}) == 1 and all(p[0][1] != p[0][2] for _, p in made)
+    country = [p[0][2][:3] for _, p in (surrogates.replaced(KEY, f) for f in FORMS[0])]
+    assert country == ["+49"] * 4
+    table = spark.createDataFrame([(f,) for forms in FORMS for f in forms], "text string")
+    pairs = surrogates.cut(surrogates.mentions(table, KEY))
+    assert pairs.count() == len(FORMS) and surrogates.contradictions(pairs).isEmpty()
+
+
+SECRETS = {
+    'password="hunter2secret"': "hunter2secret", "password = x": "x", "Password: Hunter2secret": "Hunter2secret", "pwd: xyz": "xyz", "PWD=ab1": "ab1",
+    "Authorization: Bearer abc.DEF-123456": "abc.DEF-123456", "token: ghp_abcdEFGH1234abcdEFGH": "ghp_abcdEFGH1234abcdEFGH", 'api_key: "k3yk3yk3y"': "k3yk3yk3y",
+    "-----BEGIN RSA PRIVATE KEY-----\nMIIBOgIBAAJB\n-----END RSA PRIVATE KEY-----": "MIIBOgIBAAJB", "at fe80:0:0:0:202:b3ff:fe1e:8329.": "fe80:0:0:0:202:b3ff:fe1e:8329", "at 2001:db8::8a2e:370:7334 now": "2001:db8::8a2e:370:7334",
+    "MRS SMITH": "SMITH", "Mr.  Keller": "Keller", "Mr O'Brien": "O'Brien", "Herr McDonald": "McDonald", "Prof. Dr. Keller": "Keller",
+}
+CLEAN = ["Password: must be long", "the token: see below", "Grace Period", "We meet at 10:30:15 and 1:2", "std::vector"]
+
+
+def test_secrets_and_names_in_other_forms():
+    for text, old in SECRETS.items():
+        new, pairs = surrogates.replaced(KEY, text)
+        assert [p[1] for p in pairs if p[1] == old] == [old] and old not in new.split(), text
+        assert len(new) == len(text)
+    for text in CLEAN:
+        assert surrogates.replaced(KEY, text) == (text, [])
+    assert [p[1] for p in surrogates.replaced(KEY, "Mr Will said he Will go")[1]] == ["Will"]
+    assert [p[1] for p in surrogates.replaced(KEY, "Frau Dr. Petra Schmidt")[1]] == ["Petra", "Schmidt"]
+    loud, quiet = (surrogates.replaced(KEY, t)[1][0][2] for t in ("MRS SMITH", "Mrs Smith"))
+    assert loud == quiet.upper() and surrogates.replaced(KEY, "Mr McDonald")[0].startswith("Mr Mc")
+
+
 def like(c):
     kind = "digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.islower() else "letter" if c.isalpha() else c
     return kind, ord(c) // 0x400 if c.isalpha() else 0

@@ -9,7 +9,10 @@ document that holds such an entity gets it masked by its kind instead.
 Names: common given names are permuted within the list of their gender and script. Any other name word, given or
 family, keeps the ending that shows gender and origin (Schmidt-ova, -ski and -ska, -ina, -son) and gets another
 stem of the same vowels and consonants that can be spoken where the original can. Persons are found after a title
-and where a common given name stands before another name; their later mentions in the document are replaced too.
+and where a common given name stands before another name; their later mentions in the document are replaced too, but
+for words that a language has besides. Forms of one entity (a telephone number's spaces, an address in capitals, a name
+in capitals) have one surrogate, and the count over the corpus goes by these normal forms; a number without its country's
+code is another one.
 Names outside the list without a title, and names in scripts without upper case, are not found. Check digits are
 kept valid (a number whose check digit is wrong is no card; an IBAN's may be).
 
@@ -47,6 +50,10 @@ TITLES = {
     "m": "Mr Mister Monsieur Herr Señor Don Господин".split(),
     "": "Dr Prof Doktor Docteur Doctor".split(),
 }
+#: Words of a language that are names too: such a word alone is no mention of a person, nor does it begin one.
+COMMON = frozenset("Will May Mark Grace Hope Rose Bill Frank Art Rich Grant Chase Young Long Short Brown White Black Green King Page Price Day Summer Winter Stone Wood Field Hill Bush Best Good Strong Sharp Bell Cook Baker Carter Fox Wolf Rivers Banks Church Pope Bishop".split())
+#: Country codes of telephone numbers: of one digit, and of two; all others have three.
+CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 ALPHABETS = ["0123456789"] + [x for low in ("aeiou", "bcdfghjklmnpqrstvwxyz", "äöüáàâéèêíìîóòôúùûëïæøå", "çñßþð", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ") for x in (low, "".join(c.upper() for c in low if len(c.upper()) == 1 and c.upper() != c))]
 HEX = {"0-9a-f": ["0123456789abcdef"], "0-9A-F": ["0123456789ABCDEF"]}
 #: Endings of names that show gender or origin; consonants that are spoken together.
@@ -84,37 +91,50 @@ def alphabet(c: str) -> str | None:
     return found if len(found) > 1 else None
 _UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
 _LOWER = "a-zà-öø-ÿа-яё"
-_NAME = rf"[{_UPPER}][{_LOWER}]+(?:-[{_UPPER}][{_LOWER}]+)?"
+#: What stands before a name's stem and stays.
+_PREFIX = "(?:Mc|Mac(?=[A-Z])|[OD]['’](?=[A-Z]))"
+_WORD = rf"{_PREFIX}?[{_UPPER}][{_LOWER}]+"
+_NAME = rf"{_WORD}(?:-{_WORD})?"
+_LOUD = rf"(?:[OD]['’])?[{_UPPER}]{{2,}}(?:-[{_UPPER}]{{2,}})?"
 _TITLES = [t for ts in TITLES.values() for t in ts]
 _GIVEN = {n: (k, i) for k, names in NAMES.items() for i, n in enumerate(names)}
 
 _PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])",
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*(?P<token2>[A-Za-z0-9+/=\s]+?)\s*-----END",
+    "bearer": r"\b[Bb]earer\s+(?P<token3>[A-Za-z0-9._~+/-]{8,})",
+    "provider": r"\b(?P<token4>gh[pousr]_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})",
+    "named_token": r"(?i:(?:token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3})[\"']?(?P<token5>(?=[^\s\"']*[0-9])[A-Za-z0-9_./+=-]{8,})",
+    "quoted_password": r"(?i:(?:password|passwd|passphrase|pwd)[\"']?\s{0,3}[:=]\s{0,3})(?:\"(?P<password2>[^\"\n]+)\"|'(?P<password3>[^'\n]+)')",
+    "named_password": r"(?i:(?:password|passwd|passphrase|pwd)\s{0,3}=\s{0,3})(?P<password4>[^\s\"',;]+)|(?i:(?:password|passwd|passphrase|pwd)\s{0,3}:\s{0,3})(?P<password5>(?=[^\s\"',;]*[^\sA-Za-z.\"',;])[^\s\"',;]+)|\b(?i:pwd): (?P<password6>[^\s\"',;]+)",
     "token": r"(?:(?<=token = \")|(?<=token=\")|(?<=secret = \")|(?<=api_key = \"))[0-9A-Za-z_-]{16,}(?=\")|(?<=\")(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?=\")",
-    "password": r"(?:(?<=password=)|(?<=password: )|(?<=passwd=)|(?<=pwd=)|(?<=PASSWORD=))[^\s\"',;]{6,}",
     "aws_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\w)",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
     "card": r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{4}(?![\w-])|(?<![\w-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w.-])",
 }
 _PERSONS = {
-    "titled": rf"\b(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\b\.? {_NAME}(?: {_NAME}){{0,2}}",
-    "named": rf"\b(?:{'|'.join(sorted(_GIVEN, key=len, reverse=True))})(?: [{_UPPER}]\.)?(?: {_NAME}){{1,2}}",
+    "titled": rf"\b(?:(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\b\.? {{1,3}})+{_NAME}(?: {{1,3}}{_NAME}){{0,2}}",
+    "loud": rf"\b(?:(?:{'|'.join(sorted((t.upper() for t in _TITLES), key=len, reverse=True))})\b\.? {{1,3}})+{_LOUD}(?: {{1,3}}{_LOUD}){{0,2}}(?![{_LOWER}])",
+    "named": rf"\b(?:{'|'.join(sorted(_GIVEN.keys() - COMMON, key=len, reverse=True))})(?: [{_UPPER}]\.)?(?: {{1,3}}{_NAME}){{1,2}}",
 }
 _PERSON = re.compile("|".join(f"(?P<{k}>{v})" for k, v in _PERSONS.items()))
 #: Starts with a known letter, so that texts without such a name are passed over fast.
-_KNOWN = re.compile("|".join(sorted([*_TITLES, *_GIVEN])))
+_KNOWN = re.compile("|".join(sorted({*_TITLES, *(t.upper() for t in _TITLES), *_GIVEN})))
 _DIGIT = re.compile("[0-9]")
-_KEYWORDS = ("password", "passwd", "pwd=", "PASSWORD", "token", "secret", "api_key", '"')
+_TITLE = re.compile(rf"(?:{'|'.join(sorted({*_TITLES, *(t.upper() for t in _TITLES)}, key=len, reverse=True))})\b\.? {{1,3}}")
+_KEYWORDS = ("passw", "passphrase", "pwd", "token", "secret", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey", "bearer", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "private key")
 
 
-@lru_cache(8)
-def _finder(mail: bool, keyed: bool, digits: bool) -> re.Pattern | None:
+@lru_cache(32)
+def _finder(mail: bool, keyed: bool, quoted: bool, digits: bool, colons: bool) -> re.Pattern | None:
     """All patterns that a text of these signs can hold, in their order."""
-    some = {k: v for k, v in _PATTERNS.items() if (mail if k == "email" else keyed if k in ("token", "password") else digits)}
-    return re.compile("|".join(f"(?P<{k}>{v})" for k, v in some.items())) if some else None
+    signs = {"email": mail, "token": keyed or quoted, "ipv6": colons} | dict.fromkeys(("pem", "bearer", "provider", "named_token", "quoted_password", "named_password"), keyed)
+    some = {k: v for k, v in _PATTERNS.items() if signs.get(k, digits)}
+    return re.compile("|".join(v if "(?P<" in v else f"(?P<{k}>{v})" for k, v in some.items())) if some else None
 
 
 class Permutation:
@@ -229,6 +249,8 @@ def _ip(key: bytes, text: str) -> str:
 
 
 def _email(key: bytes, text: str) -> str:
+    if text != text.lower():  # the address is the same in any case
+        return "".join(n.upper() if o.isupper() else n for o, n in zip(text, _email(key, text.lower()), strict=True))
     local, _, domain = text.rpartition("@")
     labels = domain.split(".")
     reserved = 2 if len(labels) > 1 and labels[-2] == "example" else 1
@@ -264,15 +286,20 @@ def name_surrogate(key: bytes, word: str) -> str:
         return names[Permutation(key, f"given|{k}", len(names)).next(i)]
     if "-" in word:
         return "-".join(name_surrogate(key, w) for w in word.split("-"))
+    if len(word) > 3 and (prefix := re.match(_PREFIX, word)):
+        return prefix[0] + name_surrogate(key, word[prefix.end() :])
+    if len(word) > 1 and word.isupper():  # the same name as in small letters
+        return name_surrogate(key, word.capitalize()).upper()
     if len(word) > PIECE:
         return permuted(key, "name", word)
     return permuted(key, "name", word, _letters, tail=len(name_ending(word)), same=lambda w: (name_ending(w), w in _GIVEN, _spoken(w)))
 
 
 def _phone(key: bytes, text: str) -> str:
-    kept = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text)
-    # its digits alone, so a number has one surrogate however it is written
-    return _refill(text, permuted(key, "phone", "".join(filter(str.isdigit, text)), ["0123456789"], fixed=kept.end() - 1 if kept else 0), str.isdigit)
+    # its digits alone behind the country's code, so a number has one surrogate however it is written
+    digits = "".join(filter(str.isdigit, text))
+    code = next((k for k in (1, 2) if digits[:k] in CODES), 3) if text.startswith("+") else 0
+    return _refill(text, permuted(key, "phone", digits, ["0123456789"], fixed=code), str.isdigit)
 
 
 def _hex(text: str) -> str | None:
@@ -291,6 +318,9 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         return _iban(key, text)
     if kind == "ipv4":
         return _ip(key, text)
+    if kind == "ipv6":
+        made = iter(permuted(key, kind, text.lower(), ["0123456789", "abcdef"]))
+        return "".join(n.upper() if c.isupper() else n for c, n in zip(text, made, strict=True))
     if kind == "email":
         return _email(key, text)
     if kind == "phone":
@@ -306,27 +336,32 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order; persons word by word as given or family."""
     if not text:
         return []
-    finder = _finder("@" in text, any(k in text for k in _KEYWORDS), bool(_DIGIT.search(text)) or "AKIA" in text or "ASIA" in text)
+    low = text.lower()
+    finder = _finder("@" in text, any(k in low for k in _KEYWORDS), '"' in text, bool(_DIGIT.search(text)) or "AKIA" in text or "ASIA" in text, text.count(":") > 1)
     found, known = [], {}
     for m in finder.finditer(text) if finder else ():
-        kind = m.lastgroup
+        group = m.lastgroup
+        kind = group.rstrip("23456") if group not in ("ipv4", "ipv6") else group
         if kind == "card" and luhn("".join(filter(str.isdigit, m.group()))):
             continue  # an order number or the like
-        if kind in ("password", "token") and not any(map(alphabet, m.group())):
+        if kind in ("password", "token") and not any(map(alphabet, m.group(group))):
             continue  # masked already
-        found.append((m.start(), m.end(), kind))
+        found.append((*m.span(group), kind))
     taken = [x[0] for x in found], [x[1] for x in found]
     for m in _PERSON.finditer(text) if _KNOWN.search(text) else ():
         k = bisect_right(taken[0], m.end() - 1)
         if k and taken[1][k - 1] > m.start():
             continue  # inside or across another entity
-        start = m.start() + (re.match(r"\w+\.? ", m.group()).end() if m.lastgroup == "titled" else 0)
-        words = takewhile(lambda x: x.group() not in _TITLES, re.finditer(_NAME, text[start : m.end()]))
+        start = m.start()
+        while m.lastgroup != "named" and (title := _TITLE.match(text, start, m.end())):
+            start = title.end()
+        words = takewhile(lambda x: x.group() not in _TITLES, re.finditer(_LOUD if m.lastgroup == "loud" else _NAME, text[start : m.end()]))
         parts = [(start + x.start(), start + x.end()) for x in words]
         for k, (a, b) in enumerate(parts):
             role = "given" if k < len(parts) - 1 or text[a:b] in _GIVEN else "family"
             found.append((a, b, role))
-            known.setdefault(text[a:b], role)
+            if text[a:b] not in COMMON:
+                known.setdefault(text[a:b], role)
     if known:  # mentions elsewhere
         found.sort()
         starts, ends = [x[0] for x in found], [x[1] for x in found]
@@ -359,9 +394,18 @@ def _cached(key: bytes):
     return one
 
 
+def normal(kind: str, text: str) -> str:
+    """What all written forms of an entity have in common."""
+    if kind in ("email", "ipv6"):
+        return text.lower()
+    if kind in ("phone", "card", "iban", "ssn"):
+        return text[0] * (text[0] == "+") + "".join(filter(str.isalnum, text))
+    return text.capitalize() if kind in ("given", "family") and text.isupper() else text
+
+
 def _digest(kind: str, text: str) -> bytes:
-    """Names are one kind, whatever their role."""
-    return blake2b(f"{'name' if kind in ('given', 'family') else kind}|{text}".encode(), digest_size=16).digest()
+    """Of the normal form; names are one kind, whatever their role."""
+    return blake2b(f"{'name' if kind in ('given', 'family') else kind}|{normal(kind, text)}".encode(), digest_size=16).digest()
 
 
 def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", mask_col: str | None = None) -> DataFrame:
