@@ -68,7 +68,7 @@ def scan(values: Column, zero: Column, step, emit=None, piece: int = 64) -> Colu
     starts = F.aggregate(parts, F.array(zero), lambda acc, p: F.concat(acc, F.array(F.aggregate(p, F.element_at(acc, -1), step))))
 
     def inside(part: Column, start: Column) -> Column:
-        first = F.struct(start.alias("s"), F.filter(F.array(emit(zero, F.lit(None).cast("int"))), lambda x: F.lit(False)).alias("o"))
+        first = F.struct(start.alias("s"), F.filter(F.array(emit(zero, F.get(values, F.lit(0)))), lambda x: F.lit(False)).alias("o"))
         return F.aggregate(part, first, lambda acc, x: F.struct(step(acc["s"], x).alias("s"), F.concat(acc["o"], F.array(emit(acc["s"], x))).alias("o")), lambda acc: acc["o"])
 
     walked = F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), inside)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import trajectory_shape
+from ..functions.arrays import scan, trajectory_shape
 from ..functions.vocabulary import CONTROL
+from ..tables import stored
+
+
+_ENTRY = "struct<move:string,raw:double,value:double>"
 
 
 def boundary_champions(steps: DataFrame, key: str) -> DataFrame:
@@ -15,32 +18,43 @@ def boundary_champions(steps: DataFrame, key: str) -> DataFrame:
 
     steps: seq, kind (begin, exact, end), round, move, raw, value. Within a round the champion is the move of the
     highest latest raw, the first to arrive winning ties; a round begins with the champion of the one before; at its
-    end the value is renewed, and the move gives way only to a strictly higher raw. A root's steps are one group,
-    bounded by what a search is.
+    end the value is renewed, and the move gives way only to a strictly higher raw. Each round is a group of its own,
+    whose entries (the latest score of every move, in order of arrival) a running state revises; what one round hands
+    to the next is a second, short one over the rounds' ends.
     """
-    kind = steps.schema[key].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        before = current = None  # (move, value, raw)
-        arrived: dict[str, tuple] = {}  # move to (raw, order of arrival, value)
-        number, out = 0, []
-        for r in pdf.sort_values("seq").itertuples():
-            if r.kind == "begin":
-                number, arrived, current = r.round, {}, before
-            elif r.kind == "exact":
-                order = arrived[r.move][1] if r.move in arrived else len(arrived)
-                arrived[r.move] = (r.raw, order, r.value)
-                best = max(arrived, key=lambda m: (arrived[m][0], -arrived[m][1]))
-                current = (best, arrived[best][2], arrived[best][0])
-            else:
-                before = current = (r.move if current is None or r.raw > current[2] else current[0], r.value, r.raw)
-            out.append((r.seq, *(current[:2] if current else (None, None)), number))
-        made = pd.DataFrame(out, columns=["seq", "best", "value", "round"])
-        made.insert(0, key, pdf[key].iloc[0])
-        return made
-
-    rows = steps.select(key, "seq", "kind", "round", "move", F.col("raw").cast("double").alias("raw"), F.col("value").cast("double").alias("value"))
-    return rows.groupBy(key).applyInPandas(fold, f"`{key}` {kind}, seq long, best string, value double, round long")
+    c = F.col
+    rows = steps.select(key, "seq", "kind", "round", "move", c("raw").cast("double").alias("raw"), c("value").cast("double").alias("value"))
+    none = F.lit(None).cast(_ENTRY)
+
+    def revised(entries: Column, x: Column) -> Column:
+        new = F.struct(x["move"].alias("move"), x["raw"].alias("raw"), x["value"].alias("value"))
+        known = F.exists(entries, lambda e: e["move"].eqNullSafe(x["move"]))
+        changed = F.when(known, F.transform(entries, lambda e: F.when(e["move"].eqNullSafe(x["move"]), new).otherwise(e))).otherwise(F.concat(entries, F.array(new)))
+        return F.when(x["kind"] == "exact", changed).otherwise(entries)
+
+    def leader(entries: Column) -> Column:
+        return F.aggregate(entries, none, lambda best, e: F.when(best.isNull() | (e["raw"] > best["raw"]), e).otherwise(best))
+
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "kind", "move", "raw", "value")))
+    per_round = rows.groupBy(key, "round").agg(ordered.alias("steps"))
+    leaders = scan(c("steps"), F.array().cast(f"array<{_ENTRY}>"), revised, lambda entries, x: leader(revised(entries, x)))
+    # stored, as both the rounds' ends and the steps read it
+    known = stored(per_round.select(key, "round", "steps", leaders.alias("led")))
+    end = F.element_at(F.filter("steps", lambda x: x["kind"] == "end"), -1)
+    ends = known.select(key, "round", F.when(F.exists("steps", lambda x: x["kind"] == "end"), end).alias("end"), F.element_at("led", -1).alias("led"))
+
+    def handed(before: Column, x: Column) -> Column:
+        current = F.coalesce(x["led"], before)
+        best = F.when(current.isNull() | (x["end"]["raw"] > current["raw"]), x["end"]["move"]).otherwise(current["move"])
+        return F.when(x["end"].isNull(), before).otherwise(F.struct(best.alias("move"), x["end"]["raw"].alias("raw"), x["end"]["value"].alias("value")))
+
+    of_root = ends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("round", "end", "led"))).alias("rounds"))
+    befores = of_root.select(key, "rounds", scan(c("rounds"), none, handed).alias("before"), scan(c("rounds"), none, handed, handed).alias("after"))
+    carried = befores.select(key, F.inline(F.zip_with(F.zip_with("rounds", "before", lambda r, b: F.struct(r["round"].alias("round"), b.alias("before"))), "after", lambda x, a: F.struct(x["round"].alias("round"), x["before"].alias("before"), a.alias("after")))))
+    shown = known.select(key, "round", F.inline(F.zip_with("steps", "led", lambda x, e: F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"), e.alias("led")))))
+    champion = F.when(c("kind") == "begin", c("before")).when(c("kind") == "exact", c("led")).otherwise(c("after"))
+    out = shown.join(carried, [key, "round"]).withColumn("_c", champion)
+    return out.select(key, c("seq").cast("long").alias("seq"), c("_c.move").alias("best"), c("_c.value").alias("value"), c("round").cast("long").alias("round"))
 
 
 def root_facts(rounds: DataFrame, key: str) -> DataFrame:
