@@ -69,6 +69,31 @@ def summary(answers: DataFrame, by: list[str]) -> DataFrame:
     return answers.groupBy(*by).agg(F.count("*").alias("n"), *rates, *means)
 
 
+def line_losses(lines: DataFrame, scores: DataFrame, plies: int) -> DataFrame:
+    """(id, ply, move, root_player, cp_loss, best_move) of the first ``plies`` moves of each line.
+
+    lines: id, pv (array of position, move, turn: the position that the move is played in and who plays it), root_turn.
+    scores: position, move, cp, mate of all moves of a position. A line counts up to its first move that has no score;
+    a loss is null where a mate is among the two. The scores are met by position and move, and each position's best
+    comes from one row a position; a line is a short group by what it is.
+    """
+    key = V.score_key(F.col("cp"), F.col("mate"))
+    scored = scores.select("position", "move", "cp", key.alias("_key"))
+    best = scored.groupBy("position").agg(F.max("_key").alias("_top"), F.max_by("cp", "_key").alias("_best"))
+    each = lines.select("id", "root_turn", F.posexplode(F.slice("pv", F.lit(1), F.lit(plies))).alias("ply", "_p")).select("id", "root_turn", "ply", "_p.*")
+    met = each.join(scored, ["position", "move"], "left").join(best, "position", "left")
+    upto = Window.partitionBy("id").orderBy("ply").rowsBetween(Window.unboundedPreceding, 0)
+    kept = met.withColumn("_whole", F.bool_and(F.col("_key").isNotNull()).over(upto)).where("_whole")
+    return kept.select("id", "ply", "move", (F.col("turn") == F.col("root_turn")).alias("root_player"), (F.col("_best") - F.col("cp")).alias("cp_loss"), (F.col("_key") == F.col("_top")).alias("best_move"))
+
+
+def side_losses(losses: DataFrame, by: list[str]) -> DataFrame:
+    """(by, root_player, plies, best, count, mean, median) of the losses of each side; those with a mate have none."""
+    totals = losses.groupBy(*by, "root_player").agg(F.count("*").alias("plies"), F.count_if("best_move").alias("best"), F.count("cp_loss").alias("count"), F.avg("cp_loss").alias("mean"))
+    middle = nearest_rank(losses.where("cp_loss IS NOT NULL"), [*by, "root_player"], "cp_loss", ["id", "ply"], []).select(*by, "root_player", "median")
+    return totals.join(middle, [*by, "root_player"], "left")
+
+
 def medians(answers: DataFrame, by: list[str], quality: str, ties: list[str]) -> DataFrame:
     return nearest_rank(answers, by, quality, ties, []).select(*by, F.col("n").alias("n"), "median")
 

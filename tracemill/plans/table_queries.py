@@ -191,3 +191,46 @@ def graded_answers(spark, sf_dir):
     return out.select(
         "position", c("move_rank").cast("long").alias("move_rank"), F.round("move_rank_fraction", 9).alias("fraction"), "cp_loss", F.round("expected_score_loss", 9).alias("value_loss"), F.round("value_absolute_error", 9).alias("value_error"), c("value_bin_correct").alias("bin_correct"), c("mate_distance_correct").alias("mate_correct")
     )
+
+
+_LINES = """
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS ply FROM lineitem),
+s AS (SELECT l_partkey AS position, 'm' || l_suppkey % 10 AS move, CASE WHEN l_suppkey % 11 <> 0 THEN max(l_quantity)::INT END AS cp, CASE WHEN l_suppkey % 11 = 0 THEN max(l_quantity)::INT % 9 - 4 END AS mate FROM lineitem WHERE l_linenumber <> 5 GROUP BY l_partkey, l_suppkey),
+u AS (SELECT position, move, CASE WHEN max(mate) IS NULL THEN max(cp) END AS cp, max(mate) AS mate FROM s GROUP BY position, move),
+k AS (SELECT *, CASE WHEN mate IS NULL THEN 0 WHEN mate > 0 THEN 1 ELSE -1 END AS sign, coalesce(-mate, cp) AS score FROM u),
+b AS (SELECT position, sign AS top_sign, score AS top_score, cp AS best FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY sign DESC, score DESC, cp DESC NULLS LAST) AS r FROM k) WHERE r = 1),
+m AS (SELECT l_orderkey AS id, ply, 'm' || l_suppkey % 10 AS move, ply % 2 = 0 AS root_player, l_partkey AS position FROM n WHERE ply < 5),
+j AS (SELECT m.*, best - cp AS cp_loss, sign = top_sign AND score = top_score AS best_move, k.position IS NOT NULL AS found FROM m LEFT JOIN k ON m.position = k.position AND m.move = k.move LEFT JOIN b ON m.position = b.position),
+l AS (SELECT * FROM (SELECT *, bool_and(found) OVER (PARTITION BY id ORDER BY ply) AS whole FROM j) WHERE whole)
+"""
+
+
+def _losses(spark, sf_dir):
+    """An order's items as a line of moves: the part is the position, the supplier the move, sides take turns."""
+    c = F.col
+    items = table(spark, sf_dir, "lineitem")
+    move = F.concat(F.lit("m"), (c("l_suppkey") % 10).cast("string"))
+    own = items.where("l_linenumber <> 5").groupBy(c("l_partkey").alias("position"), "l_suppkey").agg(F.max("l_quantity").cast("int").alias("q"))
+    mated = c("l_suppkey") % 11 == 0
+    own = own.select("position", move.alias("move"), F.when(~mated, c("q")).alias("cp"), F.when(mated, c("q") % 9 - 4).alias("mate"))
+    scores = own.groupBy("position", "move").agg(F.max("cp").alias("cp"), F.max("mate").alias("mate")).withColumn("cp", F.when(c("mate").isNull(), c("cp")))
+    placed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    lines = items.groupBy(c("l_orderkey").alias("id")).agg(placed.alias("items"))
+    pv = F.transform("items", lambda x, i: F.struct(x["l_partkey"].alias("position"), F.concat(F.lit("m"), (x["l_suppkey"] % 10).cast("string")).alias("move"), (i % 2).alias("turn")))
+    return evaluation.line_losses(lines.select("id", pv.alias("pv"), F.lit(0).alias("root_turn")), scores, 5)
+
+
+@query(f"WITH {_LINES} SELECT id, ply::INT AS ply, move, root_player, cp_loss, best_move FROM l")
+def line_losses(spark, sf_dir):
+    """The first five moves: the limit of a line's plies is the operator's parameter."""
+    return _losses(spark, sf_dir)
+
+
+@query(f"""
+WITH {_LINES}, r AS (SELECT *, count(*) OVER (PARTITION BY root_player) AS n, row_number() OVER (PARTITION BY root_player ORDER BY cp_loss, id, ply) AS place FROM l WHERE cp_loss IS NOT NULL),
+h AS (SELECT root_player, median(cp_loss) AS median FROM r GROUP BY root_player)
+SELECT root_player, count(*) AS plies, count(*) FILTER (WHERE best_move) AS best, count(cp_loss) AS "count", round(avg(cp_loss), 6) AS mean, any_value(median)::DOUBLE AS median FROM l LEFT JOIN h USING (root_player) GROUP BY root_player
+""")
+def side_losses(spark, sf_dir):
+    out = evaluation.side_losses(_losses(spark, sf_dir), [])
+    return out.withColumns({"mean": F.round("mean", 6), "median": F.col("median").cast("double")})
