@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import draws, positions
 from ..functions import values as V
 from ..functions.vocabulary import CONTROL, names, token_name
-from ..operators import asof, rounds, sampling
+from ..operators import asof, providers, rounds, sampling
 from ..tables import table
 from . import releases
 from .corpus_queries import _DOCS, _draw_sql, _stream
@@ -293,3 +293,24 @@ def release_validation(spark, sf_dir):
     commits.write_validation(spark, path)
     back = spark.read.json(f"{path}/validation", schema="shards map<string,long>, totals map<string,long>")
     return back.select(F.lit("shard").alias("section"), F.explode("shards").alias("what", "n")).unionByName(back.select(F.lit("total").alias("section"), F.explode("totals").alias("what", "n")))
+
+
+_LOGS = "l AS (SELECT user_id AS root_id, count(*) AS lines, arg_min(event_type, (ts, event_id)) AS \"first\", arg_max(event_type, (ts, event_id)) AS \"last\", md5(string_agg(event_type || ':' || event_id, ',' ORDER BY ts, event_id)) AS digest FROM events WHERE user_id % 11 <> 0 GROUP BY user_id), r AS (SELECT DISTINCT user_id AS root_id FROM events WHERE user_id % 7 <> 0)"
+
+
+def _provided(spark, sf_dir):
+    """Users as roots but for every seventh; a provider makes their logs but for every eleventh."""
+    events = table(spark, sf_dir, "events")
+    rows = events.where("user_id % 11 <> 0").selectExpr("user_id AS root_id", "ts", "event_id AS seq", "event_type AS type")
+    logs = providers.provided(rows, "root_id", ["ts", "seq"])
+    return providers.matched(events.where("user_id % 7 <> 0").select(F.col("user_id").alias("root_id")).distinct(), logs, "root_id")
+
+
+@query(f"WITH {_LOGS} SELECT l.* FROM l JOIN r USING (root_id)")
+def provided_logs(spark, sf_dir):
+    return _provided(spark, sf_dir)[0]
+
+
+@query(f"WITH {_LOGS} SELECT root_id AS id, CASE WHEN l.lines IS NULL THEN 'no_log' ELSE 'no_root' END AS rule FROM r FULL JOIN (SELECT root_id, lines FROM l) l USING (root_id) LEFT JOIN r r2 USING (root_id) WHERE l.lines IS NULL OR r2.root_id IS NULL")
+def provider_problems(spark, sf_dir):
+    return _provided(spark, sf_dir)[1]
