@@ -41,9 +41,8 @@ def roles(tokens: Column) -> Column:
     """The role of each atom; REFUSED where the grammar has no place for it, where an observation ends too early (the
     token after it), and for the last token of a stream that ends inside one."""
     out = scan(tokens, F.lit(_THOUGHT), _next, _role)
-    states = scan(tokens, F.lit(_THOUGHT), _next)
     n = F.size(tokens)
-    open_end = (n > 0) & _next(F.get(states, n - 1), F.get(tokens, n - 1)).between(_OPENED, _LAST - 1)
+    open_end = F.aggregate(tokens, F.lit(_THOUGHT), _next).between(_OPENED, _LAST - 1)
     return F.when(open_end, F.concat(F.slice(out, F.lit(1), n - 1), F.array(F.lit(REFUSED)))).otherwise(out)
 
 
