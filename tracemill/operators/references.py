@@ -134,8 +134,8 @@ def log_violations(events: DataFrame, width: int = 1) -> DataFrame:
     out.append(
         frontiers.groupBy("root_id", "round", "attempt", "path").agg(F.count("*").alias("n")).where("n > 1").select(c("root_id").alias("id"), F.lit("frontier_once").alias("rule"), F.array_join("path", " ").alias("detail"))
     )
-    rank = ends.select("root_id", "round", "attempt", F.posexplode("rank").alias("place", "r")).select("root_id", "round", "attempt", "place", c("r.move").alias("move"), c("r.raw").alias("rank_raw"), c("r.pv").alias("rank_pv"))
-    out.append(never_rises(rank, ["root_id", "round"], "place", "rank_raw", "root_id", "rank_order"))
+    rank = ends.select("root_id", "round", "attempt", "seq", F.posexplode("rank").alias("place", "r")).select("root_id", "round", "attempt", "seq", "place", c("r.move").alias("move"), c("r.raw").alias("rank_raw"), c("r.pv").alias("rank_pv"))
+    out.append(never_rises(rank, ["root_id", "seq"], "place", "rank_raw", "root_id", "rank_order"))
     accepted, broken = accepted_attempts(attempts, ends, width)
     out += broken
     # the first of the rank is the best of what the round accepted
@@ -153,7 +153,7 @@ def log_violations(events: DataFrame, width: int = 1) -> DataFrame:
     out.append(dangling(scouts, exact, ["root_id", "round", "attempt", "move"], "root_id", "fail_high"))
     late = known.where(c("type").isin(*SCORED)).join(ends.select("root_id", "round", c("seq").alias("_end")), ["root_id", "round"]).where(c("seq") > c("_end"))
     out.append(late.select(c("root_id").alias("id"), F.lit("after_round_end").alias("rule"), c("seq").cast("string").alias("detail")))
-    best = ends.groupBy("root_id").agg(F.max_by(F.col("rank")[0]["move"], "round").alias("_top"), F.max("depth").alias("_deep"))
+    best = ends.groupBy("root_id").agg(F.max_by(F.col("rank")[0]["move"], F.struct("round", "seq")).alias("_top"), F.max("depth").alias("_deep"))
     closing = known.where(c("type") == "search_end").join(best, "root_id", "left")
     out.append(violations(closing, {"bestmove": c("bestmove") == c("_top"), "end_depth": c("depth") == c("_deep")}, "root_id", c("bestmove")))
     total = out[0]

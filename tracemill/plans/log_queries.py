@@ -31,7 +31,7 @@ _STEPS: list[dict[str, str]] = [
     },
     {
         "schema": "CASE WHEN e % 53 = 0 THEN 9 ELSE {schema} END",
-        "depth": "CASE WHEN type = 'round_start' AND e % 17 = 0 THEN round + 1 WHEN type LIKE 'round%' THEN round ELSE 3 END",
+        "depth": "CASE WHEN type = 'round_start' AND e % 17 = 0 THEN round + 1 WHEN type LIKE 'round%' THEN round WHEN type = 'search_start' AND e % 7 = 0 THEN 0 ELSE 3 END",
         "line": "CASE WHEN {width} > 1 OR e % 61 = 0 THEN CAST((q - q % 2) / 2 AS BIGINT) % 2 END",
         "cp": "CASE WHEN e % 13 = 0 AND e % 2 = 0 OR e % 19 = 0 THEN NULL ELSE raw END",
         "bound": "CASE WHEN e % 29 = 0 THEN 'exact' WHEN raw <= alpha THEN 'upper' WHEN raw >= beta THEN 'lower' ELSE 'exact' END",
@@ -95,7 +95,7 @@ def _rules(spark, sf_dir, width: int, names: list[str]) -> DataFrame:
     return out.where(F.col("rule").isin(*names)).select("id", "rule", F.coalesce("detail", F.lit("")).alias("detail"))
 
 
-_SESSIONS = "sv AS (SELECT root_id, max(seq) AS last, max(CASE WHEN type = 'search_start' THEN 3 END) AS asked, max(CASE WHEN type = 'search_start' THEN {width} END) AS width FROM g GROUP BY root_id), k AS (SELECT g.*, sv.last, sv.asked, sv.width FROM g JOIN sv USING (root_id))"
+_SESSIONS = "sv AS (SELECT root_id, max(seq) AS last, max(CASE WHEN type = 'search_start' THEN depth END) AS asked, max(CASE WHEN type = 'search_start' THEN {width} END) AS width FROM g GROUP BY root_id), k AS (SELECT g.*, sv.last, sv.asked, sv.width FROM g JOIN sv USING (root_id))"
 _SCORED = "type IN ('attempt', 'candidate', 'frontier')"
 
 #: Rule to what holds for a line that keeps it.
@@ -105,7 +105,7 @@ _LINES = {
     "session_first": "(type = 'session') = (seq = 0)",
     "end_last": "(type = 'search_end') = (seq = last)",
     "session_options": "type <> 'session' OR e % 6 <> 0",
-    "search_depth": "type <> 'search_start' OR true",
+    "search_depth": "type <> 'search_start' OR depth >= 1",
     "round_depth": "type <> 'round_start' OR depth = round AND alpha < beta AND e % 59 <> 0",
     "attempt_line": "type <> 'attempt' OR {line}",
     "score_fields": f"NOT ({_SCORED}) OR CASE WHEN abs(raw) >= 32000 - 246 THEN cp IS NULL AND w3 IS NULL ELSE cp IS NOT NULL AND w3 = 100 END",
@@ -239,6 +239,17 @@ def log_acceptance_rules_wide(spark, sf_dir):
     return _rules(spark, sf_dir, 2, ["line_exact_once", "lines_complete", "attempts_counted", *_ACCEPT])
 
 
+@query(
+    _with(2)
+    + """SELECT root_id AS id, 'rank_order' AS rule, place::VARCHAR AS detail FROM (SELECT *, lag(score) OVER (PARTITION BY root_id, seq ORDER BY place) AS before FROM ranks) WHERE before < score
+UNION ALL SELECT k.root_id, u.rule, k.r1 FROM k LEFT JOIN (SELECT root_id, arg_max(r1, (round, seq)) AS top, max(depth) AS deep FROM re GROUP BY root_id) b USING (root_id),
+  (VALUES ('bestmove'), ('end_depth')) u(rule) WHERE k.type = 'search_end' AND NOT coalesce(CASE u.rule WHEN 'bestmove' THEN k.r1 = b.top ELSE k.depth = b.deep END, false)"""
+)
+def log_end_rules(spark, sf_dir):
+    """How ranks fall, and what the end of a search says of its last round."""
+    return _rules(spark, sf_dir, 2, ["rank_order", "bestmove", "end_depth"])
+
+
 @query(
     f"WITH {_log_sql(1)}, c AS (SELECT *, CASE WHEN ply = 2 THEN 'x' ELSE '' END AS parent FROM g WHERE type = 'candidate') "
     "SELECT root_id, round, attempt, parent, move, min(seq) AS first_seq, arg_min(CASE WHEN e % 41 = 0 THEN 0 ELSE 1 END, seq)::INT AS \"order\", "
