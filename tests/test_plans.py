@@ -96,3 +96,24 @@ def test_streams(spark, tmp_path):
     first = incremental.first_wins(stream, "k", "id", "ts", "0 seconds").writeStream.format("memory").queryName("f").outputMode("append").trigger(availableNow=True).start()
     first.awaitTermination()
     assert {r["id"] for r in spark.table("f").collect()} <= {0, 1}
+
+
+def test_keys_are_forgotten_behind_the_watermark(spark, tmp_path):
+    rows = spark.sql("SELECT cast(id % 5 as string) AS root_id, timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) AS ts FROM range(20)")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = incremental.read_stream(spark, str(tmp_path / "in"), "root_id string, ts timestamp")
+    incremental.curate(stream, lambda df: df, "root_id", str(tmp_path / "out"), str(tmp_path / "cp"), "ts", "1 hour").awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_digests_and_first_games(spark, tmp_path):
+    import hashlib
+
+    for name, content in (("a.pgn", b"[Event one"), ("b.pgn", b"y"), ("c.txt", b"x"), ("e.pgn", b"")):
+        (tmp_path / name).write_bytes(content)
+    found = archives.digests(spark, str(tmp_path))
+    assert {(r["file"], r["bytes"]) for r in found.collect()} == {("a.pgn", 10), ("b.pgn", 1), ("c.txt", 1)}
+    expected = spark.createDataFrame([("a.pgn", hashlib.sha256(b"[Event one").hexdigest().upper()), ("b.pgn", "00"), ("d.pgn", "11")], "file string, sha256 string")
+    assert {(r["id"], r["rule"]) for r in archives.digest_problems(found, expected).collect()} == {("b.pgn", "changed"), ("c.txt", "unexpected"), ("d.pgn", "missing")}
+    games = spark.createDataFrame([("b", 0, 1), ("a", 5, 0), ("a", 0, 9), ("c", 0, 0)], "file string, at long, place long")
+    assert [tuple(r) for r in archives.first_games(games, 2).collect()] == [("a", 0, 9), ("a", 5, 0)]

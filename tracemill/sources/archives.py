@@ -79,3 +79,22 @@ def read_puzzles(spark: SparkSession, path: str) -> DataFrame:
     """Puzzle rows with their file and place, in the order of file names."""
     raw = spark.read.option("recursiveFileLookup", True).parquet(path)
     return raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+
+
+def digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(file, bytes, sha256) of the files under ``path``, by their names; empty files have no rows in Spark's reader, so
+    ``digest_problems`` calls them missing."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def digest_problems(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(id, rule) of files that are missing, not expected, or not what they should be; expected: file, sha256."""
+    met = found.select("file", F.col("sha256").alias("_own")).join(expected.select("file", "sha256"), "file", "full_outer")
+    rule = F.when(F.col("_own").isNull(), "missing").when(F.col("sha256").isNull(), "unexpected").when(F.lower("sha256") != F.col("_own"), "changed")
+    return met.select(F.col("file").alias("id"), rule.alias("rule")).where("rule IS NOT NULL")
+
+
+def first_games(games: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` games in the order of files and places; a top-k of each task, no sort of all."""
+    return games.orderBy("file", "at", "place").limit(most)

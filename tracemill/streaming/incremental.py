@@ -15,15 +15,16 @@ def read_stream(spark: SparkSession, path: str, schema: str, files: int = 100) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def curate(new: DataFrame, make: Callable[[DataFrame], DataFrame], key: str, out: str, checkpoint: str) -> StreamingQuery:
+def curate(new: DataFrame, make: Callable[[DataFrame], DataFrame], key: str, out: str, checkpoint: str, ts: str | None = None, delay: str = "7 days") -> StreamingQuery:
     """Make each key's rows once, until the input is used up. Which keys came before is the stream's own state, so a
     batch costs what is new in it; its rows go to a folder of its number, which a batch that is run again after a
-    failure writes anew as a whole."""
+    failure writes anew as a whole. With a time column ``ts`` a key is forgotten ``delay`` after it came, which bounds
+    the state; without, every key is kept."""
 
     def batch(df: DataFrame, number: int) -> None:
         make(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    once = new.dropDuplicates([key])
+    once = new.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key]) if ts else new.dropDuplicates([key])
     return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
