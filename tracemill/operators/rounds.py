@@ -16,9 +16,10 @@ _ENTRY = "struct<move:string,raw:double,value:double>"
 def boundary_champions(steps: DataFrame, key: str) -> DataFrame:
     """(key, seq, best, value, round) after every step of a root's rounds.
 
-    steps: seq, kind (begin, exact, end), round, move, raw, value. Within a round the champion is the move of the
-    highest latest raw, the first to arrive winning ties; a round begins with the champion of the one before; at its
-    end the value is renewed, and the move gives way only to a strictly higher raw. Each round is a group of its own,
+    steps: seq, kind (begin, exact, end or another), round, move, raw, value. Within a round the champion is the move of
+    the highest latest raw, the first to arrive winning ties; a round begins with the champion of the one before; at its
+    end the value is renewed, and the move gives way only to a strictly higher raw. An end without a raw, and a step of
+    another kind, leave the champion as it is. Each round is a group of its own,
     whose entries (the latest score of every move, in order of arrival) a running state revises; what one round hands
     to the next is a second, short one over the rounds' ends.
     """
@@ -45,14 +46,15 @@ def boundary_champions(steps: DataFrame, key: str) -> DataFrame:
 
     def handed(before: Column, x: Column) -> Column:
         current = F.coalesce(x["led"], before)
+        known = x["end"]["raw"].isNotNull()
         best = F.when(current.isNull() | (x["end"]["raw"] > current["raw"]), x["end"]["move"]).otherwise(current["move"])
-        return F.when(x["end"].isNull(), before).otherwise(F.struct(best.alias("move"), x["end"]["raw"].alias("raw"), x["end"]["value"].alias("value")))
+        return F.when(x["end"].isNull(), before).when(~known, current).otherwise(F.struct(best.alias("move"), x["end"]["raw"].alias("raw"), x["end"]["value"].alias("value")))
 
     of_root = ends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("round", "end", "led"))).alias("rounds"))
     befores = of_root.select(key, "rounds", scan(c("rounds"), none, handed).alias("before"), scan(c("rounds"), none, handed, handed).alias("after"))
     carried = befores.select(key, F.inline(F.zip_with(F.zip_with("rounds", "before", lambda r, b: F.struct(r["round"].alias("round"), b.alias("before"))), "after", lambda x, a: F.struct(x["round"].alias("round"), x["before"].alias("before"), a.alias("after")))))
     shown = known.select(key, "round", F.inline(F.zip_with("steps", "led", lambda x, e: F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"), e.alias("led")))))
-    champion = F.when(c("kind") == "begin", c("before")).when(c("kind") == "exact", c("led")).otherwise(c("after"))
+    champion = F.when(c("kind") == "begin", c("before")).when(c("kind") == "end", c("after")).otherwise(F.coalesce("led", "before"))
     out = shown.join(carried, [key, "round"]).withColumn("_c", champion)
     return out.select(key, c("seq").cast("long").alias("seq"), c("_c.move").alias("best"), c("_c.value").alias("value"), c("round").cast("long").alias("round"))
 
