@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import champion_queries, corpus_queries, event_queries, game_queries, identity_queries, log_queries, release_queries, role_queries, table_queries
+from .plans import champion_queries, corpus_queries, event_queries, game_queries, identity_queries, log_queries, output_queries, release_queries, role_queries, table_queries
 
-_MODULES = (corpus_queries, event_queries, table_queries, game_queries, log_queries, release_queries, role_queries, identity_queries, champion_queries)
+_MODULES = (corpus_queries, event_queries, table_queries, game_queries, log_queries, output_queries, release_queries, role_queries, identity_queries, champion_queries, output_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

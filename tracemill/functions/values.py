@@ -87,3 +87,8 @@ def warm_cosine(progress: Column, warmup: float, least: float) -> Column:
     """Learning-rate factor at a share of the run: a linear rise, then half a cosine down to ``least``."""
     share = (progress - warmup) / (1 - warmup)
     return F.when(progress < warmup, progress / warmup).otherwise(least + (1 - least) * (1 + F.cos(F.pi() * share)) / 2)
+
+
+def percent(share: Column) -> Column:
+    """A share as people read it, with two places; null is no measurement, not none."""
+    return F.when(share.isNull(), "n/a").otherwise(F.format_string("%.2f%%", 100 * share))

@@ -162,6 +162,33 @@ def log_violations(events: DataFrame, width: int = 1) -> DataFrame:
     return total
 
 
+def teacher_problems(events: DataFrame, roots: DataFrame, engine: str, hash_mb: int, value_mate: int, max_ply: int) -> DataFrame:
+    """(id, rule, detail) of searches that were not what their roots (root_id, depth, teacher_width) asked for: the
+    engine and its constants, one thread, the hash size, and depth and width asked for and reached. A root whose own
+    settings are none is named for that alone; one without a log for its lack."""
+    c = F.col
+    first = lambda t, *fields: F.first(F.when(c("type") == t, F.struct(*fields)), ignorenulls=True)
+    logs = events.groupBy("root_id").agg(
+        first("session", "engine", "value_mate", "max_ply", "options").alias("s"), first("search_start", "depth", "multi_pv").alias("q"), first("search_end", "depth").alias("e")
+    )
+    met = roots.select("root_id", "depth", "teacher_width").join(logs.withColumn("_log", F.lit(True)), "root_id", "left")
+    own = F.coalesce((c("depth") >= 1) & (c("teacher_width") >= 1), F.lit(False))
+    ready = own & c("_log").isNotNull()
+    unless = lambda ok: ~ready | ok
+    rules = {
+        "root_settings": own,
+        "has_log": ~own | c("_log").isNotNull(),
+        "engine_name": unless(c("s.engine") == engine),
+        "engine_constants": unless((c("s.value_mate") == value_mate) & (c("s.max_ply") == max_ply)),
+        "one_thread": unless(c("s.options.threads") == 1),
+        "hash_size": unless(c("s.options.hash_mb") == hash_mb),
+        "depth_asked": unless(c("q.depth") == c("depth")),
+        "depth_reached": unless(c("e.depth") == c("depth")),
+        "width_asked": unless(c("s.options.multipv") == c("teacher_width")),
+    }
+    return violations(met, rules, "root_id", F.concat_ws("/", "depth", "teacher_width"))
+
+
 def candidate_groups(events: DataFrame) -> DataFrame:
     """Per round, attempt, parent and move: the last exact opening call; else the last refutation; and the order
     of narration (order, first call)."""

@@ -260,3 +260,20 @@ def log_candidate_groups(spark, sf_dir):
     """What narration takes from each group of a round's candidates, and its order."""
     out = references.candidate_groups(logs(spark, sf_dir, 1))
     return out.select("root_id", "round", "attempt", F.array_join("parent", " ").alias("parent"), "move", "first_seq", "order", F.col("exact.seq").alias("exact_seq"), F.col("refuted.seq").alias("refuted_seq"))
+
+
+@query(f"""
+WITH {_log_sql(1)},
+lg AS (SELECT root_id, max(CASE WHEN type = 'session' THEN CASE WHEN e % 6 = 0 THEN 2 ELSE 1 END END) AS threads, max(CASE WHEN type = 'search_start' THEN depth END) AS asked, max(CASE WHEN type = 'search_end' THEN depth END) AS reached, bool_or(type = 'session') AS opened FROM g GROUP BY root_id),
+r AS (SELECT c_custkey AS root_id, c_custkey % 4 AS depth, CASE WHEN c_custkey % 9 = 0 THEN 2 ELSE 1 END AS width FROM customer),
+m AS (SELECT r.*, lg.* EXCLUDE (root_id), lg.root_id IS NOT NULL AS known FROM r LEFT JOIN lg USING (root_id)),
+v AS (SELECT root_id, depth || '/' || width AS detail, unnest(CASE WHEN depth < 1 THEN ['root_settings'] WHEN NOT known THEN ['has_log'] ELSE [
+  CASE WHEN NOT opened THEN 'engine_name' END, CASE WHEN NOT opened THEN 'engine_constants' END, CASE WHEN NOT coalesce(threads = 1, false) THEN 'one_thread' END, CASE WHEN NOT opened THEN 'hash_size' END,
+  CASE WHEN NOT coalesce(asked = depth, false) THEN 'depth_asked' END, CASE WHEN NOT coalesce(reached = depth, false) THEN 'depth_reached' END, CASE WHEN NOT opened OR width <> 1 THEN 'width_asked' END] END) AS rule FROM m)
+SELECT root_id AS id, rule, detail FROM v WHERE rule IS NOT NULL
+""")
+def teacher_problems(spark, sf_dir):
+    """Customers as roots that ask for a depth and a width; their logs are those of the users of the same number."""
+    k = F.col("c_custkey")
+    roots = table(spark, sf_dir, "customer").select(k.alias("root_id"), (k % 4).alias("depth"), F.when(k % 9 == 0, 2).otherwise(1).alias("teacher_width"))
+    return references.teacher_problems(logs(spark, sf_dir, 1), roots, "x", 16, 32000, 246)

@@ -65,6 +65,13 @@ def read_evaluation_roots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_champions(spark: SparkSession, path: str) -> DataFrame:
+    """Champion records from JSON lines, a root each (root_id, rounds); a line that is none ends the read."""
+    from ..operators.champions import ROUND
+
+    return spark.read.schema(f"root_id string, rounds array<{ROUND}>").option("mode", "FAILFAST").json(path)
+
+
 def match_result(text: Column) -> Column:
     """The last result block of a match log: games, wins, losses, draws, Elo difference and its interval (null
     where these are no finite numbers), and the score."""
