@@ -218,6 +218,10 @@ def test_log_rules_find_what_is_wrong(spark):
     assert check(lambda rows: None) == set()
     assert "score_fields" in check(lambda rows: rows[5].update(wdl=[1, 2, 3]))
     assert "rank_established" in check(lambda rows: rows[4].update(raw=-6))
+    entry = log[6]["rank"][0]
+    assert check(lambda rows: rows[6].update(rank=[{**entry, "cp": 6}])) == {"rank_top_cp"}
+    assert check(lambda rows: rows[6].update(rank=[{**entry, "wdl": [101, 798, 101]}])) == {"rank_top_wdl"}
+    assert check(lambda rows: rows[6].update(rank=[{**entry, "wdl": [1, 2, 3]}])) == {"rank_score", "rank_top_wdl"}
     assert "bestmove" in check(lambda rows: rows[7].update(bestmove="d2d4"))
     assert {"seq_is_line"} <= check(lambda rows: rows[3].update(seq=9))
     assert "candidate_attempt" in check(lambda rows: rows[4].update(attempt=3))

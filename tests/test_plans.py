@@ -1,6 +1,7 @@
 """Sources, releases and streams end to end on small files."""
 
 import io
+import re
 import zipfile
 
 import pytest
@@ -33,6 +34,15 @@ def test_archives_of_all_kinds_hold_the_same_games(spark, tmp_path):
         archives.read_zipped(spark, str(tmp_path / "z")).count()
 
 
+def test_an_archive_is_walked_in_pieces(monkeypatch):
+    text = "intro\r\n" + "".join(f'[Event "{k}"]\r\n\r\n1. e4 é{"x" * k} *\r\n\n' for k in range(40))
+    whole = re.split(r"\n(?=\[Event )", "\n" + text.replace("\r", ""))
+    for piece in (1, 2, 7, 64, 1 << 20):
+        monkeypatch.setattr(archives, "PIECE", piece)
+        assert list(archives._games(io.BytesIO(text.encode()))) == whole
+    assert list(archives._games(io.BytesIO(b""))) == ["\n"]
+
+
 def test_prepare_takes_each_position_once(spark):
     parsed = archives.parse_games(archives.split_games(spark.createDataFrame([("f", samples.GAMES)], "file string, whole string"), "file", "whole"))
     puzzles = spark.createDataFrame([(*p[:6], "f", i) for i, p in enumerate(samples.PUZZLES)], "PuzzleId string, GameId string, FEN string, Moves string, Rating long, Themes array<string>, file string, place long")

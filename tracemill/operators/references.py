@@ -134,14 +134,18 @@ def log_violations(events: DataFrame, width: int = 1) -> DataFrame:
     out.append(
         frontiers.groupBy("root_id", "round", "attempt", "path").agg(F.count("*").alias("n")).where("n > 1").select(c("root_id").alias("id"), F.lit("frontier_once").alias("rule"), F.array_join("path", " ").alias("detail"))
     )
-    rank = ends.select("root_id", "round", "attempt", "seq", F.posexplode("rank").alias("place", "r")).select("root_id", "round", "attempt", "seq", "place", c("r.move").alias("move"), c("r.raw").alias("rank_raw"), c("r.pv").alias("rank_pv"))
+    rank = ends.select("root_id", "round", "attempt", "seq", "_vm", "_mp", F.posexplode("rank").alias("place", "r")).select("root_id", "round", "attempt", "seq", "place", c("r.move").alias("move"), c("r.raw").alias("rank_raw"), c("r.pv").alias("rank_pv"), c("r.cp").alias("rank_cp"), c("r.wdl").alias("rank_wdl"), "_vm", "_mp")
     out.append(never_rises(rank, ["root_id", "seq"], "place", "rank_raw", "root_id", "rank_order"))
+    out.append(violations(rank, {"rank_score": F.when(V.is_mate(c("rank_raw"), c("_vm"), c("_mp")), c("rank_cp").isNull() & c("rank_wdl").isNull()).otherwise(c("rank_cp").isNotNull() & F.coalesce(V.wdl_is_sound(c("rank_wdl")), F.lit(False)))}, "root_id", F.concat_ws("/", "seq", "place")))
     accepted, broken = accepted_attempts(attempts, ends, width)
     out += broken
     # the first of the rank is the best of what the round accepted
-    top = accepted.groupBy("root_id", "round").agg(F.max("raw").alias("_best"))
+    # (of equal ones the first line's); what that attempt says of cp and wdl, the rank says too
+    first = F.struct("raw", -F.coalesce("line", F.lit(0)), -c("seq"))
+    top = accepted.groupBy("root_id", "round").agg(F.max("raw").alias("_best"), F.max_by(F.struct("cp", "wdl"), first).alias("_said"))
     led = rank.where("place = 0").join(top, ["root_id", "round"], "left")
-    out.append(violations(led, {"rank_top": c("rank_raw") == c("_best")}, "root_id", c("round")))
+    said = lambda name: c(f"_said.{name}").isNull() | (c(f"rank_{name}") == c(f"_said.{name}"))
+    out.append(violations(led, {"rank_top": c("rank_raw") == c("_best"), "rank_top_cp": said("cp"), "rank_top_wdl": said("wdl")}, "root_id", c("round")))
     # the last exact opening call of a ranked move in what was accepted has its score, negated, and its line
     inside = candidates.where(c("ply") == 1).join(accepted.select("root_id", "round", "attempt").distinct(), ["root_id", "round", "attempt"], "left_semi")
     exact = inside.where(c("call").isin("first", "promote") & (c("bound") == "exact"))

@@ -67,7 +67,7 @@ def logs(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
     for step in _STEPS:
         df = df.selectExpr("*", *(f"{v.format(width=width, schema=3 if width == 1 else 4)} AS {c}" for c, v in step.items()))
     c, when = F.col, lambda kinds, x: F.when(F.col("type").isin(*kinds), x)
-    entry = lambda k, line: F.struct(c(f"r{k}").alias("move"), c(f"s{k}").alias("raw"), F.array(line).alias("pv"))
+    entry = lambda k, line: F.struct(c(f"r{k}").alias("move"), c(f"s{k}").alias("raw"), F.array(line).alias("pv"), F.when(c("e") % 71 != 0, c(f"s{k}")).alias("cp"), F.array(F.lit(100), F.lit(800), F.when(c("e") % 67 == 0, 101).otherwise(100)).alias("wdl"))
     return df.select(
         "root_id", "seq", "type", "schema", "round", "attempt", "raw", "cp", "bound", "depth", "line", "move", "call",
         F.when(c("w3").isNotNull(), F.array(F.lit(100), F.lit(800), c("w3"))).alias("wdl"),
@@ -250,6 +250,19 @@ def log_end_rules(spark, sf_dir):
     return _rules(spark, sf_dir, 2, ["rank_order", "bestmove", "end_depth"])
 
 
+@query(
+    _with(2).rstrip()
+    + """, said AS (SELECT root_id, round, arg_max({'cp': cp, 'w3': w3}, (raw, -coalesce(line, 0), -seq)) AS a FROM kept GROUP BY ALL),
+m AS (SELECT re.root_id, re.round, said.a, CASE WHEN e % 71 <> 0 THEN s1 END AS cp, CASE WHEN e % 67 = 0 THEN 101 ELSE 100 END AS w3 FROM re LEFT JOIN said USING (root_id, round))
+SELECT root_id AS id, 'rank_score' AS rule, seq || '/' || place AS detail FROM re, (VALUES (0), (1)) p(place) WHERE (place = 0 OR e % 5 <> 0) AND (e % 71 = 0 OR e % 67 = 0)
+UNION ALL SELECT root_id, 'rank_top_cp', round::VARCHAR FROM m WHERE a.cp IS NOT NULL AND NOT coalesce(cp = a.cp, false)
+UNION ALL SELECT root_id, 'rank_top_wdl', round::VARCHAR FROM m WHERE a.w3 IS NOT NULL AND w3 <> a.w3"""
+)
+def log_rank_scores(spark, sf_dir):
+    """The scores of a rank, and its first against what the round accepted."""
+    return _rules(spark, sf_dir, 2, ["rank_score", "rank_top_cp", "rank_top_wdl"])
+
+
 @query(
     f"WITH {_log_sql(1)}, c AS (SELECT *, CASE WHEN ply = 2 THEN 'x' ELSE '' END AS parent FROM g WHERE type = 'candidate') "
     "SELECT root_id, round, attempt, parent, move, min(seq) AS first_seq, arg_min(CASE WHEN e % 41 = 0 THEN 0 ELSE 1 END, seq)::INT AS \"order\", "

@@ -246,6 +246,36 @@ def release_settings(spark, sf_dir):
     return releases.settings_problems(rows, "640", [("zero", 0.1), ("full", 0.5), ("random", 0.4)]).unionByName(releases.unmatched(rows, champions))
 
 
+_SEARCHES = [(1, 6, 0.25), (4, 8, 0.25), ("full", 3, 0.5)]
+_ROLL = f"{_draw_sql(chr(39) + '640' + chr(39), 'root_id', chr(39) + 'search' + chr(39))} / {float(1 << 60)!r}"
+_DRAWN = f"""t AS (SELECT o_orderkey AS root_id, 1 + o_custkey % 40 AS legal, o_custkey AS c FROM orders), u AS (SELECT *, {_ROLL} AS u, {_ROLL.replace("'search'", "'presentation'")} AS v FROM t),
+w AS (SELECT *, CASE WHEN u < 0.25 THEN 1 WHEN u < 0.5 THEN 4 ELSE legal END AS width, CASE WHEN u < 0.25 THEN 6 WHEN u < 0.5 THEN 8 ELSE 3 END AS depth, CASE WHEN v < 0.1 THEN 'zero' WHEN v < 0.6 THEN 'full' ELSE 'random' END AS presentation FROM u)"""
+_MIX = [("zero", 0.1), ("full", 0.5), ("random", 0.4)]
+
+
+def _settings(spark, sf_dir):
+    roots = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("root_id"), (1 + F.col("o_custkey") % 40).cast("int").alias("legal_width"), F.col("o_custkey").alias("c"))
+    return releases.root_settings(roots, "640", _SEARCHES, _MIX)
+
+
+@query(f"WITH {_DRAWN} SELECT root_id, depth, width AS teacher_width, least(width, legal) AS effective_width, presentation FROM w")
+def root_settings(spark, sf_dir):
+    """What is drawn for each root: how wide and deep to search it, and how to show it."""
+    return _settings(spark, sf_dir).select("root_id", "depth", "teacher_width", "effective_width", "presentation")
+
+
+@query(f"""
+WITH {_DRAWN} SELECT root_id AS id, 'width_drawn' AS rule, width::VARCHAR AS detail FROM w WHERE c % 11 = 0 AND width <> 1 UNION ALL SELECT root_id, 'depth_drawn', depth::VARCHAR FROM w WHERE c % 13 = 0
+UNION ALL SELECT root_id, 'presentation_drawn', presentation FROM w WHERE c % 17 = 0 AND presentation <> 'zero'
+""")
+def search_settings(spark, sf_dir):
+    """Rows whose width, depth or presentation is another than was drawn."""
+    c = F.col("c")
+    kept = {"teacher_width": F.when(c % 11 == 0, 1).otherwise(F.col("teacher_width")), "teacher_depth": F.when(c % 13 == 0, 9).otherwise(F.col("depth")), "presentation": F.when(c % 17 == 0, "zero").otherwise(F.col("presentation"))}
+    rows = _settings(spark, sf_dir).withColumns(kept | {"split": draws.split_of(F.col("root_id"))})
+    return releases.settings_problems(rows, "640", _MIX, _SEARCHES)
+
+
 _OWN = f"SELECT doc_id, CASE WHEN {_draw_sql(chr(39) + 'split' + chr(39), 'doc_id')} % 65 = 0 THEN 'val' ELSE 'train' END AS split, ({_draw_sql(chr(39) + 'shard' + chr(39), 'doc_id')} % 8)::INT AS shard, n_chars FROM documents"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import draws
@@ -80,12 +80,31 @@ def encode_documents(rows: DataFrame, order: list[str], prefix: str, atoms: str,
     return packing.offsets(sized, order, "length")
 
 
-def settings_problems(rows: DataFrame, seed: str, mix: list[tuple[str, float]]) -> DataFrame:
-    """(id, rule, detail) where a stored presentation or split is not what the seed and the root's id draw."""
+def _search(key: Column, seed: str, searches: list[tuple[int | str, int, float]]) -> Column:
+    """The struct (width, depth) that a root draws; a null width stands for all its moves."""
+    made = [(F.struct(F.lit(None if w == "full" else w).cast("int").alias("width"), F.lit(d).alias("depth")), p) for w, d, p in searches]
+    return draws.by_weight(draws.uniform(seed, key, "search"), made)
+
+
+def root_settings(roots: DataFrame, seed: str, searches: list[tuple[int | str, int, float]], mix: list[tuple[str, float]]) -> DataFrame:
+    """``roots`` (root_id, legal_width: how many moves the root has) with what the seed and the id draw for each: depth,
+    teacher_width ("full" is all moves), effective_width (no more than there are moves) and presentation."""
+    drawn = roots.withColumn("_q", _search(F.col("root_id"), seed, searches))
+    width = F.coalesce("_q.width", "legal_width")
+    kind = draws.by_weight(draws.uniform(seed, F.col("root_id"), "presentation"), mix)
+    return drawn.withColumns({"depth": F.col("_q.depth"), "teacher_width": width, "effective_width": F.least(width, F.col("legal_width")), "presentation": kind}).drop("_q")
+
+
+def settings_problems(rows: DataFrame, seed: str, mix: list[tuple[str, float]], searches: list[tuple[int | str, int, float]] | None = None) -> DataFrame:
+    """(id, rule, detail) where a stored presentation or split, and with ``searches`` also a width or depth (teacher_width,
+    teacher_depth and legal_width of the rows), is not what the seed and the root's id draw. detail is what is drawn, for a split what is stored."""
     c = F.col
-    drawn = rows.select("root_id", "presentation", "split", draws.by_weight(draws.uniform(seed, c("root_id"), "presentation"), mix).alias("_p"), draws.split_of(c("root_id")).alias("_s"))
-    rules = F.array(F.when(c("presentation") != c("_p"), F.struct(F.lit("presentation_drawn").alias("rule"), c("_p").alias("detail"))), F.when(c("split") != c("_s"), F.struct(F.lit("split_drawn").alias("rule"), c("split").alias("detail"))))
-    return drawn.select(c("root_id").alias("id"), F.inline(F.filter(rules, lambda r: r.isNotNull())))
+    checks = {"presentation_drawn": ("presentation", draws.by_weight(draws.uniform(seed, c("root_id"), "presentation"), mix)), "split_drawn": ("split", draws.split_of(c("root_id")))}
+    if searches:
+        drawn = _search(c("root_id"), seed, searches)
+        checks |= {"width_drawn": ("teacher_width", F.coalesce(drawn["width"], c("legal_width"))), "depth_drawn": ("teacher_depth", drawn["depth"])}
+    differs = (F.when(~c(name).eqNullSafe(of), F.struct(F.lit(rule).alias("rule"), (c(name) if rule == "split_drawn" else of).cast("string").alias("detail"))) for rule, (name, of) in checks.items())
+    return rows.select(c("root_id").alias("id"), F.inline(F.filter(F.array(*differs), lambda r: r.isNotNull())))
 
 
 def unmatched(rows: DataFrame, champions: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import io
+import codecs
+import itertools
 import zipfile
 
 import pandas as pd
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import positions
+from .packed import _files
 
 #: A game begins at a line with this tag.
 OPENING = "\n[Event "
+#: Bytes of an archive's text that are read at a time, and games to a batch.
+PIECE, ROWS = 1 << 20, 1024
 #: Parentheses inside parentheses that are still removed.
 NESTED = 8
 
@@ -29,20 +33,44 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("text", F.when(text.startswith("[Event "), text).otherwise(F.concat(F.lit("[Event "), text))).where(F.length(F.trim("text")) > 8)
 
 
+def _games(stream, separator: str = OPENING):
+    """The pieces of a text stream that begin where a game does, one at a time; what comes before the first game is the
+    first piece. Only the piece at hand is held."""
+    decoder, rest, seen = codecs.getincrementaldecoder("utf-8")("replace"), "\n", 0
+    while True:
+        chunk = stream.read(PIECE)
+        rest += decoder.decode(chunk, not chunk).replace("\r", "")
+        begin = 0
+        while (at := rest.find(separator, seen)) >= 0:
+            yield rest[begin:at]
+            begin = seen = at + 1
+        rest = rest[begin:]
+        seen = max(0, len(rest) - len(separator))
+        if not chunk:
+            yield rest
+            return
+
+
 def read_zipped(spark: SparkSession, path: str) -> DataFrame:
-    """The same rows from .zip files, each of which must hold one .pgn file."""
+    """The same rows from .zip files, each of which must hold one .pgn file. An archive is a task of its own, which walks
+    it as a stream: neither the archive nor what it holds is in memory or in a row whole."""
 
     def unzip(frames):
         for pdf in frames:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for file in pdf["path"]:
+                system, at = _files(file)
+                with system.open_input_file(at) as source, zipfile.ZipFile(source) as z:
                     members = [n for n in z.namelist() if n.lower().endswith(".pgn")]
                     if len(members) != 1:
                         raise ValueError(f"{file} must hold one PGN file, not {members}")
-                    yield pd.DataFrame({"file": [file], "whole": [z.read(members[0]).decode("utf-8", "replace")]})
-
-    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).mapInPandas(unzip, "file string, whole string")
-    return split_games(whole, "file", "whole")
+                    with z.open(members[0]) as stream:
+                        pieces = enumerate(_games(stream))
+                        while batch := list(itertools.islice(pieces, ROWS)):
+                            yield pd.DataFrame({"file": file, "at": 0, "place": [k for k, _ in batch], "text": [t for _, t in batch]})
+
+    # the content is not asked for, so Spark lists the files and reads none
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    return paths.mapInPandas(unzip, "file string, at long, place long, text string").where(F.length(F.trim("text")) > 0)
 
 
 def split_games(df: DataFrame, file: str, whole: str) -> DataFrame:
