@@ -77,3 +77,34 @@ def test_decoding_by_place(spark):
     df = streams(spark, [[7, COMPOSITE, COMPOSITE + 3], [COMPOSITE + 1], [COMPOSITE + 9], []])
     got = sorted((r["decoded"] for r in segmentation.decode(df, "t", table).collect()), key=repr)
     assert got == sorted([[7, 1, 2, 4, 5, 6], None, None, []], key=repr)
+
+
+def test_one_token_a_place_side_by_side_and_alone():
+    """Runs walked side by side, and long ones walked alone, have the shortest path's tokens; no list per token is made."""
+    import numpy as np
+
+    rng = random.Random(11)
+    for alone, short in ((0, 1), (2, 8), (32, 64)):
+        entries = {tuple(rng.randrange(3) for _ in range(rng.randrange(2, 9))): COMPOSITE + k for k in range(12)}
+        lists = [[rng.randrange(3) for _ in range(rng.choice([0, 1, 5, 30, 200]))] for _ in range(40)]
+        encoder = segmentation.Encoder(entries)
+        encoder.ALONE, encoder.SHORT = alone, short
+        sizes = np.array([len(x) for x in lists])
+        tokens, made = encoder.encode_flat(np.array([t for x in lists for t in x]), sizes)
+        want = [segmentation.fewest_tokens(x, entries, 8) for x in lists]
+        assert tokens.tolist() == [t for x in want for t in x] and made.tolist() == [len(x) for x in want]
+
+
+def test_words_are_numbered_as_sql_numbers_them(spark):
+    from hashlib import md5
+
+    from pyspark.sql import functions as F
+
+    from tracemill.functions.words import numbers
+
+    texts = ["", None, " ", "a b  a", "é ü\ta", " lead trail ", "x " * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    got = {r["i"]: (r["n"], r["m"]) for r in df.select("i", numbers(F.col("t")).alias("n"), numbers(F.col("t"), 7).alias("m")).collect()}
+    for i, t in enumerate(texts):
+        want = [int(md5(w.encode()).hexdigest()[:7], 16) for w in (t or "").split(" ") if w]
+        assert got[i] == (want, [n % 7 for n in want])

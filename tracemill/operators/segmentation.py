@@ -9,11 +9,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import words
 from ..functions.vocabulary import COMPOSITE, CONTROL
 from ..tables import release, stored
 from .ngrams import BITS, pair_counts
@@ -24,8 +24,9 @@ LONGEST = 8
 POOL = 1_000_000
 
 
-def fewest_tokens(stream: list[int], entries: dict[tuple[int, ...], int], longest: int) -> list[int]:
-    """The shortest encoding; of equal ones that which ends in the longest composite, from the end backwards."""
+def fewest_tokens(stream: list[int], entries: dict[tuple[int, ...], int], longest: int, sizes: list[int] | None = None) -> list[int]:
+    """The shortest encoding; of equal ones that which ends in the longest composite, from the end backwards. How many
+    tokens each stands for is added to ``sizes``, from the end backwards."""
     cost, took = [0], [0]
     for end in range(1, len(stream) + 1):
         best, size = cost[end - 1] + 1, 1
@@ -39,65 +40,141 @@ def fewest_tokens(stream: list[int], entries: dict[tuple[int, ...], int], longes
         n = took[end]
         out.append(stream[end - 1] if n == 1 else entries[tuple(stream[end - n : end])])
         end -= n
+        if sizes is not None:
+            sizes.append(n)
     return out[::-1]
 
 
 class Encoder:
-    """Encodes many streams at a time. All places where an entry occurs are found by sorted hashes; a place that
-    no entry spans cuts a stream, so what is left to the shortest path are short runs between such cuts, most of
-    which occur again and again and are kept."""
+    """Encodes many streams at a time. All places where an entry occurs are found by sorted hashes and compared; a place
+    that no entry spans cuts a stream, so what is left to the shortest path are short runs between such cuts, which are
+    walked side by side, a token of each at a time. The few longest of them are walked alone."""
 
-    HELD = 200_000
+    ALONE, SHORT = 32, 64
 
     def __init__(self, entries: dict[tuple[int, ...], int]):
         self.entries, self.longest = entries, max(map(len, entries), default=1)
-        self.hashes = {n: np.unique(self._hashed(np.array([a for a in entries if len(a) == n], np.uint64))) for n in sorted({len(a) for a in entries})}
-        self.known: dict[bytes, list[int]] = {}
+        self.salt, self.tables = 0, {}
+        for n in sorted({len(a) for a in entries if len(a) > 1}):
+            of = [a for a in entries if len(a) == n]
+            atoms, ids = np.array(of, np.int64), np.array([entries[a] for a in of], np.int64)
+            self.tables[n] = (atoms, ids)
+        while True:  # until no two entries of a length share a hash
+            hashes = {n: self._hashed(atoms, self.salt) for n, (atoms, _) in self.tables.items()}
+            if all(len(np.unique(h)) == len(h) for h in hashes.values()):
+                break
+            self.salt += 1
+        self.hashes = {}
+        for n, h in hashes.items():
+            order = np.argsort(h)
+            self.hashes[n] = h[order]
+            self.tables[n] = tuple(x[order] for x in self.tables[n])
 
     @staticmethod
-    def _hashed(windows: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(windows), np.uint64)
+    def _step(h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        h = (h ^ tokens.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+    @classmethod
+    def _hashed(cls, windows: np.ndarray, salt: int) -> np.ndarray:
+        out = np.full(len(windows), salt, np.uint64)
         for j in range(windows.shape[1]):
-            out = (out ^ windows[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
+            out = cls._step(out, windows[:, j])
         return out
 
+    def _places(self, flat: np.ndarray):
+        """(length, where entries of that length begin, their rows in the table of the length)."""
+        h = np.full(len(flat), self.salt, np.uint64)
+        for n in range(1, self.longest + 1):
+            if len(flat) < n:
+                return
+            h = self._step(h[: len(flat) - n + 1], flat[n - 1 :])
+            if n in self.hashes:
+                k = np.minimum(np.searchsorted(self.hashes[n], h), len(self.hashes[n]) - 1)
+                at = np.flatnonzero(self.hashes[n][k] == h)
+                k = k[at]
+                same = np.ones(len(at), bool)
+                for j in range(n):
+                    same &= flat[at + j] == self.tables[n][0][k, j]
+                yield n, at[same], k[same]
+
+    @staticmethod
+    def _uncovered(spanned: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        cut = np.cumsum(spanned)[:-1] == 0
+        cut[ends[ends < len(cut)]] = True
+        return cut
+
     def cuts(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Which tokens of streams laid end to end begin where no entry spans the place."""
         spanned = np.zeros(len(flat) + 1, np.int64)  # entries over the place before each token, as differences
-        for n, hashes in self.hashes.items():
-            if len(flat) >= n:
-                h = self._hashed(np.lib.stride_tricks.sliding_window_view(flat.astype(np.uint64), n))
-                at = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h)
-                spanned[at + 1] += 1
-                spanned[at + n] -= 1
-        cut = np.cumsum(spanned)[:-1] == 0
-        cut[ends[ends < len(flat)]] = True
-        return cut
+        for n, at, _ in self._places(flat.astype(np.int64)):
+            spanned[at + 1] += 1
+            spanned[at + n] -= 1
+        return self._uncovered(spanned, ends)
+
+    def encode_flat(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, sizes) of the encoded streams that lie end to end in ``flat``."""
+        flat, ends = flat.astype(np.int64), np.cumsum(sizes)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        spanned, found = np.zeros(len(flat) + 1, np.int64), {}
+        for n, at, k in self._places(flat):
+            inside = row[at] == row[at + n - 1]
+            at, k = at[inside], k[inside]
+            found[n] = np.full(len(flat) + 1, -1, np.int64)  # the entry that ends before each place
+            found[n][at + n] = self.tables[n][1][k]
+            spanned[at + 1] += 1
+            spanned[at + n] -= 1
+        starts = np.flatnonzero(self._uncovered(spanned, ends))
+        lengths = np.diff(np.append(starts, len(flat)))
+        begins, out = np.ones(len(flat), bool), flat.copy()
+        many = np.flatnonzero(lengths > 1)
+        many = many[np.argsort(-lengths[many], kind="stable")]
+        starts, lengths = starts[many], lengths[many]
+        limit = max(self.SHORT, int(lengths[self.ALONE]) if len(lengths) > self.ALONE else 0)
+        alone = int(np.searchsorted(-lengths, -limit, side="left"))  # those longer than the limit
+        for a, n in zip(starts[:alone].tolist(), lengths[:alone].tolist(), strict=True):
+            took: list[int] = []
+            made = fewest_tokens(flat[a : a + n].tolist(), self.entries, self.longest, took)
+            begins[a : a + n] = False
+            at = a + np.cumsum([0, *took[::-1][:-1]])
+            begins[at], out[at] = True, made
+        self._side_by_side(starts[alone:], lengths[alone:], found, begins, out)
+        return out[begins], np.bincount(row[begins], minlength=len(sizes))
+
+    def _side_by_side(self, starts, lengths, found, begins, out) -> None:
+        """The shortest paths of runs, the longest first; sets where their tokens begin, and which they are."""
+        if not len(starts):
+            return
+        took = np.ones(len(begins) + 1, np.int8)
+        costs = [np.zeros(len(starts), np.int32)]  # of the last ends, the newest last
+        active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
+        for end, m in enumerate(active.tolist(), 1):
+            place = starts[:m] + end
+            best, size = costs[-1][:m] + 1, np.ones(m, np.int8)
+            for n, entry in found.items():
+                if n <= end:
+                    before = costs[-n][:m]
+                    better = (entry[place] >= 0) & (before < best)
+                    best, size = np.where(better, before + 1, best), np.where(better, np.int8(n), size)
+            took[place] = size
+            costs = [*costs[-self.longest + 1 :], best] if self.longest > 1 else [best]
+        place, first = starts + lengths, starts
+        while len(place):
+            size = took[place].astype(np.int64)
+            for n, entry in found.items():
+                composite = place[size == n]
+                out[composite - n] = entry[composite]
+                for j in range(1, n):
+                    begins[composite - j] = False
+            place = place - size
+            left = place > first
+            place, first = place[left], first[left]
 
     def encode(self, streams: list[np.ndarray]) -> list[list[int]]:
-        ends = np.cumsum([len(s) for s in streams])
-        flat = np.concatenate([np.zeros(0, np.int64), *streams]).astype(np.int64)
-        starts = np.flatnonzero(self.cuts(flat, ends))
-        runs = np.append(starts, len(flat))
-        long = np.flatnonzero(np.diff(runs) > 1)
-        tokens, out, k = flat.tolist(), [], 0
-        begins, stops = runs[long].tolist(), runs[long + 1].tolist()
-        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            made, at = [], lo
-            while k < len(begins) and begins[k] < hi:
-                a, b = begins[k], stops[k]
-                made += tokens[at:a]
-                key = flat[a:b].tobytes()
-                if (found := self.known.get(key)) is None:
-                    found = fewest_tokens(tokens[a:b], self.entries, self.longest)
-                    if len(self.known) < self.HELD:
-                        self.known[key] = found
-                made += found
-                at, k = b, k + 1
-            made += tokens[at:hi]
-            out.append(made)
-        return out
+        sizes = np.array([len(s) for s in streams], np.int64)
+        tokens, made = self.encode_flat(np.concatenate([np.zeros(0, np.int64), *streams]), sizes)
+        tokens, ends = tokens.tolist(), np.cumsum(made).tolist()
+        return [tokens[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _listed(dictionary: DataFrame) -> list[tuple[int, list[int]]]:
@@ -118,38 +195,81 @@ def unsound_entries(dictionary: DataFrame) -> DataFrame:
     return dictionary.withColumn("reason", reason).where("reason IS NOT NULL")
 
 
+#: Tokens that a task encodes or decodes at a time.
+PIECE = 250_000
+
+
 def encode(df: DataFrame, tokens: str, dictionary: DataFrame, out: str = "encoded") -> DataFrame:
     """``df`` with ``tokens`` encoded. A shortest path per row, for which SQL arrays would copy their state at
     every token, hence a vectorised function; the plan stays free of shuffles."""
     entries = {tuple(a): i for i, a in _listed(dictionary)}
     shared = df.sparkSession.sparkContext.broadcast(entries)
 
-    @F.pandas_udf("array<int>")
-    def shortest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def shortest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
-        for streams in batches:
-            there = streams.notna().to_numpy()
-            out = np.empty(len(streams), object)
-            kept = np.flatnonzero(there)
-            for k in range(0, len(kept), 256):
-                some = kept[k : k + 256]
-                for i, made in zip(some, encoder.encode([np.asarray(streams.iat[i], np.int64) for i in some]), strict=True):
-                    out[i] = made
-            yield pd.Series(out)
+        for b in batches:
+            values, sizes, there = words.flat(b)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            made = [encoder.encode_flat(values[ends[i] : ends[j]], sizes[i:j]) for i, j in words.rows_within(sizes, PIECE)]
+            yield words.lists(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in made)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in made)]), there)
 
-    return df.withColumn(out, shortest(F.col(tokens)))
+    return df.withColumn(out, shortest(F.col(tokens).cast("array<int>")))
 
 
 def decode(df: DataFrame, tokens: str, dictionary: DataFrame, out: str = "decoded") -> DataFrame:
     """Composites replaced by their atoms; null where an id is unknown."""
     rows = _listed(dictionary)
-    if not rows:
-        return df.withColumn(out, F.when(F.forall(tokens, lambda t: t < COMPOSITE), F.col(tokens)))
-    by_id = dict(rows)
-    of = [by_id.get(COMPOSITE + k) for k in range(max(by_id) - COMPOSITE + 1)]
-    table = df.sparkSession.createDataFrame([(of,)], "_of array<array<int>>")  # an id is its place, whatever their number
-    expanded = F.flatten(F.transform(tokens, lambda t: F.when(t < COMPOSITE, F.array(t)).otherwise(F.get("_of", t - COMPOSITE))))
-    return df.join(F.broadcast(table)).withColumn(out, expanded).drop("_of")
+    shared = df.sparkSession.sparkContext.broadcast(rows)
+
+    @F.arrow_udf("array<int>")
+    def expanded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        expander = _Expander(shared.value)
+        for b in batches:
+            values, sizes, there = words.flat(b)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            made = [expander.expand(values[ends[i] : ends[j]], sizes[i:j]) for i, j in words.rows_within(sizes, PIECE)]
+            known = np.concatenate([np.zeros(0, bool), *(k for _, _, k in made)])
+            yield words.lists(np.concatenate([np.zeros(0, np.int64), *(t for t, _, _ in made)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n, _ in made)]), there & known)
+
+    # a null token is an unknown one
+    return df.withColumn(out, expanded(F.transform(F.col(tokens).cast("array<int>"), lambda t: F.coalesce(t, F.lit(_UNKNOWN)))))
+
+
+_UNKNOWN = (1 << 31) - 1
+
+
+class _Expander:
+    """Composites to atoms, many streams at a time; an id is its place."""
+
+    def __init__(self, rows: list[tuple[int, list[int]]]):
+        self.sizes = np.full(max((i - COMPOSITE for i, _ in rows), default=-1) + 1, -1, np.int64)
+        self.starts, self.atoms, at = self.sizes.copy(), np.concatenate([np.zeros(0, np.int64), *(np.array(a, np.int64) for _, a in rows)]), 0
+        for i, a in rows:
+            if i >= COMPOSITE:
+                self.sizes[i - COMPOSITE], self.starts[i - COMPOSITE] = len(a), at
+            at += len(a)
+
+    def expand(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(atoms, sizes, whether all ids are known); nothing where they are not."""
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = tokens.astype(np.int64) - COMPOSITE
+        composite = place >= 0
+        named = composite & (place < len(self.sizes))
+        many = np.ones(len(tokens), np.int64)
+        many[composite] = -1
+        many[named] = self.sizes[place[named]]
+        known = np.ones(len(sizes), bool)
+        known[row[many < 0]] = False
+        kept = known[row]
+        tokens, place, many, composite, row = tokens[kept], place[kept], many[kept], composite[kept], row[kept]
+        out = np.repeat(tokens.astype(np.int64), many)
+        inner = np.repeat(composite, many)
+        begin = np.cumsum(many) - many
+        source = np.zeros(len(tokens), np.int64)
+        source[composite] = self.starts[place[composite]] - begin[composite]
+        out[inner] = self.atoms[np.repeat(source, many)[inner] + np.flatnonzero(inner)]
+        return out, np.bincount(row, weights=many, minlength=len(sizes)).astype(np.int64), known
 
 
 def usage(df: DataFrame, encoded: str, dictionary: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, draws
 from ..functions.vocabulary import COMPOSITE, CONTROL
+from ..functions.words import numbers
 from ..operators import dedup, ngrams, packing, profiles, sampling, segmentation
 from ..sources import packed
 from ..tables import shared_folder, table
@@ -37,7 +38,7 @@ def words(text: Column) -> Column:
 
 
 def atoms(text: Column) -> Column:
-    return F.transform(words(text), lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % ATOMS).cast("int"))
+    return numbers(text, ATOMS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
