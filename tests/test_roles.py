@@ -65,3 +65,12 @@ def test_shares_add_up(spark):
     got = {(x["k"], x["role"]): x for x in roles.role_shares(df, "r", ["k"]).collect()}
     assert {r for k, r in got if k == "a"} == {"move", "eval", "refused"} and abs(sum(x["share"] for (k, _), x in got.items() if k == "a") - 1) < 1e-12
     assert sum(x["n"] for x in roles.role_shares(df, "r", []).collect()) == 201
+
+
+def test_a_query_makes_each_word_a_number_once(spark):
+    """A word's number is made once, not at each place of the step that asks for it, nor at each use of the tokens."""
+    from tracemill.plans import role_queries
+
+    for name in ("trace_roles", "role_shares", "composite_role_shares"):
+        plan = role_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lambdafunction(CASE WHEN ((cast(") == 1, name

@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import CONTROL, START
+from ..functions.words import numbers
 from ..operators import roles
-from .corpus_queries import _SPLIT, documents, words
+from .corpus_queries import _SPLIT, documents
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -22,23 +23,25 @@ def _number(w: Column) -> Column:
 
 def _traces(spark, sf_dir):
     """Thought, decision, value, line and end; every fifth document also has words that the grammar refuses."""
-    h = _number
+    h = lambda n: n.cast("long")
     int_array = lambda *xs: F.array(*(x.cast("int") for x in xs))
 
-    def step(w):
-        metas = [h(w) % 181 + k for k in range(8)]
-        board = int_array(F.lit(CONTROL["board"]), h(w) % 768, F.floor(h(w) / 7) % 768, *(START["side"] + m % _METAS for m in metas))
-        move = int_array(START["move"] + h(w) % _MOVES)
-        kind = h(w) % 8
-        out = F.when(kind == 0, board).when(kind == 4, int_array(START["value"] + h(w) % _VALUES))
+    def step(n):
+        metas = [h(n) % 181 + k for k in range(8)]
+        board = int_array(F.lit(CONTROL["board"]), h(n) % 768, F.floor(h(n) / 7) % 768, *(START["side"] + m % _METAS for m in metas))
+        move = int_array(START["move"] + h(n) % _MOVES)
+        kind = h(n) % 8
+        out = F.when(kind == 0, board).when(kind == 4, int_array(START["value"] + h(n) % _VALUES))
         for k, name in enumerate(_STEPS):
-            out = out.when((kind == 5) & (F.floor(h(w) / 8) % 4 == k), int_array(F.lit(CONTROL[name])))
-        return out.when((kind == 7) & (F.col("doc_id") % 5 == 0), int_array(h(w) % 3000)).otherwise(move)
+            out = out.when((kind == 5) & (F.floor(h(n) / 8) % 4 == k), int_array(F.lit(CONTROL[name])))
+        return out.when((kind == 7) & (F.col("doc_id") % 5 == 0), int_array(h(n) % 3000)).otherwise(move)
 
     last = _number(F.col("doc_id").cast("string"))
     suffix = int_array(F.lit(CONTROL["final"]), START["move"] + last % _MOVES, START["value"] + last % _VALUES, START["move"] + F.floor(last / 3) % _MOVES, F.lit(CONTROL["end"]))
-    tokens = F.concat(F.flatten(F.transform(words(F.col("text")), step)), suffix)
-    return documents(spark, sf_dir).select("doc_id", "lang", tokens.alias("tokens"))
+    tokens = F.concat(F.flatten(F.transform("numbers", step)), suffix)
+    rows = documents(spark, sf_dir).select("doc_id", "lang", numbers(F.col("text")).alias("numbers"))
+    # rows of an array of one, as a plain column would be written into each place that names it and made again there
+    return rows.select("doc_id", "lang", F.explode(F.array(tokens)).alias("tokens"))
 
 
 _H = "('0x' || substr(md5({0}), 1, 7))::BIGINT"
