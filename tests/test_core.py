@@ -240,3 +240,11 @@ def test_entry_module():
 
     names = set(e.queries())
     assert set(e.oracle_sql()) <= names and len(names) > 60
+
+
+def test_the_squares_of_a_board_are_made_once(spark):
+    from tracemill.functions import boards
+
+    fens = spark.createDataFrame([("8/8/8/8/8/8/8/K6k w - - 0 1",)], "fen string").repartition(1)
+    plan = fens.select(boards.encode_board(F.col("fen"), F.lit(1)).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") == 1

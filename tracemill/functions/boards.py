@@ -24,7 +24,11 @@ def squares(fen: Column) -> Column:
 def encode_board(fen: Column, repetition: Column) -> Column:
     """Tokens of a position: a piece token per occupied square from a1 to h8, then META more. Null where the
     placement does not fill the board or holds an unknown letter, or the repetition is below 1."""
-    board, castling, ep = squares(fen), field(fen, 2), field(fen, 3)
+    return _once(squares(fen), lambda board: _tokens(fen, board, repetition))
+
+
+def _tokens(fen: Column, board: Column, repetition: Column) -> Column:
+    castling, ep = field(fen, 2), field(fen, 3)
     at = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda s: F.struct(s.alias("s"), F.substring(board, s + 1, F.lit(1)).alias("p")))
     pieces = F.transform(F.filter(at, lambda x: x["p"] != "."), lambda x: x["s"] * 12 + F.instr(F.lit(PIECES), x["p"]) - 1)
     rights = [F.lit(START["castling"] + 2 * i) + F.contains(castling, F.lit(r)).cast("int") for i, r in enumerate("KQkq")]
@@ -51,7 +55,10 @@ def _once(value: Column, use) -> Column:
 def decode_board(tokens: Column) -> Column:
     """Struct (fen, repetition) of a token list in any order; the move number is not stored and reads 1. Null
     where a square or one of the META parts is given twice or is missing."""
+    return _once(tokens, _position)
+
 
+def _position(tokens: Column) -> Column:
     def one(name, size):
         return F.filter(tokens, lambda t: _within(t, name, size))
 
