@@ -55,3 +55,9 @@ def test_contract(spark):
 @pytest.mark.parametrize(("value", "ok"), [(0, True), (1, True), (0.5, True), (-0.1, False), ("0.5", False), (True, False)])
 def test_probabilities(spark, value, ok):
     assert (found(spark, changed("board.board_frontier_p", value))[0] == set()) == ok
+
+
+def test_a_text_is_parsed_once_in_one_scan(spark):
+    df = spark.createDataFrame([(1, _SOUND, 20)], "id int, d string, n int")
+    plan = identity.violations(df, "id", "d", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") <= 1 and plan.count("Union") == 0 and plan.count("explode(") == 1
