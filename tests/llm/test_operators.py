@@ -3,14 +3,16 @@
 import re
 import time
 import zlib
+from glob import glob
 from html.parser import HTMLParser
 from itertools import permutations
 from math import log, log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tracemill.llm import class_lm, decontaminate, html_text, mixing, near_dup, quality, queries, surrogates, token_counts, toxicity, vector_dedup
+from tracemill.llm import base, class_lm, decontaminate, html_text, mixing, near_dup, quality, queries, surrogates, token_counts, toxicity, vector_dedup
 
 SF = "/root/testdata/sf0.001"
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
@@ -250,6 +252,31 @@ def test_near_duplicates_of_a_corpus_and_a_large_group(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == sorted(brute_components(texts, 2))
 
 
+def test_near_duplicates_in_passes_hold_few_sets_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SHORT", 3)
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "AT_ONCE", 20)
+    joined, several = near_dup._Search.joined, []
+    monkeypatch.setattr(near_dup._Search, "joined", lambda self, parts: several.append(len(parts)) or joined(self, parts))
+    texts = [(i, " ".join(f"g{j}" for j in range(i % 9, 60)) + f" end{i}" + f" other{i} " * (i % 7)) for i in range(90)]
+    got = near_dup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), size=2)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == sorted(brute_components(texts, 2))
+    assert max(several) > 1
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    folder = spark.sparkContext.getConf().get("spark.local.dir") or spark._jvm.System.getProperty("java.io.tmpdir")
+    there = lambda: set(glob(f"{folder}/blockmgr-*/*/shuffle_*"))
+    df = spark.range(50_000).repartition(3, "id").groupBy((F.col("id") % 1000).alias("k")).count()
+    before = there()
+    cut = base.cut(df)
+    until = time.time() + 10
+    while (left := there() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(base._CLEANUP, None) is None
+    assert cut.count() == 1000
+
+
 @pytest.mark.parametrize("block", [2, 512])
 def test_chains_under_a_shared_value_stay_whole(spark, monkeypatch, block):
     monkeypatch.setattr(near_dup, "SHORT", 3)
