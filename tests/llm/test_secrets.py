@@ -133,3 +133,22 @@ def test_thresholds_keep_the_recall():
     slope, shift = sc.logistic(s, y, np.ones(300))
     q = 1 / (1 + np.exp(-(slope * s + shift)))
     assert abs(q.mean() - y.mean()) < 1e-3 and slope > 0
+
+
+def test_every_labelled_candidate_is_learnt_from_in_parts(spark, monkeypatch):
+    rows = made(600)
+    monkeypatch.setattr(sc, "PART", 100)
+    monkeypatch.setattr(sc, "MEANS", 2)
+    trained, counts = sc.trained, []
+    monkeypatch.setattr(sc, "trained", lambda rows, by, **k: counts.append((rows.count(), sum(sum(c.values()) for c in by.values()))) or trained(rows, by, **k))
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["findings"] for r in sc.find_secrets(df).collect()}
+    candidates = sum(len(sc._scan(t)[1]) for _, t, _ in rows)
+    assert counts[0] == (candidates, candidates) and all(a == b for a, b in counts) and len(counts) == 2
+    added = {i: [texts[f["start"] : f["end"]] for f in got[i] if f["kind"] == "net"] for i, texts, _ in rows}
+    assert sum(b in added[i] for i, _, bare in rows for b in bare) >= 40
+
+
+def test_thresholds_of_cells_keep_the_recall():
+    p, n = np.array([0.5, 0.1, 0.9, 0.3]), np.array([10, 4, 80, 6])
+    assert [sc.kept_threshold(p, n, r) for r in (0.95, 0.9, 1.0, 0.5)] == [sc.lowest_kept(np.repeat(p, n), r) for r in (0.95, 0.9, 1.0, 0.5)]

@@ -4,15 +4,16 @@
    that keys are written in, MIN_RUN or longer, with a digit or with capitals inside; what stands before the last "=" is
    a name and not part of them. Each is kept with its characters and those around it, as windows of fixed size (a long
    candidate has several, so all of it is seen).
-2. Labelled findings train the network: those that the caller names, or else the base findings against all other
-   candidates. At most ``sample`` of each label are taken, in the order of a hash, and one in CALIBRATE of the documents
-   is held back. Many of the training findings are shown without what stands around them or in another alphabet, so that
+2. Labelled findings train the network, all of them: those that the caller names, or else the base findings against all
+   other candidates, each by its first window. They are dealt to parts, whose networks are averaged after every round.
+   One in CALIBRATE of the documents is held back. Many of the training findings are shown without what stands around them or in another alphabet, so that
    keys are known by more than the words before them. Where the labels are the base findings', other candidates may be
    keys that no pattern names: those that a network of the other half of the documents takes for keys teach nothing.
 3. The network embeds characters, convolves them, takes the maxima inside and around the candidate and the mean inside,
    and has one hidden layer. A logistic curve fitted to the documents held back, each label weighing what it does in
    the corpus, turns its outputs into probabilities; per kind of alphabet the threshold is the highest one that keeps
-   ``recall`` of the findings held back, shown as they are, bare, and bare in another alphabet.
+   ``recall`` of the findings held back, shown as they are, bare, and bare in another alphabet; all of
+   them are counted, by cells of their scores.
 4. Every candidate of every document is scored where its document's row lies, without a shuffle.
 
 Cases: a null text is empty; repeated rows are scanned each, ids may be null or repeat; a candidate that overlaps a base
@@ -27,11 +28,12 @@ import re
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, slices
+from .base import cut, release, slices
 
 # The base patterns and their kinds, in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -48,7 +50,9 @@ BEFORE, INSIDE, AFTER = 24, 48, 12
 WINDOW = BEFORE + INSIDE + AFTER
 #: How far apart a long candidate's windows start.
 STRIDE = 32
-SAMPLE, CALIBRATE, LEAST, RECALL = 4000, 4, 20, 0.95
+CALIBRATE, LEAST, RECALL = 4, 20, 0.95
+#: Rows that a task learns from at a time, how many sums of networks the driver gets, and cells of scores to 1.
+PART, MEANS, CELLS = 8192, 32, 1024
 _IN = 128
 _LETTERS, _SPACE, _OTHER = 1, 2, 3  # beyond printable ASCII
 _CODES = 99 + 4
@@ -231,26 +235,88 @@ def respelt(x: np.ndarray, r: np.random.Generator) -> np.ndarray:
     return x
 
 
-def trained(x: np.ndarray, y: np.ndarray, epochs: int = 10, steps: int = 400, batch: int = 128, seed: int = 7) -> Network:
-    """A network fitted by Adam to windows and labels, both labels weighing the same."""
-    net, r = Network(seed), np.random.default_rng(seed)
-    weight = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum())) * len(y)
-    m, v = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(2))
-    t, rounds = 0, max(epochs, -(-steps * batch // len(x)))  # few rows are seen more often
-    for _ in range(rounds):
-        shown = varied(x, y, r)
-        order = r.permutation(len(x))
-        for k in range(0, len(x), batch):
-            at = order[k : k + batch]
-            out, held = net.forward(shown[at], keep=True)
-            dy = ((1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[at]) * weight[at] / len(at)).astype(np.float32)
-            t += 1
-            rate = 0.003 * (1 - 0.9 * min(1, t * batch / (rounds * len(x)))) / (1 - 0.9**t)
-            for name, g in net.gradients(held, dy).items():
-                m[name] += 0.1 * (g - m[name])
-                v[name] += 0.001 * (g * g - v[name])
-                net.p[name] -= (rate * m[name] / (np.sqrt(v[name] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    return net
+class Learner:
+    """A network with the state of Adam; as bytes it goes to tasks and back."""
+
+    def __init__(self, seed: int = 7):
+        self.net = Network(seed)
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in self.net.p.items()} for _ in range(2))
+        self.t = 0
+
+    def values(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for of in (self.net.p, self.m, self.v) for a in of.values()])
+
+    def take(self, values: np.ndarray, t: int) -> Learner:
+        at, self.t = 0, t
+        for of in (self.net.p, self.m, self.v):
+            for k, a in of.items():
+                of[k] = values[at : at + a.size].reshape(a.shape).astype(np.float32)
+                at += a.size
+        return self
+
+    def practise(self, x: np.ndarray, y: np.ndarray, weights: dict[bool, float], epochs: int, done: float, share: float, r: np.random.Generator, batch: int = 128) -> None:
+        """Some epochs over windows and labels, which are the ``share`` of all training after what is ``done``."""
+        weight = np.where(y, weights[True], weights[False])
+        steps, own = epochs * -(-len(x) // batch), 0
+        for _ in range(epochs):
+            shown = varied(x, y, r)
+            order = r.permutation(len(x))
+            for k in range(0, len(x), batch):
+                at = order[k : k + batch]
+                out, held = self.net.forward(shown[at], keep=True)
+                dy = ((1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[at]) * weight[at] / len(at)).astype(np.float32)
+                self.t, own = self.t + 1, own + 1
+                rate = 0.003 * (1 - 0.9 * min(1, done + share * own / steps)) / (1 - 0.9**self.t)
+                for name, g in self.net.gradients(held, dy).items():
+                    self.m[name] += 0.1 * (g - self.m[name])
+                    self.v[name] += 0.001 * (g * g - self.v[name])
+                    self.net.p[name] -= (rate * self.m[name] / (np.sqrt(self.v[name] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
+
+
+def _windows_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, WINDOW)
+
+
+def trained(rows: DataFrame, counts: dict[int, dict[bool, int]], rounds: int, steps: int, seed: int = 7) -> dict[int, Network]:
+    """For each number ``net`` a network fitted to all its rows (net, key, y, shown) by Adam, both labels weighing the
+    same. ``counts``: rows of each label by net. Rows are dealt by their key to parts of some PART rows; a round of each
+    part begins with the mean of all parts' networks of the round before, so no task holds more than its part. Each part
+    makes ``steps`` steps at least."""
+    sizes = {k: sum(c.values()) for k, c in counts.items()}
+    parts = {k: -(-n // PART) for k, n in sizes.items()}
+    weights = {k: {y: 0.5 * sizes[k] / max(1, c[y]) for y in (True, False)} for k, c in counts.items()}
+    epochs = {k: max(1, -(-steps * 128 * parts[k] // (rounds * n))) for k, n in sizes.items()}
+    many = F.create_map(*(F.lit(v) for k, n in parts.items() for v in (k, n)))
+    dealt = cut(rows.withColumn("part", F.pmod(F.xxhash64("key"), many[F.col("net")]).cast("int")), max(1, sum(parts.values())))
+    learners = {k: Learner(seed) for k in counts}
+    spark = rows.sparkSession
+    for i in range(rounds):
+        start = spark.sparkContext.broadcast({k: (a.values(), a.t) for k, a in learners.items()})
+
+        def of_part(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["key", "y", "shown"])
+            k, part = int(pdf["net"].iloc[0]), int(pdf["part"].iloc[0])
+            own = Learner(seed).take(*start.value[k])
+            own.practise(_windows_of(pdf["shown"]), pdf["y"].to_numpy(bool), weights[k], epochs[k], i / rounds, 1 / rounds, np.random.default_rng([seed, i, part]))
+            return pd.DataFrame({"net": [k], "part": [part], "n": [len(pdf)], "t": [own.t], "state": [(own.values() * np.float64(len(pdf))).tobytes()]})
+
+        def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+            state = np.zeros(len(pdf["state"].iloc[0]) // 8)
+            for one in pdf.sort_values("part")["state"]:
+                state += np.frombuffer(one)
+            return pd.DataFrame({"net": pdf["net"].iloc[:1], "part": pdf["part"].iloc[:1], "n": [pdf["n"].sum()], "t": [pdf["t"].max()], "state": [state.tobytes()]})
+
+        kind = "net int, part int, n long, t long, state binary"
+        made = dealt.groupBy("net", "part").applyInPandas(of_part, kind)
+        if max(parts.values()) > MEANS:  # sums by tasks first, so that the driver gets a bounded number
+            made = made.groupBy("net", F.pmod("part", F.lit(MEANS))).applyInPandas(summed, kind)
+        got = sorted(made.collect(), key=lambda r: (r["net"], r["part"]))
+        for k, learner in learners.items():
+            own = [r for r in got if r["net"] == k]
+            learner.take(sum(np.frombuffer(r["state"]) for r in own) / sum(r["n"] for r in own), max(r["t"] for r in own))
+        start.unpersist()
+    release(dealt)
+    return {k: a.net for k, a in learners.items()}
 
 
 def logistic(s: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -271,41 +337,79 @@ def lowest_kept(p: np.ndarray, recall: float) -> float:
     return float(np.sort(p)[int(np.floor((1 - recall) * len(p)))])
 
 
-def doubtful(x: np.ndarray, y: np.ndarray, half: np.ndarray) -> np.ndarray:
-    """Candidates without a label that a network of the other half takes for keys."""
-    out = np.zeros(len(x), bool)
-    for h in (False, True):
-        learn, judge = half != h, (half == h) & ~y
-        if min((y & learn).sum(), (~y & learn).sum()) >= LEAST // 2 and judge.any():
-            out[np.flatnonzero(judge)] = trained(x[learn], y[learn], epochs=3, steps=200).scores(x[judge]) > 0
+def kept_threshold(p: np.ndarray, n: np.ndarray, recall: float) -> float:
+    """``lowest_kept`` of values that stand for ``n`` each, of which ``p`` is the lowest."""
+    order = np.argsort(p)
+    return float(p[order][np.searchsorted(np.cumsum(n[order]), np.floor((1 - recall) * n.sum()), side="right")])
+
+
+def _by(counted: list, name: str) -> dict[int, dict[bool, int]]:
+    out: dict[int, dict[bool, int]] = {}
+    for r in counted:
+        own = out.setdefault(int(r[name]), {True: 0, False: 0})
+        own[r["y"]] += r["count"]
     return out
 
 
-def fitted(rows: dict, counts: dict[bool, int], recall: float, trusted: bool):
-    """(network, slope, shift, thresholds by alphabet) from labelled windows; none where there are too few."""
-    y = rows["y"]
-    if min((y & ~rows["held"]).sum(), (~y & ~rows["held"]).sum()) < LEAST:
+def sure_rows(rows: DataFrame, counted: list) -> DataFrame:
+    """``rows`` without candidates that have no label and that a network of the other half takes for keys."""
+    learn = {1 - h: c for h, c in _by(counted, "half").items() if min(c.values()) >= LEAST // 2}
+    if not learn:
+        return rows
+    nets = rows.sparkSession.sparkContext.broadcast(trained(rows.withColumn("net", 1 - F.col("half")).where(F.col("net").isin(*learn)), learn, rounds=3, steps=200))
+
+    def judged(batches):
+        for b in slices(batches):
+            y, half = (np.array(b.column(k).to_pylist(), t) for k, t in (("y", bool), ("half", int)))
+            x, doubt = _windows_of(b.column("shown").to_pylist()), np.zeros(len(y), bool)
+            for h, net in nets.value.items():
+                at = np.flatnonzero((half == h) & ~y)
+                doubt[at] = net.scores(x[at]) > 0
+            yield b.filter(pa.array(~doubt))
+
+    return cut(rows.mapInArrow(judged, rows.schema))
+
+
+def fitted(rows: DataFrame, counts: dict[bool, int], recall: float, trusted: bool):
+    """(network, slope, shift, thresholds by alphabet) from all labelled windows; none where there are too few."""
+    counted = rows.groupBy("y", "held", "half").count().collect()
+    if min(_by(counted, "held").get(0, {True: 0, False: 0}).values()) < LEAST:
         return None
-    sure = np.ones(len(y), bool) if trusted else ~doubtful(rows["x"], y, rows["half"])
-    x, y, held, kind = (rows[k][sure] for k in ("x", "y", "held", "alphabet"))
-    if not (~y & ~held).any():
+    if not trusted:
+        rows = sure_rows(rows, counted)
+        counted = rows.groupBy("y", "held", "half").count().collect()
+    by = _by(counted, "held")
+    if not by.get(0, {False: 0})[False]:
         return None
-    net, r = trained(x[~held], y[~held]), np.random.default_rng(11)
-    use = held if (y & held).any() and (~y & held).any() else np.ones(len(y), bool)
-    x, y, kind = x[use], y[use], kind[use]
-    views = [(x, y, kind), (bare(x), y, kind), (respelt(bare(x[y]), r), y[y], np.full(y.sum(), len(ALPHABETS) - 1))]
-    s = np.concatenate([net.scores(v) for v, _, _ in views])
-    y2, kinds = np.concatenate([v[1] for v in views]), np.concatenate([v[2] for v in views])
-    w = np.where(y2, counts[True] / y2.sum(), counts[False] / (~y2).sum())
-    slope, shift = logistic(s, y2, w / w.mean())
-    p = 1 / (1 + np.exp(-np.clip(slope * s + shift, -30, 30)))
-    overall = lowest_kept(p[y2], recall)
-    thresholds = [lowest_kept(p[y2 & (kinds == k)], recall) if (y2 & (kinds == k)).sum() >= LEAST else overall for k in range(len(ALPHABETS))]
-    return net, slope, shift, np.array(thresholds)
-
-
-def _labelled(scanned: DataFrame, findings: DataFrame | None, sample: int) -> tuple[dict, dict[bool, int]]:
-    """Windows and labels to learn from, at most ``sample`` of each label, and how many there are of each."""
+    net = trained(rows.where(~F.col("held")).withColumn("net", F.lit(0)), {0: by[0]}, rounds=10, steps=400)[0]
+    use = rows.where("held") if min(by.get(1, {True: 0, False: 0}).values()) else rows
+    shared, last = rows.sparkSession.sparkContext.broadcast(net), len(ALPHABETS) - 1
+
+    def views(batches):
+        for b in slices(batches):
+            y, kind = (np.array(b.column(k).to_pylist(), t) for k, t in (("y", bool), ("alphabet", int)))
+            x = _windows_of(b.column("shown").to_pylist())
+            plain, keys = bare(x), np.array(b.column("key").to_pylist(), np.int64)[y].view(np.uint64)
+            other = [respelt(plain[k : k + 1], np.random.default_rng(int(seed))) for k, seed in zip(np.flatnonzero(y), keys, strict=True)]
+            s = shared.value.scores(np.concatenate([x, plain, *other])).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([kind, kind, np.full(y.sum(), last)]), pa.int32()), pa.array(np.concatenate([y, y, y[y]])), pa.array(s)], names=["kind", "y", "s"])
+
+    # all scores, in cells so narrow that one number stands for those of a cell; beyond 30 a probability is 0 or 1
+    cell = F.floor(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), "s")) * CELLS)
+    cells = use.mapInArrow(views, "kind int, y boolean, s double").groupBy("kind", "y", cell.alias("c")).agg(F.count("*").alias("n"), F.avg("s").alias("mean"), F.min("s").alias("low"), F.max("s").alias("high")).toPandas().sort_values(["kind", "y", "c"])
+    kinds, y, n = (cells[k].to_numpy() for k in ("kind", "y", "n"))
+    y = y.astype(bool)
+    w = np.where(y, counts[True] / n[y].sum(), counts[False] / n[~y].sum()) * n
+    slope, shift = logistic(cells["mean"].to_numpy(), y, w * n.sum() / w.sum())
+    p = np.minimum(*(1 / (1 + np.exp(-np.clip(slope * cells[k].to_numpy() + shift, -30, 30))) for k in ("low", "high")))
+    overall = kept_threshold(p[y], n[y], recall)
+    of = [y & (kinds == k) for k in range(len(ALPHABETS))]
+    return net, slope, shift, np.array([kept_threshold(p[own], n[own], recall) if n[own].sum() >= LEAST else overall for own in of])
+
+
+def _labelled(scanned: DataFrame, findings: DataFrame | None) -> tuple[DataFrame, dict[bool, int]]:
+    """The first window of every candidate with a label (y, alphabet, held, half, key, shown), and how many there are of
+    each label."""
     ids = scanned.select(F.col("_doc.id").alias("id"), F.explode("candidates").alias("c"))
     if findings is None:
         each = ids.select("id", "c", F.col("c.known").alias("y"))
@@ -313,18 +417,13 @@ def _labelled(scanned: DataFrame, findings: DataFrame | None, sample: int) -> tu
         named = findings.where("id IS NOT NULL").select(F.col("id").alias("_id"), F.col("start").alias("_a"), F.col("end").alias("_z"), F.col("secret").alias("y"))
         overlap = (F.col("id") == F.col("_id")) & (F.col("c.start") < F.col("_z")) & (F.col("_a") < F.col("c.end"))
         each = ids.join(named, overlap).groupBy("id", "c").agg(F.max("y").alias("y")).where("y IS NOT NULL")
-    counts = {False: 0, True: 0} | {r["y"]: r["count"] for r in each.groupBy("y").count().collect()}
-    picked = []
-    for label in (True, False):
-        draw = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(0))
-        own = each.where(F.col("y") == label).select("y", F.col("c.alphabet").alias("alphabet"), draw.alias("draw"), F.substring("c.shown", 1, WINDOW).alias("shown"))
-        picked += own.orderBy(F.xxhash64("shown"), "shown", "draw").limit(sample).collect()  # a bound of the fit
-    x = np.frombuffer(b"".join(bytes(r["shown"]) for r in picked), np.uint8).reshape(-1, WINDOW)
-    rows = {"x": x, "y": np.array([r["y"] for r in picked], bool), "held": np.array([r["draw"] % CALIBRATE == 0 for r in picked], bool), "half": np.array([r["draw"] // CALIBRATE % 2 for r in picked], bool), "alphabet": np.array([r["alphabet"] for r in picked], int)}
-    return rows, counts
-
-
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: DataFrame | None = None, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+    draw = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(0))
+    rows = each.select("y", F.col("c.alphabet").alias("alphabet"), draw.alias("draw"), F.substring("c.shown", 1, WINDOW).alias("shown"), F.xxhash64("id", "c.start", "c.shown").alias("key"))
+    rows = cut(rows.select("y", "alphabet", (F.col("draw") % CALIBRATE == 0).alias("held"), (F.floor(F.col("draw") / CALIBRATE) % 2).cast("int").alias("half"), "key", "shown"))
+    return rows, {False: 0, True: 0} | {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: DataFrame | None = None, recall: float = RECALL) -> DataFrame:
     """Per document: id and findings, an array of (kind, start, end, probability) in order of start and kind.
 
     ``findings`` (id, start, end, secret): labelled findings to learn from, in place of the base ones.
@@ -333,7 +432,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read = docs.select(F.struct(F.col(id_col).alias("id")).alias("_doc"), F.col(text_col).cast("string").alias("text"))
     kind = read.schema["_doc"].dataType.simpleString()
     scanned = cut(read.mapInArrow(_scanned, f"_doc {kind}, base {_FOUND}, candidates {_CANDIDATES}"))
-    model = spark.sparkContext.broadcast(fitted(*_labelled(scanned, findings, sample), recall, findings is not None))
+    model = spark.sparkContext.broadcast(fitted(*_labelled(scanned, findings), recall, findings is not None))
 
     def scored(batches):
         item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])
