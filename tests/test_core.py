@@ -248,3 +248,13 @@ def test_the_squares_of_a_board_are_made_once(spark):
     fens = spark.createDataFrame([("8/8/8/8/8/8/8/K6k w - - 0 1",)], "fen string").repartition(1)
     plan = fens.select(boards.encode_board(F.col("fen"), F.lit(1)).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("reverse(") == 1
+
+
+def test_losses_of_sides_are_worked_out_once(spark):
+    from tracemill.operators import evaluation
+
+    losses = spark.range(9).selectExpr("id", "0 AS ply", "id % 2 = 0 AS root_player", "cast(id AS int) AS cp_loss", "id < 3 AS best_move")
+    seen = spark.sparkContext.accumulator(0)
+    counted = losses.withColumn("cp_loss", F.udf(lambda x: seen.add(1) or x, "int").asNondeterministic()("cp_loss"))
+    got = {r["root_player"]: (r["plies"], r["best"], r["count"], r["median"]) for r in evaluation.side_losses(counted, []).collect()}
+    assert got == {True: (5, 2, 5, 4.0), False: (4, 1, 4, 4.0)} and seen.value == 9

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.vocabulary import CLAIM, CONTROL, START, literal, mirror_uci, moves
+from ..tables import stored
 from .profiles import nearest_rank
 
 # Rating ranges of the puzzle report; error names of answers.
@@ -88,7 +89,9 @@ def line_losses(lines: DataFrame, scores: DataFrame, plies: int) -> DataFrame:
 
 
 def side_losses(losses: DataFrame, by: list[str]) -> DataFrame:
-    """(by, root_player, plies, best, count, mean, median) of the losses of each side; those with a mate have none."""
+    """(by, root_player, plies, best, count, mean, median) of the losses of each side; those with a mate have none. The
+    losses are stored, as totals, histogram and ranks each read them."""
+    losses = stored(losses.select(*by, "root_player", "id", "ply", "cp_loss", "best_move"))
     totals = losses.groupBy(*by, "root_player").agg(F.count("*").alias("plies"), F.count_if("best_move").alias("best"), F.count("cp_loss").alias("count"), F.avg("cp_loss").alias("mean"))
     middle = nearest_rank(losses.where("cp_loss IS NOT NULL"), [*by, "root_player"], "cp_loss", ["id", "ply"], []).select(*by, "root_player", "median")
     return totals.join(middle, [*by, "root_player"], "left")
