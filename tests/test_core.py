@@ -250,6 +250,17 @@ def test_the_squares_of_a_board_are_made_once(spark):
     assert plan.count("reverse(") == 1
 
 
+def test_contiguous_groups_of_any_size(spark):
+    from tracemill.operators import references
+
+    groups = {1: [1, 2, 3], 2: [1, 1, 3], 3: [2, 3], 4: [1, 3], 5: [1, None, 3], 6: [None], 7: list(range(1, 101)), 8: [*range(1, 99), 98, 100], None: [*range(1, 70), 69, 71], 9: list(range(1, 63)), 10: list(range(1, 64)), 11: [1, 65]}
+    df = spark.createDataFrame([(k, n) for k, ns in groups.items() for n in ns], "k int, n int").repartition(3)
+    got = {(r["id"], r["detail"]) for r in references.contiguous(df, ["k"], "n", "k", "rule", 1).collect()}
+    assert got == {(2, "1-3"), (3, "2-3"), (4, "1-3"), (5, "1-3"), (6, ""), (8, "1-100"), (None, "1-71"), (11, "1-65")}
+    plan = references.contiguous(df.where("k < 7"), ["k"], "n", "k", "rule", 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # no row for each distinct number
+
+
 def test_losses_of_sides_are_worked_out_once(spark):
     from tracemill.operators import evaluation
 

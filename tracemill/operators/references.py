@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +27,25 @@ def dangling(df: DataFrame, parent: DataFrame, keys: list[str], key: str, rule:
 
 def contiguous(df: DataFrame, keys: list[str], number: str, key: str, rule: str, start: int = 0) -> DataFrame:
     """Groups whose distinct numbers are not start, start + 1, ... without a gap: min, max and count tell."""
-    found = df.groupBy(*keys).agg(F.min(number).alias("_lo"), F.max(number).alias("_hi"), F.count_distinct(number).alias("_n"), F.count("*").alias("_rows"))
-    bad = (F.col("_lo") != start) | (F.col("_hi") != start + F.col("_n") - 1) | (F.col("_n") != F.col("_rows"))
-    return found.where(bad).select(F.col(key).alias("id"), F.lit(rule).alias("rule"), F.concat_ws("-", "_lo", "_hi").alias("detail"))
+    # bits of the numbers: a row a group on the map side already, where distinct numbers would be a row each
+    bits = F.expr(f"bit_or(shiftleft(1L, cast(`{number}` - {start} as int)))")
+    found = df.groupBy(*keys).agg(F.min(number).alias("_lo"), F.max(number).alias("_hi"), F.count("*").alias("_rows"), bits.alias("_bits"))
+    off = F.coalesce((F.col("_lo") != start) | (F.col("_hi") != start + F.col("_rows") - 1), F.lit(True))
+    large = F.col("_rows") > 62
+    gaps = F.coalesce(F.col("_bits"), F.lit(0).cast("long")) != F.expr("shiftleft(1L, cast(_rows as int)) - 1")
+    found = stored(found.withColumn("_off", off).where(F.col("_off") | large | gaps))
+    # groups too large for the bits have their numbers counted
+    asked = found.where(~F.col("_off") & large).select(*(F.col(k).alias(f"_k_{k}") for k in keys))
+    bad = found.where(F.col("_off") | ~large).select(*keys, "_lo", "_hi")
+    if asked.isEmpty():
+        return _ends_of(bad, key, rule)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
+    counted = df.join(asked, same, "left_semi").groupBy(*keys).agg(F.min(number).alias("_lo"), F.max(number).alias("_hi"), F.count_distinct(number).alias("_n"), F.count("*").alias("_rows"))
+    return _ends_of(bad.unionByName(counted.where("_n != _rows").select(*keys, "_lo", "_hi")), key, rule)
+
+
+def _ends_of(bad: DataFrame, key: str, rule: str) -> DataFrame:
+    return bad.select(F.col(key).alias("id"), F.lit(rule).alias("rule"), F.concat_ws("-", "_lo", "_hi").alias("detail"))
 
 
 def exactly(df: DataFrame, keys: list[str], when: Column, times: int, key: str, rule: str) -> DataFrame:
