@@ -261,6 +261,17 @@ def test_contiguous_groups_of_any_size(spark):
     assert "Aggregate" not in plan  # no row for each distinct number
 
 
+def test_scan_after_each_element_works_its_state_out_once(spark):
+    from tracemill.functions.arrays import scan
+
+    df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 5, 64, 65, 200)] + [(None,)], "a array<int>")
+    add = lambda s, x: s + x
+    for after in (False, True):
+        emit = (lambda s, x: s) if after else add
+        got = df.select("a", scan(F.col("a"), F.lit(0), add, emit, after=after).alias("s")).collect()
+        assert all(r["s"] == (None if r["a"] is None else [sum(r["a"][: i + 1]) for i in range(len(r["a"]))]) for r in got)
+
+
 def test_losses_of_sides_are_worked_out_once(spark):
     from tracemill.operators import evaluation
 

@@ -55,9 +55,10 @@ def trajectory_shape(values: Column) -> Column:
     return F.when(n == 0, "mate_only").when(~up & ~down, "flat").when(~down, "monotone_up").when(~up, "monotone_down").otherwise("mixed")
 
 
-def scan(values: Column, zero: Column, step, emit=None, piece: int = 64) -> Column:
+def scan(values: Column, zero: Column, step, emit=None, piece: int = 64, after: bool = False) -> Column:
     """What a running state says of each element: ``emit(state, x)`` (the state itself, if none) with the state that
-    ``step(state, x)`` has reached before ``x``, from ``zero`` on. Null for a null array.
+    ``step(state, x)`` has reached before ``x``, from ``zero`` on; ``after``: with the state that it reaches by ``x``, which
+    is worked out once. Null for a null array.
 
     An array cannot grow cheaply, so it is walked in pieces: once for the state at the start of each piece, and once
     inside every piece from there. Appending costs a piece's length and the number of pieces, not the array's length.
@@ -65,11 +66,14 @@ def scan(values: Column, zero: Column, step, emit=None, piece: int = 64) -> Colu
     emit = emit or (lambda s, x: s)
     n = F.size(values)
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / piece).cast("int")), lambda k: F.slice(values, k * piece + 1, F.lit(piece)))
-    starts = F.aggregate(parts, F.array(zero), lambda acc, p: F.concat(acc, F.array(F.aggregate(p, F.element_at(acc, -1), step))))
+    starts = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(zero), lambda acc, p: F.concat(acc, F.array(F.aggregate(p, F.element_at(acc, -1), step))))
 
     def inside(part: Column, start: Column) -> Column:
         first = F.struct(start.alias("s"), F.filter(F.array(emit(zero, F.get(values, F.lit(0)))), lambda x: F.lit(False)).alias("o"))
-        return F.aggregate(part, first, lambda acc, x: F.struct(step(acc["s"], x).alias("s"), F.concat(acc["o"], F.array(emit(acc["s"], x))).alias("o")), lambda acc: acc["o"])
+        moved = lambda acc, x, s: F.struct(s.alias("s"), F.concat(acc["o"], F.array(emit(s if after else acc["s"], x))).alias("o"))
+        # an array of one gives the next state a name
+        walk = (lambda acc, x: F.get(F.transform(F.array(step(acc["s"], x)), lambda s: moved(acc, x, s)), F.lit(0))) if after else (lambda acc, x: moved(acc, x, step(acc["s"], x)))
+        return F.aggregate(part, first, walk, lambda acc: acc["o"])
 
-    walked = F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), inside)
+    walked = F.zip_with(parts, starts, inside)
     return F.when(values.isNotNull(), F.flatten(walked))

@@ -38,7 +38,7 @@ def boundary_champions(steps: DataFrame, key: str) -> DataFrame:
 
     ordered = F.array_sort(F.collect_list(F.struct("seq", "kind", "move", "raw", "value")))
     per_round = rows.groupBy(key, "round").agg(ordered.alias("steps"))
-    leaders = scan(c("steps"), F.array().cast(f"array<{_ENTRY}>"), revised, lambda entries, x: leader(revised(entries, x)))
+    leaders = scan(c("steps"), F.array().cast(f"array<{_ENTRY}>"), revised, lambda entries, x: leader(entries), after=True)
     # stored, as both the rounds' ends and the steps read it
     known = stored(per_round.select(key, "round", "steps", leaders.alias("led")))
     end = F.element_at(F.filter("steps", lambda x: x["kind"] == "end"), -1)
@@ -51,8 +51,9 @@ def boundary_champions(steps: DataFrame, key: str) -> DataFrame:
         return F.when(x["end"].isNull(), before).when(~known, current).otherwise(F.struct(best.alias("move"), x["end"]["raw"].alias("raw"), x["end"]["value"].alias("value")))
 
     of_root = ends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("round", "end", "led"))).alias("rounds"))
-    befores = of_root.select(key, "rounds", scan(c("rounds"), none, handed).alias("before"), scan(c("rounds"), none, handed, handed).alias("after"))
-    carried = befores.select(key, F.inline(F.zip_with(F.zip_with("rounds", "before", lambda r, b: F.struct(r["round"].alias("round"), b.alias("before"))), "after", lambda x, a: F.struct(x["round"].alias("round"), x["before"].alias("before"), a.alias("after")))))
+    afters = of_root.select(key, "rounds", scan(c("rounds"), none, handed, after=True).alias("after"))
+    befores = F.concat(F.array(none), F.col("after"))  # one more than there are rounds
+    carried = afters.withColumn("before", befores).select(key, F.inline(F.transform("rounds", lambda r, i: F.struct(r["round"].alias("round"), F.get("before", i).alias("before"), F.get("after", i).alias("after")))))
     shown = known.select(key, "round", F.inline(F.zip_with("steps", "led", lambda x, e: F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"), e.alias("led")))))
     champion = F.when(c("kind") == "begin", c("before")).when(c("kind") == "end", c("after")).otherwise(F.coalesce("led", "before"))
     out = shown.join(carried, [key, "round"]).withColumn("_c", champion)
