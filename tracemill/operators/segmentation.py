@@ -107,7 +107,9 @@ class Encoder:
     def cuts(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Which tokens of streams laid end to end begin where no entry spans the place."""
         spanned = np.zeros(len(flat) + 1, np.int64)  # entries over the place before each token, as differences
+        row = np.searchsorted(ends, np.arange(len(flat)), side="right")
         for n, at, _ in self._places(flat.astype(np.int64)):
+            at = at[row[at] == row[at + n - 1]]
             spanned[at + 1] += 1
             spanned[at + n] -= 1
         return self._uncovered(spanned, ends)
@@ -301,15 +303,18 @@ class _Pool:
         self.runs = sorted(runs)
         self.number = {a: k for k, a in enumerate(self.runs)}
 
-    def segments(self, batches) -> Iterator[list[np.ndarray]]:
+    def segments(self, batches) -> Iterator[pa.Array]:
         """Each batch's streams cut wherever no run of the pool spans the place; pieces of one token are left out."""
         places = Encoder(self.number)
         for b in batches:
-            out = []
-            for s in (np.asarray(x.values, np.int32) for x in b.column(0) if x.is_valid and len(x.values)):
-                cuts = np.flatnonzero(places.cuts(s, np.array([len(s)])))
-                out += [s[i:j] for i, j in zip(cuts, [*cuts[1:], len(s)], strict=True) if j - i > 1]
-            yield out
+            flat, sizes, _ = words.flat(b.column(0))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for i, j in words.rows_within(sizes, PIECE):
+                t = flat[ends[i] : ends[j]]
+                starts = np.flatnonzero(places.cuts(t, ends[i + 1 : j + 1] - ends[i]))
+                lengths = np.diff(np.append(starts, len(t)))
+                many = lengths > 1
+                yield words.lists(t[np.repeat(many, lengths)], lengths[many])
 
     def inside(self, segment: list[int]) -> set[int]:
         """Numbers of the runs that occur."""
@@ -369,7 +374,7 @@ def select_dictionary(df: DataFrame, tokens: str, pool: DataFrame, budget: int,
 
     def cut(batches):
         for out in shared.value.segments(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["segment"])
+            yield pa.RecordBatch.from_arrays([out], names=["segment"])
 
     def postings(batches):
         for b in batches:
