@@ -43,6 +43,16 @@ def pack(df: DataFrame, order: list[str], length: str, budget: int, close_after:
     group ends with the document by which it reaches the budget, as updates of whole batches do."""
     if budget < 1:
         raise ValueError("the budget must be positive")
+    wide = [c for c in df.columns if c not in (*order, length)]
+    if not wide:
+        return _packed(df, order, length, budget, close_after)
+    # what only goes along takes no part in the ordering: it is stored once and met at the end
+    kept = stored(df.withColumn("_row", F.monotonically_increasing_id()))
+    made = _packed(kept.select("_row", *order, length), order, length, budget, close_after)
+    return kept.join(made.drop(*order, length), "_row").drop("_row")
+
+
+def _packed(df: DataFrame, order: list[str], length: str, budget: int, close_after: bool) -> DataFrame:
     rows = stored(offsets(df, order, length))
     width = budget * SPAN
     if close_after:  # a group may pass the budget by a document

@@ -12,7 +12,7 @@ from ..functions.vocabulary import COMPOSITE, CONTROL
 from ..functions.words import numbers
 from ..operators import dedup, ngrams, packing, profiles, sampling, segmentation
 from ..sources import packed
-from ..tables import shared_folder, table
+from ..tables import release, shared_folder, stored, table
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -265,9 +265,11 @@ sel AS (
 SELECT ({COMPOSITE} + i - 1)::INT AS id, array_to_string(gram, ' ') AS gram FROM (SELECT i, e[i]::HUGEINT AS k FROM (SELECT e, unnest(range(1, len(e) + 1)) AS i FROM sel WHERE NOT more)) JOIN pool USING (k)
 """)
 def merge_select(spark, sf_dir):
-    df = _stream(spark, sf_dir)
+    df = stored(_stream(spark, sf_dir).select("atoms"))
     pool = ngrams.candidates(ngrams.count_windows(df, "atoms", 2, 4), limit=500)
-    return segmentation.select_dictionary(df, "atoms", pool, budget=48, block=16).select("id", F.array_join("atoms", " ").alias("gram"))
+    chosen = segmentation.select_dictionary(df, "atoms", pool, budget=48, block=16)
+    release(df)
+    return chosen.select("id", F.array_join("atoms", " ").alias("gram"))
 
 
 def _lengths(spark, sf_dir) -> DataFrame:
@@ -395,8 +397,9 @@ SELECT batch, count(*)::INT AS documents, sum(len(atoms))::INT AS tokens, md5(ar
   '0 ' || string_agg(upto::VARCHAR, ' ' ORDER BY doc_id) AS ends FROM d GROUP BY batch"""
 )
 def assembled_batches(spark, sf_dir):
-    df = _stream(spark, sf_dir).withColumn("length", F.size("atoms")).where(F.col("length").between(1, BUDGET))
-    out = packing.assemble(packing.pack(df.select("doc_id", "atoms", "length"), ["doc_id"], "length", BUDGET), "atoms")
+    # stored before its lengths are asked for, so that the words are numbered once
+    df = stored(_stream(spark, sf_dir).select("doc_id", "atoms")).withColumn("length", F.size("atoms")).where(F.col("length").between(1, BUDGET))
+    out = packing.assemble(packing.pack(df, ["doc_id"], "length", BUDGET), "atoms")
     return out.select("batch", "documents", "tokens", F.md5(F.array_join("input_ids", " ")).alias("input_md5"), F.md5(F.array_join("labels", " ")).alias("labels_md5"), F.array_join("cu_seqlens", " ").alias("ends"))
 
 
