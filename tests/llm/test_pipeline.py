@@ -79,3 +79,16 @@ def test_stages_keep_clashing_columns_and_long_texts(spark):
         kept = {r["doc_id"]: r for r in got.collect()}
         assert 1 in kept and 3 in kept and kept[1]["_row"] == 77 and kept[3]["_row"] == 99 and kept[1]["_text"] == 4
         assert len(kept[1]["text"]) == len(long)
+
+
+def test_the_sieve_of_wanted_sets_stays_packed(spark):
+    """The pipeline's near copies: the driver holds an eighth of a byte for each bit of the sieve."""
+    import numpy as np
+
+    from tracemill.llm import near_dup
+
+    digests = [bytes([0, 0, 0, 9, 1]), bytes([1, 2, 3, 4, 5]), bytes([255] * 5)]
+    got = near_dup.sieve(spark.createDataFrame([(bytearray(d),) for d in digests], "digest binary"))
+    assert got.nbytes == near_dup.SIEVE // 8
+    want = sorted({int.from_bytes(d[:4], "big") & (near_dup.SIEVE - 1) for d in digests})
+    assert np.flatnonzero(np.unpackbits(got, bitorder="little")).tolist() == want
