@@ -9,6 +9,7 @@ from itertools import permutations
 from math import log, log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -466,6 +467,38 @@ def test_class_scores_match_a_plain_model(spark):
             assert abs(r["score"] - want) < 1e-6 * max(1, -want)
 
 
+def test_class_counts_leave_a_task_as_a_row_per_word(spark):
+    """What stands around the words beyond the units is summed before it is shuffled, and a word whose rows come in many
+    batches gets the class that it gets from one."""
+    data = [(i, f" Rare{i % 3} the\tcat, {'rare1 ' * (i % 5)}the dog. ") for i in range(300)]
+    docs = spark.createDataFrame([*data, (300, None), (301, ""), (302, " \n ")], "doc_id long, text string").coalesce(1)
+    of = np.arange(2 + class_lm.FORMS) % 4
+    got = class_lm.met(docs, "text", [b"the"], of, 4).collect()
+    counts: dict = {}
+    for w in (w for _, t in data for w in t.encode().lower().split() if w != b"the"):
+        counts[w] = counts.get(w, 0) + 1
+    assert {bytes(r["word"]): sum(r["ns"]) for r in got} == counts and len(got) == len(counts)
+    assert all(len(set(r["codes"])) == len(r["codes"]) for r in got)
+
+    def chosen():
+        out = class_lm.assigned(docs.repartition(7), "text", [b"the"], of, np.log(np.arange(1.0, 17).reshape(4, 4) / 136), np.ones(4)).collect()
+        return {(bytes(r["word"]), r["c"], r["h"]) for r in out if r["word"]}, {r["cell"]: sum(x["k"] for x in out if x["cell"] == r["cell"]) for r in out if r["word"] is None}
+
+    one = chosen()
+    assert {w: c for w, c, _ in one[0]} == counts and sum(one[1].values()) == sum(counts.values())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        assert chosen() == one
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_forms_of_many_words():
+    words = [b"a", b"...", b",", b"word", b"words,", b"don't.", b"x9", b"9x!", "gr\u00fc\u00dfe".encode(), "\u00fc".encode(), b"abcde", b"abcdefghi?", b"e-e", b"ab9.", b"n\x00", b"\xff,"]
+    assert class_lm.forms(pa.array(words, pa.binary())).tolist() == [class_lm.form(w) for w in words]
+    assert class_lm.forms(pa.array([b"x", *words], pa.binary())[1:]).tolist() == [class_lm.form(w) for w in words]
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(1)
     kinds = np.arange(20) % 2
