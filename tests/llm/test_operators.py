@@ -637,6 +637,21 @@ def test_toxicity_matches_a_plain_chain(spark):
         assert np.allclose(got[i, t], want, atol=2e-3), (t, got[i, t], want)
 
 
+def test_sums_of_a_fit():
+    """Both products of a fit with its rows add neighbours up; rows and features without a place are zero."""
+    rng = np.random.default_rng(3)
+    x = rng.random((40, 12)) < 0.3
+    x[[0, 7, 39]] = x[:, [0, 5, 11]] = False
+    starts, ids = np.concatenate([[0], np.cumsum(x.sum(1))]), np.nonzero(x)[1].astype(np.int32)
+    w, g = rng.normal(size=12), rng.normal(size=40)
+    assert np.allclose(toxicity.sums(ids, np.diff(starts))(w), x @ w)
+    assert np.allclose(toxicity.sums(*toxicity.turned(starts, ids, 12))(g), x.T @ g)
+    assert toxicity.sums(ids[:0], np.zeros(3, int))(w).tolist() == [0, 0, 0]
+    y = (x[:, 3] | (rng.random(40) < 0.2)).astype(float)
+    m = toxicity.Linear(12, 1).fit(starts, ids, g[:, None], y)
+    assert np.allclose([*m.w, *m.v, m.bias], plain_logistic(np.column_stack([x, g]), y), atol=1e-3)
+
+
 def test_toxicity_of_awkward_rows(spark, docs, none):
     labels = spark.createDataFrame([(4, 1), (7, 0), (9, None)], "doc_id long, bad int")
     got = toxicity.toxicity(docs, labels, ["bad"]).collect()

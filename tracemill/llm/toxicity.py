@@ -17,6 +17,9 @@ gives an empty result; columns named like an added one are replaced, others stay
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -93,6 +96,27 @@ def pick_terms(rows: DataFrame, k: int) -> list[str]:
     return sorted(r["term"] for r in picked)
 
 
+def turned(starts: np.ndarray, ids: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that have each feature, end to end, how many each has) of rows of present features."""
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    return row[np.argsort(ids, kind="stable")], np.bincount(ids, minlength=features)
+
+
+def sums(index: np.ndarray, sizes: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Of x, the sums of its elements at so many places of ``index`` each. What a fit asks for hundreds of times: places
+    that follow each other are added in order, without a count for each."""
+    index, some = index.astype(np.intp), np.flatnonzero(sizes)
+    begins, held = (np.cumsum(sizes) - sizes)[some], np.empty(len(index))
+
+    def of(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(sizes))
+        if len(some):
+            out[some] = np.add.reduceat(np.take(x, index, out=held, mode="clip"), begins)
+        return out
+
+    return of
+
+
 class Linear:
     """Logistic regression with squared penalty on rows of present features and a few dense columns."""
 
@@ -106,9 +130,9 @@ class Linear:
         self.bias = float(np.log(share / (1 - share)))
         if not 0 < y.sum() < n:
             return self
-        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
-        times = lambda t: np.bincount(row, t[:k][ids], n) + dense @ t[k:-1] + t[-1]
-        back = lambda g: np.concatenate([np.bincount(ids, g[row], k), dense.T @ g, [g.sum()]])
+        by_row, by_feature = sums(ids, np.diff(starts)), sums(*turned(starts, ids, k))
+        times = lambda t: by_row(t[:k]) + dense @ t[k:-1] + t[-1]
+        back = lambda g: np.concatenate([by_feature(g), dense.T @ g, [g.sum()]])
         penalty = np.append(np.full(k + dense.shape[1], PENALTY), 0.0)
         theta = np.append(np.zeros(k + dense.shape[1]), self.bias)
 
@@ -198,7 +222,7 @@ class _Ids(dict):
 
 
 def _matrix(texts: list[str | None], ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
-    rows = [sorted({i for w in set(t.lower().split()) for i in ids[w]}) if t else [] for t in texts]
+    rows = [sorted(set(chain.from_iterable(map(ids.__getitem__, set(t.lower().split()))))) if t else [] for t in texts]
     return np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64), np.array([i for r in rows for i in r], np.int64)
 
 
