@@ -206,3 +206,15 @@ def test_alignment_of_whole_batches(spark, monkeypatch):
     want = {k: expected(t, p) for k, t, p in rows}
     assert {k: (b or [] if b is not None else None, p) for k, (b, p) in got.items()} == {k: (b, p) for k, (b, p) in want.items()}
     assert out.where("k < 0").select(F.size("boundaries")).count() == 0
+
+
+def test_records_read_their_tables_once(spark):
+    """Orders and lines are dealt by order once, for the candidates of a round and its best alike."""
+    from tracemill.plans import champion_queries as Q
+
+    plan = Q._alone(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert plan.size() == 2
+    lines = spark.createDataFrame([(7, 1, None, 5), (7, 2, 1, 3), (7, 3, 2, 9), (7, 4, 3, 9)], "k long, line long, p long, q long")
+    orders = spark.createDataFrame([(2, 7, 1, 1), (2, 8, 2, 2)], "root long, k long, n long, round int")
+    (row,) = Q._records(orders, lines).collect()
+    assert [(r["round"], r["move"], r["raw"], len(r["candidates"])) for r in row["rounds"]] == [(1, "m3", 9, 4), (2, None, None, 0)]

@@ -33,11 +33,19 @@ def nested(rounds: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
     """(key, rounds): flat rounds (key, round and the fields of ``ROUND`` but candidates) and candidates (key, round and
     the fields of ``CANDIDATE``) as one record per root; rounds by number, candidates by their order. A round without
     candidates has an empty list; candidates of a round that is not there are left out."""
-    fields = ("move", "raw", "wdl", "mate", "value_token", "order", "draw")
-    entry = F.struct(*(F.col(f) for f in fields))
-    sorted_entries = F.transform(F.array_sort(F.collect_list(F.struct(F.col("order").alias("_o"), F.col("move").alias("_m"), entry.alias("_e")))), lambda x: x["_e"])
-    lists = candidates.groupBy(key, "round").agg(sorted_entries.alias("candidates"))
-    whole = rounds.join(lists, [key, "round"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast(f"array<{CANDIDATE}>")))
+    lists = candidates.groupBy(key, "round").agg(in_order().alias("candidates"))
+    return of_rounds(rounds.join(lists, [key, "round"], "left"), key)
+
+
+def in_order() -> Column:
+    """The candidates of a group by their order."""
+    entry = F.struct(*(F.col(f) for f in ("move", "raw", "wdl", "mate", "value_token", "order", "draw")))
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col("order").alias("_o"), F.col("move").alias("_m"), entry.alias("_e")))), lambda x: x["_e"])
+
+
+def of_rounds(rounds: DataFrame, key: str) -> DataFrame:
+    """(key, rounds) of rounds that have their candidates; those without any have a null."""
+    whole = rounds.withColumn("candidates", F.coalesce("candidates", F.array().cast(f"array<{CANDIDATE}>")))
     one = F.struct("round", "depth", "move", "raw", "wdl", "mate", "value_token", "pv", "refutations", "candidates").cast(ROUND)
     return whole.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("round", one.alias("_r")))), lambda x: x["_r"]).alias("rounds"))
 
