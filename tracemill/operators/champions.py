@@ -229,6 +229,12 @@ def _compared(tool: pa.Array, plain: pa.Array, inserted: str, suffix: list[str])
     return pa.StructArray.from_arrays([boundaries, pa.array(problem, pa.string())], names=["boundaries", "problem"])
 
 
+def _in_pieces(batches: Iterator[tuple[pa.Array, pa.Array]], inserted: str, suffix: list[str]) -> Iterator[pa.Array]:
+    for tool, plain in batches:
+        for i, j in rows_within(pc.fill_null(tool.value_lengths(), 0).to_numpy(), PIECE):
+            yield _compared(tool.slice(i, j - i), plain.slice(i, j - i), inserted, suffix)
+
+
 def aligned(df: DataFrame, tool: str, plain: str, inserted: str, suffix: list[str]) -> DataFrame:
     """``df`` with boundaries (array of structs: end in ``tool``, end in ``plain``) and problem (null where the two agree).
 
@@ -241,14 +247,28 @@ def aligned(df: DataFrame, tool: str, plain: str, inserted: str, suffix: list[st
 
     @F.arrow_udf(f"struct<boundaries: array<struct<tool_end: {kinds[0]}, plain_end: {kinds[1]}>>, problem: string>")
     def compared(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
-            for i, j in rows_within(pc.fill_null(a.value_lengths(), 0).to_numpy(), PIECE):
-                yield _compared(a.slice(i, j - i), b.slice(i, j - i), inserted, suffix)
+        yield from _in_pieces(batches, inserted, suffix)
 
     met = df.withColumn("_aligned", compared(F.col(tool), F.col(plain)))
     return met.withColumns({c: F.col(f"_aligned.{c}") for c in ("boundaries", "problem")}).drop("_aligned")
 
 
+def aligned_within(df: DataFrame, columns: list[str], programs, inserted: str, suffix: list[str], told, kind: str) -> DataFrame:
+    """``df`` with the two columns of ``aligned`` for programs that are no columns: ``programs`` makes pairs of arrays of
+    them, ``tool`` and ``plain``, from batches of ``columns``, in the order of the rows and as few rows at a time as it
+    likes. ``told`` makes of an array of boundaries what the column boundaries holds, of type ``kind``. So neither the
+    programs nor their boundaries leave the task, and what it holds of them does not grow with a batch's rows.
+    """
+
+    @F.arrow_udf(f"struct<boundaries: {kind}, problem: string>")
+    def compared(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for found in _in_pieces(programs(batches), inserted, suffix):
+            yield pa.StructArray.from_arrays([told(found.field("boundaries")), found.field("problem")], names=["boundaries", "problem"])
+
+    met = df.withColumn("_aligned", compared(*map(F.col, columns)))
+    return met.withColumns({c: F.col(f"_aligned.{c}") for c in ("boundaries", "problem")}).drop("_aligned")
+
+
 # The label behind a trace ------------------------------------------------------------------------------------
 
 
